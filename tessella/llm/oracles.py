@@ -2,6 +2,43 @@
 
 from __future__ import annotations
 
+SUBSTRING = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i : i + 34], ' ') as s from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w where len(ws) >= 35)),
+dup as (select s from win group by s having count(*) > 1),
+hit as (select distinct doc_id, i + k as p from win join dup using (s), range(0, 35) r(k)),
+gone as (select doc_id, list(p) as ps from hit group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(len(ps), 0)::bigint as n_removed,
+  sha256(array_to_string([x for x, i in ws if ps is null or not list_contains(ps, i)], ' ')) as kept_sha256
+from w left join gone using (doc_id)
+"""
+
+WARC = """
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
+m as (select page_id, h, d, max(page_id) over (partition by h) as top from p),
+b as (select *, [('0x' || substr(d, 1 + 10 * k, 10))::bigint for k in [0, 1, 2, 3]] as parts from m)
+select page_id, strlen(h)::bigint as payload_bytes,
+  array_to_string(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> (35 - 5 * j)) & 31)::int, 1) for j in [0, 1, 2, 3, 4, 5, 6, 7]] for x in parts]), '') as payload_digest,
+  case when page_id = top then 'response' else 'revisit' end as record_type,
+  case when page_id = top then null else top end as refers_to
+from b
+"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATE = f"""
+with d as (select doc_id, {_WORDS} as ws from documents),
+b as (select item_id, {_WORDS} as ws from benchmark),
+bw as (select distinct item_id, least(len(ws), 13) as n, array_to_string(ws[i : i + 12], ' ') as s from (select item_id, ws, unnest(range(1, greatest(len(ws) - 11, 2))) as i from b where len(ws) > 0)),
+dw as (select doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') as s from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, (select distinct n from bw) where len(ws) >= n)),
+hit as (select doc_id, dw.n, i, item_id from dw join bw using (n, s)),
+covered as (select doc_id, count(distinct i + k) as n_hit from hit, range(0, 13) r(k) where k < n group by doc_id),
+items as (select doc_id, list(distinct item_id::varchar order by item_id::varchar) as xs from hit group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(xs), 0)::bigint as n_items,
+  sha256(coalesce(array_to_string(xs, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": SUBSTRING, "op6_warc": WARC, "op7_decontaminate": DECONTAMINATE}
