@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, media, piece_codec, quality, simhash, substring_dedup, toxicity, warc
+from tessella.llm import decontaminate, line_dedup, media, piece_codec, quality, simhash, substring_dedup, toxicity, warc
 from tessella.llm.common import fold, read, table
 
 
@@ -54,6 +54,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold("doc_id", 5) != 0)
@@ -62,4 +67,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_media, op4_quality, op6_warc, op7_decontaminate, op8_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_media, op4_quality, op6_warc, op7_decontaminate, op8_simhash, op9_line_dedup, op10_toxicity)}
