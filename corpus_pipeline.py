@@ -1,8 +1,86 @@
-"""Corpus pipeline: stages over the documents table, each written and read again."""
+"""Corpus pipeline: five stages over the documents table, each written as Parquet and read again as the next one's input."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import decontaminate, line_dedup, piece_codec, simhash, toxicity
+from tessella.llm.common import fold, mark, read, scratch, sweep
+
+#: SQL cannot train the first stage's classifier or run the last stage's tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
+_began = [0]
+
+
+def _next_stage(spark: SparkSession) -> None:
+    """The input of a stage is written, so the scratch tables of the stage before it can go."""
+    now = mark()
+    sweep(spark, _began[0], now)
+    _began[0] = now
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go. Labels that op10 holds out are not learned from."""
+    _began[0] = mark()
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold("doc_id", 5) != 0)
+    scored = toxicity.score(docs, toxicity.train(docs, labels), out="toxic_score", spans="toxic_spans")
+    return scored.where("toxic_score < 0.5").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go; every document stays, with the lines it keeps and their length."""
+    _next_stage(spark)
+    done = line_dedup.dedup(docs)
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays, that of the smallest doc_id. Rows without doc_id stay."""
+    _next_stage(spark)
+    found = simhash.near_duplicates(docs.where("doc_id is not null").select("doc_id", "text"))
+    keep = found.where("doc_id = component").select("doc_id").distinct()
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with benchmark windows over a twentieth of their words or more go; others stay as they are."""
+    _next_stage(spark)
+    found = decontaminate.verdict(decontaminate.find(docs, read(spark, sf_dir, "benchmark")))
+    return found.where("not contaminated").select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the piece ids of each whole text, and what they decode to."""
+    _next_stage(spark)
+    done = piece_codec.roundtrip(docs.select("doc_id", "text"))
+    return done.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", encode_pieces),
+]
+
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline's last table. Tables between the stages stand in the shared folder."""
+    docs = read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            path = scratch(spark, name, keep=True)
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+        else:
+            docs = out
+    return docs

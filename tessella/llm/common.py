@@ -30,10 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder."""
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder name under the shared folder. sweep() leaves the ones to keep."""
     path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}/{name}"
-    _made.append(path)
+    if not keep:
+        _made.append(path)
     return path
 
 

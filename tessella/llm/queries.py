@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, line_dedup, media, piece_codec, quality, simhash, substring_dedup, toxicity, warc
+from tessella.llm import decontaminate, line_dedup, media, pii, piece_codec, quality, simhash, substring_dedup, toxicity, warc
 from tessella.llm.common import fold, read, table
 
 
@@ -38,6 +38,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_private", F.col("private_text").alias("text"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write(read(spark, sf_dir, "pages"))
     return warc.digests(spark, archive).withColumnRenamed("record_key", "page_id")
@@ -67,4 +72,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_media, op4_quality, op6_warc, op7_decontaminate, op8_simhash, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_media, op4_quality, op5_pii, op6_warc, op7_decontaminate, op8_simhash, op9_line_dedup, op10_toxicity)}
