@@ -1 +1 @@
-"""Spark-native feature engineering and training-data operators."""
+"""Spark-native feature engineering: column operators, cleaning, selection, validation, search, and training-data operators."""
