@@ -42,9 +42,10 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     spark = pages.sparkSession
     archive = archive or Archive(scratch(spark, "headers"), scratch(spark, "payloads"))
     rows = pages.select(F.col(key).alias("record_key"), F.coalesce(F.col(url), F.lit("urn:none")).alias("target"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("data")).withColumn("digest", F.sha2("data", 256))
+    # One row for each payload. Copies are merged before the shuffle, so a hot payload travels once from each task.
+    rows.groupBy("digest").agg(F.max("record_key").alias("owner"), F.any_value("data").alias("data")).write.option("compression", "zstd").parquet(archive.payloads)
+    owners = spark.read.parquet(archive.payloads).select("digest", "owner")
     slim = rows.select("record_key", "target", "digest", F.octet_length("data").cast("long").alias("n_bytes"), base32_sha1(F.col("data")).alias("payload_digest"))
-    # One row for each payload: its digest, the largest key and the number of bytes; sums go before the shuffle.
-    owners = slim.groupBy("digest").agg(F.max("record_key").alias("owner"))
     records = slim.join(owners, "digest")
     revisit = (F.col("n_bytes") >= min_bytes) & ~F.col("record_key").eqNullSafe(F.col("owner"))
     head = F.concat(
@@ -56,9 +57,6 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
         F.lit(f"{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(END),
     )
     records.select("record_key", "digest", head.cast("binary").alias("header")).write.option("compression", "zstd").parquet(archive.headers)
-    # The owner's row carries the bytes. Keys may repeat, so the digest decides too, and one row of each digest stays.
-    bytes_of = rows.join(owners, (rows["digest"] == owners["digest"]) & rows["record_key"].eqNullSafe(owners["owner"]), "left_semi").select("digest", "data")
-    bytes_of.groupBy("digest").agg(F.any_value("data").alias("data")).write.option("compression", "zstd").parquet(archive.payloads)
     return archive
 
 
