@@ -2,8 +2,8 @@
 
 The encoder keeps an agenda of adjacent symbol pairs ordered by piece score (ties: leftmost first), merges the best
 pair, and pushes the pairs that the merge creates. A normalised text is first cut where no vocabulary piece can
-span, so that the agenda runs once for each distinct chunk of a worker. Each Arrow batch is checked against the
-sentencepiece library, and a difference raises.
+span, so that the agenda runs once for each distinct chunk of a worker. With each Arrow batch, the chunks that the
+agenda has encoded, and a whole text, are checked against the sentencepiece library; a difference raises.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from tessella.llm.common import ship, without
 
 SPACE = "▁"
 #: Chunks kept by a worker; beyond this the memory of chunks starts anew.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_200_000
 #: Longer chunks are not kept.
 CACHE_CHARS = 64
 
@@ -58,7 +58,9 @@ class PieceCodec:
         # A cut before a space mark is safe if no piece has a space mark after another character.
         cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.chunks = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if cuts else "(?s).+").findall
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self)
+        #: Chunks that the agenda has encoded since the last check, with their ids.
+        self.fresh: list[tuple[str, bytes]] = []
 
     def agenda(self, text: str) -> list[int]:
         """Ids of one chunk."""
@@ -110,6 +112,7 @@ class PieceCodec:
 
     def learn(self, chunk: str) -> bytes:
         found = array("I", self.agenda(chunk)).tobytes()
+        self.fresh.append((chunk, found))
         if len(chunk) <= CACHE_CHARS:
             if len(self.known) >= CACHE_CHUNKS:
                 self.known.clear()
@@ -118,14 +121,10 @@ class PieceCodec:
 
     def encode(self, text: str, bos: bool = True, eos: bool = True) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        get = self.known.get
-        parts = self.chunks(self.normalize(text))
-        got = list(map(get, parts))
-        if None in got:
-            got = [get(p) or self.learn(p) for p in parts]
+        body = b"".join(map(self.known.__getitem__, self.chunks(self.normalize(text))))
         head = self.bos.to_bytes(4, "little") if bos and self.bos >= 0 else b""
         tail = self.eos.to_bytes(4, "little") if eos and self.eos >= 0 else b""
-        return head + b"".join(got) + tail
+        return head + body + tail
 
     def normalize(self, text: str) -> str:
         return self.lib.normalize(text)
@@ -142,13 +141,35 @@ class PieceCodec:
         return text[1:] if first is not None and first != self.unk and text.startswith(" ") and first not in self.bytes.values() else text
 
     def check(self, texts: list[str], ids: list[bytes], decoded: list[str]) -> None:
-        """Raise unless the library gives the same ids and the same decoded texts."""
-        theirs = self.lib.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-        for mine, lib_ids in zip(ids, theirs, strict=True):
+        """Raise unless the library agrees: on each chunk that the agenda has encoded since the last check, and on one whole
+        text, so that the cuts are checked too, with what it decodes to."""
+        fresh, self.fresh = self.fresh, []
+        # The library puts a space mark before a text; chunks have theirs.
+        fresh = [(c[1:], x) for c, x in fresh if len(c) > 1]
+        at = max(range(len(texts)), key=lambda i: len(set(texts[i][:4096]))) if texts else 0
+        theirs = self.lib.encode([c for c, _ in fresh], num_threads=1) + self.lib.encode(texts[at : at + 1], add_bos=True, add_eos=True, num_threads=1)
+        for mine, lib_ids in zip([*(x for _, x in fresh), *ids[at : at + 1]], theirs, strict=True):
             if array("I", lib_ids).tobytes() != mine:
                 raise AssertionError("piece ids differ from the library's")
-        if self.lib.decode(theirs, num_threads=1) != decoded:
-            raise AssertionError("decoded texts differ from the library's")
+        if texts and self.lib.decode(theirs[-1]) != decoded[at]:
+            raise AssertionError("a decoded text differs from the library's")
+
+    def check_all(self, texts: list[str], ids: list[bytes], decoded: list[str]) -> None:
+        """Raise unless the library gives the same ids and decoded texts for each whole text."""
+        theirs = self.lib.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+        if [array("I", x).tobytes() for x in theirs] != ids or self.lib.decode(theirs, num_threads=1) != decoded:
+            raise AssertionError("piece ids or decoded texts differ from the library's")
+
+
+class _Known(dict):
+    """Ids of chunks; a chunk not there is encoded."""
+
+    def __init__(self, codec: PieceCodec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.codec.learn(chunk)
 
 
 _codecs: dict[str, PieceCodec] = {}
@@ -177,8 +198,8 @@ def roundtrip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str
     """Add the ids (binary, little-endian unsigned 32-bit, with begin and end ids) and the text decoded from them.
 
     A null text counts as empty (ids are the begin and end ids, decoded text is empty). Columns named as the two new
-    ones are replaced; all others stay. An empty table gives an empty table. With verify, every Arrow batch is checked
-    against the library.
+    ones are replaced; all others stay. An empty table gives an empty table. With verify, each batch's new chunks and one
+    of its texts are checked against the library, and the job fails on a difference.
     """
     path = model_path or default_model()
     df = without(df, ids, decoded)
