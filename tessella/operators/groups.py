@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.registry import Fitted, OperatorError, numeric, register, stats
+from tessella.registry import Fitted, OperatorError, corr, numeric, register, stats
 
 AGGS = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min, "count": F.count, "std": F.stddev_samp, "sum": F.sum}
 
@@ -65,7 +65,7 @@ def arithmetic_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 def partners(df: DataFrame, column: str, candidates: list[str], target: str | None = None, most: int = 5) -> list[str]:
     """The candidates of the largest absolute correlation with the target (or the column), ties in given order."""
     base = numeric(df, target or column)
-    row = stats(df, **{f"c{i}": F.corr(numeric(df, c), base) for i, c in enumerate(candidates)})
+    row = stats(df, **{f"c{i}": corr(numeric(df, c), base) for i, c in enumerate(candidates)})
     order = sorted(range(len(candidates)), key=lambda i: -abs(row[f"c{i}"] or 0))
     return [candidates[i] for i in order if candidates[i] != column][:most]
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessella.operators.datetimes import micros, moment
-from tessella.registry import Fitted, OperatorError, numeric, register
+from tessella.registry import Fitted, OperatorError, corr, numeric, register
 
 
 def spec(order_by: list[str] | str | None, partition_by: list[str] | str | None = None) -> WindowSpec:
@@ -99,7 +99,7 @@ def autocorrelation(df: DataFrame, column: str, out: str | None = None, lag: int
     """Correlation of the non-null values with those `lag` places before, for every row; null for too few."""
     x = numeric(df, column)
     pairs = df.where(x.isNotNull()).select(x.alias("x"), F.lag(x, lag).over(spec(order_by, partition_by)).alias("y"))
-    row = pairs.agg(F.corr("x", "y").alias("r"), F.count("y").alias("n")).first()
+    row = pairs.agg(corr("x", "y").alias("r"), F.count("y").alias("n")).first()
     value = row.r if row.n > 1 and row.r is not None and not math.isnan(row.r) else None
     return Fitted("autocorrelation", [column], out or f"autocorrelation({column})", lambda: F.lit(value).cast("double"), {"r": value})
 

@@ -105,3 +105,11 @@ def lenient(column: str) -> Column:
 def stats(df: DataFrame, **wanted: Column) -> dict[str, Any]:
     """One row of aggregates, in one pass."""
     return df.agg(*[c.alias(n) for n, c in wanted.items()]).first().asDict()
+
+
+def corr(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation over rows where both are there; null, not an error, where one of them is constant."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))))
