@@ -19,11 +19,6 @@ def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _filled(lines):
-    """Positions of the lines that are not blank."""
-    return F.filter(F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)), lambda i: F.element_at(lines, i + 1).rlike("\\S"))
-
-
 def _ranked(keys: DataFrame, cols: list[str], name: str) -> DataFrame:
     """Number distinct keys in their sort order: rising within and across the ranges of the sort."""
     return table(keys.sparkSession, keys.orderBy(*cols).withColumn("rank_new", F.monotonically_increasing_id()), name)
@@ -77,10 +72,10 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int
     df = without(df, "n_lines", "n_removed", "longest_run", "kept_text")
     spark = df.sparkSession
     h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    arr = _lines(F.col("t"))
     base = df.select(F.col(key).alias("k"), h.alias("h"), F.col(text).alias("t"))
-    filled = F.filter(arr, lambda x: x.rlike("\\S"))
-    exploded = base.select("k", "h", F.posexplode(F.transform(filled, lambda x: F.unhex(F.md5(x)))).alias("seq", "id"))
+    # pos counts all lines of a document, seq those that are not blank.
+    filled = F.filter(F.transform(_lines(F.col("t")), lambda x, i: F.struct(x.alias("x"), i.alias("pos"))), lambda s: s["x"].rlike("\\S"))
+    exploded = base.select("k", "h", F.posexplode(F.transform(filled, lambda s: F.struct(F.unhex(F.md5(s["x"])).alias("id"), s["pos"].alias("pos")))).alias("seq", "s")).select("k", "h", "seq", "s.pos", "s.id")
     lines = table(spark, exploded, "lines")
     if not lines.groupBy("k", "h", "seq").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # repeated rows
         lines = table(spark, lines.distinct(), "lines_once")
@@ -89,7 +84,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int
     place = F.struct(F.col("k"), F.col("h"), F.col("seq"))
     firsts = members.groupBy("rank", "rank_end").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = members.join(firsts, ["rank", "rank_end"]).where(~place.eqNullSafe(F.col("first"))).select("k", "h", F.explode(F.sequence(F.col("seq"), F.col("seq") + min_lines - 1)).alias("seq"))
-    gone = later.groupBy("k", "h").agg(F.collect_set("seq").alias("gone"))  # a document's own lines at most
+    at = lines.select(F.col("k").alias("lk"), F.col("h").alias("lh"), F.col("seq").alias("ls"), "pos")
+    placed = later.distinct().join(at, F.col("k").eqNullSafe(F.col("lk")) & (F.col("h") == F.col("lh")) & (F.col("seq") == F.col("ls")))
+    gone = placed.groupBy("k", "h").agg(F.collect_list("pos").alias("gone"))  # a document's own lines at most
     depth = None
     for k, r in enumerate(rounds[1:-1], 1):
         part = r.select("k", "h", F.lit(1 << k).cast("long").alias("longest"))
@@ -97,15 +94,16 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int
     found = gone if depth is None else depth.groupBy("k", "h").agg(F.max("longest").alias("longest")).join(gone.withColumnsRenamed({"k": "gk", "h": "gh"}), F.col("k").eqNullSafe(F.col("gk")) & (F.col("h") == F.col("gh")), "full").select(F.coalesce("k", "gk").alias("k"), F.coalesce("h", "gh").alias("h"), "longest", "gone")
     if depth is None:
         found = found.withColumn("longest", F.lit(None).cast("long"))
-    joined = df.withColumn("__h", h).join(found.withColumnsRenamed({"k": "__k", "h": "__g", "longest": "__longest", "gone": "__gone"}), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__g")), "left")
-    all_lines = _lines(F.col(text))
-    nth = F.transform("__gone", lambda s: F.element_at(_filled(all_lines), s + 1))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__nth")), lambda i: F.element_at(F.col("__lines"), i + 1)), "\n")
-    staged = joined.withColumns({"__lines": all_lines, "__nth": F.when(F.col("__gone").isNotNull(), nth)})
-    return staged.select(
-        *df.columns,
-        F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
+    # The lines are split below the join, once for each row; above it they are a column like any other.
+    split = df.select(*[F.col(f"`{c}`") for c in df.columns if c != text], F.when(F.col(text).isNotNull(), _lines(F.col(text))).alias("__lines"), h.alias("__h"))
+    joined = split.join(found.withColumnsRenamed({"k": "__k", "h": "__g", "longest": "__longest", "gone": "__gone"}), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__g")), "left")
+    rest = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    kept = F.array_join(F.transform(rest, lambda i: F.element_at(F.col("__lines"), i + 1)), "\n")
+    whole = F.array_join("__lines", "\n")
+    return joined.select(
+        *[whole.alias(text) if c == text else F.col(f"`{c}`") for c in df.columns],
+        F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("__longest", F.lit(0)).cast("long").alias("longest_run"),
-        F.when(F.col("__nth").isNull(), F.col(text)).otherwise(kept).alias("kept_text"),
+        F.when(F.col("__gone").isNull(), whole).otherwise(kept).alias("kept_text"),
     )
