@@ -8,6 +8,8 @@ same kind, and equal values become equal ones in every document, however they ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +33,30 @@ CANDIDATES = {
 ANY = "|".join(CANDIDATES.values())
 
 
+def let(f: Callable[..., Column], *values: Column) -> Column:
+    """f of the values, each worked out once: an expression that a lambda uses twice, or for each element, would run each time."""
+    bound = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.element_at(F.transform(F.array(bound), lambda s: f(*[s[f"v{i}"] for i in range(len(values))])), 1)
+
+
 def feistel(values: Column, radices: Column, key: str, tweak: str) -> Column:
     """Permute vectors of numbers, each below its radix. A bijection for every key, tweak and radices."""
-    half = (F.size(values) / 2).cast("int")
 
-    def one_round(v: Column, r: Column) -> Column:
-        first = r % 2 == 0
-        other = F.when(first, F.slice(v, half + 1, F.size(v) - half)).otherwise(F.slice(v, F.lit(1), half))
-        seed = F.concat_ws("|", F.lit(key), F.lit(tweak), r.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
-        return F.transform(v, lambda x, i: F.when((i < half) == first, ((x + F.conv(F.substring(F.sha2(F.concat_ws("|", seed, i.cast("string")), 256), 1, 12), 16, 10).cast("long")) % F.element_at(radices, i + 1)).cast("int")).otherwise(x))
+    def rounds(start: Column, radix: Column, half: Column) -> Column:
+        def one(v: Column, r: Column) -> Column:
+            first = r % 2 == 0
+            other = F.when(first, F.slice(v, half + 1, F.size(v) - half)).otherwise(F.slice(v, F.lit(1), half))
+            seed = F.concat_ws("|", F.lit(key), F.lit(tweak), r.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
+
+            def shifted(s: Column) -> Column:
+                draw = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", s, i.cast("string")), 256), 1, 12), 16, 10).cast("long")
+                return F.transform(v, lambda x, i: F.when((i < half) == first, ((x + draw(i)) % F.element_at(radix, i + 1)).cast("int")).otherwise(x))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, one_round)
+            return let(shifted, seed)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one)
+
+    return let(lambda v, r: let(lambda h: rounds(v, r, h), (F.size(v) / 2).cast("int")), values, radices)
 
 
 def _chars(s: Column) -> Column:
@@ -49,7 +64,7 @@ def _chars(s: Column) -> Column:
 
 
 def _digits(s: Column) -> Column:
-    return F.transform(_chars(F.regexp_replace(s, "[^0-9]", "")), lambda c: c.cast("int"))
+    return let(lambda d: F.transform(_chars(d), lambda c: c.cast("int")), F.regexp_replace(s, "[^0-9]", ""))
 
 
 def _tens(n: Column) -> Column:
@@ -58,8 +73,18 @@ def _tens(n: Column) -> Column:
 
 def _refill(form: Column, new: Column, kind: str = "[0-9]") -> Column:
     """Put the strings of `new`, in order, where the characters of `form` are of this kind; the last ones if there are fewer."""
-    skip = F.length(F.regexp_replace(form, f"(?!{kind}).", "")) - F.size(new)
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), lambda i: F.when(F.substring(form, i, F.lit(1)).rlike(kind) & (F.length(F.regexp_replace(F.substring(form, F.lit(1), i), f"(?!{kind}).", "")) > skip), F.element_at(new, F.greatest(F.lit(1), F.length(F.regexp_replace(F.substring(form, F.lit(1), i), f"(?!{kind}).", "")) - skip))).otherwise(F.substring(form, i, F.lit(1)))), "")
+
+    def fill(n: Column, skip: Column) -> Column:
+        start = F.struct(F.lit("").alias("out"), (1 - skip).alias("k"))
+
+        def step(s: Column, c: Column) -> Column:
+            hit = c.rlike(kind)
+            put = F.when(hit & (s["k"] > 0), F.element_at(n, F.greatest(s["k"], F.lit(1)))).otherwise(c)
+            return F.struct(F.concat(s["out"], put).alias("out"), (s["k"] + hit.cast("int")).alias("k"))
+
+        return F.aggregate(_chars(form), start, step)["out"]
+
+    return let(lambda n: let(lambda skip: fill(n, skip), F.length(F.regexp_replace(form, f"(?!{kind}).", "")) - F.size(n)), new)
 
 
 def _strings(v: Column) -> Column:
@@ -72,76 +97,98 @@ def _luhn(d: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda a, i: a + F.when((n - i) % 2 == 1, F.element_at(d, i) * 2 - F.when(F.element_at(d, i) > 4, 9).otherwise(0)).otherwise(F.element_at(d, i)))
 
 
-def card(m: Column, key: str) -> tuple[Column, Column]:
+def card(m: Column, key: str) -> Column:
     """Payment card numbers of 13 to 19 digits with a good check digit: the first digit stays, the check digit is made anew."""
-    d = _digits(m)
-    n = F.size(d)
-    new = F.concat(F.slice(d, 1, 1), feistel(F.slice(d, F.lit(2), n - 2), _tens(n - 2), key, "card"))
-    check = F.transform(F.array(new), lambda p: F.concat(p, F.array((10 - _luhn(F.concat(p, F.array(F.lit(0)))) % 10) % 10)))
-    return (_luhn(d) % 10 == 0) & (F.element_at(d, 1) > 0), _refill(m, _strings(F.element_at(check, 1)))
+
+    def made(d: Column) -> Column:
+        n = F.size(d)
+        new = F.concat(F.slice(d, 1, 1), feistel(F.slice(d, F.lit(2), n - 2), _tens(n - 2), key, "card"))
+        check = lambda p: F.concat(p, F.array((10 - _luhn(F.concat(p, F.array(F.lit(0)))) % 10) % 10))
+        return F.when((_luhn(d) % 10 == 0) & (F.element_at(d, 1) > 0), _refill(m, _strings(let(check, new))))
+
+    return let(made, _digits(m))
 
 
-def phone(m: Column, key: str) -> tuple[Column, Column]:
+def phone(m: Column, key: str) -> Column:
     """Ten-digit numbers; area and exchange start with 2 to 9. A country prefix stays."""
-    d = _digits(m)
-    last = F.slice(d, F.size(d) - 9, F.lit(10))
     low = F.array(*[F.lit(2 if i in (0, 3) else 0) for i in range(10)])
     radices = F.array(*[F.lit(8 if i in (0, 3) else 10) for i in range(10)])
-    new = feistel(F.zip_with(last, low, lambda a, b: a - b), radices, key, "phone")
-    return F.size(d).between(10, 11), _refill(m, _strings(F.zip_with(new, low, lambda a, b: a + b)))
 
+    def made(d: Column) -> Column:
+        new = feistel(F.zip_with(F.slice(d, F.size(d) - 9, F.lit(10)), low, lambda a, b: a - b), radices, key, "phone")
+        return F.when(F.size(d).between(10, 11), _refill(m, _strings(F.zip_with(new, low, lambda a, b: a + b))))
 
-def ip(m: Column, key: str) -> tuple[Column, Column]:
+    return let(made, _digits(m))
+
+
+def ip(m: Column, key: str) -> Column:
     """Addresses of four octets."""
-    v = F.transform(F.split(m, "\\."), lambda x: x.cast("int"))
-    return F.forall(v, lambda x: x < 256), F.array_join(_strings(feistel(v, F.array(*[F.lit(256)] * 4), key, "ip")), ".")
+    octets = F.transform(F.split(m, "\\."), lambda x: x.cast("int"))
+    return let(lambda v: F.when(F.forall(v, lambda x: x < 256), F.array_join(_strings(feistel(v, F.array(*[F.lit(256)] * 4), key, "ip")), ".")), octets)
 
 
-def ssn(m: Column, key: str) -> tuple[Column, Column]:
+def ssn(m: Column, key: str) -> Column:
     """Social security numbers: area 001 to 899 without 666, group 01 to 99, serial 0001 to 9999."""
-    v = F.transform(F.split(m, "-"), lambda x: x.cast("int"))
-    area, group, serial = (F.element_at(v, i) for i in (1, 2, 3))
-    good = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    new = feistel(F.array(area - F.when(area > 666, 2).otherwise(1), group - 1, serial - 1), F.array(F.lit(898), F.lit(99), F.lit(9999)), key, "ssn")
-    text = F.transform(F.array(new), lambda x: F.concat_ws("-", F.lpad((F.element_at(x, 1) + F.when(F.element_at(x, 1) >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((F.element_at(x, 2) + 1).cast("string"), 2, "0"), F.lpad((F.element_at(x, 3) + 1).cast("string"), 4, "0")))
-    return good, F.element_at(text, 1)
 
+    def text(x: Column) -> Column:
+        area, group, serial = (F.element_at(x, i) for i in (1, 2, 3))
+        return F.concat_ws("-", F.lpad((area + F.when(area >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((group + 1).cast("string"), 2, "0"), F.lpad((serial + 1).cast("string"), 4, "0"))
+
+    def made(v: Column) -> Column:
+        area, group, serial = (F.element_at(v, i) for i in (1, 2, 3))
+        good = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+        return F.when(good, let(text, feistel(F.array(area - F.when(area > 666, 2).otherwise(1), group - 1, serial - 1), F.array(F.lit(898), F.lit(99), F.lit(9999)), key, "ssn")))
+
+    return let(made, F.transform(F.split(m, "-"), lambda x: x.cast("int")))
 
-def date(m: Column, key: str) -> tuple[Column, Column]:
+
+def date(m: Column, key: str) -> Column:
     """Calendar dates of the years 1600 to 2399: year-month-day, day.month.year or month/day/year."""
     form = F.when(m.contains("-"), "y-M-d").when(m.contains("."), "d.M.y").otherwise("M/d/y")
     iso = F.when(m.contains("-"), m).when(m.contains("."), F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2)))
-    day = F.datediff(iso.try_cast("date"), F.lit(DATE_START).cast("date"))
-    a, b = DATE_RADICES
-    new = feistel(F.array((day / b).cast("int"), (day % b).cast("int")), F.array(F.lit(a), F.lit(b)), key, "date")
-    made = F.transform(F.array(new), lambda v: F.date_add(F.lit(DATE_START).cast("date"), F.element_at(v, 1) * b + F.element_at(v, 2)).cast("string"))
-    out = F.transform(made, lambda s: F.when(form == "y-M-d", s).when(form == "d.M.y", F.concat_ws(".", F.substring(s, 9, 2), F.substring(s, 6, 2), F.substring(s, 1, 4))).otherwise(F.concat_ws("/", F.substring(s, 6, 2), F.substring(s, 9, 2), F.substring(s, 1, 4))))
-    return day.between(0, a * b - 1), F.element_at(out, 1)
+    start, (a, b) = F.lit(DATE_START).cast("date"), DATE_RADICES
+
+    def text(s: Column) -> Column:
+        return F.when(form == "y-M-d", s).when(form == "d.M.y", F.concat_ws(".", F.substring(s, 9, 2), F.substring(s, 6, 2), F.substring(s, 1, 4))).otherwise(F.concat_ws("/", F.substring(s, 6, 2), F.substring(s, 9, 2), F.substring(s, 1, 4)))
+
+    def made(day: Column) -> Column:
+        new = feistel(F.array((day / b).cast("int"), (day % b).cast("int")), F.array(F.lit(a), F.lit(b)), key, "date")
+        return F.when(day.between(0, a * b - 1), let(text, let(lambda v: F.date_add(start, F.element_at(v, 1) * b + F.element_at(v, 2)).cast("string"), new)))
+
+    return let(made, F.datediff(iso.try_cast("date"), start))
 
 
 def _mod97(s: Column) -> Column:
     return F.aggregate(_chars(s), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
 
 
-def iban(m: Column, key: str) -> tuple[Column, Column]:
+def iban(m: Column, key: str) -> Column:
     """Account numbers with good check digits: country and letters stay, digits are permuted, check digits are made anew."""
+
+    def made(s: Column, country: Column, body: Column, d: Column) -> Column:
+        new = _refill(body, _strings(feistel(d, _tens(F.size(d)), key, "iban")))
+        whole = lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)
+        good = F.length(s).between(15, 34) & (F.size(d) > 1) & (_mod97(F.concat(body, F.substring(s, 1, 4))) == 1)
+        return F.when(good, let(lambda w: _refill(m, _chars(w), "[A-Z0-9]"), let(whole, new)))
+
     s = F.regexp_replace(m, " ", "")
-    country, body = F.substring(s, 1, 2), s.substr(F.lit(5), F.length(s))
-    d = _digits(body)
-    new = _refill(body, _strings(feistel(d, _tens(F.size(d)), key, "iban")))
-    whole = F.transform(F.array(new), lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
-    spaced = F.transform(whole, lambda w: _refill(m, _chars(w), "[A-Z0-9]"))
-    return (F.length(s).between(15, 34)) & (F.size(d) > 1) & (_mod97(F.concat(body, F.substring(s, 1, 4))) == 1), F.element_at(spaced, 1)
+    body = F.substring(s, F.lit(5), F.length(s))
+    return let(made, s, F.substring(s, 1, 2), body, _digits(body))
 
 
-def email(m: Column, key: str) -> tuple[Column, Column]:
+def email(m: Column, key: str) -> Column:
     """Addresses: letters and digits before the at sign are permuted in their classes and lower case; the rest stays."""
-    at = F.instr(m, "@")
-    local, host = F.lower(m.substr(F.lit(1), at - 1)), m.substr(at, F.length(m))
-    chars = F.filter(_chars(local), lambda c: c.rlike("[a-z0-9]"))
-    first = F.transform(chars, lambda c: F.when(c.rlike("[0-9]"), 48).otherwise(97))
-    new = feistel(F.zip_with(chars, first, lambda c, b: F.ascii(c) - b), F.transform(first, lambda b: F.when(b == 48, 10).otherwise(26)), key, "email")
-    return F.size(chars) > 0, F.concat(_refill(local, F.zip_with(new, first, lambda x, b: F.chr(x + b)), "[a-z0-9]"), host)
+
+    def made(local: Column, chars: Column, first: Column) -> Column:
+        new = feistel(F.zip_with(chars, first, lambda c, b: F.ascii(c) - b), F.transform(first, lambda b: F.when(b == 48, 10).otherwise(26)), key, "email")
+        filled = _refill(local, F.zip_with(new, first, lambda x, b: F.chr(x + b)), "[a-z0-9]")
+        return F.when(F.size(chars) > 0, F.concat(filled, F.lit("@"), F.substring_index(m, "@", -1)))
+
+    def parts(local: Column) -> Column:
+        chars = F.filter(_chars(local), lambda c: c.rlike("[a-z0-9]"))
+        return let(lambda c: let(made, local, c, F.transform(c, lambda x: F.when(x.rlike("[0-9]"), 48).otherwise(97))), chars)
+
+    return let(parts, F.lower(F.substring_index(m, "@", 1)))
 
 
 KINDS = {"email": email, "iban": iban, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "card": card}
@@ -151,10 +198,9 @@ def _pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match, as (kind, value); kind is null and the value unchanged if it is not valid."""
     kind = None
     for name, rule in KINDS.items():
-        good, new = rule(m, key)
-        # Each rule is only worked out for strings of its own form.
+        # A rule gives null for what is not valid, and is only worked out for strings of its own form.
         looks = m.rlike(f"^(?:{CANDIDATES[name]})$")
-        this = F.when(looks, F.when(good, F.struct(F.lit(name).alias("kind"), new.alias("value"))))
+        this = F.when(looks, let(lambda v, name=name: F.when(v.isNotNull(), F.struct(F.lit(name).alias("kind"), v.alias("value"))), rule(m, key)))
         kind = this if kind is None else F.coalesce(kind, this)
     return F.coalesce(kind, F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value")))
 
