@@ -119,7 +119,8 @@ def f_values(df: DataFrame, columns: list[str], target: str, task: str) -> dict[
             continue
         mean = sum(x * m for x, m, _ in g) / n
         within = sum(x * v for x, _, v in g)
-        out[c] = math.inf if within == 0 else sum(x * (m - mean) ** 2 for x, m, _ in g) / (k - 1) / (within / (n - k))
+        between = sum(x * (m - mean) ** 2 for x, m, _ in g)
+        out[c] = 0.0 if between == 0 else math.inf if within == 0 else between / (k - 1) / (within / (n - k))
     return out
 
 

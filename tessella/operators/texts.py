@@ -108,7 +108,7 @@ def vocabulary(df: DataFrame, column: str, most: int, stop: list[str] | None = N
     """The `most` most frequent terms of two or more word characters (ties: lowest first), in alphabetical order, with the
     number of rows that have each; and the number of rows."""
     terms = _terms(text(df, column), stop, ngrams)
-    per_row = df.select(F.monotonically_increasing_id().alias("r"), F.explode(terms).alias("t")).groupBy("r", "t").agg(F.count("*").alias("n"))
+    per_row = df.select(F.monotonically_increasing_id().alias("r"), terms.alias("ts")).select("r", F.explode("ts").alias("t")).groupBy("r", "t").agg(F.count("*").alias("n"))
     top = per_row.groupBy("t").agg(F.sum("n").alias("n"), F.count("*").alias("d")).orderBy(F.desc("n"), "t").limit(most).collect()
     return sorted((r.t, r.d) for r in top), df.count()
 

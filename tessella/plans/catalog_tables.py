@@ -458,14 +458,11 @@ def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("feature_search")
 def feature_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_shipdate", "l_extendedprice")
-    found = search.refine(*(lambda t: (search_wide(df, t), "l_extendedprice", search.search(df, "l_extendedprice", t, {"max_depth": 2, "min_gain": -1.0, "max_redundancy": 1.1})))(search.Tree(2).build(df, None, "l_extendedprice")))
-    return rows(spark, [(f["feature"], f["importance"]) for f in found], "feature string, importance double")
-
-
-def search_wide(df: DataFrame, tree: search.Tree) -> DataFrame:
-    for n in tree.level(1):
-        df = search.apply_chain(df, [n])
-    return df
+    tree = search.Tree(2).build(df, None, "l_extendedprice")
+    found = search.search(df, "l_extendedprice", tree, {"max_depth": 2, "min_gain": -1.0, "max_redundancy": 1.1, "max_per_level": 2})
+    for f in found:
+        df = search.apply_chain(df, tree.lineage(f["feature"]))
+    return rows(spark, [(f["feature"], f["importance"]) for f in search.refine(df, "l_extendedprice", found)], "feature string, importance double")
 
 
 @query("table_grade")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from importlib import import_module
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -60,15 +61,24 @@ def register(category: str, name: str | None = None) -> Callable:
     return add
 
 
+def _load() -> None:
+    """The package's own operators register when their modules are imported."""
+    for module in ("numeric", "categorical", "datetimes", "texts", "series", "interactions", "groups"):
+        import_module(f"tessella.operators.{module}")
+
+
 def names(category: str | None = None) -> list[str]:
+    _load()
     return [n for n, (c, _) in _ops.items() if category in (None, c)]
 
 
 def category_of(name: str) -> str:
+    _load()
     return _ops[name][0]
 
 
 def fit(df: DataFrame, op: str, *columns: str, **params: Any) -> Fitted:
+    _load()
     if op not in _ops:
         raise OperatorError(f"unknown operator {op!r}")
     for c in columns:

@@ -53,7 +53,7 @@ def load_jdbc(spark: SparkSession, url: str, table: str, partition_column: str |
 def save(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write CSV (with header), Parquet, JSON lines or ORC by the path's ending."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
-    writer = df.write.mode(mode)
+    writer = nan_to_null(df).write.mode(mode)
     if kind == "csv":
         writer.option("header", True).csv(path)
     elif kind in ("parquet", "orc", "json"):
