@@ -38,14 +38,37 @@ def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
     return path
 
 
+#: With it, Spark deletes the shuffle files of a statement when the statement ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a DataFrame as a Parquet table in the shared folder and return a DataFrame that reads it.
 
-    This cuts lineage as checkpoint() does: the rows survive lost executors, and no stage before it runs again.
+    This cuts lineage as checkpoint() does: the rows survive lost executors, and no stage before it runs again. The shuffle
+    files that the write needed go when it ends, for the table holds its rows.
     """
     schema, path = df.schema, scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    made = spark.read.schema(schema).parquet(path)
+    made._tessella_path = path  # type: ignore[attr-defined]
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by table() that nothing reads any more."""
+    _delete(df.sparkSession, df._tessella_path)  # type: ignore[attr-defined]
+    _made.remove(df._tessella_path)  # type: ignore[attr-defined]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def mark() -> int:
@@ -54,11 +77,8 @@ def mark() -> int:
 
 def sweep(spark: SparkSession, since: int, until: int | None = None) -> None:
     """Delete the scratch folders made between two mark() calls. The caller knows that nothing reads them again."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
     for path in _made[since:until]:
-        p = jvm.org.apache.hadoop.fs.Path(path).getParent()
-        p.getFileSystem(conf).delete(p, True)
+        _delete(spark, path)
 
 
 def ship(spark: SparkSession) -> None:

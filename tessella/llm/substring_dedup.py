@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import ship, table, without
+from tessella.llm.common import discard, ship, table, without
 
 #: Words parsed at once, unless one text has more.
-PARSE_WORDS = 400_000
+PARSE_WORDS = 120_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -145,7 +145,9 @@ def anchors(h: np.ndarray, sizes: np.ndarray, window: int, rounds: int, cap: int
         t = np.searchsorted(x.high, at + window, side="right") - 1
         good = np.flatnonzero(f <= t)
         f, t = f[good], t[good]
-        key = mix(x.name ^ M3)
+        # The longest, for long strings are seldom shared by chance; then by a hash of the name.
+        longest = np.uint64(255) - np.minimum(x.end - x.start, 255).astype(np.uint64)
+        key = longest << np.uint64(56) | mix(x.name ^ M3) >> np.uint64(8)
         best, arg = key[f] if len(f) else np.zeros(0, np.uint64), f.copy()
         more, step = np.flatnonzero(t > f), 1
         while len(more):
@@ -183,7 +185,7 @@ def _split(column: pa.Array) -> list[list[bytes]]:
 
 
 #: Rows sent to a worker's parser at once.
-ROWS = 512
+ROWS = 256
 OCCURRENCE = "array<struct<name:long,span:long,lo:int,hi:int>>"
 
 
@@ -244,6 +246,7 @@ def repeats(docs: DataFrame, window: int, rounds: int, cap: int) -> DataFrame:
     # Count anchors; sums go before the shuffle. The join with the repeated ones may be split where an anchor is hot.
     shared = occ.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     cand = table(spark, occ.join(shared, "name"), "candidates")
+    discard(parsed)
     groups = table(spark, cand.groupBy("name", "span").agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "lo", "hi")).alias("one")), "groups")
     whole = cand.join(groups.where("n > 1").select("name", "span"), ["name", "span"]).select("k", "h", "lo", "hi")
     mixed = groups.groupBy("name").agg(F.count("*").alias("g"), F.count_if(F.col("n") == 1).alias("singles")).where("g > 1 and singles > 0").select("name")
@@ -285,7 +288,7 @@ def _remove(rows: DataFrame, text: str, out: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, rounds: int = 5, cap: int = 24) -> DataFrame:
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, rounds: int = 6, cap: int = 24) -> DataFrame:
     """Add n_words, n_removed (longs) and kept_text: the text's words, runs of bytes other than ASCII white space, without
     those covered by a window of `window` words whose sequence also starts anywhere else, in any row; joined by a space.
 
