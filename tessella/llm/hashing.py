@@ -29,14 +29,14 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, y) of at most `most` labelled documents, chosen by a hash of the key.
+    """(key, text, y) of at most `most` labelled documents, half of each class where there are as many, chosen by a hash of the key.
 
     A key with several labels gets their rounded mean; null labels and keys do not count. The chosen keys are at most
     `most` rows, so they are broadcast. A key with several documents gives a row for each.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    # Keys that have a document, so that labels without one take no place.
-    ids = ids.orderBy(F.xxhash64(F.col(key)), key).limit(most)
+    half = [ids.where(F.col("y") == y).orderBy(F.xxhash64(F.col(key)), key).limit(most // 2) for y in (0, 1)]
+    ids = half[0].unionByName(half[1])
     return docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(ids.select(key, "y")), key)
 
 

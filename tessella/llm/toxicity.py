@@ -24,6 +24,8 @@ WIDTH = 20
 SAMPLE_ROWS = 6000
 #: A feature counts if so many documents of the sample have it.
 LEAST_DOCS = 4
+#: Lengths of the words' beginnings that count, in bytes.
+STEMS = (4, 5)
 SENTENCE = re.compile(rb"[^.!?\n]+[.!?]*")
 
 
@@ -33,18 +35,31 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Feature indices, distinct within a sentence, and the sentence that each belongs to."""
-    index, owner = [], []
-    for i, (a, b) in enumerate(sentences(text)):
-        h = token_hashes(TOKENS.findall(text[a:b].lower()))
-        x = np.unique((np.concatenate([h, pair_hashes(h)]) >> np.uint64(64 - WIDTH)).astype(np.int64))
-        index.append(x)
-        owner.append(np.full(len(x), i))
-    return (np.concatenate(index), np.concatenate(owner)) if index else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """Feature indices, distinct within a sentence and in sentence order, and how many each sentence has.
 
-
-def _sums(w: np.ndarray, bias: float, x: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    return np.bincount(owner, w[x]) + bias if len(x) else np.zeros(0)
+    A sentence's features are its words in lower case, their first four and first five bytes (so that other endings of a
+    stem count), and pairs of neighbouring words, hashed.
+    """
+    words, sizes = [], []
+    for a, b in sentences(text):
+        found = TOKENS.findall(text[a:b].lower())
+        words += found
+        sizes.append(len(found))
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    h = token_hashes(words)
+    starts = [token_hashes([w[:n] for w in words]) * np.uint64(2 * n + 1) for n in STEMS]
+    inside = owner[1:] == owner[:-1]
+    hashed = np.concatenate([h, *starts, pair_hashes(h)[inside]])
+    of = np.concatenate([owner] * (1 + len(STEMS)) + [owner[1:][inside]])
+    both = np.unique(of << WIDTH | (hashed >> np.uint64(64 - WIDTH)).astype(np.int64))
+    return both & ((1 << WIDTH) - 1), np.bincount(both >> WIDTH, minlength=len(sizes))
+
+
+def _sums(w: np.ndarray, bias: float, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of each sentence."""
+    return np.bincount(np.repeat(np.arange(len(counts)), counts), w[x], minlength=len(counts)) + bias if len(counts) else np.zeros(0)
 
 
 def noisy_or(s: np.ndarray) -> float:
@@ -54,7 +69,7 @@ def noisy_or(s: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = SAMPLE_ROWS, epochs: int = 12, rate: float = 0.3, seed: int = 7) -> np.ndarray:
     """Weights learned from at most `most` labelled documents; the last one is the bias. Without any, every score is near 0."""
-    rows = [(y, x.astype(np.int64), v.astype(np.int64)) for y, x, v in collect_features(sample(docs, labels, label, most, key, text), features, key)]
+    rows = [(y, x, np.repeat(np.arange(len(v), dtype=np.int32), v.astype(np.int64))) for y, x, v in collect_features(sample(docs, labels, label, most, key, text), features, key)]
     df = np.zeros(1 << WIDTH, np.int32)
     for _, x, _ in rows:
         df[np.unique(x)] += 1
