@@ -9,6 +9,7 @@ ranges are merged into removal spans.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from tessella.llm.common import ship, table, without
 
 #: Words of a shard at most, unless one text has more.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_000_000
 #: Every such position of a shard keeps its suffix position.
 SAMPLE = 8
 #: Bytes of phrase texts that one pass broadcasts at most; more phrases take more passes.
@@ -188,15 +189,20 @@ class Phrases:
         self.owner_at = np.concatenate([[0], np.cumsum([len(v) for v in self.owners])]).astype(np.int64)
 
 
-def shard_hits(docs: list[list[bytes]], p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the documents of a shard: (start, end) of hit words in the shard's words, merged, and the (document, item) pairs
+def symbols(text: bytes | None, p: Phrases) -> np.ndarray:
+    """A text's words as the phrases' symbols, 0 for other words."""
+    ws = words(text)
+    return np.fromiter(map(p.symbols.get, ws, repeat(0)), np.int32, len(ws))
+
+
+def shard_hits(docs: list[np.ndarray], p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the documents of a shard, as symbols: (start, end) of hit words in the shard's words, merged, and the (document, item) pairs
     with an occurrence, as document * number of items + item."""
     none = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
     sizes = np.array([len(d) for d in docs], np.int64)
     total = int(sizes.sum())
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    get = p.symbols.get
-    flat = np.fromiter((get(w, 0) for d in docs for w in d), np.int64, total)
+    flat = np.concatenate(docs) if docs else np.zeros(0, np.int32)
     # A separator after each document; runs of separators count as one.
     ends = np.zeros(total + 1, bool)
     ends[bounds[1:]] = True
@@ -275,7 +281,7 @@ def _find(docs: DataFrame, items: list[tuple[str, list[bytes]]], text: str, widt
     at = docs.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(Phrases(items, width))
 
-    def flush(held: list[pa.RecordBatch], parsed: list[list[bytes]], p: Phrases) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[pa.RecordBatch], parsed: list[np.ndarray], p: Phrases) -> Iterator[pa.RecordBatch]:
         start, end, pairs = shard_hits(parsed, p)
         bounds = np.concatenate([[0], np.cumsum([len(d) for d in parsed])]).astype(np.int64)
         doc_of = np.searchsorted(bounds, start, side="right") - 1
@@ -307,12 +313,12 @@ def _find(docs: DataFrame, items: list[tuple[str, list[bytes]]], text: str, widt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
         held: list[pa.RecordBatch] = []
-        parsed: list[list[bytes]] = []
+        parsed: list[np.ndarray] = []
         count = 0
         for whole in batches:
             for i in range(0, whole.num_rows, 200):
                 b = whole.slice(i, 200)
-                ws = [words(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
+                ws = [symbols(t, p) for t in b.column(at).cast(pa.binary()).to_pylist()]
                 n = sum(map(len, ws))
                 if held and count + n > SHARD_WORDS:
                     yield from flush(held, parsed, p)

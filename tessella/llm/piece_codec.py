@@ -22,7 +22,7 @@ from tessella.llm.common import ship, without
 
 SPACE = "▁"
 #: Chunks kept by a worker; beyond this the memory of chunks starts anew.
-CACHE_CHUNKS = 1_200_000
+CACHE_CHUNKS = 500_000
 #: Longer chunks are not kept.
 CACHE_CHARS = 64
 
