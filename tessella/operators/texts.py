@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,8 +120,12 @@ def _terms(t: Column, stop: list[str] | None, ngrams: int) -> Column:
     words = F.regexp_extract_all(F.lower(t), F.lit("(?U)\\b\\w\\w+\\b"), F.lit(0))
     if stop:
         words = F.filter(words, lambda w: ~w.isin(stop))
+    return words if ngrams == 1 else _let(words, lambda found: _ngrams(found, ngrams))
+
+
+def _ngrams(words: Column, most: int) -> Column:
     out = words
-    for n in range(2, ngrams + 1):
+    for n in range(2, most + 1):
         places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
         out = F.concat(out, _joined(words, places, n))
     return out
@@ -128,31 +135,45 @@ def _joined(words: Column, places: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
 
-def _times(terms: Column, term: str) -> Column:
-    return F.size(F.filter(terms, lambda w: w == F.lit(term)))
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once: within a lambda an outer expression would run for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def tfidf_columns(df: DataFrame, column: str, most: int = 10, stop: list[str] | None = None, ngrams: int = 1, vocab: tuple | None = None) -> dict[str, Column]:
-    """A TF-IDF column for each term: count times ln((1 + rows) / (1 + rows with it)) + 1, at length one."""
-    import math
+def term_counts(t: Column, terms: list[str], stop: list[str] | None = None, ngrams: int = 1) -> Column:
+    """How often each of the terms is in a text, as an array."""
+    if not terms:
+        return F.array().cast("array<int>")
+    wanted = F.array(*[F.lit(x) for x in terms])
+    return _let(_terms(t, stop, ngrams), lambda found: F.transform(wanted, lambda x: F.size(F.filter(found, lambda w: w == x))))
 
-    found, n = vocab or vocabulary(df, column, most, stop, ngrams)
-    terms = _terms(text(df, column), stop, ngrams)
-    raw = {t: _times(terms, t) * F.lit(math.log((1 + n) / (1 + d)) + 1) for t, d in found}
-    norm = F.sqrt(sum((c * c for c in raw.values()), F.lit(0.0)))
-    return {t: F.coalesce(F.try_divide(c, norm), F.lit(0.0)) for t, c in raw.items()}
 
+def tfidf_array(t: Column, vocab: tuple[list[tuple[str, int]], int], stop: list[str] | None = None, ngrams: int = 1) -> Column:
+    """Count times ln((1 + rows) / (1 + rows with the term)) + 1 for each term, at length one, as an array."""
+    found, n = vocab
+    idf = F.array(*[F.lit(math.log((1 + n) / (1 + d)) + 1) for _, d in found]) if found else F.array().cast("array<double>")
+    raw = F.zip_with(term_counts(t, [x for x, _ in found], stop, ngrams), idf, lambda c, i: c * i)
+    zero = F.lit(0.0)
+    return _let(raw, lambda r: _let(F.sqrt(F.aggregate(r, zero, lambda a, x: a + x * x)), lambda size: F.transform(r, lambda x: F.coalesce(F.try_divide(x, size), zero))))
 
-def count_columns(df: DataFrame, column: str, most: int = 100, stop: list[str] | None = None, ngrams: int = 1) -> dict[str, Column]:
-    """A count column for each of the most frequent terms."""
-    terms = _terms(text(df, column), stop, ngrams)
-    return {t: _times(terms, t) for t, _ in vocabulary(df, column, most, stop, ngrams)[0]}
+
+def tfidf_columns(df: DataFrame, column: str, most: int = 10, stop: list[str] | None = None, ngrams: int = 1) -> tuple[DataFrame, list[str]]:
+    """Add a column term_0, term_1, ... for each of the most frequent terms, with its TF-IDF; and the terms."""
+    vocab = vocabulary(df, column, most, stop, ngrams)
+    wide = df.withColumn("__terms", tfidf_array(text(df, column), vocab, stop, ngrams))
+    return wide.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__terms")[i].alias(f"term_{i}") for i in range(len(vocab[0]))]), [t for t, _ in vocab[0]]
+
+
+def count_columns(df: DataFrame, column: str, most: int = 100, stop: list[str] | None = None, ngrams: int = 1) -> tuple[DataFrame, list[str]]:
+    """Add a column term_0, term_1, ... for each of the most frequent terms, with its count; and the terms."""
+    terms = [t for t, _ in vocabulary(df, column, most, stop, ngrams)[0]]
+    wide = df.withColumn("__terms", term_counts(text(df, column), terms, stop, ngrams))
+    return wide.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__terms")[i].alias(f"term_{i}") for i in range(len(terms))]), terms
 
 
 @register("text")
 def tfidf(df: DataFrame, column: str, out: str | None = None, max_features: int = 10) -> Fitted:
     """The TF-IDF of the alphabetically first of the most frequent terms; tfidf_columns() has all."""
-    vocab = vocabulary(df, column, max_features)
-    columns = tfidf_columns(df, column, max_features, vocab=vocab)
-    first = next(iter(columns.values()), F.lit(0.0))
+    vocab, t = vocabulary(df, column, max_features), text(df, column)
+    first = tfidf_array(t, vocab)[0] if vocab[0] else F.lit(0.0)
     return Fitted("tfidf", [column], out or f"tfidf({column})", lambda: first, {"vocabulary": vocab[0], "rows": vocab[1]})

@@ -7,9 +7,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import balance, clean, evaluate, groups, learn, profile
+from tessella.operators import balance, clean, evaluate, groups, learn, profile, texts
 from tessella.plans import explorer, handlers, preprocessor, search
-from tessella.plans.catalog import query, read, real, source, source_sql, whole
+from tessella.plans.catalog import ORACLES, query, read, real, source, source_sql, whole
 from tessella.streaming import features
 
 EVENTS_N = source_sql("events")
@@ -484,3 +484,59 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "events").withColumn("ts", F.to_timestamp_ltz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS'Z'")))
     return features.sessions(df, "ts", ["user_id"], "6 hours").select("user_id", F.unix_micros("start").alias("start"), "n")
+
+
+# Terms, and the slower model checks
+
+_TERMS = "with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]{2,}')) as w from documents), c as (select doc_id, w, count(*) as n from t group by 1, 2), v as (select w, sum(n) as n, count(*) as d from c group by w order by sum(n) desc, w limit {})"
+
+ORACLES["tfidf"] = _TERMS.replace("{}", "10") + ", f as (select doc_id, w, c.n * (ln((1 + (select count(*) from documents)) / (1 + d)) + 1) as x from c join v using (w)), s as (select doc_id, sqrt(sum(x * x)) as l from f group by 1), a as (select doc_id, x from f where w = (select min(w) from v)) select doc_id, round(coalesce(x / l, 0)::double, 6) + 0.0 as value from documents left join s using (doc_id) left join a using (doc_id)"
+
+
+@query("count_vectorize", _TERMS.replace("{}", "5") + " select doc_id, w as term, c.n as n from c join v using (w)")
+def count_vectorize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, terms = texts.count_columns(read(spark, sf_dir, "documents"), "text", 5)
+    pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"term_{i}").cast("bigint").alias("n")) for i, t in enumerate(terms)])
+    return done.select("doc_id", F.inline(pairs)).where("n > 0")
+
+
+@query("tfidf_bigrams")
+def tfidf_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, terms = texts.tfidf_columns(read(spark, sf_dir, "documents"), "text", 5, texts.STOP_WORDS, 2)
+    return done.select("doc_id", *[real(f"term_{i}").alias(f"term_{i}") for i in range(len(terms))])
+
+
+@query("permutation_importance")
+def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _toxic(spark, sf_dir)
+    model = learn.forest("classification", 10).fit(learn.vectors(df, ["chars", "words"], "toxic"))
+    found = learn.permutation_importance(model, df, ["chars", "words"], "toxic", "classification", ["doc_id"], 2)
+    return rows(spark, list(found.items()), "feature string, importance double")
+
+
+@query("partial_dependence")
+def partial_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _toxic(spark, sf_dir)
+    model = learn.forest("regression", 10).fit(learn.vectors(df, ["chars", "words"], "toxic"))
+    return rows(spark, learn.partial_dependence(model, df, ["chars", "words"], "words", 10), "point double, prediction double")
+
+
+@query("learning_curve")
+def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = learn.learning_curve(_toxic(spark, sf_dir), ["chars", "words"], "toxic", "classification", ["doc_id"], (0.5, 1.0))
+    return rows(spark, [(p["share"], p["train"], p["test"]) for p in c["points"]], "share double, train double, test double")
+
+
+@query("beam_search")
+def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = explorer.beam_search(_toxic(spark, sf_dir), "toxic", ["doc_id"], "classification", {"plain": {}, "robust": {"scale": "robust"}}, depth=1)
+    return rows(spark, [(s.name, s.score) for s in found], "name string, score double")
+
+
+@query("lost_classes", "select 'F' as status union all select 'P'")
+def lost_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes that a filter lost are brought back."""
+    df = prepare_classification(spark, sf_dir)
+    kept = df.where("status = 1")
+    lost = explorer.lost_classes(df, kept, "status")
+    return rows(spark, [("FOP"[int(c)],) for c in lost], "status string")

@@ -98,9 +98,9 @@ def test_fitted_statistics_are_kept(spark):
 
 def test_tfidf_by_hand(spark):
     df = spark.createDataFrame([(1, "red red blue"), (2, "blue green"), (3, "")], "i int, t string")
-    cols = texts.tfidf_columns(df, "t", 2)
-    out = df.select("i", *[c.alias(n) for n, c in cols.items()]).orderBy("i").toPandas()
-    assert list(out.columns) == ["i", "blue", "red"]
+    out, terms = texts.tfidf_columns(df, "t", 2)
+    assert terms == ["blue", "red"] and texts.count_columns(df, "t", 2)[0].orderBy("i").first().term_1 == 2
+    out = out.select("i", F.col("term_0").alias("blue"), F.col("term_1").alias("red")).orderBy("i").toPandas()
     b, r = math.log(4 / 3) + 1, 2 * (math.log(4 / 2) + 1)
     assert math.isclose(out.blue[0], b / math.hypot(b, r)) and out.red[1] == 0 and out.blue[2] == 0
 
