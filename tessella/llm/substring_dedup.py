@@ -243,13 +243,17 @@ def repeats(docs: DataFrame, window: int, rounds: int, cap: int) -> DataFrame:
     spark = docs.sparkSession
     parsed = table(spark, _parse(docs, window, rounds, cap), "anchors")
     occ = parsed.select("k", "h", F.explode("occ").alias("o")).select("k", "h", "o.*")
-    # Count anchors; sums go before the shuffle. The join with the repeated ones may be split where an anchor is hot.
-    shared = occ.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # Count anchors; sums go before the shuffle. Counts are tables before rows are joined to them: with nothing else between
+    # a shuffle and a join, the planner can split the join where a key is hot.
+    shared = table(spark, occ.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "shared")
     cand = table(spark, occ.join(shared, "name"), "candidates")
     discard(parsed)
+    discard(shared)
     groups = table(spark, cand.groupBy("name", "span").agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "lo", "hi")).alias("one")), "groups")
-    whole = cand.join(groups.where("n > 1").select("name", "span"), ["name", "span"]).select("k", "h", "lo", "hi")
+    repeated = table(spark, groups.where("n > 1").select("name", "span"), "repeated")
+    whole = cand.join(repeated, ["name", "span"]).select("k", "h", "lo", "hi")
     mixed = groups.groupBy("name").agg(F.count("*").alias("g"), F.count_if(F.col("n") == 1).alias("singles")).where("g > 1 and singles > 0").select("name")
+    mixed = table(spark, mixed, "mixed")
     edge = groups.join(mixed, "name").select("one.*", F.least("n", F.lit(2)).cast("int").alias("weight"))
     todo = edge.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi", "weight")).alias("todo"))
     d = docs.select("k", "h", "text").alias("d")
@@ -257,7 +261,7 @@ def repeats(docs: DataFrame, window: int, rounds: int, cap: int) -> DataFrame:
     with_text = d.join(t, F.col("d.k").eqNullSafe(F.col("t.k")) & (F.col("d.h") == F.col("t.h"))).select("d.k", "d.h", "d.text", "t.todo")
     # A row that is there twice has groups of two at least: its windows come twice, with the weight of a group.
     wins = table(spark, _windows(with_text, window), "windows")
-    twice = wins.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
+    twice = table(spark, wins.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2"), "twice")
     fine = wins.where("weight = 1").join(twice, ["w1", "w2"]).select("k", "h", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
     # A document's spans are as many as its windows at most.
     return whole.unionByName(fine).groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
