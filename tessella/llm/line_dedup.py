@@ -82,7 +82,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int
     rounds = suffix_rounds(lines)
     members = intervals(rounds, min_lines)
     place = F.struct(F.col("k"), F.col("h"), F.col("seq"))
-    firsts = members.groupBy("rank", "rank_end").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # A table, so that the planner can split the join where an interval is hot.
+    firsts = table(spark, members.groupBy("rank", "rank_end").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
     later = members.join(firsts, ["rank", "rank_end"]).where(~place.eqNullSafe(F.col("first"))).select("k", "h", F.explode(F.sequence(F.col("seq"), F.col("seq") + min_lines - 1)).alias("seq"))
     at = lines.select(F.col("k").alias("lk"), F.col("h").alias("lh"), F.col("seq").alias("ls"), "pos")
     placed = later.distinct().join(at, F.col("k").eqNullSafe(F.col("lk")) & (F.col("h") == F.col("lh")) & (F.col("seq") == F.col("ls")))
