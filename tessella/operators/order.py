@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from math import ceil, floor
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +24,7 @@ def _bucketed(counts: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int]],
     """The counts with their bucket, and for each bucket the rows and distinct values before it; the number of rows."""
     cuts = sorted(r.v for r in counts.orderBy(F.xxhash64("v"), "v").limit(CUTS).select("v").collect())
     kind = counts.schema["v"].dataType
-    if cuts:
-        bounds = F.array(*[F.lit(c).cast(kind) for c in cuts])
-        counts = counts.withColumn("b", F.size(F.filter(bounds, lambda c: c <= F.col("v"))))
-    else:
-        counts = counts.withColumn("b", F.lit(0))
+    counts = counts.withColumn("b", _place([F.lit(c).cast(kind) for c in cuts], 0, len(cuts)))
     before, rows, values = {}, 0, 0
     for r in counts.groupBy("b").agg(F.sum("n").alias("n"), F.count("*").alias("d")).orderBy("b").collect():
         before[r.b] = (rows, values)
@@ -35,6 +32,14 @@ def _bucketed(counts: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int]],
     return counts, before, rows
 
 
+def _place(cuts: list[Column], low: int, high: int) -> Column:
+    """How many of the sorted cuts are at or below the value: a tree of comparisons, of which a value meets a few."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(F.col("v") < cuts[mid], _place(cuts, low, mid)).otherwise(_place(cuts, mid + 1, high))
+
+
 def _offset(before: dict[int, tuple[int, int]], which: int) -> Column:
     if not before:
         return F.lit(0).cast("long")
@@ -56,7 +61,15 @@ def ranks(df: DataFrame, value: Column) -> tuple[DataFrame, int]:
 
 def order_statistics(df: DataFrame, value: Column, places) -> list:
     """The values at places 0, 1, ... of the sorted non-null values. places: a list, or a function of the number of rows."""
-    counts, before, total = _bucketed(_counts(df, value))
+    base = _counts(df, value).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _order_statistics(base, places)
+    finally:
+        base.unpersist()
+
+
+def _order_statistics(base: DataFrame, places) -> list:
+    counts, before, total = _bucketed(base)
     wanted = places(total) if callable(places) else list(places)
     if not total:
         return [None] * len(wanted)
