@@ -35,8 +35,8 @@ def base32_sha1(data: Column) -> Column:
 def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, archive: Archive | None = None) -> Archive:
     """Write a record per row. Of rows with equal payloads of min_bytes or more, that with the largest key is a response, the rest revisit it.
 
-    A null payload counts as empty, a null url as "urn:none". Rows of the same key are records of their own; of several
-    rows with equal payloads and the same largest key, one has the payload and the rest are responses too. Other columns
+    A null payload counts as empty, a null url as "urn:none". Rows of the same key are records of their own; several
+    rows with equal payloads and the same largest key are all responses. Other columns
     are not stored. An empty table gives an empty archive.
     """
     spark = pages.sparkSession
