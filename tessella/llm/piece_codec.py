@@ -22,7 +22,9 @@ from tessella.llm.common import ship, without
 
 SPACE = "▁"
 #: Chunks kept by a worker; beyond this the memory of chunks starts anew.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 800_000
+#: Chunks of so many characters at most take the simple agenda.
+SHORT = 24
 #: Longer chunks are not kept.
 CACHE_CHARS = 64
 
@@ -69,6 +71,8 @@ class PieceCodec:
             return [one]
         sym: list = list(text)
         n = len(sym)
+        if n <= SHORT:
+            return self.spell(self.short_agenda(sym))
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         score = self.scores.get
         heap = []
@@ -98,10 +102,27 @@ class PieceCodec:
                 new = sym[h] + pair
                 if (s := score(new)) is not None:
                     push(heap, (-s, h, new))
+        return self.spell([x for x in sym if x is not None])
+
+    def short_agenda(self, sym: list[str]) -> list[str]:
+        """The merged symbols of a short chunk: its agenda is a list, whose best entry is found by looking at all."""
+        score, none = self.scores.get, float("-inf")
+        agenda = [score(a + b, none) for a, b in zip(sym, sym[1:])]
+        while agenda and (best := max(agenda)) != none:
+            i = agenda.index(best)  # ties: leftmost first
+            sym[i] += sym.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = score(sym[i] + sym[i + 1], none)
+            if i:
+                agenda[i - 1] = score(sym[i - 1] + sym[i], none)
+        return sym
+
+    def spell(self, sym: list[str]) -> list[int]:
+        """The symbols' ids; those without a piece as bytes, or as the unknown piece."""
+        ids = self.ids
         out: list[int] = []
         for x in sym:
-            if x is None:
-                continue
             if (one := ids.get(x)) is not None:
                 out.append(one)
             elif self.bytes:
