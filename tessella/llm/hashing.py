@@ -51,4 +51,5 @@ def collect_features(rows: DataFrame, features: Callable[[bytes], tuple[np.ndarr
 
     made = rows.select(F.xxhash64(key).alias("k"), F.col("y"), "text").mapInArrow(run, "k long, y int, x binary, v binary").collect()
     made.sort(key=lambda r: (r.k, r.x, r.v, r.y))
+    # The rows' bytes stay under the arrays; nothing is copied.
     return [(r.y, np.frombuffer(r.x, np.int32), np.frombuffer(r.v, np.float32)) for r in made]

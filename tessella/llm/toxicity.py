@@ -69,7 +69,7 @@ def noisy_or(s: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = SAMPLE_ROWS, epochs: int = 12, rate: float = 0.3, seed: int = 7) -> np.ndarray:
     """Weights learned from at most `most` labelled documents; the last one is the bias. Without any, every score is near 0."""
-    rows = [(y, x, np.repeat(np.arange(len(v), dtype=np.int32), v.astype(np.int64))) for y, x, v in collect_features(sample(docs, labels, label, most, key, text), features, key)]
+    rows = [(y, x, v.astype(np.int32)) for y, x, v in collect_features(sample(docs, labels, label, most, key, text), features, key)]
     df = np.zeros(1 << WIDTH, np.int32)
     for _, x, _ in rows:
         df[np.unique(x)] += 1
@@ -78,9 +78,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(rows)).tolist():
-            y, x, owner = rows[i]
+            y, x, counts = rows[i]
             if not len(x):
                 continue
+            owner = np.repeat(np.arange(len(counts)), counts)
             s = np.bincount(owner, w[x] * kept[x]) + bias
             p = 1 / (1 + np.exp(-np.clip(s, -60, 60)))
             whole = min(max(noisy_or(s), 1e-9), 1.0)
