@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tessella.llm.common import ship, table, without
 
 #: Words of a shard at most, unless one text has more.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 700_000
 #: Every such position of a shard keeps its suffix position.
 SAMPLE = 8
 #: Bytes of phrase texts that one pass broadcasts at most; more phrases take more passes.

@@ -22,7 +22,7 @@ from tessella.llm.common import ship, without
 
 SPACE = "▁"
 #: Chunks kept by a worker; beyond this the memory of chunks starts anew.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 400_000
 #: Chunks of so many characters at most take the simple agenda.
 SHORT = 24
 #: Longer chunks are not kept.
