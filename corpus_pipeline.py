@@ -13,6 +13,9 @@ from tessella.llm.common import fold, mark, read, scratch, sweep
 #: SQL cannot train the first stage's classifier or run the last stage's tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
+#: A repeated line of so many words goes even where its neighbours differ.
+PASSAGE_WORDS = 50
+
 _began = [0]
 
 
@@ -32,9 +35,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go; every document stays, with the lines it keeps and their length."""
+    """Later copies of repeated runs of lines and of repeated one-line passages go; every document stays, with the lines it keeps and their length."""
     _next_stage(spark)
-    done = line_dedup.dedup(docs)
+    done = line_dedup.dedup(docs, passage_words=PASSAGE_WORDS)
     changed = F.col("n_removed") > 0
     new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
     return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

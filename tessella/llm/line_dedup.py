@@ -57,34 +57,44 @@ def intervals(rounds: list[DataFrame], min_lines: int) -> DataFrame:
     return got.withColumn("rank_end", end).where("rank_end is not null").select("k", "h", "seq", "rank", "rank_end")
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2) -> DataFrame:
-    """Delete later copies of repeated runs of `min_lines` lines or more. Adds n_lines, n_removed, longest_run (longs) and kept_text.
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2, passage_words: int | None = None) -> DataFrame:
+    """Delete later copies of repeated runs of `min_lines` lines or more; with `passage_words`, also those of repeated single lines
+    of so many words or more, whatever their neighbours. Adds n_lines, n_removed, longest_run (longs) and kept_text.
 
     Lines end at line feeds. Blank lines (white space only) are not part of runs, which go on across them, and they stay.
     The first copy is that of the smallest key, then of the earliest line; nulls come first. A line goes if a run of
-    min_lines lines that covers it starts at a place that is not the run's first. Rows alike in key and text count as one
+    min_lines lines (or a passage) that covers it starts at a place that is not the run's first. Rows alike in key and text count as one
     document and are treated alike. longest_run is the largest power of two such that some run of so many lines, from 2
     up, that starts in the document also starts elsewhere, else 0. kept_text joins what is left; null texts stay null, and
     a text all of whose lines go is "". Columns with the new names are replaced. An empty table gives an empty result.
     """
     if min_lines < 1:
         raise ValueError("min_lines must be positive")
+    if passage_words is not None and passage_words < 1:
+        raise ValueError("passage_words must be positive")
     df = without(df, "n_lines", "n_removed", "longest_run", "kept_text")
     spark = df.sparkSession
     h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     base = df.select(F.col(key).alias("k"), h.alias("h"), F.col(text).alias("t"))
     # pos counts all lines of a document, seq those that are not blank.
     filled = F.filter(F.transform(_lines(F.col("t")), lambda x, i: F.struct(x.alias("x"), i.alias("pos"))), lambda s: s["x"].rlike("\\S"))
-    exploded = base.select("k", "h", F.posexplode(F.transform(filled, lambda s: F.struct(F.unhex(F.md5(s["x"])).alias("id"), s["pos"].alias("pos")))).alias("seq", "s")).select("k", "h", "seq", "s.pos", "s.id")
+    singles = passage_words is not None and min_lines > 1
+    # A line of n words or more has a word and n - 1 times white space with a word after it.
+    fields = lambda s: [F.unhex(F.md5(s["x"])).alias("id"), s["pos"].alias("pos")] + ([s["x"].rlike(rf"^\s*+\S++(?:\s++\S++){{{passage_words - 1}}}").alias("passage")] if singles else [])
+    exploded = base.select("k", "h", F.posexplode(F.transform(filled, lambda s: F.struct(*fields(s)))).alias("seq", "s")).select("k", "h", "seq", "s.*")
     lines = table(spark, exploded, "lines")
     if not lines.groupBy("k", "h", "seq").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # repeated rows
         lines = table(spark, lines.distinct(), "lines_once")
-    rounds = suffix_rounds(lines)
+    rounds = suffix_rounds(lines.select("k", "h", "seq", "id"))
     members = intervals(rounds, min_lines)
     place = F.struct(F.col("k"), F.col("h"), F.col("seq"))
     # A table, so that the planner can split the join where an interval is hot.
     firsts = table(spark, members.groupBy("rank", "rank_end").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
     later = members.join(firsts, ["rank", "rank_end"]).where(~place.eqNullSafe(F.col("first"))).select("k", "h", F.explode(F.sequence(F.col("seq"), F.col("seq") + min_lines - 1)).alias("seq"))
+    if singles:
+        passages = lines.where("passage").select("k", "h", "seq", "id")
+        begun = table(spark, passages.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "passages")
+        later = later.unionByName(passages.join(begun, "id").where(~place.eqNullSafe(F.col("first"))).select("k", "h", "seq"))
     at = lines.select(F.col("k").alias("lk"), F.col("h").alias("lh"), F.col("seq").alias("ls"), "pos")
     placed = later.distinct().join(at, F.col("k").eqNullSafe(F.col("lk")) & (F.col("h") == F.col("lh")) & (F.col("seq") == F.col("ls")))
     gone = placed.groupBy("k", "h").agg(F.collect_list("pos").alias("gone"))  # a document's own lines at most

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessella.llm import components, decontaminate, line_dedup, media, pii, piece_codec, quality, simhash, substring_dedup, toxicity, warc
 
 LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(30_000))
@@ -226,6 +227,23 @@ def test_line_dedup(odd, none):
     assert [r.n_removed for r in out if r.doc_id == 3] == [0, 0] and line_dedup.dedup(none).count() == 0
 
 
+def test_line_dedup_of_one_line_passages(spark):
+    """A repeated line between differing neighbours goes if it is of passage length, its first copy and short lines stay."""
+    long, short = " ".join(f"w{i}" for i in range(5)), "w0 w1 w2 w3"
+    rows = [(i, f"a{i}\n{long}\nb{i}\n{short}\nc{i}") for i in range(4)] + [(9, f"{long}\n\n{long}"), (None, f" x\n{long}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: (r.n_removed, r.kept_text) for r in line_dedup.dedup(df, passage_words=5).collect()}
+    assert out == {None: (0, f" x\n{long}"), 9: (2, "")} | {i: (1, f"a{i}\nb{i}\n{short}\nc{i}") for i in range(4)}
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup(df).collect()} == {None: 0, 9: 0} | dict.fromkeys(range(4), 0)
+
+
+def test_pipeline_deletes_one_line_passages(spark):
+    line = " ".join(f"w{i}" for i in range(50))
+    rows = [(i, f"a{i}\n{line}\nb{i}", "en", "s", 1) for i in range(3)]
+    got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "").collect()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in got) == [(0, rows[0][1], 1), (1, "a1\nb1", 5), (2, "a2\nb2", 5)]
+
+
 def slow_windows(texts, w):
     words = [(t or "").encode().split() for t in texts]
     seen = {}
