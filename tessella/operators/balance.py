@@ -1,16 +1,19 @@
-"""Class balancing. Rows are chosen by hash, so a run can be repeated; neighbours come from a bounded sample of the table."""
+"""Class balancing. Rows are chosen by hash, so a run can be repeated; neighbours are exact, over all rows."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.evaluate import class_balance
-from tessella.registry import OperatorError, numeric
+from tessella.operators.near import nearest
+from tessella.registry import OperatorError, numeric, stats
 
-#: Rows of a class that neighbours are sought among, at most.
-NEIGHBOURS = 5000
+#: Groups that starting points of made rows are dealt to, and made rows of a point that are made together.
+BUCKETS = 256
+SPAN = 1000
 
 
 def _rank_within(df: DataFrame, target: str, key: list[str], seed: int) -> Column:
@@ -46,115 +49,150 @@ def random_over(df: DataFrame, target: str, key: list[str], seed: int = 42) -> D
     return out
 
 
-def _sample(df: DataFrame, columns: list[str], where: Column, most: int) -> np.ndarray:
-    x = df.where(where).select(*[F.coalesce(numeric(df, c), F.lit(0.0)).alias(c) for c in columns])
-    return x.orderBy(F.xxhash64(*columns), *columns).limit(most).toPandas().to_numpy(float)
+def _points(df: DataFrame, target: str, columns: list[str], c, scale: list[float]) -> DataFrame:
+    """(x0, x1, ..., own, oth): the distinct scaled points, with their rows of class c and of other classes. Missing numbers count as 0."""
+    mine = F.col(f"`{target}`") == F.lit(c)
+    x = df.where(F.col(f"`{target}`").isNotNull()).select(*[(F.coalesce(numeric(df, k), F.lit(0.0)) / F.lit(s) + F.lit(0.0)).alias(f"x{i}") for i, (k, s) in enumerate(zip(columns, scale, strict=True))], mine.alias("mine"))
+    return x.groupBy(*[f"x{i}" for i in range(len(columns))]).agg(F.count_if("mine").alias("own"), F.count_if(~F.col("mine")).alias("oth"))
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, k: int, itself: bool) -> np.ndarray:
-    out = np.empty((len(a), min(k, len(b) - itself)), np.int64)
-    for i in range(0, len(a), 512):
-        d = ((a[i : i + 512, None, :] - b[None]) ** 2).sum(-1)
-        if itself:
-            d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-        out[i : i + 512] = np.argsort(d, axis=1, kind="stable")[:, : out.shape[1]]
-    return out
+def _scale(df: DataFrame, columns: list[str]) -> list[float]:
+    row = stats(df, **{f"s{i}": F.stddev_pop(F.coalesce(numeric(df, c), F.lit(0.0))) for i, c in enumerate(columns)})
+    return [row[f"s{i}"] or 1.0 for i in range(len(columns))]
+
+
+def _others(k: int) -> Column:
+    """How many of the k nearest rows of a row of the class are of others, itself left out; at equal distances its own class comes
+    first."""
+    # Own points lose the row itself, which is the first of them.
+    own = F.transform("near_own", lambda s, i: F.struct(s["d"].alias("d"), F.lit(0).alias("o"), (s["n"] - F.when(i == 0, 1).otherwise(0)).alias("n")))
+    oth = F.transform("near_oth", lambda s: F.struct(s["d"].alias("d"), F.lit(1).alias("o"), s["n"].alias("n")))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("oth"))
+
+    def add(acc: Column, s: Column) -> Column:
+        take = F.least(s["n"], F.lit(k) - acc["seen"])
+        return F.struct((acc["seen"] + take).alias("seen"), (acc["oth"] + F.when(s["o"] == 1, take).otherwise(0)).alias("oth"))
+
+    return F.aggregate(F.array_sort(F.concat(own, oth)), start, add)["oth"]
+
+
+def _shares(xs: list[str], spans: dict[int, tuple[int, int]]):
+    def share(part):
+        """The made rows, from start up to stop, of each point of a bucket, by weight."""
+        part = part.sort_values(xs)
+        a, b = spans[part["bucket"].iloc[0]]
+        w = np.cumsum(part["weight"].to_numpy(float))
+        stop = np.round(a + w / w[-1] * (b - a)).astype(int)
+        part = part.assign(start=np.concatenate([[a], stop[:-1]]), stop=stop)
+        return part.loc[part["stop"] > part["start"], [*xs, "own", "near", "start", "stop"]]
 
+    return share
 
-def smote(df: DataFrame, target: str, columns: list[str], method: str = "smote", k: int = 5, seed: int = 42, sample: int = NEIGHBOURS) -> DataFrame:
+
+def smote(df: DataFrame, target: str, columns: list[str], method: str = "smote", k: int = 5, seed: int = 42) -> DataFrame:
     """Add made rows of the smaller classes until each has as many as the largest: points between a row and one of its k
     nearest neighbours of the class. Numbers of `columns` are made, the class is set, other columns are null.
 
     method: smote; borderline and svm start from rows most of whose neighbours, of all classes, are of others; adasyn starts
-    from rows by the share of such neighbours; kmeans starts from rows near the others. Neighbours are sought in a bounded
-    hash sample of each class; all rows of the table stay.
+    from rows by the share of such neighbours; kmeans starts from rows near the others. Neighbours are exact, over all rows
+    (copies are neighbours); starting rows are taken evenly by weight from the rows in the order of their points.
     """
     if method not in ("smote", "borderline", "svm", "kmeans", "adasyn"):
         raise OperatorError(f"unknown method {method!r}")
     counts = class_balance(df, target)["counts"]
-    most, spark, draw = max(counts.values()), df.sparkSession, np.random.default_rng(seed)
-    out = df
+    most, draw, out, d = max(counts.values()), np.random.default_rng(seed), df, len(columns)
+    xs = [f"x{i}" for i in range(d)]
     for c, n in sorted(counts.items(), key=lambda x: str(x[0])):
         need = most - n
-        own = _sample(df, columns, F.col(f"`{target}`") == F.lit(c), sample) if need else np.zeros((0, len(columns)))
-        if not need or len(own) < 2:
+        if not need or n < 2:
             continue
-        scale = own.std(axis=0)
-        scale[scale == 0] = 1
-        near = _nearest(own / scale, own / scale, k, True)
-        weight = np.ones(len(own))
-        if method != "smote":
-            other = _sample(df, columns, F.col(f"`{target}`") != F.lit(c), sample)
-            both = np.concatenate([own, other]) / scale
-            around = _nearest(own / scale, both, 2 * k + 1, False)
-            hard = (around >= len(own)).mean(axis=1)
-            weight = {"borderline": (hard >= 0.5) & (hard < 1), "svm": hard >= 0.3, "kmeans": hard <= 0.5, "adasyn": hard}[method].astype(float)
-            if not weight.sum():
-                weight = np.ones(len(own))
-        # A made row is a choice of two sample rows and a place between them: choices by the executors, from the sample.
-        cum = np.cumsum(weight / weight.sum())
-        sent = spark.sparkContext.broadcast((own, near, cum))
-        start = int(draw.integers(2**31))
-
-        def make(batches, sent=sent, start=start):
+        scale = _scale(df.where(F.col(f"`{target}`") == F.lit(c)), columns)
+        m = k if method == "adasyn" else 2 * k
+        points = _points(df, target, columns, c, scale)
+        kinds = {"own": k + 1} if method == "smote" else {"own": m + 1, "oth": m}
+        found = nearest(points, d, kinds, F.col("own") > 0)
+        hard = F.lit(1.0) if method == "smote" else _others(m) / F.lit(float(m))
+        weigh = {"smote": F.lit(1.0), "borderline": ((hard >= 0.5) & (hard < 1)).cast("double"), "svm": (hard >= 0.3).cast("double"), "kmeans": (hard <= 0.5).cast("double"), "adasyn": hard}[method]
+        base = found.select(*xs, "own", weigh.alias("w"), F.slice("near_own", 1, k + 1).alias("near")).persist(StorageLevel.MEMORY_AND_DISK)
+        weight = F.col("own") * F.col("w") if stats(base, w=F.sum("w"))["w"] else F.col("own").cast("double")
+        # Buckets of points by hash: their weights give each its share of the made rows, and no order spans the table.
+        base = base.withColumn("weight", weight).where("weight > 0").withColumn("bucket", F.pmod(F.xxhash64(*xs), F.lit(BUCKETS)))
+        sums = base.groupBy("bucket").agg(F.sum("weight").alias("w")).orderBy("bucket").collect()
+        ends = np.cumsum([r["w"] for r in sums])
+        ends = np.round(ends / ends[-1] * need).astype(int).tolist()
+        spans = {r["bucket"]: (a, b) for r, a, b in zip(sums, [0, *ends[:-1]], ends, strict=True)}
+
+        near_type = base.schema["near"].dataType.simpleString()
+        dealt = base.groupBy("bucket").applyInPandas(_shares(xs, spans), f"{', '.join(f'{x} double' for x in xs)}, own long, near {near_type}, start long, stop long")
+        spread = dealt.withColumn("at", F.explode(F.expr(f"sequence(start, stop - 1, {SPAN})"))).withColumn("end", F.least(F.col("at") + SPAN, F.col("stop"))).repartition("at")
+        begin = int(draw.integers(2**31))
+
+        def make(batches, begin=begin, scale=tuple(scale)):
             import pandas as pd
 
-            own, near, cum = sent.value
             for b in batches:
-                ids = b["id"].to_numpy(np.uint64)
-                h = [(lambda z: ((z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(11))((ids + np.uint64(start + j)) * np.uint64(0x9E3779B97F4A7C15)).astype(float) / 2.0**53 for j in (0, 7, 13)]
-                i = np.minimum(np.searchsorted(cum, h[0]), len(own) - 1)
-                j = near[i, np.minimum((h[1] * near.shape[1]).astype(int), near.shape[1] - 1)]
-                yield pd.DataFrame(own[i] + (own[j] - own[i]) * h[2][:, None], columns=[f"x{q}" for q in range(own.shape[1])])
-
-        made = spark.range(need).mapInPandas(make, ", ".join(f"x{q} double" for q in range(len(columns))))
+                for row in b.itertuples(index=False):
+                    v = np.array([getattr(row, x) for x in xs])
+                    # The k nearest rows, itself left out: its copies come first.
+                    near = [np.asarray(s["v"], float) for i, s in enumerate(row.near) for _ in range(min(k, int(s["n"]) - (i == 0)))][:k]
+                    ids = np.arange(row.at, row.end, dtype=np.uint64)
+                    h = [(lambda z: ((z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(11))((ids + np.uint64(begin + j)) * np.uint64(0x9E3779B97F4A7C15)).astype(float) / 2.0**53 for j in (7, 13)]
+                    to = np.array(near)[np.minimum((h[0] * len(near)).astype(int), len(near) - 1)]
+                    yield pd.DataFrame((v + (to - v) * h[1][:, None]) * np.array(scale), columns=xs)
+
+        made = spread.select(*xs, "near", "at", "end").mapInPandas(make, ", ".join(f"{x} double" for x in xs))
         fields = {f.name: f.dataType for f in df.schema.fields}
         row = [F.lit(c).cast(fields[f]).alias(f) if f == target else F.col(f"x{columns.index(f)}").cast(fields[f]).alias(f) if f in columns else F.lit(None).cast(fields[f]).alias(f) for f in df.columns]
         out = out.unionByName(made.select(*row))
     return out
 
 
-def clean_borders(df: DataFrame, target: str, columns: list[str], method: str = "enn", k: int = 3, sample: int = NEIGHBOURS) -> DataFrame:
-    """Drop rows of the largest class: enn, whose k nearest sample rows are mostly of other classes; tomek, whose nearest one is;
-    nearmiss, all but those nearest to the other classes, as many as the smallest class has."""
+def clean_borders(df: DataFrame, target: str, columns: list[str], method: str = "enn", k: int = 3) -> DataFrame:
+    """Drop rows of the largest class, by exact neighbours over all rows (copies are neighbours, a row is not its own).
+
+    enn: those whose k nearest rows are mostly of other classes. tomek: those that are in a Tomek link, a pair of rows of
+    different classes of which each is the other's nearest; at equal distances rows of the same class are nearer. nearmiss
+    (version 3): each row of the others puts its k nearest rows on a shortlist; of it, as many rows stay as the smallest class
+    has, those with the largest mean distance to their k nearest rows of the others.
+    """
     counts = class_balance(df, target)["counts"]
-    big = max(counts, key=lambda c: (counts[c], str(c)))
-    own = _sample(df, columns, F.col(f"`{target}`") == F.lit(big), sample)
-    other = _sample(df, columns, F.col(f"`{target}`").isNotNull() & (F.col(f"`{target}`") != F.lit(big)), sample)
-    if not len(own) or not len(other):
+    if len(counts) < 2:
         return df
-    scale = np.concatenate([own, other]).std(axis=0)
-    scale[scale == 0] = 1
-    sent = df.sparkSession.sparkContext.broadcast((own / scale, other / scale, scale))
-
-    @F.pandas_udf("double")
-    def nearness(*cols):
-        """For enn and tomek the share of other classes among the nearest; for nearmiss the mean distance to others."""
-        import pandas as pd
-
-        own, other, scale = sent.value
-        x = np.nan_to_num(np.column_stack([np.asarray(c, float) for c in cols])) / scale
-        out = np.zeros(len(x))
-        for i in range(0, len(x), 256):
-            a = np.sort(((x[i : i + 256, None] - own[None]) ** 2).sum(-1), axis=1)
-            b = np.sort(((x[i : i + 256, None] - other[None]) ** 2).sum(-1), axis=1)
-            if method == "nearmiss":
-                out[i : i + 256] = np.sqrt(b[:, :k]).mean(axis=1)
-                continue
-            n = 1 if method == "tomek" else k
-            a = a[:, 1 : n + 1] if a.shape[1] > n else a  # the row itself, or its like, does not count
-            merged = np.concatenate([a, b[:, :n]], axis=1)
-            mine = np.concatenate([np.zeros(a.shape, bool), np.ones(b[:, :n].shape, bool)], axis=1)
-            out[i : i + 256] = np.take_along_axis(mine, np.argsort(merged, axis=1, kind="stable"), 1)[:, :n].mean(axis=1)
-        return pd.Series(out)
-
+    big = max(counts, key=lambda c: (counts[c], str(c)))
+    xs = [f"x{i}" for i in range(len(columns))]
+    scale = _scale(df.where(F.col(f"`{target}`").isNotNull()), columns)
+    points = _points(df, target, columns, big, scale)
     is_big = F.coalesce(F.col(f"`{target}`") == F.lit(big), F.lit(False))
-    scored = df.withColumn("__near", F.when(is_big, nearness(*[numeric(df, c) for c in columns])))
-    if method == "nearmiss":
-        least = min(counts.values())
-        kept = scored.where(is_big).orderBy("__near", F.xxhash64(*columns)).limit(least)
-        return scored.where(~is_big).unionByName(kept).drop("__near")
-    return scored.where(~is_big | (F.col("__near") <= 0.5)).drop("__near")
+    placed = df.select("*", *[F.when(is_big, F.coalesce(numeric(df, c), F.lit(0.0)) / F.lit(s) + F.lit(0.0)).alias(f"__x{i}") for i, (c, s) in enumerate(zip(columns, scale, strict=True))])
+    keys = [f"__x{i}" for i in range(len(columns))]
+    named = lambda t, *more: t.select(*[F.col(x).alias(f"__{x}") for x in xs], *more)
+    v = F.array(*xs)
+    if method == "enn":
+        gone = nearest(points, len(xs), {"own": k + 1, "oth": k}, F.col("own") > 0).where(_others(k) > k / 2)
+        return placed.join(named(gone), keys, "left_anti").select(*df.columns)
+    if method == "tomek":
+        found = nearest(points, len(xs), {"own": 2, "oth": 2}, F.lit(True)).persist(StorageLevel.MEMORY_AND_DISK)
+        single = found.where(F.col("own") + F.col("oth") == 1)
+        first = lambda s, i: F.try_element_at(F.col(s), F.lit(i))
+        # The nearest of the other class is nearer than the next of the same class, which is second to the row itself.
+        ahead = lambda mine, other: first(other, 1).isNotNull() & (first(mine, 2).isNull() | (first(other, 1)["d"] < first(mine, 2)["d"]))
+        a = single.where((F.col("own") == 1) & ahead("near_own", "near_oth")).select(*xs, v.alias("a"), first("near_oth", 1)["v"].alias("b"))
+        b = single.where((F.col("oth") == 1) & ahead("near_oth", "near_own")).select(v.alias("b"), first("near_own", 1)["v"].alias("a"))
+        gone = a.join(b, ["a", "b"], "left_semi").select(*xs).unionByName(found.where("own = 1 and oth = 1").select(*xs))
+        return placed.join(named(gone), keys, "left_anti").select(*df.columns)
+    # A point of others puts at most as many copies of a point on the list as are left of its k.
+    asked = nearest(points, len(xs), {"own": k}, F.col("oth") > 0)
+    taken = asked.select(F.posexplode("near_own").alias("i", "s"), F.expr(f"aggregate(slice(near_own, 1, {k}), array(0L), (c, s) -> concat(c, array(element_at(c, -1) + s.n)))").alias("before"))
+    listed = taken.select(F.col("s.v").alias("v"), F.least(F.col("s.n"), F.lit(k) - F.element_at("before", F.col("i") + 1)).alias("m")).where("m > 0").groupBy("v").agg(F.max("m").alias("m"))
+    far = nearest(points, len(xs), {"oth": k}, F.col("own") > 0)
+    rows = F.slice(F.flatten(F.transform("near_oth", lambda s: F.array_repeat(F.sqrt(s["d"]), F.least(s["n"], F.lit(k)).cast("int")))), 1, k)
+    mean = F.aggregate(rows, F.lit(0.0), lambda t, x: t + x) / F.size(rows)
+    short = far.select(*xs, v.alias("v"), mean.alias("__mean")).join(listed, "v")
+    order = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    near = placed.where(is_big).join(named(short, "__mean", F.col("m").alias("__m")), keys)
+    near = near.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("__i") <= k).where("__i <= __m")
+    kept = near.orderBy(F.desc("__mean"), *keys, "__i").limit(min(counts.values()))
+    return df.where(~is_big).unionByName(kept.select(*df.columns))
 
 
 def balance(df: DataFrame, target: str, columns: list[str], key: list[str], method: str = "smote", ratio: float = 0.8, seed: int = 42) -> DataFrame:

@@ -335,7 +335,7 @@ def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _m in ("smote", "borderline", "adasyn", "svm", "kmeans"):
 
     def _smote(spark: SparkSession, sf_dir: str, how: str = _m) -> DataFrame:
-        return balance.smote(_toxic(spark, sf_dir), "toxic", ["chars", "words"], how, sample=500).groupBy("toxic").agg(F.count("*").alias("n"))
+        return balance.smote(_toxic(spark, sf_dir), "toxic", ["chars", "words"], how).groupBy("toxic").agg(F.count("*").alias("n"))
 
     query(f"balance_{_m}", "select toxic, (select max(n) from (select count(*) as n from documents join labels using (doc_id) group by toxic))::bigint as n from documents join labels using (doc_id) group by 1")(_smote)
 

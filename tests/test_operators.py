@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import registry
-from tessella.operators import balance, categorical, clean, evaluate, groups, learn, order, profile, series, texts
+from tessella.operators import balance, categorical, clean, evaluate, groups, learn, near, order, profile, series, texts
 from tessella.plans import explorer, handlers, preprocessor, search
 from tessella.registry import Fitted, OperatorError
 from tessella.sources import io
@@ -241,3 +241,85 @@ def test_dickey_fuller(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(rng.normal(size=200))], "i int, x double")
     assert series.dickey_fuller(df, "x", ["i"])["stationary"]
+
+
+def slow_neighbours(x, y, k):
+    """Each row's k nearest others: (squared distance, of another class, row), rows of the same class first at equal distances."""
+    out = []
+    for i in range(len(x)):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        o = np.lexsort((y != y[i], d))[:k]
+        out.append([(d[j], y[j] != y[i], j) for j in o])
+    return out
+
+
+def crowd(spark, n, width, seed):
+    """A third of the rows is one point; the rare class is a tenth."""
+    rng = np.random.default_rng(seed)
+    x = rng.random((n, 2)) * width
+    x[rng.random(n) < 0.33] = (1.0, 2.0)
+    y = (rng.random(n) < 0.1).astype(int)
+    df = spark.createDataFrame([(i, *map(float, x[i]), int(y[i])) for i in range(n)], "id long, a double, b double, y int")
+    return df, x / x.std(axis=0), y
+
+
+def test_nearest_over_cells_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near, "CELL", 15)
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 40, (500, 2)).astype(float), rng.integers(0, 2, 500)
+    both: dict = {}
+    for p, c in zip(x.tolist(), y, strict=True):
+        both.setdefault(tuple(p), [0, 0])[c] += 1
+    df = spark.createDataFrame([(*p, *n) for p, n in both.items()], "x0 double, x1 double, own long, oth long")
+    for r in near.nearest(df, 2, {"own": 4, "oth": 3}, F.lit(True)).collect():
+        for kind, k, c in (("own", 4, 0), ("oth", 3, 1)):
+            want = sorted((round((p[0] - r.x0) ** 2 + (p[1] - r.x1) ** 2, 9), p, n[c]) for p, n in both.items() if n[c])[:k]
+            got = [(round(s.d, 9), tuple(s.v), s.n) for s in r[f"near_{kind}"]]
+            assert [g[0] for g in got] == [w[0] for w in want] and all(both[g[1]][c] == g[2] for g in got)
+
+
+def test_clean_borders_sees_every_row(spark):
+    """More rows than the bounded sample of earlier versions held."""
+    df, x, y = crowd(spark, 6500, 300, 2)
+    near3 = slow_neighbours(x, y, 3)
+    want = {i for i in range(len(x)) if y[i] or sum(f for _, f, _ in near3[i]) <= 1}
+    assert {r.id for r in balance.clean_borders(df, "y", ["a", "b"], "enn").select("id").collect()} == want
+
+
+def test_tomek_links_are_mutual(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 2))
+    y = (rng.random(400) < 0.3).astype(int)
+    df = spark.createDataFrame([(i, *map(float, x[i]), int(y[i])) for i in range(400)], "id long, a double, b double, y int")
+    first = [n[0] for n in slow_neighbours(x / x.std(axis=0), y, 1)]
+    links = {i for i in range(400) if not y[i] and first[i][1] and first[first[i][2]][2] == i}
+    assert 0 < len(links) < sum(first[i][1] for i in range(400) if not y[i])
+    assert {r.id for r in balance.clean_borders(df, "y", ["a", "b"], "tomek").select("id").collect()} == set(range(400)) - links
+    # NearMiss-3: the shortlist of each rare row's three nearest, then the farthest of it.
+    z = x / x.std(axis=0)
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    big, rare = np.flatnonzero(y == 0), np.flatnonzero(y == 1)
+    short = sorted({int(big[j]) for i in rare for j in np.argsort(d[i, big])[:3]})
+    mean = {i: np.sort(d[i, rare])[:3].mean() for i in short}
+    stay = set(sorted(short, key=lambda i: -mean[i])[: len(rare)])
+    assert {r.id for r in balance.clean_borders(df, "y", ["a", "b"], "nearmiss").where("y = 0").select("id").collect()} == stay
+
+
+def test_smote_makes_rows_between_true_neighbours(spark):
+    df, x, y = crowd(spark, 600, 50, 4)
+    raw = np.array([(r.a, r.b) for r in df.where("y = 1").collect()])
+    z = raw / raw.std(axis=0)
+    near5 = [[j for _, _, j in n] for n in slow_neighbours(z, np.zeros(len(z)), 5)]
+    radius = {tuple(raw[i]): max(((z[i] - z[j]) ** 2).sum() for j in near5[i]) for i in range(len(z))}
+    made = balance.smote(df, "y", ["a", "b"]).where("id is null").collect()
+    assert len(made) == (y == 0).sum() - (y == 1).sum()
+    for r in made[:200]:
+        p = np.array((r.a, r.b))
+        ok = False
+        for u in radius:
+            for v in radius:
+                u_, v_ = np.array(u), np.array(v)
+                gap = np.linalg.norm(p - u_) + np.linalg.norm(v_ - p) - np.linalg.norm(v_ - u_)
+                ok |= abs(gap) < 1e-6 and (((u_ - v_) / raw.std(axis=0)) ** 2).sum() <= radius[u] + 1e-9
+        assert ok
