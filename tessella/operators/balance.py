@@ -93,8 +93,9 @@ def smote(df: DataFrame, target: str, columns: list[str], method: str = "smote",
     """Add made rows of the smaller classes until each has as many as the largest: points between a row and one of its k
     nearest neighbours of the class. Numbers of `columns` are made, the class is set, other columns are null.
 
-    method: smote; borderline and svm start from rows most of whose neighbours, of all classes, are of others; adasyn starts
-    from rows by the share of such neighbours; kmeans starts from rows near the others. Neighbours are exact, over all rows
+    method: smote; borderline and svm start from rows most of whose neighbours, of all classes, are of others (svm: three
+    tenths or more; no support vectors are sought); adasyn starts from rows by the share of such neighbours; kmeans starts from
+    rows of which half or fewer are of others (no clusters are made). Neighbours are exact, over all rows
     (copies are neighbours); starting rows are taken evenly by weight from the rows in the order of their points.
     """
     if method not in ("smote", "borderline", "svm", "kmeans", "adasyn"):
