@@ -323,3 +323,18 @@ def test_smote_makes_rows_between_true_neighbours(spark):
                 gap = np.linalg.norm(p - u_) + np.linalg.norm(v_ - p) - np.linalg.norm(v_ - u_)
                 ok |= abs(gap) < 1e-6 and (((u_ - v_) / raw.std(axis=0)) ** 2).sum() <= radius[u] + 1e-9
         assert ok
+
+
+def test_kendall_over_all_rows(spark):
+    """More rows than the sample of earlier versions; a third of them is one pair."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 900, 7000).astype(float)
+    y = np.round(x * 0.3 + rng.normal(0, 150, 7000))
+    x[:2300], y[:2300] = 100.0, 3.0
+    s = n_a = n_b = 0
+    for i in range(len(x) - 1):
+        da, db = np.sign(x[i + 1 :] - x[i]), np.sign(y[i + 1 :] - y[i])
+        s, n_a, n_b = s + int((da * db).sum()), n_a + int(np.abs(da).sum()), n_b + int(np.abs(db).sum())
+    df = spark.createDataFrame(pd.DataFrame({"a": x, "b": y}))
+    assert evaluate.kendall(df, "a", "b") == pytest.approx(s / math.sqrt(n_a * n_b), abs=1e-12)
+    assert evaluate.kendall(df.where("a = 100"), "a", "a") is None and evaluate.kendall(df.limit(1), "a", "b") is None
