@@ -2,83 +2,146 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import threading
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parameters of mallopt.
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
 _lock = threading.Lock()
 _shipped: set[str] = set()
-#: Scratch folders in the order they were made, per application.
-_made: list[str] = []
+#: With it, Spark deletes the shuffle files of a statement when the statement ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writers: dict[str, list] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, if the executors
+    run in the driver (local masters, as in tests); else an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new folder name under the shared folder. sweep() leaves the ones to keep."""
-    path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}/{name}"
-    if not keep:
-        _made.append(path)
-    return path
-
-
-#: With it, Spark deletes the shuffle files of a statement when the statement ends.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def table(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write a DataFrame as a Parquet table in the shared folder and return a DataFrame that reads it.
+class Scratch:
+    """A folder of Parquet tables under the shared folder, for one operator.
 
-    This cuts lineage as checkpoint() does: the rows survive lost executors, and no stage before it runs again. The shuffle
-    files that the write needed go when it ends, for the table holds its rows.
+    table() cuts lineage as checkpoint() does: the rows survive lost executors, and no stage before runs again. At the end of
+    a with block all tables go but those made by keep(), which the operator's result reads; these go with the
+    application.
     """
-    schema, path = df.schema, scratch(spark, name)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
+        self.made: dict[str, bool] = {}
+        path, fs = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def table(self, df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
+        """Write a DataFrame and return one that reads it. The shuffle files that the write needed go when it ends."""
+        schema, path = df.schema, f"{self.root}/{len(self.made)}-{name}"
+        self.made[path] = keep
+        with _cleaning(self.spark):
+            df.write.option("compression", codec).parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        out._tessella_path = path  # type: ignore[attr-defined]
+        return out
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return self.table(df, name, keep=True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            path, fs = self._at(df._tessella_path)  # type: ignore[attr-defined]
+            fs.delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, failed, *_) -> None:
+        for path, kept in self.made.items():
+            if failed or not kept:
+                at, fs = self._at(path)
+                fs.delete(at, True)
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with their statement while any writer of this application is inside; then the setting is as before."""
+    app = spark.sparkContext.applicationId
+    with _lock:
+        inside = _writers.setdefault(app, [])
+        before = inside[0] if inside else spark.conf.get(_CLEAN, "false")
+        inside.append(before)
+        spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        yield
     finally:
-        spark.conf.set(_CLEAN, before)
-    made = spark.read.schema(schema).parquet(path)
-    made._tessella_path = path  # type: ignore[attr-defined]
-    return made
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by table() that nothing reads any more."""
-    _delete(df.sparkSession, df._tessella_path)  # type: ignore[attr-defined]
-    _made.remove(df._tessella_path)  # type: ignore[attr-defined]
+        with _lock:
+            inside.pop()
+            if not inside:
+                spark.conf.set(_CLEAN, before)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def mark() -> int:
-    return len(_made)
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow whose worker gives its memory back.
 
+    Workers live through all stages of an application, so what a task's allocators keep adds up. Arrow allocates from the
+    system here, large blocks go back as soon as they are free, and the rest does when the task ends.
+    """
 
-def sweep(spark: SparkSession, since: int, until: int | None = None) -> None:
-    """Delete the scratch folders made between two mark() calls. The caller knows that nothing reads them again."""
-    for path in _made[since:until]:
-        _delete(spark, path)
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        libc = None
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(M_MMAP_THRESHOLD, 1 << 20)
+            libc.mallopt(M_TRIM_THRESHOLD, 1 << 20)
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return leaner
+
+
+def slices(texts: list, most: int) -> Iterator[slice]:
+    """Slices of a batch with `most` characters or bytes each at most, one row at least."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        if i > start and total + len(t) > most:
+            yield slice(start, i)
+            start, total = i, 0
+        total += len(t)
+    if texts:
+        yield slice(start, len(texts))
 
 
 def ship(spark: SparkSession) -> None:

@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import ship, table, without
+from tessella.llm.common import Scratch, lean, ship, without
 
 #: Words of a shard at most, unless one text has more.
 SHARD_WORDS = 700_000
 #: Every such position of a shard keeps its suffix position.
 SAMPLE = 8
-#: Bytes of phrase texts that one pass broadcasts at most; more phrases take more passes.
-PASS_BYTES = 32_000_000
+#: Bytes of phrase texts that one pass broadcasts, about; more phrases take more passes. Windows are under a byte's half as many
+#: and 13 numbers of four bytes each, so that a pass holds some 25 bytes for each byte of phrases at most.
+PASS_BYTES = 4_000_000
 #: Occurrences that are located at once.
 LOCATE = 1 << 20
 
@@ -172,21 +173,24 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
         self.symbols: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], set[int]] = {}
         self.names = sorted({name for name, _ in items})
         number = {name: i for i, name in enumerate(self.names)}
+        parts, owners = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int64)]
         for name, ws in items:
-            seq = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in ws]
-            for i in range(max(1, len(seq) - width + 1) if seq else 0):
-                seen.setdefault(tuple(seq[i : i + width]), set()).add(number[name])
-        self.windows = np.zeros((len(seen), width), np.int64)
-        self.lengths = np.array([len(k) for k in seen], np.int64)
-        for row, k in zip(self.windows, seen, strict=True):
-            row[width - len(k) :] = k
-        self.owners = [sorted(v) for v in seen.values()]
-        # The windows of which each item is an owner, flat, for many-to-many look-ups.
-        self.owner_flat = np.array([x for v in self.owners for x in v], np.int64)
-        self.owner_at = np.concatenate([[0], np.cumsum([len(v) for v in self.owners])]).astype(np.int64)
+            if not ws:
+                continue
+            seq = np.fromiter((self.symbols.setdefault(w, len(self.symbols) + 1) for w in ws), np.int32, len(ws))
+            seq = np.concatenate([np.zeros(max(0, width - len(seq)), np.int32), seq])  # right-aligned
+            parts.append(np.lib.stride_tricks.sliding_window_view(seq, width))
+            owners.append(np.full(len(parts[-1]), number[name]))
+        rows = np.ascontiguousarray(np.concatenate(parts))
+        _, first, which = np.unique(rows.view(np.dtype((np.void, 4 * width))).ravel(), return_index=True, return_inverse=True)
+        self.windows = rows[first]
+        self.lengths = (self.windows > 0).sum(axis=1)
+        # The items that own each window, flat, for many-to-many look-ups.
+        both = np.unique(which.ravel() * max(1, len(self.names)) + np.concatenate(owners))
+        self.owner_flat = both % max(1, len(self.names))
+        self.owner_at = np.searchsorted(both // max(1, len(self.names)), np.arange(len(first) + 1))
 
 
 def symbols(text: bytes | None, p: Phrases) -> np.ndarray:
@@ -247,7 +251,7 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructF
 def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13) -> DataFrame:
     """Add to each row: n_words (long), hit_spans (array of [start, end) word ranges, merged), hit_items (sorted strings).
 
-    Null and empty texts have no words. Items that are null or have no words are never hit; rows of one item_id count as
+    Null and empty texts have no words; a text of any length is searched whole, and repeated rows are treated alike. Items that are null or have no words are never hit; rows of one item_id count as
     one item. Columns with the new names are replaced. Phrases are broadcast in passes of PASS_BYTES at most; each pass
     goes over all rows, and their spans are merged. An empty item table gives no hits, an empty table an empty result.
     """
@@ -257,11 +261,15 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     size = int(rows.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0])
     passes = max(1, -(-size // PASS_BYTES))
+    scratch, held = Scratch(spark) if passes > 1 else None, None
     for k in range(passes):
         part = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k)
         docs = _find(docs, [(r.i, words(r.t.encode())) for r in part.toLocalIterator()], text, width, first=k == 0)
-        if passes > 1:
-            docs = table(spark, docs, f"pass{k}")
+        if scratch is not None:
+            docs = scratch.keep(docs, f"pass{k}")
+            if held is not None:
+                scratch.drop(held)
+            held = docs
     return docs
 
 
@@ -329,7 +337,7 @@ def _find(docs: DataFrame, items: list[tuple[str, list[bytes]]], text: str, widt
         if held:
             yield from flush(held, parsed, p)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def verdict(found: DataFrame, share: int = 20) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessella.llm.common import ship, without
+from tessella.llm.common import lean, ship, without
 
 #: Bytes of a sample, samples of a chunk (its first one is the key frame), and samples a second.
 BLOCK, PER_CHUNK, RATE = 64, 64, 8000
@@ -204,7 +204,7 @@ def pack(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
                 made = pa.array([build(padded(t or b"")) for t in b.column(at).cast(pa.binary()).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 #: Columns that unpack() adds, with their types.
@@ -251,4 +251,4 @@ def unpack(df: DataFrame, media: str = "media") -> DataFrame:
                 rest = [j for j in range(b.num_columns) if j != at]
                 yield pa.RecordBatch.from_arrays([*(b.column(j) for j in rest), *found.columns], names=[*(b.schema.names[j] for j in rest), *found.schema.names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

@@ -39,15 +39,21 @@ select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit
 from d left join covered using (doc_id) left join items using (doc_id)
 """
 
+#: Runs grow by one line in each step of the recursion, so longest_run has no bound.
 LINES = r"""
-with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls, text is null as missing from documents),
+with recursive l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls, text is null as missing from documents),
 f as (select doc_id, [i for i in range(1, len(ls) + 1) if regexp_matches(ls[i], '[^ \t\n\x0B\f\r]')] as spots, ls from l),
-q as (select doc_id, spots, [ls[i] for i in spots] as xs from f),
-win as (select doc_id, n, i, array_to_string(xs[i : i + n - 1], chr(10)) as s
-  from (select doc_id, xs, n, unnest(range(1, len(xs) - n + 2)) as i from q, (select unnest([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) as n) where len(xs) >= n)),
-dup as (select n, s, min((doc_id, i)) as top from win group by n, s having count(*) > 1),
-deep as (select doc_id, max(n) as longest from win join dup using (n, s) group by doc_id),
-gone as (select doc_id, list(distinct spots[i + k]) as ps from (select doc_id, i from win join dup using (n, s) where n = 2 and (doc_id, i) <> top) join q using (doc_id), range(0, 2) r(k) group by doc_id)
+q as (select doc_id, i, spots[i] as spot, ls[spots[i]] as x from (select doc_id, spots, ls, unnest(range(1, len(spots) + 1)) as i from f)),
+run as (
+  select 1 as n, doc_id, i, top from (select doc_id, i, min((doc_id, i)) over (partition by x) as top, count(*) over (partition by x) as c from q) where c > 1
+  union all
+  select n, doc_id, i, top from (
+    select run.n + 1 as n, run.doc_id, run.i, min((run.doc_id, run.i)) over (partition by run.top, q.x) as top, count(*) over (partition by run.top, q.x) as c
+    from run join q on q.doc_id = run.doc_id and q.i = run.i + run.n) where c > 1),
+deep as (select doc_id, max(n) as longest from run where n >= 2 group by doc_id),
+passage as (select doc_id, i, min((doc_id, i)) over (partition by x) as top from q where len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+')) >= 50),
+spots as (select doc_id, i + k as i from run, range(0, 2) r(k) where n = 2 and (doc_id, i) <> top union select doc_id, i from passage where (doc_id, i) <> top),
+gone as (select doc_id, list(spot) as ps from spots join q using (doc_id, i) group by doc_id)
 select doc_id, case when missing then 0 else len(ls) end::bigint as n_lines, coalesce(len(ps), 0)::bigint as n_removed, coalesce(longest, 0)::bigint as longest_run,
   sha256(array_to_string([x for x, i in ls if ps is null or not list_contains(ps, i)], chr(10))) as kept_sha256
 from l left join gone using (doc_id) left join deep using (doc_id)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessella.llm.common import ship, without
+from tessella.llm.common import lean, ship, without
 from tessella.llm.hashing import TOKENS, collect_features, pair_hashes, sample, token_hashes
 
 #: Weights, as a power of two.
@@ -81,4 +81,4 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "
             made = pa.array([one(t) for t in b.column(at).cast(pa.binary()).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

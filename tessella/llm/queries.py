@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, line_dedup, media, pii, piece_codec, quality, simhash, substring_dedup, toxicity, warc
-from tessella.llm.common import fold, read, table
+from tessella.llm.common import Scratch, fold, read
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     stored = media.pack(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).select("doc_id", "n_bytes", "media")
-    found = media.unpack(table(spark, stored, "media"))
+    found = media.unpack(Scratch(spark).keep(stored, "media"))
     feature = F.concat_ws(";", "codec", "handler", "timescale", "duration", "n_samples", F.size("key_ranges").alias("n"), F.sha2(F.to_json("key_ranges"), 256))
     ok = found.withColumn("codec", F.when(F.col("error").isNull(), F.col("codec")).otherwise(F.raise_error(F.col("error"))))
     return ok.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -18,12 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import ship, table, without
+from tessella.llm.common import Scratch, lean, ship, without
 from tessella.llm.components import components
 
 BITS = 64
-#: A leading block with more fingerprints than this is dealt out by pairs of its next eight bits.
-BLOCK_ROWS = 20_000
+#: A leading block of more fingerprints than this is dealt out by its next bits, as many as make parts of this size.
+BLOCK_ROWS = 50_000
+#: Next bits at most.
+MOST_BITS = 12
+#: Rows that a task loads, about.
+TASK_ROWS = 400_000
 #: Node pairs that a task expands at once.
 FRONTIER = 1 << 20
 
@@ -60,7 +64,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", words: int
 
     Texts are lower-cased in A-Z; words are runs of bytes other than ASCII white space. Shingles of that many words,
     repeats included, are hashed with XXH64; with fewer words the whole sequence is one shingle. No words, empty and
-    null texts have fingerprint zero. A clashing column is replaced.
+    null texts have fingerprint zero. Texts of any length are read whole. A clashing column is replaced.
     """
     df = without(df, out)
     ship(df.sparkSession)
@@ -71,7 +75,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", words: int
             made = np.array([fingerprint(t or b"", words, seed) for t in b.column(at).cast(pa.binary()).to_pylist()], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made)], names=[*b.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def _rotated(values: np.ndarray, by: int) -> np.ndarray:
@@ -164,18 +168,19 @@ def links(fps: DataFrame, errors: int = 3, col: str = "fp") -> DataFrame:
     turned = base.select("fp", F.explode(F.array(*[F.lit(r) for r in range(blocks)])).alias("rot")).select(
         "fp", "rot", F.when(F.col("rot") == 0, F.col("fp")).otherwise(F.expr(f"shiftleft(fp, rot * {width}) | shiftrightunsigned(fp, {BITS} - rot * {width})")).alias("key")
     )
-    turned = turned.withColumn("block", F.expr(f"shiftrightunsigned(key, {BITS - width})")).withColumn("byte", F.expr(f"cast(shiftrightunsigned(key, {BITS - width - 8}) & 255 as int)"))
-    sizes = turned.groupBy("rot", "block").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).select("rot", "block", F.lit(True).alias("big"))
-    sized = turned.join(sizes, ["rot", "block"], "left")
-    # A large block: a task for each unordered pair of next bytes within the budget; the smaller byte is side 0.
-    near = [m for m in range(256) if m.bit_count() <= errors]
-    spread = F.when(F.col("big").isNull(), F.array(F.lit(-1))).otherwise(F.array(*[F.lit(m) for m in near]))
-    dealt = sized.select("fp", "rot", "block", "key", "byte", F.explode(spread).alias("mask")).select(
+    turned = turned.withColumn("block", F.expr(f"shiftrightunsigned(key, {BITS - width})"))
+    # A large block: a task for each unordered pair of parts whose numbers, the next bits, are within the budget; the smaller part
+    # is side 0. A block of n rows is dealt out by log2(n / BLOCK_ROWS) bits, so rows are copied as often as its size asks for.
+    sizes = turned.groupBy("rot", "block").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
+    sizes = sizes.select("rot", "block", F.least(F.lit(MOST_BITS), F.ceil(F.log2(F.col("n") / BLOCK_ROWS)).cast("int")).alias("bits"))
+    sizes = sizes.withColumn("masks", F.expr(f"filter(sequence(0, shiftleft(1, bits) - 1), m -> bit_count(m) <= {errors})"))
+    sized = turned.join(sizes, ["rot", "block"], "left").withColumn("part", F.expr(f"coalesce(cast(shiftrightunsigned(key, {BITS - width} - bits) & (shiftleft(1, bits) - 1) as int), 0)"))
+    dealt = sized.select("fp", "rot", "block", "key", "part", F.explode(F.coalesce("masks", F.array(F.lit(-1)))).alias("mask")).select(
         "fp", "key", "rot",
-        F.when(F.col("mask") < 0, F.xxhash64("rot", "block")).otherwise(F.xxhash64("rot", "block", F.least(F.col("byte"), F.expr("byte ^ mask")), "mask")).alias("task"),
-        F.when(F.col("mask") <= 0, F.lit(-1)).otherwise((F.col("byte") > F.expr("byte ^ mask")).cast("int")).alias("side"),
+        F.when(F.col("mask") < 0, F.xxhash64("rot", "block")).otherwise(F.xxhash64("rot", "block", F.least(F.col("part"), F.expr("part ^ mask")), "mask")).alias("task"),
+        F.when(F.col("mask") <= 0, F.lit(-1)).otherwise((F.col("part") > F.expr("part ^ mask")).cast("int")).alias("side"),
     )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks * base.count() // TASK_ROWS))
     dealt = dealt.repartition(n, "task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,21 +214,22 @@ def links(fps: DataFrame, errors: int = 3, col: str = "fp") -> DataFrame:
                 e = np.array(edges)
                 yield pa.RecordBatch.from_arrays([pa.array(values[e[:, 0]].view(np.int64)), pa.array(values[e[:, 1]].view(np.int64))], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", errors: int = 3) -> DataFrame:
     """(key, fp, component): the fingerprint and the smallest key reachable by links, for each row of the table.
 
-    Null keys stay, with component null unless their fingerprint has another row. Ties and repeated rows are kept as
+    Keys may be of any type that has an order, structs included. Null keys stay, with component null unless their fingerprint has another row. Ties and repeated rows are kept as
     they are. An empty table gives an empty result.
     """
-    spark = df.sparkSession
-    marked = table(spark, fingerprints(df.select(F.col(key).alias("node"), F.col(text).alias("text"))).select("node", "fp"), "fingerprints")
-    owner = table(spark, marked.groupBy("fp").agg(F.min("node").alias("owner")), "owners")
-    found = table(spark, links(owner, errors), "links")
-    # Links between fingerprints become links between the smallest keys that have them.
-    named = found.join(owner.select(F.col("fp").alias("a"), F.col("owner").alias("x")), "a").join(owner.select(F.col("fp").alias("b"), F.col("owner").alias("y")), "b")
-    groups = components(named.where("x is not null and y is not null"), "x", "y")
-    labelled = owner.join(groups, owner["owner"] == groups["node"], "left").select("fp", F.coalesce("component", "owner").alias("component"))
+    with Scratch(df.sparkSession) as scratch:
+        marked = scratch.keep(fingerprints(df.select(F.col(key).alias("node"), F.col(text).alias("text"))).select("node", "fp"), "fingerprints")
+        owner = scratch.table(marked.groupBy("fp").agg(F.min("node").alias("owner")), "owners")
+        found = scratch.table(links(owner, errors), "links")
+        # Links between fingerprints become links between the smallest keys that have them.
+        named = found.join(owner.select(F.col("fp").alias("a"), F.col("owner").alias("x")), "a").join(owner.select(F.col("fp").alias("b"), F.col("owner").alias("y")), "b")
+        groups = components(named.where("x is not null and y is not null"), "x", "y")
+        # Components are a table, so rows of a frequent fingerprint can be split where they are joined to it.
+        labelled = scratch.keep(owner.join(groups, owner["owner"] == groups["node"], "left").select("fp", F.coalesce("component", "owner").alias("component")), "labelled")
     return marked.join(labelled, "fp").select(F.col("node").alias(key), "fp", "component")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import discard, ship, table, without
+from tessella.llm.common import Scratch, lean, ship, without
 
 #: Words parsed at once, unless one text has more.
 PARSE_WORDS = 120_000
@@ -209,7 +209,7 @@ def _parse(docs: DataFrame, window: int, rounds: int, cap: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), b.column(1).slice(s, e - s), pa.ListArray.from_arrays(pa.array(offsets), flat, type=kind)], names=["k", "h", "occ"])
 
     schema = T.StructType([docs.schema["k"], docs.schema["h"], T.StructField("occ", T._parse_datatype_string(OCCURRENCE))])
-    return docs.select("k", "h", "text").mapInArrow(run, schema)
+    return docs.select("k", "h", "text").mapInArrow(lean(run), schema)
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
@@ -235,41 +235,42 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
                 row = pa.array(owner[each])
                 yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), b.column(0).take(row), b.column(1).take(row), pa.array(at.astype(np.int32)), pa.array(weight[each])], names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
-def repeats(docs: DataFrame, window: int, rounds: int, cap: int) -> DataFrame:
+def repeats(scratch: Scratch, docs: DataFrame, window: int, rounds: int, cap: int) -> DataFrame:
     """(k, h, spans): the word ranges [lo, hi) covered by windows whose words also start elsewhere."""
-    spark = docs.sparkSession
-    parsed = table(spark, _parse(docs, window, rounds, cap), "anchors")
+    table = scratch.table
+    parsed = table(_parse(docs, window, rounds, cap), "anchors")
     occ = parsed.select("k", "h", F.explode("occ").alias("o")).select("k", "h", "o.*")
     # Count anchors; sums go before the shuffle. Counts are tables before rows are joined to them: with nothing else between
     # a shuffle and a join, the planner can split the join where a key is hot.
-    shared = table(spark, occ.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "shared")
-    cand = table(spark, occ.join(shared, "name"), "candidates")
-    discard(parsed)
-    discard(shared)
-    groups = table(spark, cand.groupBy("name", "span").agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "lo", "hi")).alias("one")), "groups")
-    repeated = table(spark, groups.where("n > 1").select("name", "span"), "repeated")
+    shared = table(occ.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "shared")
+    cand = table(occ.join(shared, "name"), "candidates")
+    scratch.drop(parsed, shared)
+    groups = table(cand.groupBy("name", "span").agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "lo", "hi")).alias("one")), "groups")
+    repeated = table(groups.where("n > 1").select("name", "span"), "repeated")
     whole = cand.join(repeated, ["name", "span"]).select("k", "h", "lo", "hi")
     mixed = groups.groupBy("name").agg(F.count("*").alias("g"), F.count_if(F.col("n") == 1).alias("singles")).where("g > 1 and singles > 0").select("name")
-    mixed = table(spark, mixed, "mixed")
+    mixed = table(mixed, "mixed")
     edge = groups.join(mixed, "name").select("one.*", F.least("n", F.lit(2)).cast("int").alias("weight"))
     todo = edge.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi", "weight")).alias("todo"))
     d = docs.select("k", "h", "text").alias("d")
     t = todo.alias("t")
     with_text = d.join(t, F.col("d.k").eqNullSafe(F.col("t.k")) & (F.col("d.h") == F.col("t.h"))).select("d.k", "d.h", "d.text", "t.todo")
     # A row that is there twice has groups of two at least: its windows come twice, with the weight of a group.
-    wins = table(spark, _windows(with_text, window), "windows")
-    twice = table(spark, wins.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2"), "twice")
+    wins = table(_windows(with_text, window), "windows")
+    scratch.drop(groups, mixed)
+    twice = table(wins.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2"), "twice")
     fine = wins.where("weight = 1").join(twice, ["w1", "w2"]).select("k", "h", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
     # A document's spans are as many as its windows at most.
-    return whole.unionByName(fine).groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return scratch.keep(whole.unionByName(fine).groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
-def _remove(rows: DataFrame, text: str, out: list[str]) -> DataFrame:
-    at, spans = rows.columns.index(text), rows.columns.index("spans")
-    kept = [f for i, f in enumerate(rows.schema.fields) if i != spans]
+def _remove(rows: DataFrame, names: list[str], text: int, out: list[str]) -> DataFrame:
+    """rows: columns to be called `names`, of which number `text` is the text, then the spans."""
+    n = len(names)
+    kept = [T.StructField(c, f.dataType, f.nullable) for c, f in zip(names, rows.schema.fields[:n], strict=True)]
     schema = T.StructType([*kept, T.StructField(out[0], T.LongType()), T.StructField(out[1], T.LongType()), T.StructField(out[2], T.StringType())])
 
     def one(words: list[bytes], found: list[dict] | None) -> tuple[int, int, bytes]:
@@ -285,11 +286,11 @@ def _remove(rows: DataFrame, text: str, out: list[str]) -> DataFrame:
         for whole in batches:
             for r in range(0, whole.num_rows, ROWS):
                 b = whole.slice(r, ROWS)
-                got = [one(w, s) for w, s in zip(_split(b.column(at)), b.column(spans).to_pylist(), strict=True)]
+                got = [one(w, s) for w, s in zip(_split(b.column(text)), b.column(n).to_pylist(), strict=True)]
                 made = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != spans), *made], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, rounds: int = 6, cap: int = 24) -> DataFrame:
@@ -297,12 +298,16 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     those covered by a window of `window` words whose sequence also starts anywhere else, in any row; joined by a space.
 
     Windows are judged on the input. Null and empty texts have no words and keep "". Rows repeated in key and text count
-    as occurrences of their own, so they repeat each other. Null keys are allowed. Columns with the new names are
-    replaced, all others stay. An empty table gives an empty result.
+    as occurrences of their own, so they repeat each other. Null keys are allowed; texts of any length are read whole. Columns
+    with the new names are replaced, all others stay, whatever their names. An empty table gives an empty result.
     """
     df = without(df, "n_words", "n_removed", "kept_text")
     ship(df.sparkSession)
-    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    found = repeats(df.select(F.col(key).alias("k"), h.alias("h"), F.col(text).alias("text")), window, rounds, cap)
-    j = df.withColumn("__h", h).join(found.withColumnsRenamed({"k": "__k", "h": "__g"}), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__g")), "left")
-    return _remove(j.select(*df.columns, "spans"), text, ["n_words", "n_removed", "kept_text"])
+    names, inner = df.columns, [f"__{i}" for i in range(len(df.columns))]
+    at, df = names.index(text), df.toDF(*inner)
+    h = F.xxhash64(F.coalesce(F.col(inner[at]), F.lit("")))
+    k = F.col(inner[names.index(key)])
+    with Scratch(df.sparkSession) as scratch:
+        found = repeats(scratch, df.select(k.alias("k"), h.alias("h"), F.col(inner[at]).alias("text")), window, rounds, cap)
+    j = df.withColumn("own", h).join(found, k.eqNullSafe(F.col("k")) & (F.col("own") == F.col("h")), "left")
+    return _remove(j.select(*inner, "spans"), names, at, ["n_words", "n_removed", "kept_text"])

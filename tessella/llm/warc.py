@@ -11,10 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import scratch
+from tessella.llm.common import Scratch
 
 CRLF = "\r\n"
 END = "\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 @dataclass(frozen=True)
@@ -32,15 +33,18 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, archive: Archive | None = None) -> Archive:
+def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, archive: Archive | None = None, date: str = "1970-01-01T00:00:00Z") -> Archive:
     """Write a record per row. Of rows with equal payloads of min_bytes or more, that with the largest key is a response, the rest revisit it.
 
-    A null payload counts as empty, a null url as "urn:none". Rows of the same key are records of their own; several
+    A null payload counts as empty, a null url as "urn:none"; payloads of any length are kept whole. `date` is the records'
+    WARC-Date. Rows of the same key are records of their own; several
     rows with equal payloads and the same largest key are all responses. Other columns
     are not stored. An empty table gives an empty archive.
     """
     spark = pages.sparkSession
-    archive = archive or Archive(scratch(spark, "headers"), scratch(spark, "payloads"))
+    if archive is None:
+        root = Scratch(spark).root
+        archive = Archive(f"{root}/headers", f"{root}/payloads")
     rows = pages.select(F.col(key).alias("record_key"), F.coalesce(F.col(url), F.lit("urn:none")).alias("target"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("data")).withColumn("digest", F.sha2("data", 256))
     # One row for each payload. Copies are merged before the shuffle, so a hot payload travels once from each task.
     rows.groupBy("digest").agg(F.max("record_key").alias("owner"), F.any_value("data").alias("data")).write.option("compression", "zstd").parquet(archive.payloads)
@@ -52,8 +56,8 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit(f"{CRLF}WARC-Record-ID: <urn:record:"), F.coalesce(F.col("record_key").cast("string"), F.lit("none")),
         F.lit(f">{CRLF}WARC-Target-URI: "), F.regexp_replace("target", "[\\r\\n]", " "),
-        F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), F.col("payload_digest"),
-        F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Refers-To: <urn:record:"), F.col("owner").cast("string"), F.lit(">"))).otherwise(""),
+        F.lit(f"{CRLF}WARC-Date: {date}{CRLF}WARC-Payload-Digest: sha1:"), F.col("payload_digest"),
+        F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: <urn:record:"), F.col("owner").cast("string"), F.lit(">"))).otherwise(""),
         F.lit(f"{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(END),
     )
     records.select("record_key", "digest", head.cast("binary").alias("header")).write.option("compression", "zstd").parquet(archive.headers)
