@@ -1,9 +1,9 @@
 """Edge cases of the training-data operators: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import random
-from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,16 +42,34 @@ def test_pieces(spark, odd, none):
 @given(st.text(max_size=80))
 def test_pieces_equal_the_library(text):
     c = piece_codec.codec(piece_codec.default_model())
-    ids = c.encode(text)
-    c.check_all([text], [ids], [c.decode(ids)])
-    c.check([text], [ids], [c.decode(ids)])
+    flat, sizes = c.encode_all([text, text + text])
+    c.check([text, text + text], flat, sizes, [c.decode(c.encode(t)) for t in (text, text + text)])
 
 
-def test_piece_check_finds_a_difference():
+def test_heaps_and_matrices_agree():
+    c = piece_codec.codec(piece_codec.default_model())
+    for chunk in ("▁international", "▁▁▁▁▁", "▁naïveté", "▁天地玄黃", "▁" + "ab" * 19):
+        assert c.agenda(chunk) == c.encode_chunks(pa.array([chunk]))[0].tolist()
+
+
+@pytest.mark.parametrize("at", [0, 1, 2])
+def test_piece_check_finds_a_wrong_merge_in_any_text(at):
     c = piece_codec.PieceCodec(piece_codec.default_model())
-    c.known["▁wrong"] = array("I", [5]).tobytes()
-    with pytest.raises(AssertionError):
-        c.check(["wrong"], [c.encode("wrong")], ["wrong"])
+    texts = ["plain words", "more of them", "and the last"]
+    texts[at] = "the wrong way"
+    slot = c.merges._find(*(np.array([c.merges.of_char[ord(x)]]) for x in "wr"))
+    c.merges.ranks[slot] = 0  # this pair merges before all others
+    c.merges.made[slot] = c.merges.of_char[ord("w")]
+    flat, sizes = c.encode_all(texts)
+    with pytest.raises(AssertionError, match="ids differ"):
+        c.check(texts, flat, sizes, texts)
+
+
+def test_piece_check_finds_a_wrong_decoded_text():
+    c = piece_codec.codec(piece_codec.default_model())
+    texts = ["plain words", "more of them"]
+    with pytest.raises(AssertionError, match="decoded"):
+        c.check(texts, *c.encode_all(texts), ["plain words", "more of then"])
 
 
 def test_media(odd, none):
