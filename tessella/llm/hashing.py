@@ -9,12 +9,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.llm.common import ship
+from tessella.llm.common import lean, ship
 
 #: Words (ASCII letters, digits, underscore, characters beyond ASCII) and runs of other marks.
 TOKENS = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^\sA-Za-z0-9_\x80-\xff]+")
 
+#: Bytes of text of a labelled sample at most.
+SAMPLE_BYTES = 48_000_000
+
 
 def token_hashes(tokens: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
@@ -28,16 +32,28 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, y) of at most `most` labelled documents, half of each class where there are as many, chosen by a hash of the key.
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text", most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(key, text, y) of labelled documents to learn from: at most `most`, half of each class where there are as many, and of these
+    as many as have `most_bytes` bytes of text together, taken by turns from the classes in the order of a hash of the key.
 
-    A key with several labels gets their rounded mean; null labels and keys do not count. The chosen keys are at most
-    `most` rows, so they are broadcast. A key with several documents gives a row for each.
+    Texts are whole: a document of more than what is left is passed over. A key with several labels gets their rounded mean, one
+    with several documents gives the one whose text has the smallest hash; null labels and keys do not count. Only numbers of the
+    chosen documents, `most` rows at most, come to the driver.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     half = [ids.where(F.col("y") == y).orderBy(F.xxhash64(F.col(key)), key).limit(most // 2) for y in (0, 1)]
     ids = half[0].unionByName(half[1])
-    return docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(ids.select(key, "y")), key)
+    told = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(ids.select(key, "y")), key)
+    told = told.withColumn("h", F.xxhash64("text")).withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)))
+    rows = told.groupBy(key, "y").agg(F.min(F.struct("h", "n")).alias("t")).select(F.col(key), F.col("y"), "t.h", "t.n", F.xxhash64(key).alias("o")).collect()
+    turns = [(i, r) for y in (0, 1) for i, r in enumerate(sorted((r for r in rows if r.y == y), key=lambda r: (r.o, r[key])))]
+    left, taken = most_bytes, []
+    for _, r in sorted(turns, key=lambda t: (t[0], t[1].y)):
+        if r.n <= left:
+            left -= r.n
+            taken.append((r[key], r.h))
+    picked = docs.sparkSession.createDataFrame(taken, T.StructType([T.StructField("__key", docs.schema[key].dataType), T.StructField("h", T.LongType())]))
+    return told.join(F.broadcast(picked.withColumnRenamed("h", "__hash")), (F.col(key) == F.col("__key")) & (F.col("h") == F.col("__hash"))).select(key, "text", "y").dropDuplicates([key])
 
 
 def collect_features(rows: DataFrame, features: Callable[[bytes], tuple[np.ndarray, np.ndarray]], key: str = "doc_id") -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -49,7 +65,7 @@ def collect_features(rows: DataFrame, features: Callable[[bytes], tuple[np.ndarr
             got = [features(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.int32).tobytes() for x, _ in got], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary())], names=["k", "y", "x", "v"])
 
-    made = rows.select(F.xxhash64(key).alias("k"), F.col("y"), "text").mapInArrow(run, "k long, y int, x binary, v binary").collect()
+    made = rows.select(F.xxhash64(key).alias("k"), F.col("y"), "text").mapInArrow(lean(run), "k long, y int, x binary, v binary").collect()
     made.sort(key=lambda r: (r.k, r.x, r.v, r.y))
     # The rows' bytes stay under the arrays; nothing is copied.
     return [(r.y, np.frombuffer(r.x, np.int32), np.frombuffer(r.v, np.float32)) for r in made]
