@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, line_dedup, piece_codec, simhash, toxicity
-from tessella.llm.common import fold, mark, read, scratch, sweep
+from tessella.llm.common import Scratch, fold, read
 
 #: SQL cannot train the first stage's classifier or run the last stage's tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -16,52 +16,80 @@ ORACLE_SQL = None
 #: A repeated line of so many words goes even where its neighbours differ.
 PASSAGE_WORDS = 50
 
-_began = [0]
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs with names for all columns but doc_id and text that no operator uses, and what gives them back their names; columns
+    given to it by name take the place of those of the input."""
+    inner = [c if c in ("doc_id", "text") else f"__column{i}" for i, c in enumerate(docs.columns)]
 
-def _next_stage(spark: SparkSession) -> None:
-    """The input of a stage is written, so the scratch tables of the stage before it can go."""
-    now = mark()
-    sweep(spark, _began[0], now)
-    _began[0] = now
+    def back(df: DataFrame, **new) -> DataFrame:
+        return df.select(*[new.get(name, F.col(c)).alias(name) for name, c in zip(docs.columns, inner, strict=True)])
+
+    return docs.toDF(*inner), back
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go. Labels that op10 holds out are not learned from."""
-    _began[0] = mark()
+    """Documents that score 0.5 or more go. Labels that op10 holds out are not learned from.
+
+    Null, empty and very long texts, repeated rows and null doc_ids are scored like any others; ties are none, for each row is
+    judged by itself. Without labels nothing goes. Columns of any names stay as they are; an empty table stays empty.
+    """
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold("doc_id", 5) != 0)
-    scored = toxicity.score(docs, toxicity.train(docs, labels), out="toxic_score", spans="toxic_spans")
-    return scored.where("toxic_score < 0.5").select(*docs.columns)
+    rows, back = _apart(docs)
+    scored = toxicity.score(rows, toxicity.train(rows, labels), out="toxic_score", spans="toxic_spans")
+    return back(scored.where("toxic_score < 0.5"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines and of repeated one-line passages go; every document stays, with the lines it keeps and their length."""
-    _next_stage(spark)
-    done = line_dedup.dedup(docs, passage_words=PASSAGE_WORDS)
+    """Later copies of repeated runs of lines and of repeated one-line passages go; every document stays, with the lines it keeps.
+
+    n_chars, if there is such a column, gets the new length where lines went. The first copy is that of the smallest doc_id
+    (nulls first); rows alike in doc_id and text count as one and are treated alike. Null and empty texts stay as they
+    are, very long ones are split whole, columns of any names stay, and an empty table stays empty.
+    """
+    rows, back = _apart(docs)
+    done = line_dedup.dedup(rows, passage_words=PASSAGE_WORDS)
     changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        length = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(changed, length).otherwise(F.col(rows.columns[docs.columns.index("n_chars")]))
+    return back(done, **new)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, that of the smallest doc_id. Rows without doc_id stay."""
-    _next_stage(spark)
-    found = simhash.near_duplicates(docs.where("doc_id is not null").select("doc_id", "text"))
-    keep = found.where("doc_id = component").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of linked fingerprints stays: that of the smallest doc_id (nulls first), then text's hash.
+
+    Documents are told apart by doc_id and text, so unlike texts of one doc_id are documents of their own. Of rows alike in
+    both, that with the smallest hash of all its columns stays. Null and empty texts and texts without words have one fingerprint
+    and are one group. Very long texts are read whole, columns of any names stay, and an empty table stays empty.
+    """
+    rows, back = _apart(docs)
+    rows = rows.withColumn("__row", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
+    found = simhash.near_duplicates(rows.select("__row", "text"), key="__row")
+    keep = found.where(F.col("__row") == F.col("component")).select("__row").distinct()
+    whole = F.struct(*[F.col(c) for c in rows.columns if c != "__row"])
+    kept = rows.join(keep, "__row", "left_semi").groupBy("__row").agg(F.min_by(whole, F.xxhash64(whole)).alias("__kept"))
+    return back(kept.select("__kept.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark windows over a twentieth of their words or more go; others stay as they are."""
-    _next_stage(spark)
-    found = decontaminate.verdict(decontaminate.find(docs, read(spark, sf_dir, "benchmark")))
-    return found.where("not contaminated").select(*docs.columns)
+    """Documents with benchmark windows over a twentieth of their words or more go; others stay as they are.
+
+    Each row is judged by itself, so repeated rows and null doc_ids are like any others. Null and empty texts have no words and
+    stay; very long texts are searched whole; columns of any names stay, and an empty table stays empty.
+    """
+    rows, back = _apart(docs)
+    found = decontaminate.verdict(decontaminate.find(rows, read(spark, sf_dir, "benchmark")))
+    return back(found.where("not contaminated"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the piece ids of each whole text, and what they decode to."""
-    _next_stage(spark)
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the piece ids of each whole text, and what they decode to.
+
+    Null texts count as empty and have the begin and end ids; repeated rows and null doc_ids are like any others, other
+    columns are not returned, and an empty table gives an empty result.
+    """
     done = piece_codec.roundtrip(docs.select("doc_id", "text"))
     return done.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -76,14 +104,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pipeline's last table. Tables between the stages stand in the shared folder."""
-    docs = read(spark, sf_dir, "documents")
+    """The pipeline's last table. Tables between the stages stand in the shared folder, each until the next is written."""
+    scratch, docs, before = Scratch(spark), read(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            path = scratch(spark, name, keep=True)
-            out.write.parquet(path)
-            docs = spark.read.schema(out.schema).parquet(path)
-        else:
-            docs = out
+            docs = scratch.keep(docs, name)
+            if before is not None:
+                scratch.drop(before)
+            before = docs
     return docs
