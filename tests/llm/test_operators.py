@@ -301,3 +301,66 @@ def test_equal_windows_have_equal_anchors(seqs, w, rounds, cap):
     for a, b, c in zip(name.tolist(), lo.tolist(), hi.tolist(), strict=True):
         for i in range(b, c - w + 1):
             assert found.setdefault(tuple(flat[i : i + w]), a) == a
+
+
+def media_file(text=b"words " * 3000):
+    return media.build(media.padded(text))
+
+
+def test_media_tells_of_every_broken_file():
+    """Cuts and changed bytes anywhere give features or an error, and never more samples than the file has bytes."""
+    good, rng = media_file(), random.Random(5)
+    head = len(good) - len(media.padded(b"words " * 3000))
+    cases = [good[:n] for n in range(0, head + 40, 7)] + [None, b"", good + b"\0\0\0"]
+    for _ in range(1500):
+        b = bytearray(good)
+        for _ in range(rng.randrange(1, 4)):
+            b[rng.randrange(head)] = rng.choice([0, 1, 127, 255, rng.randrange(256)])
+        cases.append(bytes(b))
+    told = [media.inspect(c) for c in cases]
+    assert all((r["error"] is None) != (r["payload_sha256"] is None) for r in told)
+    assert all(r["error"] is not None or r["n_samples"] <= len(c) for r, c in zip(told, cases, strict=True))
+
+
+def patched(data, kind, at, value):
+    i = data.index(kind) + 4 + at
+    return data[:i] + value + data[i + len(value) :]
+
+
+def test_media_checks_tables():
+    good = media_file()
+    wrong = {
+        "key frame": patched(good, b"stss", 8, b"\0\0\xff\xff"), "outside": patched(good, b"stco", 8, b"\x7f\0\0\0"), "fit": patched(good, b"stsz", 8, b"\xff\xff\xff\xff"),
+        "times": patched(good, b"stts", 8, b"\0\0\0\1"), "order": patched(good, b"stsc", 8, b"\0\0\0\2"),
+    }
+    for word, data in wrong.items():
+        assert word in media.inspect(data)["error"]
+    deep = good
+    for _ in range(3000):
+        deep = media._box(b"moov", deep)
+    assert "deep" in media.inspect(deep)["error"]
+
+
+def test_media_reads_all_tracks_and_fragments():
+    """A second track without tables has its samples in two fragments, one with sizes of its own and one with defaults."""
+    import struct
+
+    pay = [b"A" * 10, b"B" * 30, b"C" * 20, b"D" * 20]
+    hdlr = media._full(b"hdlr", 0, 0, struct.pack(">I4s12x", 0, b"vide"), b"v\0")
+    mdhd = media._full(b"mdhd", 0, 0, struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0))
+    stsd = media._full(b"stsd", 0, 0, struct.pack(">I", 1), media._box(b"avc1", bytes(78)))
+    trak = lambda n: media._box(b"trak", media._full(b"tkhd", 0, 7, struct.pack(">IIIII", 0, 0, n, 0, 0)), media._box(b"mdia", mdhd, hdlr, media._box(b"minf", media._box(b"stbl", stsd))))
+    moov = media._box(b"moov", trak(1), trak(2), media._box(b"mvex", media._full(b"trex", 0, 0, struct.pack(">5I", 2, 1, 40, 20, media.NO_KEY))))
+
+    def moof(offset):
+        one = media._full(b"trun", 0, 0x1 | 0x200 | 0x400, struct.pack(">IiIIII", 2, offset, 10, 0, 30, media.NO_KEY))
+        two = media._full(b"trun", 0, 0x4, struct.pack(">II", 2, 0))
+        return media._box(b"moof", media._box(b"traf", media._full(b"tfhd", 0, 0x20000, struct.pack(">I", 2)), one, two))
+
+    size = len(moof(0))
+    data = moov + moof(size + 8) + media._box(b"mdat", *pay)
+    first, second = media.tracks(data)
+    assert len(first.sizes) == 0 and media.read_samples(data, second) == b"".join(pay)
+    assert second.sizes.tolist() == [10, 30, 20, 20] and second.times.tolist() == [0, 40, 80, 120] and second.duration == 160
+    assert second.keys.tolist() == [0, 2] and second.codec == "avc1" and second.handler == "vide"
+    assert [t["n_samples"] for t in media.inspect(data)["tracks"]] == [0, 4]
