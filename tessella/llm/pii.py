@@ -27,7 +27,7 @@ CANDIDATES = {
     "date": r"(?<![\w.])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w])",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\w)",
+    "phone": r"(?<![\w+])(?:(?:\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])|\(\d{3}\) ?)\d{3}|[2-9]\d{2}[ .-][2-9]\d{2})[ .-]\d{4}(?!\w)",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 ANY = "|".join(CANDIDATES.values())
@@ -110,13 +110,14 @@ def card(m: Column, key: str) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    """Ten-digit numbers; area and exchange start with 2 to 9. A country prefix stays."""
-    low = F.array(*[F.lit(2 if i in (0, 3) else 0) for i in range(10)])
-    radices = F.array(*[F.lit(8 if i in (0, 3) else 10) for i in range(10)])
+    """Ten-digit numbers. A country prefix stays. Without a prefix or brackets area and exchange start with 2 to 9; with either,
+    which mark a telephone number, they may start with 0 or 1 too, and then so do the pseudonym's."""
 
     def made(d: Column) -> Column:
-        new = feistel(F.zip_with(F.slice(d, F.size(d) - 9, F.lit(10)), low, lambda a, b: a - b), radices, key, "phone")
-        return F.when(F.size(d).between(10, 11), _refill(m, _strings(F.zip_with(new, low, lambda a, b: a + b))))
+        v = F.slice(d, F.size(d) - 9, F.lit(10))
+        low = F.transform(v, lambda x, i: F.when(i.isin(0, 3) & (x > 1), 2).otherwise(0))
+        radices = F.transform(v, lambda x, i: F.when(i.isin(0, 3), F.when(x > 1, 8).otherwise(2)).otherwise(10))
+        return F.when(F.size(d).between(10, 11), let(lambda w, b, r: _refill(m, _strings(F.zip_with(feistel(F.zip_with(w, b, lambda x, y: x - y), r, key, "phone"), b, lambda x, y: x + y))), v, low, radices))
 
     return let(made, _digits(m))
 
@@ -205,19 +206,22 @@ def _pseudonym(m: Column, key: str) -> Column:
     return F.coalesce(kind, F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value")))
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = "public test key", out: str = "private_text", count: str = "n_private") -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text: str = "text", out: str = "private_text", count: str = "n_private") -> DataFrame:
     """Add the text with every valid value replaced by its pseudonym, and the number of replaced values (long).
 
-    Null texts stay null with none replaced; empty texts stay empty. Columns with the new names are replaced, all others
-    stay. An empty table gives an empty result. The key is the caller's secret.
+    Null texts stay null with none replaced; empty texts stay empty, texts of any length are read whole, and equal rows are
+    treated alike. Columns with the new names are replaced, all others stay, whatever their names. An empty table gives an
+    empty result. The key is the caller's secret and has no default.
     """
+    if not key:
+        raise ValueError("a key is needed")
     df = without(df, out, count)
-    t = F.col(text)
+    t = F.col(f"`{text}`")
     # A text without a digit or an at sign has nothing to find.
     able = t.rlike("[0-9@]")
     found = F.transform(F.when(able, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))), lambda m: _pseudonym(m, key))
-    staged = df.withColumns({"__found": found, "__gaps": F.when(able, F.split(t, ANY, -1))})
-    glued = F.array_join(F.flatten(F.zip_with("__gaps", "__found", lambda g, m: F.array(g, F.coalesce(m["value"], F.lit(""))))), "")
-    n = F.coalesce(F.size(F.filter("__found", lambda m: m["kind"].isNotNull())), F.lit(0)).cast("long")
-    hit = F.size("__found") > 0
-    return staged.select(*df.columns, F.when(hit, glued).otherwise(t).alias(out), F.when(hit, n).otherwise(F.lit(0).cast("long")).alias(count))
+    staged = df.select(F.struct("*").alias("row"), t.alias("t"), found.alias("found"), F.when(able, F.split(t, ANY, -1)).alias("gaps"))
+    glued = F.array_join(F.flatten(F.zip_with("gaps", "found", lambda g, m: F.array(g, F.coalesce(m["value"], F.lit(""))))), "")
+    n = F.coalesce(F.size(F.filter("found", lambda m: m["kind"].isNotNull())), F.lit(0)).cast("long")
+    hit = F.size("found") > 0
+    return staged.select("row.*", F.when(hit, glued).otherwise(F.col("t")).alias(out), F.when(hit, n).otherwise(F.lit(0).cast("long")).alias(count))

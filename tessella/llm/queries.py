@@ -10,19 +10,25 @@ from pyspark.sql import functions as F
 from tessella.llm import decontaminate, line_dedup, media, pii, piece_codec, quality, simhash, substring_dedup, toxicity, warc
 from tessella.llm.common import Scratch, fold, read
 
+#: The query's key is public, so that its result can be checked; a caller of the operator brings a secret one.
+PII_KEY = "public test key"
+
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids and decoded text of each row, as digests. Null texts count as empty; repeated rows give a row each; no rows give none."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     done = piece_codec.roundtrip(docs)
     return done.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and words removed of each row. Null and empty texts have none; repeated rows repeat each other; no rows give none."""
     done = substring_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of each row's stored file, read back. Null and empty texts are one block of zeros; repeated rows give a row each."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     stored = media.pack(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).select("doc_id", "n_bytes", "media")
     found = media.unpack(Scratch(spark).keep(stored, "media"))
@@ -32,6 +38,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each row. Null and empty texts get the bias alone; a null doc_id has held_out null and is not learned from."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality").where(fold("doc_id", 3) != 1)
     scored = quality.score(docs, quality.train(docs, labels))
@@ -39,32 +46,38 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Each row's text with pseudonyms, and how many. Null texts stay null; equal values have equal pseudonyms in every row."""
+    done = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return done.select("doc_id", "n_private", F.col("private_text").alias("text"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each page, read back from the archive. Null payloads count as empty; of equal payloads the largest page_id is the response."""
     archive = warc.write(read(spark, sf_dir, "pages"))
     return warc.digests(spark, archive).withColumnRenamed("record_key", "page_id")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in each row. Null and empty texts have no words and are not contaminated; no items give no hits."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.verdict(decontaminate.find(docs, read(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each row. Null and empty texts have fingerprint zero and are linked like any others."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, lines removed and longest repeated run of each row. Null texts have none; rows alike in doc_id and text count as one."""
     done = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each row. Null and empty texts score 0; a null doc_id has held_out null and is not learned from."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold("doc_id", 5) != 0)
     scored = toxicity.score(docs, toxicity.train(docs, labels))

@@ -124,13 +124,13 @@ def test_toxicity_finds_sentences(spark, odd, none):
 
 def test_private(spark, odd, none):
     rows = ["4041894974608795 or 4041 8949 7460 8795", "4041894974608796", "300.1.1.1", "2023-02-29", "000-12-3456", "31.12.1999", "DE89 3704 0044 0532 0130 00", "x@y.example", "Ünï@cödé"]
-    out = [r.private_text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    out = [r.private_text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string"), "public test key").orderBy("doc_id").collect()]
     a, b = out[0].split(" or ")
     assert b.replace(" ", "") == a and a != rows[0][:16] and len(b) == 19
     assert out[1:5] == rows[1:5] and out[5] != rows[5] and out[6][:2] == "DE" and out[7].endswith("@y.example") and out[8] == rows[8]
-    done = pii.pseudonymise(odd).collect()
+    done = pii.pseudonymise(odd, "k").collect()
     assert len(done) == len(ROWS) and {r.doc_id: r.private_text for r in done}[1] is None
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, "k").count() == 0
     other = pii.pseudonymise(spark.createDataFrame([(1, rows[0])], "doc_id int, text string"), key="another").first().private_text
     assert other != out[0]
 
