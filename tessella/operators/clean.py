@@ -6,11 +6,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.operators import order
+from tessella.operators.near import nearest
 from tessella.registry import OperatorError, corr, numeric, stats
 
 
@@ -62,7 +64,7 @@ def fit_imputer(df: DataFrame, numeric_strategy: str = "median", categorical_str
         row = df.agg(*[F.avg(numeric(df, c)).alias(f"m{i}") for i, c in enumerate(nums)]).first()
         fills = {c: row[f"m{i}"] for i, c in enumerate(nums)}
     elif numeric_strategy == "median":
-        fills = {c: order.quantiles(df, numeric(df, c), [0.5])[0] for c in nums}
+        fills = {c: q[0] for c, q in zip(nums, order.many_quantiles(df, [numeric(df, c) for c in nums], [0.5]), strict=True)}
     elif numeric_strategy == "most_frequent":
         fills = {c: most_frequent(df, c) for c in nums}
     fills = {c: 0.0 if fills.get(c) is None else fills[c] for c in nums}
@@ -71,94 +73,171 @@ def fit_imputer(df: DataFrame, numeric_strategy: str = "median", categorical_str
     return Imputer(fills)
 
 
-def knn_impute(df: DataFrame, columns: list[str], k: int = 5, donors: int = 2000, key: str | None = None) -> DataFrame:
-    """Fill missing numbers by the mean of the k nearest donors that have the value, weighted by inverse distance.
+def knn_impute(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
+    """Fill missing numbers by the mean of the k nearest rows of all that have the value, weighted by inverse distance.
 
-    Donors are at most `donors` rows, chosen by a hash: the bounded sample goes to the executors, every row is filled. The
-    distance skips missing coordinates and scales up what is left.
+    The distance is Euclidean over the columns that both rows have, scaled up for those that they do not share; at equal
+    distances smaller values come first. Rows that share no column with any other take the mean. Rows stand as distinct points, so
+    copies cost nothing; a search runs for each two patterns of missing columns that occur.
     """
-    seed = F.xxhash64(*([key] if key else columns))
-    sample = df.select(*[numeric(df, c).alias(c) for c in columns]).orderBy(seed).limit(donors).toPandas().to_numpy(float)
-    means = np.nan_to_num(np.nanmean(sample, axis=0)) if len(sample) else np.zeros(len(columns))
-    sent = df.sparkSession.sparkContext.broadcast(sample)
-    kinds = ", ".join(f"x{i} double" for i in range(len(columns)))
-
-    @F.pandas_udf(kinds)
-    def fill(*cols):
-        import pandas as pd
-
-        x = np.column_stack([np.asarray(c, float) for c in cols])
-        d = sent.value
-        out = x.copy()
-        rows = np.flatnonzero(np.isnan(x).any(axis=1))
-        for i in rows:
-            seen = ~np.isnan(x[i])
-            diff = d[:, seen] - x[i, seen]
-            there = ~np.isnan(diff)
-            n = there.sum(axis=1)
-            dist = np.sqrt(np.where(n > 0, np.nansum(diff**2, axis=1) * len(columns) / np.maximum(n, 1), np.inf))
-            for j in np.flatnonzero(~seen):
-                have = np.flatnonzero(~np.isnan(d[:, j]) & np.isfinite(dist))
-                if not len(have):
-                    out[i, j] = means[j]
+    x = {c: numeric(df, c) for c in columns}
+    m, names = len(columns), [f"m{i}" for i in range(len(columns))]
+    inner = [f"__{i}" for i in range(len(df.columns))]
+    table = df.toDF(*inner)
+    kinds = dict(zip(df.columns, inner, strict=True))
+    table = table.select("*", *[numeric(table, kinds[c]).alias(n) for c, n in zip(columns, names, strict=True)])
+    shape = F.concat(*[F.col(n).isNull().cast("int").cast("string") for n in names])
+    points = table.select(*names, shape.alias("shape")).groupBy("shape", *names).agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    shapes = sorted(r["shape"] for r in points.select("shape").distinct().collect())
+    means = stats(df, **{f"a{i}": F.avg(v) for i, v in enumerate(x.values())})
+    fills = None
+    for q in shapes:
+        for j in (i for i in range(m) if q[i] == "1"):
+            for p in shapes:
+                both = [i for i in range(m) if q[i] == p[i] == "0"]
+                if p[j] == "1" or not both:
                     continue
-                best = have[np.argsort(dist[have], kind="stable")[:k]]
-                w = 1 / np.maximum(dist[best], 1e-12)
-                out[i, j] = (d[best, j] * w).sum() / w.sum()
-        return pd.DataFrame(out, columns=[f"x{i}" for i in range(len(columns))])
+                asked = points.where(F.col("shape") == q).select(*[F.col(names[i]).alias(f"x{d}") for d, i in enumerate(both)], F.lit(0.0).alias(f"x{len(both)}"), F.lit(0).cast("long").alias("don"), F.lit(True).alias("ask")).distinct()
+                have = points.where(F.col("shape") == p).select(*[F.col(names[i]).alias(f"x{d}") for d, i in enumerate(both)], F.col(names[j]).alias(f"x{len(both)}"), F.col("n").alias("don"), F.lit(False).alias("ask"))
+                xs = [f"x{d}" for d in range(len(both) + 1)]
+                mixed = asked.unionByName(have).groupBy(*xs).agg(F.sum("don").alias("don"), F.max("ask").alias("ask"))
+                got = nearest(mixed, len(xs), {"don": k}, F.col("ask"), carried=1).where(F.element_at(F.array(*xs), len(xs)) == 0)
+                got = got.select(*[F.col(f"x{d}").alias(names[i]) for d, i in enumerate(both)], F.transform("near_don", lambda s: F.struct((F.sqrt(s["d"] * F.lit(m / len(both)))).alias("d"), F.element_at(s["v"], -1).alias("v"), s["n"].alias("n"))).alias("near"))  # noqa: B023
+                rows = points.where(F.col("shape") == q).select(*names).distinct().join(got, [names[i] for i in both])
+                rows = rows.select(F.lit(j).alias("j"), F.to_json(F.array(*names)).alias("point"), "near")
+                fills = rows if fills is None else fills.unionByName(rows)
+    if fills is None:
+        filled = [F.coalesce(F.col(n), F.lit(means[f"a{i}"])) for i, n in enumerate(names)]
+        return table.select(*[filled[columns.index(c)].alias(c) if c in columns else F.col(i).alias(c) for c, i in kinds.items()])
+    near = F.array_sort(F.flatten(F.collect_list("near")))
+    # At most k rows: a point of several copies counts as often as there is room.
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
+
+    def add(s: Column, e: Column) -> Column:
+        take = F.least(e["n"], F.lit(k) - s["seen"])
+        w = take / F.greatest(e["d"], F.lit(1e-12))
+        return F.struct((s["seen"] + take).alias("seen"), (s["up"] + w * e["v"]).alias("up"), (s["down"] + w).alias("down"))
+
+    value = F.aggregate(near, start, add, lambda s: s["up"] / s["down"])
+    found = fills.groupBy("point", "j").agg(value.alias("fill")).groupBy("point").agg(F.map_from_entries(F.collect_list(F.struct("j", "fill"))).alias("fills"))
+    done = table.withColumn("point", F.to_json(F.array(*names))).join(found, "point", "left")
+    filled = [F.coalesce(F.col(n), F.element_at("fills", i), F.lit(means[f"a{i}"])) for i, n in enumerate(names)]
+    return done.select(*[filled[columns.index(c)].alias(c) if c in columns else F.col(i).alias(c) for c, i in kinds.items()])
 
-    filled = df.withColumn("__filled", fill(*[numeric(df, c) for c in columns]))
-    return filled.select(*[F.col(f"__filled.x{columns.index(c)}").alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 
+@dataclass
+class KnnFill:
+    """Fills from a bounded sample of rows, for tables that come after fitting: as knn_impute, among `donors` alone."""
 
-def iterative_impute(df: DataFrame, columns: list[str], rounds: int = 10, ridge: float = 1e-3) -> DataFrame:
-    """Fill missing numbers by rounds of ridge regressions of each column on the others, from sums over the table.
+    columns: list[str]
+    donors: list[list[float | None]]
+    k: int = 5
 
-    A round's normal equations are one aggregate; the fills stay expressions, so the rows are read once each round.
-    """
-    x = {c: numeric(df, c) for c in columns}
-    row = stats(df, **{f"m{i}": F.avg(v) for i, v in enumerate(x.values())})
-    means = [row[f"m{i}"] or 0.0 for i in range(len(columns))]
-    raw = df.select("*", *[v.alias(f"__x{i}") for i, v in enumerate(x.values())])
-    beta = {i: (means[i], [0.0] * len(columns)) for i in range(len(columns))}
-
-    def predicted(i: int, now: list[Column]) -> Column:
-        b, w = beta[i]
-        return sum((F.lit(float(w[j])) * now[j] for j in range(len(columns)) if j != i and w[j]), F.lit(float(b)))
-
-    start = [F.coalesce(F.col(f"__x{i}"), F.lit(float(means[i]))) for i in range(len(columns))]
-    for _ in range(rounds):
-        z = [F.when(F.col(f"__x{i}").isNull(), predicted(i, start)).otherwise(F.col(f"__x{i}")) for i in range(len(columns))]
-        flat = raw.select(*[f"__x{i}" for i in range(len(columns))], *[c.alias(f"z{i}") for i, c in enumerate(z)])
-        aggs = {}
-        for i in range(len(columns)):
-            have = F.col(f"__x{i}").isNotNull()
-            aggs[f"n{i}"] = F.count_if(have)
-            for a in range(len(columns)):
-                aggs[f"s{i}_{a}"] = F.sum(F.when(have, F.col(f"z{a}")))
-                for b in range(a, len(columns)):
-                    aggs[f"q{i}_{a}_{b}"] = F.sum(F.when(have, F.col(f"z{a}") * F.col(f"z{b}")))
-        r = stats(flat, **aggs)
-        new = {}
-        for i in range(len(columns)):
-            n = r[f"n{i}"]
-            others = [j for j in range(len(columns)) if j != i]
-            if not n or not others:
-                new[i] = beta[i]
+    @staticmethod
+    def fit(df: DataFrame, columns: list[str], k: int = 5, most: int = 2000) -> KnnFill:
+        """Donors are `most` rows at most, chosen by a hash of the numbers and of their order among copies."""
+        x = [numeric(df, c).alias(f"x{i}") for i, c in enumerate(columns)]
+        rows = df.select(*x).withColumn("u", F.xxhash64(F.monotonically_increasing_id(), *[f"x{i}" for i in range(len(columns))])).orderBy("u").limit(most).drop("u").collect()
+        return KnnFill(columns, [list(r) for r in rows], k)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        columns, k = self.columns, self.k
+        d = np.array([[np.nan if v is None else v for v in r] for r in self.donors], float).reshape(-1, len(columns))
+        sent = df.sparkSession.sparkContext.broadcast(d)
+
+        @F.pandas_udf(", ".join(f"x{i} double" for i in range(len(columns))))
+        def fill(*cols):
+            import pandas as pd
+
+            x = np.column_stack([np.asarray(c, float) for c in cols])
+            return pd.DataFrame(_near_fill(x, sent.value, k), columns=[f"x{i}" for i in range(len(columns))])
+
+        filled = df.withColumn("__filled", fill(*[numeric(df, c) for c in columns]))
+        return filled.select(*[F.col(f"__filled.x{columns.index(c)}").alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
+
+
+def _near_fill(x: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """x with missing numbers filled from its k nearest rows of d."""
+    out = x.copy()
+    have = ~np.isnan(d)
+    means = np.array([d[have[:, j], j].mean() if have[:, j].any() else 0.0 for j in range(d.shape[1])])
+    for i in np.flatnonzero(np.isnan(x).any(axis=1)):
+        seen = ~np.isnan(x[i])
+        diff = d[:, seen] - x[i, seen]
+        n = (~np.isnan(diff)).sum(axis=1)
+        dist = np.sqrt(np.where(n > 0, np.nansum(diff**2, axis=1) * x.shape[1] / np.maximum(n, 1), np.inf))
+        for j in np.flatnonzero(~seen):
+            at = np.flatnonzero(have[:, j] & np.isfinite(dist))
+            if not len(at):
+                out[i, j] = means[j]
                 continue
-            mean = {a: r[f"s{i}_{a}"] / n for a in range(len(columns))}
-            cov = lambda a, b: r[f"q{i}_{min(a, b)}_{max(a, b)}"] / n - mean[a] * mean[b]
-            m = np.array([[cov(a, b) for b in others] for a in others])
-            w = np.linalg.solve(m + ridge * (np.trace(m) / len(others) + 1e-12) * np.eye(len(others)), np.array([cov(a, i) for a in others]))
-            full = [0.0] * len(columns)
-            for j, v in zip(others, w, strict=True):
-                full[j] = float(v)
-            new[i] = (mean[i] - sum(full[j] * mean[j] for j in others), full)
-        moved = max(abs(new[i][0] - beta[i][0]) for i in new)
-        beta = new
-        if moved < 1e-9 * (1 + max(abs(m) for m in means)):
-            break
-    return raw.select(*[F.when(F.col(f"__x{columns.index(c)}").isNull(), predicted(columns.index(c), start)).otherwise(F.col(f"__x{columns.index(c)}")).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
+            best = at[np.lexsort((d[at, j], dist[at]))[:k]]
+            w = 1 / np.maximum(dist[best], 1e-12)
+            out[i, j] = (d[best, j] * w).sum() / w.sum()
+    return out
+
+
+@dataclass
+class RegressionFill:
+    """Fills from linear regressions on the other columns, whose missing numbers are at their means."""
+
+    columns: list[str]
+    means: list[float]
+    bias: list[float]
+    weights: list[list[float]]
+
+    @staticmethod
+    def fit(df: DataFrame, columns: list[str], rounds: int = 10, ridge: float = 1e-3) -> RegressionFill:
+        """Rounds of ridge regressions of each column on the others, from sums over the table: a round is one aggregate."""
+        x = [numeric(df, c) for c in columns]
+        m = len(columns)
+        row = stats(df, **{f"m{i}": F.avg(v) for i, v in enumerate(x)})
+        means = [row[f"m{i}"] or 0.0 for i in range(m)]
+        now = RegressionFill(columns, means, list(means), [[0.0] * m for _ in range(m)])
+        raw = df.select(*[v.alias(f"x{i}") for i, v in enumerate(x)])
+        for _ in range(rounds):
+            flat = raw.select("*", *[c.alias(f"z{i}") for i, c in enumerate(now._values([F.col(f"x{i}") for i in range(m)]))])
+            aggs = {}
+            for i in range(m):
+                have = F.col(f"x{i}").isNotNull()
+                aggs[f"n{i}"] = F.count_if(have)
+                for a in range(m):
+                    aggs[f"s{i}_{a}"] = F.sum(F.when(have, F.col(f"z{a}")))
+                    for b in range(a, m):
+                        aggs[f"q{i}_{a}_{b}"] = F.sum(F.when(have, F.col(f"z{a}") * F.col(f"z{b}")))
+            r = stats(flat, **aggs)
+            new = RegressionFill(columns, means, list(now.bias), [list(w) for w in now.weights])
+            for i in range(m):
+                n, others = r[f"n{i}"], [j for j in range(m) if j != i]
+                if not n or not others:
+                    continue
+                mean = {a: r[f"s{i}_{a}"] / n for a in range(m)}
+                cov = lambda a, b: r[f"q{i}_{min(a, b)}_{max(a, b)}"] / n - mean[a] * mean[b]  # noqa: B023, E731
+                g = np.array([[cov(a, b) for b in others] for a in others])
+                w = np.linalg.solve(g + ridge * (np.trace(g) / len(others) + 1e-12) * np.eye(len(others)), np.array([cov(a, i) for a in others]))
+                for j, v in zip(others, w, strict=True):
+                    new.weights[i][j] = float(v)
+                new.bias[i] = mean[i] - sum(new.weights[i][j] * mean[j] for j in others)
+            moved = max(abs(a - b) for a, b in zip(new.bias, now.bias, strict=True))
+            now = new
+            if moved < 1e-9 * (1 + max(map(abs, means))):
+                break
+        return now
+
+    def _values(self, x: list[Column]) -> list[Column]:
+        m = len(x)
+        start = [F.coalesce(v, F.lit(float(a))) for v, a in zip(x, self.means, strict=True)]
+        guess = [sum((F.lit(self.weights[i][j]) * start[j] for j in range(m) if j != i and self.weights[i][j]), F.lit(float(self.bias[i]))) for i in range(m)]
+        return [F.when(v.isNull(), g).otherwise(v) for v, g in zip(x, guess, strict=True)]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        filled = dict(zip(self.columns, self._values([numeric(df, c) for c in self.columns]), strict=True))
+        return df.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
+
+
+def iterative_impute(df: DataFrame, columns: list[str], rounds: int = 10, ridge: float = 1e-3) -> DataFrame:
+    """Fill missing numbers by rounds of ridge regressions of each column on the others."""
+    return RegressionFill.fit(df, columns, rounds, ridge).transform(df)
 
 
 @dataclass
@@ -213,13 +292,13 @@ def fit_outliers(df: DataFrame, method: str = "zscore", columns: list[str] | Non
         found = _zscore(df, columns, z, rare)
     elif method == "iqr":
         k = cut if cut is not None else 3.0 if n < 10_000 else 1.5
-        q = {c: order.quantiles(df, numeric(df, c), [0.25, 0.75]) for c in columns}
+        q = dict(zip(columns, order.many_quantiles(df, [numeric(df, c) for c in columns], [0.25, 0.75]), strict=True))
         found = Bounds({c: (None, None) if a is None else (a - k * (b - a), b + k * (b - a)) for c, (a, b) in q.items()}, protect=rare)
     else:
         raise OperatorError(f"unknown method {method!r}")
     kept = found.transform(df).count()
     if n and kept < n / 2:
-        q = {c: order.quantiles(df, numeric(df, c), [0.01, 0.99]) for c in columns}
+        q = dict(zip(columns, order.many_quantiles(df, [numeric(df, c) for c in columns], [0.01, 0.99]), strict=True))
         found = Bounds({c: (None, None) if a is None else (a - 5 * (b - a), b + 5 * (b - a)) for c, (a, b) in q.items()}, protect=rare)
         kept = found.transform(df).count()
         if kept < 0.8 * n:
@@ -229,7 +308,7 @@ def fit_outliers(df: DataFrame, method: str = "zscore", columns: list[str] | Non
 
 
 def _zscore(df: DataFrame, columns: list[str], z: float, rare: tuple[str, Any] | None) -> Bounds:
-    fills = {c: order.quantiles(df, numeric(df, c), [0.5])[0] or 0.0 for c in columns}
+    fills = {c: q[0] or 0.0 for c, q in zip(columns, order.many_quantiles(df, [numeric(df, c) for c in columns], [0.5]), strict=True)}
     x = {c: F.coalesce(numeric(df, c), F.lit(fills[c])) for c in columns}
     row = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(x.values()) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     ranges = {c: (row[f"m{i}"] - z * row[f"s{i}"], row[f"m{i}"] + z * row[f"s{i}"]) if row[f"s{i}"] else (None, None) for i, c in enumerate(x)}
@@ -288,26 +367,53 @@ class IsolationForest:
         return 2 ** -(total / len(self.grown) / self.scale)
 
 
-def isolation_forest(df: DataFrame, columns: list[str], contamination: float = 0.05, sample_rows: int = 20_000, out: str | None = None, seed: int = 42) -> DataFrame:
-    """Drop the share `contamination` of the most isolated rows, or with out, add their score. Grown on a bounded hash sample."""
-    row = stats(df, **{f"m{i}": F.avg(numeric(df, c)) for i, c in enumerate(columns)})
-    x = [F.coalesce(numeric(df, c), F.lit(row[f"m{i}"] or 0.0)) for i, c in enumerate(columns)]
-    sample = df.select(*[c.alias(f"x{i}") for i, c in enumerate(x)]).orderBy(F.xxhash64(*[f"x{i}" for i in range(len(x))])).limit(sample_rows).toPandas().to_numpy(float)
-    if not len(sample):
-        return df.withColumn(out, F.lit(None).cast("double")) if out else df
-    sent = df.sparkSession.sparkContext.broadcast(IsolationForest(seed=seed).fit(sample))
+@dataclass
+class Isolation:
+    """A fitted isolation forest, as plain lists: rows that score over the cut are the most isolated."""
+
+    columns: list[str]
+    means: list[float]
+    trees: list[list[list[float]]]
+    usual: float
+    cut: float
 
-    @F.pandas_udf("double")
-    def score(*cols):
-        import pandas as pd
+    @staticmethod
+    def fit(df: DataFrame, columns: list[str], contamination: float = 0.05, sample_rows: int = 20_000, seed: int = 42) -> Isolation | None:
+        """Grown on a bounded hash sample, which also gives the cut: the share `contamination` of it scores higher."""
+        row = stats(df, **{f"m{i}": F.avg(numeric(df, c)) for i, c in enumerate(columns)})
+        means = [row[f"m{i}"] or 0.0 for i in range(len(columns))]
+        x = [F.coalesce(numeric(df, c), F.lit(a)).alias(f"x{i}") for i, (c, a) in enumerate(zip(columns, means, strict=True))]
+        sample = df.select(*x).orderBy(F.xxhash64(*[f"x{i}" for i in range(len(x))])).limit(sample_rows).toPandas().to_numpy(float)
+        if not len(sample):
+            return None
+        forest = IsolationForest(seed=seed).fit(sample)
+        cut = float(np.quantile(forest.score(sample), 1 - contamination))
+        return Isolation(columns, means, [[a.tolist() for a in t] for t in forest.grown], float(forest.scale), cut)
+
+    def scores(self, df: DataFrame) -> Column:
+        forest = IsolationForest()
+        forest.grown, forest.scale = [tuple(np.array(a) for a in t) for t in self.trees], self.usual
+        sent = df.sparkSession.sparkContext.broadcast(forest)
+
+        @F.pandas_udf("double")
+        def score(*cols):
+            import pandas as pd
+
+            return pd.Series(sent.value.score(np.column_stack([np.asarray(c, float) for c in cols])))
+
+        return score(*[F.coalesce(numeric(df, c), F.lit(a)) for c, a in zip(self.columns, self.means, strict=True)])
 
-        return pd.Series(sent.value.score(np.column_stack([np.asarray(c, float) for c in cols])))
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Without the rows that score over the cut."""
+        return df.withColumn("__isolated", self.scores(df)).where(F.col("__isolated") <= self.cut).drop("__isolated")
 
-    scored = df.withColumn(out or "__score", score(*x))
+
+def isolation_forest(df: DataFrame, columns: list[str], contamination: float = 0.05, sample_rows: int = 20_000, out: str | None = None, seed: int = 42) -> DataFrame:
+    """Drop the share `contamination` of the most isolated rows, or with out, add their score. Grown on a bounded hash sample."""
+    found = Isolation.fit(df, columns, contamination, sample_rows, seed)
     if out:
-        return scored
-    cut = float(np.quantile(sent.value.score(sample), 1 - contamination))
-    return scored.where(F.col("__score") <= cut).drop("__score")
+        return df.withColumn(out, found.scores(df) if found else F.lit(None).cast("double"))
+    return found.transform(df) if found else df
 
 
 def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:

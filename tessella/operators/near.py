@@ -63,24 +63,24 @@ def closest(q: np.ndarray, r: np.ndarray, k: int) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def nearest(points: DataFrame, dims: int, kinds: dict[str, int], asks: Column) -> DataFrame:
+def nearest(points: DataFrame, dims: int, kinds: dict[str, int], asks: Column, carried: int = 0) -> DataFrame:
     """For each point that `asks`, its nearest points of each kind: near_<kind>, an array of (d, v, n) by distance and then by v.
 
     points: distinct x0, x1, ... with a count for each kind; kinds: how many points to find of each. A point of a kind (count
-    above 0) is among its own neighbours, at distance 0.
+    above 0) is among its own neighbours, at distance 0. The last `carried` numbers of a point have no part in distances.
     """
-    xs, names = [f"x{i}" for i in range(dims)], list(kinds)
+    xs, names, near = [f"x{i}" for i in range(dims)], list(kinds), dims - carried
     points = points.select(*xs, *names, asks.alias("asks")).persist(StorageLevel.MEMORY_AND_DISK)
     cells = min(CELLS, points.count() // CELL)
-    tree = _splits(points.select(*xs).orderBy(F.xxhash64(*xs), *xs).limit(64 * cells).toPandas().to_numpy(float), cells) if cells > 1 else 0
+    tree = _splits(points.select(*xs).orderBy(F.xxhash64(*xs), *xs).limit(64 * cells).toPandas().to_numpy(float)[:, :near], cells) if cells > 1 else 0
 
     def place(batches):
         for b in batches:
-            yield b.assign(cell=_leaf(tree, b[xs].to_numpy(float)))
+            yield b.assign(cell=_leaf(tree, b[xs[:near]].to_numpy(float)))
 
     dealt = points.mapInPandas(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields) + ", cell long").persist(StorageLevel.MEMORY_AND_DISK)
     box = dealt.groupBy("cell").agg(*[f(x).alias(f"{n}{x}") for x in xs for n, f in (("lo", F.min), ("hi", F.max))], *[F.count_if(F.col(n) > 0).alias(n) for n in names]).orderBy("cell").toPandas()
-    low, high, ids = box[[f"lo{x}" for x in xs]].to_numpy(float), box[[f"hi{x}" for x in xs]].to_numpy(float), box["cell"].to_numpy()
+    low, high, ids = box[[f"lo{x}" for x in xs[:near]]].to_numpy(float), box[[f"hi{x}" for x in xs[:near]]].to_numpy(float), box["cell"].to_numpy()
     have = {n: box[n].to_numpy() for n in names}
     found = ", ".join(f"near_{n} array<struct<d double, v array<double>, n long>>" for n in names)
     head = ", ".join(f"{x} double" for x in xs)
@@ -88,7 +88,7 @@ def nearest(points: DataFrame, dims: int, kinds: dict[str, int], asks: Column) -
     def lists(q: np.ndarray, part, n: str) -> list:
         r = part[part[n] > 0].sort_values(xs)
         v, m = r[xs].to_numpy(float), r[n].to_numpy()
-        return [[{"d": float(d), "v": v[j].tolist(), "n": int(m[j])} for d, j in zip(*pair, strict=True)] for pair in closest(q, v, kinds[n])]
+        return [[{"d": float(d), "v": v[j].tolist(), "n": int(m[j])} for d, j in zip(*pair, strict=True)] for pair in closest(q[:, :near], v[:, :near], kinds[n])]
 
     def home(part):
         import pandas as pd
@@ -102,8 +102,9 @@ def nearest(points: DataFrame, dims: int, kinds: dict[str, int], asks: Column) -
             if len(ids) < 2:
                 continue
             for i, got in enumerate(out[f"near_{n}"]):
-                least = (np.maximum(np.maximum(low - q[i], q[i] - high), 0) ** 2).sum(axis=1)
-                most = (np.maximum(np.abs(low - q[i]), np.abs(high - q[i])) ** 2).sum(axis=1)
+                at = q[i, :near]
+                least = (np.maximum(np.maximum(low - at, at - high), 0) ** 2).sum(axis=1)
+                most = (np.maximum(np.abs(low - at), np.abs(high - at)) ** 2).sum(axis=1)
                 o = np.argsort(most, kind="stable")
                 full = np.searchsorted(np.cumsum(have[n][o]), kinds[n])
                 bound = most[o[full]] if full < len(o) else np.inf

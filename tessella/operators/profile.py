@@ -65,7 +65,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> dict[str
         x = numeric(df, c)
         aggs += [f(x).alias(f"{n}{i}") for n, f in (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max), ("skew", F.skewness), ("kurt", F.kurtosis), ("distinct", F.approx_count_distinct))]
     row = df.agg(*aggs).first()
-    quart = {c: order.quantiles(df, numeric(df, c), [0.25, 0.5, 0.75]) for c in columns}
+    quart = dict(zip(columns, order.many_quantiles(df, [numeric(df, c) for c in columns], [0.25, 0.5, 0.75]), strict=True))
     beyond = []
     for i, c in enumerate(columns):
         q1, _, q3 = quart[c]

@@ -149,10 +149,20 @@ def impute_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.fit_imputer(df, columns=["priority_n"]).transform(df).select("o_orderkey", F.col("priority_n").alias("value"))
 
 
-@query("impute_knn")
+_KNN = f"""
+with t as (select event_id, case when event_id % 17 = 0 then null else user_id::double end as u, hour(ts)::double + minute(ts)::double / 60.0::double as h, value_n as v from {EVENTS_N}),
+p as (select q.event_id, d.v, sqrt((coalesce((q.u - d.u) * (q.u - d.u), 0) + (q.h - d.h) * (q.h - d.h)) * (3.0::double / (1 + (q.u is not null and d.u is not null)::int))) as dist
+  from t q, t d where q.v is null and d.v is not null),
+r as (select *, row_number() over (partition by event_id order by dist, v) as i from p),
+f as (select event_id, sum(v / greatest(dist, 1e-12::double)) / sum(1 / greatest(dist, 1e-12::double)) as filled from r where i <= 5 group by event_id)
+select event_id, round(coalesce(v, filled), 6) + 0.0 as value from t left join f using (event_id)
+"""
+
+
+@query("impute_knn", _KNN)
 def impute_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = source(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("double").alias("u"), "value_n")
-    return clean.knn_impute(df, ["u", "value_n"], key="event_id").select("event_id", real("value_n").alias("value"))
+    df = source(spark, sf_dir, "events").selectExpr("event_id", "case when event_id % 17 = 0 then null else cast(user_id as double) end as u", "cast(hour(ts) as double) + cast(minute(ts) as double) / 60.0D as h", "value_n")
+    return clean.knn_impute(df, ["u", "h", "value_n"]).select("event_id", real("value_n").alias("value"))
 
 
 @query("impute_iterative")

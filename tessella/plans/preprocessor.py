@@ -16,7 +16,7 @@ from tessella.registry import OperatorError, corr, numeric, stats
 #: Settings and their defaults.
 DEFAULTS: dict[str, Any] = {
     "missing": "median", "categorical_missing": "most_frequent", "outliers": None, "correlation": 0.95, "generate": "none", "select": "none", "max_features": 20,
-    "scale": "standard", "encode": "onehot", "max_categories": 50, "reduce": None, "variance": 0.95, "balance": None, "entity": None,
+    "scale": "standard", "encode": "onehot", "max_categories": 50, "reduce": None, "variance": 0.95, "balance": None, "entity": None, "dates": False, "target_means": False,
 }
 
 PRESETS: dict[str, dict[str, Any]] = {
@@ -46,16 +46,42 @@ class PreprocessorModel:
     scales: dict[str, list[float]] = field(default_factory=dict)
     categories: dict[str, list[str]] = field(default_factory=dict)
     made: dict[str, dict[str, float]] = field(default_factory=dict)
+    knn: dict[str, Any] | None = None
+    regression: dict[str, Any] | None = None
+    isolation: dict[str, Any] | None = None
+    times: list[str] = field(default_factory=list)
+    target_means: dict[str, dict[str, float]] = field(default_factory=dict)
 
     def _base(self, df: DataFrame, drop_rows: bool) -> DataFrame:
         for c in self.inputs:
             if c not in df.columns:
                 df = df.withColumn(c, F.lit(0.0))
-        df = Imputer(self.fills).transform(df)
+        df = self._filled(df)
+        if drop_rows and self.isolation:
+            df = clean.Isolation(**self.isolation).transform(df)
         if drop_rows and self.ranges:
             df = Bounds({c: tuple(r) for c, r in self.ranges.items()}, self.range_fills, tuple(self.protect) if self.protect else None, self.strict).transform(df)
         return df.drop(*[c for c in self.dropped if c != self.target])
 
+    def _filled(self, df: DataFrame) -> DataFrame:
+        """Dates and target means are columns, and nothing that was fitted is missing."""
+        for c in (*self.times, *self.target_means):
+            if c not in df.columns:
+                df = df.withColumn(c, F.lit(None).cast("timestamp_ntz" if c in self.times else "string"))
+        parts = [p.alias(n) for c in self.times for n, p in _date_parts(df, c).items()]
+        means = []
+        for c, known in self.target_means.items():
+            code = F.lit(None).cast("double")
+            for v, m in known.items():
+                code = F.when(F.col(f"`{c}`").cast("string") == v, F.lit(m)).otherwise(code)
+            means.append(code.alias(f"{c}_target_mean"))
+        df = df.select("*", *parts, *means)
+        if self.knn:
+            df = clean.KnnFill(**self.knn).transform(df)
+        if self.regression:
+            df = clean.RegressionFill(**self.regression).transform(df)
+        return Imputer(self.fills).transform(df)
+
     def _values(self, df: DataFrame) -> dict[str, Column]:
         """Each numeric feature as an expression, generated ones with fitted statistics."""
         out = {c: numeric(df, c) for c in self.numbers}
@@ -90,6 +116,8 @@ class PreprocessorModel:
                 cols.append(code.cast("double").alias(f"cat__{c}"))
             else:
                 cols += [F.coalesce((x == v).cast("double"), F.lit(0.0)).alias(f"cat__{c}_{v}") for v in cats]
+                if len(cats) >= self.config["max_categories"]:  # the rest, and what fitting has not seen
+                    cols.append(F.coalesce((~x.isin(cats)).cast("double"), F.lit(0.0)).alias(f"cat__{c}__other"))
         kept = [F.col(f"`{c}`") for c in dict.fromkeys((*keep, *([self.target] if self.target and self.target in df.columns else [])))]
         out = df.select(*cols, *kept)
         if self.config["reduce"] == "pca":
@@ -114,17 +142,28 @@ def fit(df: DataFrame, config: dict[str, Any] | str | None = None, target: str |
     config = DEFAULTS | (PRESETS[config] if isinstance(config, str) else config or {})
     skip = tuple(x for x in ((target,) if target else ()) + tuple(key or ()))
     features = [c for c in (*clean.numeric_columns(df, skip), *clean.category_columns(df, skip))]
-    strategy = config["missing"] if config["missing"] in ("mean", "median", "most_frequent", "constant") else "median"
-    imputer = clean.fit_imputer(df, strategy, config["categorical_missing"], features)
-    model = PreprocessorModel(config, target, features, imputer.fills)
+    model = PreprocessorModel(config, target, list(features), {})
+    if config["dates"]:
+        model.times = [c for c in clean.time_columns(df, skip)]
+    if config["target_means"] and target:
+        model.target_means = _target_means(df, target, skip)
+    df = model._filled(df)  # nothing is filled yet
     nums = clean.numeric_columns(df, skip)
     if config["missing"] == "knn" and nums:
-        df = clean.knn_impute(df, nums)
+        model.knn = asdict(clean.KnnFill.fit(df, nums))
+        df = clean.KnnFill(**model.knn).transform(df)
     elif config["missing"] == "iterative" and len(nums) > 1:
-        df = clean.iterative_impute(df, nums)
+        model.regression = asdict(clean.RegressionFill.fit(df, nums))
+        df = clean.RegressionFill(**model.regression).transform(df)
+    strategy = config["missing"] if config["missing"] in ("mean", "median", "most_frequent", "constant") else "median"
+    imputer = clean.fit_imputer(df, strategy, config["categorical_missing"], [*features, *nums])
+    model.fills = imputer.fills
     df = imputer.transform(df)
     if config["outliers"] == "isolation_forest":
-        df = clean.isolation_forest(df, nums)
+        forest = clean.Isolation.fit(df, nums)
+        if forest:
+            model.isolation = asdict(forest)
+            df = forest.transform(df)
     elif config["outliers"]:
         b = clean.fit_outliers(df, config["outliers"], nums, target)
         model.ranges, model.range_fills, model.strict = {c: list(r) for c, r in b.ranges.items()}, b.fills, b.strict
@@ -146,6 +185,28 @@ def fit(df: DataFrame, config: dict[str, Any] | str | None = None, target: str |
     return model
 
 
+def _date_parts(df: DataFrame, column: str) -> dict[str, Column]:
+    """Year, month, day, weekday from Monday as 0, weekend and hour (-1 for dates without a time)."""
+    t = F.col(f"`{column}`")
+    hour = F.lit(-1) if dict(df.dtypes)[column] == "date" else F.hour(t)
+    parts = {"year": F.year(t), "month": F.month(t), "day": F.dayofmonth(t), "dayofweek": F.weekday(t), "is_weekend": (F.weekday(t) >= 5).cast("int"), "hour": hour}
+    return {f"{column}_{n}": p.cast("double") for n, p in parts.items()}
+
+
+def _target_means(df: DataFrame, target: str, skip: tuple[str, ...], classes: int = 10, categories: int = 50) -> dict[str, dict[str, float]]:
+    """The target's mean by category, of text columns with fewer than `categories` values, if the target is a number with fewer
+    than `classes`. Categories not seen in fitting have none."""
+    if target not in clean.numeric_columns(df) or len(df.select(target).distinct().limit(classes).collect()) >= classes:
+        return {}
+    out = {}
+    for c in clean.category_columns(df, skip):
+        v = F.col(f"`{c}`").cast("string").alias("v")
+        rows = df.where(F.col(f"`{c}`").isNotNull()).groupBy(v).agg(F.avg(numeric(df, target)).alias("m")).orderBy("v").limit(categories).collect()
+        if len(rows) < categories:
+            out[c] = {r.v: r.m for r in rows if r.m is not None}
+    return out
+
+
 def _generate(model: PreprocessorModel, df: DataFrame, target: str | None, widest: int = 10, top: int = 20) -> None:
     how, nums = model.config["generate"], model.numbers
     if how == "none" or not nums:
@@ -178,8 +239,7 @@ def _scale(model: PreprocessorModel, wide: DataFrame) -> None:
     if how == "robust":
         from tessella.operators import order
 
-        for c in names:
-            a, m, b = order.quantiles(wide, F.col(f"`{c}`"), [0.25, 0.5, 0.75])
+        for c, (a, m, b) in zip(names, order.many_quantiles(wide, [F.col(f"`{c}`").cast("double") for c in names], [0.25, 0.5, 0.75]), strict=True):
             model.scales[c] = [m or 0.0, (b or 0.0) - (a or 0.0) or 1.0]
         return
     if how not in ("standard", "minmax"):

@@ -115,7 +115,7 @@ def test_imputers(spark, mixed):
     for how in ("mean", "median", "most_frequent", "constant"):
         done = clean.fit_imputer(mixed, how).transform(mixed)
         assert done.where("age is null or region is null").count() == 0
-    assert clean.knn_impute(mixed, ["age", "income"], key="id").where("age is null").count() == 0
+    assert clean.knn_impute(mixed, ["age", "income"]).where("age is null").count() == 0
     assert clean.iterative_impute(mixed, ["age", "income"], 3).where("age is null").count() == 0
 
 
