@@ -102,7 +102,7 @@ def knn_impute(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
                 xs = [f"x{d}" for d in range(len(both) + 1)]
                 mixed = asked.unionByName(have).groupBy(*xs).agg(F.sum("don").alias("don"), F.max("ask").alias("ask"))
                 got = nearest(mixed, len(xs), {"don": k}, F.col("ask"), carried=1).where(F.element_at(F.array(*xs), len(xs)) == 0)
-                got = got.select(*[F.col(f"x{d}").alias(names[i]) for d, i in enumerate(both)], F.transform("near_don", lambda s: F.struct((F.sqrt(s["d"] * F.lit(m / len(both)))).alias("d"), F.element_at(s["v"], -1).alias("v"), s["n"].alias("n"))).alias("near"))  # noqa: B023
+                got = got.select(*[F.col(f"x{d}").alias(names[i]) for d, i in enumerate(both)], F.transform("near_don", lambda s: F.struct((F.sqrt(s["d"] * F.lit(m / len(both)))).alias("d"), F.element_at(s["v"], 1).alias("v"), s["n"].alias("n"))).alias("near"))  # noqa: B023
                 rows = points.where(F.col("shape") == q).select(*names).distinct().join(got, [names[i] for i in both])
                 rows = rows.select(F.lit(j).alias("j"), F.to_json(F.array(*names)).alias("point"), "near")
                 fills = rows if fills is None else fills.unionByName(rows)

@@ -67,9 +67,11 @@ def nearest(points: DataFrame, dims: int, kinds: dict[str, int], asks: Column, c
     """For each point that `asks`, its nearest points of each kind: near_<kind>, an array of (d, v, n) by distance and then by v.
 
     points: distinct x0, x1, ... with a count for each kind; kinds: how many points to find of each. A point of a kind (count
-    above 0) is among its own neighbours, at distance 0. The last `carried` numbers of a point have no part in distances.
+    above 0) is among its own neighbours, at distance 0. The last `carried` numbers of a point have no part in distances; they come first in v, so at equal
+    distances they decide.
     """
     xs, names, near = [f"x{i}" for i in range(dims)], list(kinds), dims - carried
+    told = xs[near:] + xs[:near]
     points = points.select(*xs, *names, asks.alias("asks")).persist(StorageLevel.MEMORY_AND_DISK)
     cells = min(CELLS, points.count() // CELL)
     tree = _splits(points.select(*xs).orderBy(F.xxhash64(*xs), *xs).limit(64 * cells).toPandas().to_numpy(float)[:, :near], cells) if cells > 1 else 0
@@ -86,9 +88,9 @@ def nearest(points: DataFrame, dims: int, kinds: dict[str, int], asks: Column, c
     head = ", ".join(f"{x} double" for x in xs)
 
     def lists(q: np.ndarray, part, n: str) -> list:
-        r = part[part[n] > 0].sort_values(xs)
-        v, m = r[xs].to_numpy(float), r[n].to_numpy()
-        return [[{"d": float(d), "v": v[j].tolist(), "n": int(m[j])} for d, j in zip(*pair, strict=True)] for pair in closest(q[:, :near], v[:, :near], kinds[n])]
+        r = part[part[n] > 0].sort_values(told)
+        v, m, at = r[told].to_numpy(float), r[n].to_numpy(), r[xs[:near]].to_numpy(float)
+        return [[{"d": float(d), "v": v[j].tolist(), "n": int(m[j])} for d, j in zip(*pair, strict=True)] for pair in closest(q[:, :near], at, kinds[n])]
 
     def home(part):
         import pandas as pd

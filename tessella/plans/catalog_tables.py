@@ -92,7 +92,19 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, [(evaluate.rank_correlation(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"),)], "r double")
 
 
-@query("kendall")
+#: Pairs of rows that agree less those that do not, from running counts by level of the first column.
+_KENDALL = """
+with r as (select l_quantity as a, l_extendedprice as b, count(*) as n from lineitem group by 1, 2),
+levels as (select distinct a as level from r),
+c as (select r.a, r.b, r.n, level, coalesce(sum(case when a = level then n else 0 end) over (partition by level order by b groups between unbounded preceding and 1 preceding), 0) as below,
+  coalesce(sum(case when a = level then n else 0 end) over (partition by level order by b groups between 1 following and unbounded following), 0) as above from r, levels),
+s as (select sum(case when level < a then n::hugeint * (below - above) else 0 end)::double as s from c),
+t as (select sum(n)::double as n from r), ta as (select sum(x * (x - 1) / 2)::double as t from (select sum(n)::double as x from r group by a)), tb as (select sum(x * (x - 1) / 2)::double as t from (select sum(n)::double as x from r group by b))
+select round(s / sqrt((t.n * (t.n - 1) / 2 - ta.t) * (t.n * (t.n - 1) / 2 - tb.t)), 6) + 0.0 as r from s, t, ta, tb
+"""
+
+
+@query("kendall", _KENDALL)
 def kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, [(evaluate.kendall(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"),)], "r double")
 
@@ -116,7 +128,17 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, [(evaluate.mutual_information(read(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority"),)], "mi double")
 
 
-@query("mutual_information_binned")
+_MI = f"""
+with o as (select o_totalprice as x, event::varchar as y from {ORDERS}),
+q as (select list_distinct([quantile_cont(x, j / 16.0) for j in range(1, 16)]) as cuts from o)
+""".replace("[quantile_cont(x, j / 16.0) for j in range(1, 16)]", "[" + ", ".join(f"quantile_cont(x, {j / 16})" for j in range(1, 16)) + "]") + """,
+v as (select len([c for c in cuts if x > c]) as x, y from o, q), j as (select x, y, count(*)::double as n from v group by 1, 2), t as (select sum(n) as n from j),
+m as (select j.n, sum(j.n) over (partition by x) as a, sum(j.n) over (partition by y) as b from j)
+select round(greatest(0, sum(m.n / t.n * ln(m.n * t.n / (a * b)))), 6) + 0.0 as mi from m, t
+"""
+
+
+@query("mutual_information_binned", _MI)
 def mutual_information_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, [(evaluate.mutual_information(source(spark, sf_dir, "orders"), "o_totalprice", "event"),)], "mi double")
 
@@ -311,7 +333,20 @@ def drift_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, [(d,)], "ks double")
 
 
-@query("drift")
+_DRIFT = """
+with x as (select 'value' as feature, value as v, ts < timestamp '2024-01-16' as a from events union all select 'user', user_id::double, ts < timestamp '2024-01-16' from events),
+c as (select feature, v, count(*) filter (a)::double as na, count(*) filter (not a)::double as nb from x group by 1, 2),
+t as (select feature, count(*) filter (a)::double as n, count(*) filter (not a)::double as m, avg(v) filter (a) as ma, avg(v) filter (not a) as mb, stddev_pop(v) filter (a) as sa, stddev_pop(v) filter (not a) as sb,
+  quantile_cont(v, [0.25, 0.5, 0.75]) filter (a) as qa, quantile_cont(v, [0.25, 0.5, 0.75]) filter (not a) as qb from x group by 1),
+d as (select feature, max(abs(fa / n - fb / m)) as ks from (select c.feature, n, m, sum(na) over w as fa, sum(nb) over w as fb from c join t using (feature) window w as (partition by c.feature order by v)) group by 1),
+s as (select *, sqrt((sa * sa + sb * sb) / 2) as sd, ks * sqrt(n * m / (n + m)) as z from d join t using (feature)),
+p as (select *, case when z < 0.2 then 1.0 else greatest(0.0, least(1.0, 2 * list_sum([power(-1.0, k - 1) * exp(-2.0 * k * k * z * z) for k in range(1, 101)]))) end as p_value,
+  0.5 * ks + 0.3 * least(1.0, abs(ma - mb) / sd) + 0.2 * least(1.0, greatest(abs(qa[1] - qb[1]), abs(qa[2] - qb[2]), abs(qa[3] - qb[3])) / sd) as score from s)
+select feature, round(ks::double, 6) + 0.0 as ks, round(p_value::double, 6) + 0.0 as p_value, round(score::double, 6) + 0.0 as score, p_value < 0.05 and score > 0.3 as drifted from p
+"""
+
+
+@query("drift", _DRIFT)
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "events").select("ts", "value", F.col("user_id").cast("double").alias("user"))
     d = evaluate.drift(df.where("ts < timestamp_ntz'2024-01-16'"), df.where("ts >= timestamp_ntz'2024-01-16'"), ["value", "user"])
@@ -349,12 +384,47 @@ for _m in ("smote", "borderline", "adasyn", "svm", "kmeans"):
 
     query(f"balance_{_m}", "select toxic, (select max(n) from (select count(*) as n from documents join labels using (doc_id) group by toxic))::bigint as n from documents join labels using (doc_id) group by 1")(_smote)
 
-for _m in ("tomek", "nearmiss", "smoteenn", "smotetomek", "hybrid_mix", "self_paced"):
+#: Scaled points of the labelled documents; the larger class is 'big'.
+_POINTS = r"""
+with d as (select doc_id, n_chars::double as chars, len(string_split_regex(text, '\s+'))::double as words, toxic from documents join labels using (doc_id)),
+big as (select toxic as c from d group by 1 order by count(*) desc, toxic::varchar desc limit 1), s as (select stddev_pop(chars) as a, stddev_pop(words) as b from d),
+p as (select doc_id, chars / a as x, words / b as y, toxic = c as big from d, s, big),
+n as (select p.doc_id, p.big, p.x, p.y, q.doc_id as other, q.big as other_big, q.x as ox, q.y as oy, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) as dist from p, p q where p.doc_id <> q.doc_id)
+"""
+#: A row's nearest row: at equal distances its own class first, then the smallest point.
+_TOMEK = _POINTS + """,
+f as (select *, row_number() over (partition by doc_id order by dist, (other_big <> big)::int, ox, oy, other) as i from n),
+near as (select * from f where i = 1),
+-- places: a row whose nearest is of the other class, where that place's nearest is this one's
+link as (select a.doc_id from near a join near b on a.ox = b.x and a.oy = b.y and b.ox = a.x and b.oy = a.y where a.big and not a.other_big and not b.big and b.other_big)
+select doc_id from p where not (big and doc_id in (select doc_id from link)) and (select 1.0 * min(k) / max(k) from (select count(*) as k from p group by big)) < 0.8
+union all select doc_id from p where (select 1.0 * min(k) / max(k) from (select count(*) as k from p group by big)) >= 0.8
+"""
+_ENN = _POINTS + """,
+f as (select *, row_number() over (partition by doc_id order by dist, (other_big <> big)::int, ox, oy, other) as i from n),
+gone as (select doc_id from f where i <= 3 and big group by doc_id having count(*) filter (not other_big) > 1.5)
+select doc_id from p where doc_id not in (select doc_id from gone)
+"""
+
+
+@query("balance_tomek", _TOMEK)
+def balance_tomek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that stay when the Tomek links' rows of the larger class go."""
+    return balance.balance(_toxic(spark, sf_dir), "toxic", ["chars", "words"], ["doc_id"], "tomek").select("doc_id")
+
 
-    def _bordered(spark: SparkSession, sf_dir: str, how: str = _m) -> DataFrame:
+@query("balance_enn", _ENN)
+def balance_enn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that stay when those of the larger class go whose three nearest are mostly of the other."""
+    return balance.clean_borders(_toxic(spark, sf_dir), "toxic", ["chars", "words"], "enn").select("doc_id")
+
+
+for _how in ("nearmiss", "smoteenn", "smotetomek", "hybrid_mix", "self_paced"):
+
+    def _bordered(spark: SparkSession, sf_dir: str, how: str = _how) -> DataFrame:
         return balance.balance(_toxic(spark, sf_dir), "toxic", ["chars", "words"], ["doc_id"], how).groupBy("toxic").agg(F.count("*").alias("n"))
 
-    query(f"balance_{_m}")(_bordered)
+    query(f"balance_{_how}")(_bordered)
 
 
 # Preparation, charts' data, models
@@ -423,6 +493,43 @@ def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("o_orderkey", real("num__o_totalprice").alias("o_totalprice"), *[F.col(f"cat__o_orderstatus_{v}").alias(f"status_{v.lower()}") for v in "FOP"])
 
 
+_O = "(select *, case when o_orderstatus = 'F' then 1 else 0 end as event from orders)"
+_LO, _HI = "min({c}) over ()", "max({c}) over ()"
+
+
+def _fitted(spark: SparkSession, sf_dir: str, config: dict[str, Any], *columns: str, drop_rows: bool = False) -> DataFrame:
+    df = source(spark, sf_dir, "orders").select("o_orderkey", "event", *columns)
+    return preprocessor.fit(df, {"correlation": None} | config, "event", ["o_orderkey"]).transform(df, drop_rows, ("o_orderkey",))
+
+
+@query("preprocess_dates", "select o_orderkey, " + ", ".join(f"round(({e})::double, 6) + 0.0 as {n}" for n, e in (("y", "year(o_orderdate)"), ("m", "month(o_orderdate)"), ("d", "day(o_orderdate)"), ("w", "isodow(o_orderdate) - 1"), ("e", "isodow(o_orderdate) >= 6"), ("h", "hour(o_orderdate)"))) + " from orders")
+def preprocess_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _fitted(spark, sf_dir, {"dates": True, "scale": "none"}, "o_orderdate")
+    return done.select("o_orderkey", *[real(f"num__o_orderdate_{p}").alias(n) for n, p in (("y", "year"), ("m", "month"), ("d", "day"), ("w", "dayofweek"), ("e", "is_weekend"), ("h", "hour"))])
+
+
+@query("preprocess_target_means", f"select o_orderkey, round(avg(event) over (partition by o_orderpriority), 6) + 0.0 as mean from {_O}")
+def preprocess_target_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fitted(spark, sf_dir, {"target_means": True, "scale": "none"}, "o_orderpriority").select("o_orderkey", real("num__o_orderpriority_target_mean").alias("mean"))
+
+
+@query("preprocess_minmax", "select o_orderkey, round(((o_totalprice - min(o_totalprice) over ()) / (max(o_totalprice) over () - min(o_totalprice) over ()))::double, 6) + 0.0 as x, (dense_rank() over (order by o_orderpriority) - 1)::double as code from orders")
+def preprocess_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _fitted(spark, sf_dir, {"scale": "minmax", "encode": "ordinal"}, "o_totalprice", "o_orderpriority")
+    return done.select("o_orderkey", real("num__o_totalprice").alias("x"), F.col("cat__o_orderpriority").alias("code"))
+
+
+@query("preprocess_robust", "with q as (select quantile_cont(o_totalprice, 0.25) as a, quantile_cont(o_totalprice, 0.75) as b, count(*) as n from orders), k as (select o_orderkey, o_totalprice as x from orders, q where o_totalprice between a - (case when n < 10000 then 3 else 1.5 end) * (b - a) and b + (case when n < 10000 then 3 else 1.5 end) * (b - a)), s as (select quantile_cont(x, 0.5) as m, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) as r from k) select o_orderkey, round(((x - m) / r)::double, 6) + 0.0 as x from k, s")
+def preprocess_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fitted(spark, sf_dir, {"outliers": "iqr", "scale": "robust"}, "o_totalprice", drop_rows=True).select("o_orderkey", real("num__o_totalprice").alias("x"))
+
+
+@query("preprocess_maths", "with s as (select min(o_totalprice) as lo, avg(o_totalprice) as m, stddev_pop(o_totalprice) as s from orders) select o_orderkey, round(((o_totalprice - m) / s)::double, 6) + 0.0 as z, round(ln(1 + case when lo >= 0 then greatest(o_totalprice - lo + 1, 0) else abs(o_totalprice) end)::double, 6) + 0.0 as l, round(sqrt(greatest(o_totalprice - lo + 1e-8, 0))::double, 6) + 0.0 as r from orders, s")
+def preprocess_maths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _fitted(spark, sf_dir, {"generate": "maths", "scale": "none"}, "o_totalprice")
+    return done.select("o_orderkey", real("num__o_totalprice_zscore").alias("z"), real("num__o_totalprice_log").alias("l"), real("num__o_totalprice_sqrt").alias("r"))
+
+
 @query("preprocess_full")
 def preprocess_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = source(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "priority_n", "event")
@@ -430,13 +537,43 @@ def preprocess_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("pca")
+def _axis(entry, name: str, before: str = "") -> str:
+    """A leading eigenvector of a matrix by power iteration, the largest entry positive: CTEs `name`_run and `name`."""
+    n = range(1, len(NUMS) + 1)
+    dot = lambda i: " + ".join(f"{entry(i, j)} * x[{j}]" for j in n)
+    return f"""{name}_run as (select 0 as k, [1.0, 1.0, 1.0, 1.0]::double[] as x union all
+  select k + 1, [v / sqrt(list_sum([u * u for u in y])) for v in y] from (select k, [{", ".join(dot(i) for i in n)}]::double[] as y from {name}_run, m{before} where k < 200)),
+{name} as (select [v * sign(x[list_position([abs(u) for u in x], list_max([abs(u) for u in x]))]) for v in x] as w from {name}_run where k = 200)"""
+
+
+def _m(i: int, j: int) -> str:
+    return f"m.c{min(i, j)}{max(i, j)}"
+
+
+def _pca_sql() -> str:
+    n = range(1, len(NUMS) + 1)
+    cov = ", ".join(f"covar_samp({a}, {b}) as c{i}{j}" for i, a in enumerate(NUMS, 1) for j, b in enumerate(NUMS, 1) if j >= i)
+    means = ", ".join(f"avg({c}) as m{i}" for i, c in enumerate(NUMS, 1))
+    value = "(" + " + ".join(f"{_m(i, j)} * a.w[{i}] * a.w[{j}]" for i in n for j in n) + ")"
+    rest = lambda i, j: f"({_m(i, j)} - l.v * a.w[{i}] * a.w[{j}])"
+    # The second axis is made square to the first once more, for the first holds nearly all of the variance.
+    square = f"sq as (select [b.w[i] - a.w[i] * ({' + '.join(f'b.w[{j}] * a.w[{j}]' for j in n)}) for i in range(1, {len(NUMS) + 1})] as w from a, b)"
+    score = lambda t: " + ".join(f"({c} - m{i}) * {t}.w[{i}]" for i, c in enumerate(NUMS, 1))
+    return f"with recursive m as (select {cov}, {means} from lineitem), {_axis(_m, 'a')}, l as (select {value} as v from m, a), {_axis(rest, 'b', ', l, a')}, {square} select l_orderkey, l_linenumber, round({score('a')}, 6) + 0.0 as \"PC1\", round({score('sq')}, 6) + 0.0 as \"PC2\" from lineitem, m, a, sq"
+
+
+def _svd_sql() -> str:
+    dots = ", ".join(f"sum({a} * {b}) as c{i}{j}" for i, a in enumerate(NUMS, 1) for j, b in enumerate(NUMS, 1) if j >= i)
+    return f"with recursive m as (select {dots} from lineitem), {_axis(_m, 'a')} select l_orderkey, l_linenumber, round({' + '.join(f'{c} * w[{i}]' for i, c in enumerate(NUMS, 1))}, 6) + 0.0 as \"SVD1\" from lineitem, a"
+
+
+@query("pca", _pca_sql())
 def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     done, _ = learn.pca(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *NUMS), NUMS)
     return done.select("l_orderkey", "l_linenumber", real("PC1").alias("PC1"), real("PC2").alias("PC2"))
 
 
-@query("svd")
+@query("svd", _svd_sql())
 def svd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.svd(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *NUMS), NUMS).select("l_orderkey", "l_linenumber", real("SVD1").alias("SVD1"))
 
