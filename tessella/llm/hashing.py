@@ -17,7 +17,7 @@ from tessella.llm.common import lean, ship
 TOKENS = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^\sA-Za-z0-9_\x80-\xff]+")
 
 #: Bytes of text of a labelled sample at most.
-SAMPLE_BYTES = 48_000_000
+SAMPLE_BYTES = 32_000_000
 
 
 def token_hashes(tokens: list[bytes]) -> np.ndarray:
@@ -65,7 +65,17 @@ def collect_features(rows: DataFrame, features: Callable[[bytes], tuple[np.ndarr
             got = [features(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.int32).tobytes() for x, _ in got], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary())], names=["k", "y", "x", "v"])
 
-    made = rows.select(F.xxhash64(key).alias("k"), F.col("y"), "text").mapInArrow(lean(run), "k long, y int, x binary, v binary").collect()
-    made.sort(key=lambda r: (r.k, r.x, r.v, r.y))
-    # The rows' bytes stay under the arrays; nothing is copied.
-    return [(r.y, np.frombuffer(r.x, np.int32), np.frombuffer(r.v, np.float32)) for r in made]
+    made = rows.select(F.xxhash64(key).alias("k"), F.col("y"), "text").mapInArrow(lean(run), "k long, y int, x binary, v binary").toArrow()
+    out = []
+    for b in made.to_batches():
+        arrays = [_parts(b.column(2), np.int32), _parts(b.column(3), np.float32)]
+        out += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *arrays, strict=True)
+    out.sort(key=lambda r: (r[0], r[1], r[2].tobytes()[:64]))
+    return [r[1:] for r in out]
+
+
+def _parts(column: pa.BinaryArray, kind: type) -> list[np.ndarray]:
+    """The numbers in each value, as views of the column's bytes."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).tolist()
+    data = column.buffers()[2]
+    return [np.frombuffer(data, kind, (b - a) // 4, a) if b > a else np.zeros(0, kind) for a, b in zip(ends, ends[1:], strict=False)]

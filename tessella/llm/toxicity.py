@@ -131,7 +131,7 @@ def noisy_or(s: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = SAMPLE_ROWS, epochs: int = 12, rate: float = 0.3, seed: int = 7) -> np.ndarray:
     """Weights learned from at most `most` labelled documents; the last one is the bias. Without any, every score is near 0."""
-    rows = [(y, x, v.astype(np.int32)) for y, x, v in collect_features(sample(docs, labels, label, most, key, text), features, key)]
+    rows = collect_features(sample(docs, labels, label, most, key, text), features, key)
     df = np.zeros(1 << WIDTH, np.int32)
     for _, x, _ in rows:
         df[np.unique(x)] += 1
@@ -142,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
         if len(x):
             use = kept[x]
             at, where = np.unique(x[use], return_inverse=True)
-            known.append((y, at, where.astype(np.int32), np.repeat(np.arange(len(counts), dtype=np.int32), counts)[use], len(counts)))
+            owner = np.repeat(np.arange(len(counts)), counts.astype(np.int32))[use]
+            known.append((y, at, where.astype(np.min_scalar_type(len(at))), owner.astype(np.min_scalar_type(len(counts))), len(counts)))
     del rows
     w, square, bias, bias_square = np.zeros(1 << WIDTH), np.full(1 << WIDTH, 1e-2), -6.0, 1e-2
     order = np.random.default_rng(seed)
