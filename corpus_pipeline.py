@@ -65,7 +65,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     and are one group. Very long texts are read whole, columns of any names stay, and an empty table stays empty.
     """
     rows, back = _apart(docs)
-    rows = rows.withColumn("__row", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
+    # The hash may be null to the planner, as it may be in tables that are read: keys of two types would be shuffled twice.
+    h = F.when(F.col("text").isNull() | F.col("text").isNotNull(), F.xxhash64("text"))
+    rows = rows.withColumn("__row", F.struct(F.col("doc_id"), h.alias("h")))
     found = simhash.near_duplicates(rows.select("__row", "text"), key="__row")
     keep = found.where(F.col("__row") == F.col("component")).select("__row").distinct()
     whole = F.struct(*[F.col(c) for c in rows.columns if c != "__row"])
