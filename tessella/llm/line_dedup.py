@@ -76,11 +76,14 @@ def longest_prefixes(scratch: Scratch, rounds: list[DataFrame], least: int = 1)
     highest = F.expr("max(if(later, level, -1)) over (partition by k, h, seq)")
     stand = every.withColumn("highest", highest).where("level >= highest")
     run = F.expr("shiftleft(1L, level)")
-    now = scratch.table(stand.select("k", "h", "seq", "level", (F.col("level") == F.col("highest")).alias("open"), run.alias("run"), F.col("rank").alias("a"), F.col("rank").alias("b")), "search")
+    start = scratch.table(stand.select("k", "h", "seq", "level", (F.col("level") == F.col("highest")).alias("open"), run.alias("run"), F.col("rank").alias("a"), F.col("rank").alias("b")), "search")
     end = every.select(F.col("k").alias("rk"), F.col("h").alias("rh"), F.col("seq").alias("rs"), F.col("level").alias("rl"), F.col("rank").alias("c"))
-    keys = ["level", "run", "a", "c"]
+    keys, done = ["level", "run", "a", "c"], None
     for m in range(top - 1, -1, -1):
-        at = F.expr(f"if(level > {m}, seq + run + {1 << m} - shiftleft(1, level), null)")
+        # What round m + 1 bounds has its first step here.
+        now = start.where(F.col("level") == m + 1)
+        now = now if done is None else done.unionByName(now)
+        at = F.expr(f"seq + run + {1 << m} - shiftleft(1, level)")
         # Null keys are one key, and a hash stands for one text.
         asked = now.withColumn("at", at).join(end.where(F.col("rl") > m), F.col("k").eqNullSafe(F.col("rk")) & (F.col("h") == F.col("rh")) & (F.col("at") == F.col("rs")) & (F.col("level") == F.col("rl")), "left")
         asked = scratch.table(asked.select("k", "h", "seq", "level", "open", "run", "a", "b", "c"), f"asked{m}")
@@ -90,9 +93,12 @@ def longest_prefixes(scratch: Scratch, rounds: list[DataFrame], least: int = 1)
         go = F.struct((F.col("open") & ~_place().eqNullSafe(F.col("first"))).alias("open"), (F.col("run") + (1 << m)).alias("run"), F.col("c").alias("b"))
         to = F.when(F.col("first").isNull(), F.array(stay)).when(_place().eqNullSafe(F.col("first")), F.array(stay, go)).otherwise(F.array(go))
         met = asked.join(firsts, keys, "left").select("k", "h", "seq", "level", "a", F.explode(to).alias("to"))
-        scratch.drop(now)
-        now = scratch.table(met.select("k", "h", "seq", "level", "a", "to.*"), f"search{m}")
-        scratch.drop(asked, firsts)
+        before, done = done, scratch.table(met.select("k", "h", "seq", "level", "a", "to.*"), f"search{m}")
+        scratch.drop(asked, firsts, *([] if before is None else [before]))
+    # Round 0 has nothing to be asked.
+    rest = start.where(F.col("level") == 0) if low == 0 else None
+    now = rest if done is None else done if rest is None else done.unionByName(rest)
+    now = start if now is None else now
     keys = ["level", "run", "a", "b"]
     firsts = scratch.table(now.groupBy(*keys).agg(F.min(_place()).alias("first"), F.max("open").alias("wanted")).where("wanted").select(*keys, "first"), "earliest")
     return now.where("open").join(firsts, keys).select("k", "h", "seq", "run", "first").where(F.col("run") >= least)

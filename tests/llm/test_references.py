@@ -216,3 +216,21 @@ def test_machine_local_folders_are_refused_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Far)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_longest_runs_line_for_line(spark, seed):
+    """Runs of any length, not of powers of two, and runs that overlap their own copy."""
+    import random
+
+    from tessella.llm import line_dedup
+
+    rng = random.Random(seed)
+    run = [f"l{i}" for i in range(23)]
+    rows = [(i, "\n".join(rng.choice("abcde") for _ in range(rng.randrange(0, 12)))) for i in range(25)]
+    rows += [(50, "\n".join([*run[3:8], "x"])), (51, "\n".join(["y", *run[3:8], "z"])), (52, "\n".join(run)), (53, "\n".join([*run[:19], "q"])), (54, "\n".join(["s"] * 13)), (55, None), (None, "\n".join(run[2:9]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    want = {r[0]: x for r, x in zip(order, slow.lines(order), strict=True)}
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.longest_run, r.kept_text) for r in line_dedup.dedup(df).collect()} == want
+    assert want[51][2] == 5 and want[53][2] == 19 and want[54][2] == 12
