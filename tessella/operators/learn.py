@@ -29,7 +29,8 @@ def vectors(df: DataFrame, columns: list[str], label: str | None = None, centre:
         x = F.coalesce(numeric(df, c), F.lit(m)) - F.lit(m if centre else 0.0)
         return x / F.lit(row[f"s{i}"] or 1.0) if scale else x
 
-    ready = df.select("*", *[one(i, c).alias(f"__f{i}") for i, c in enumerate(columns)], *([numeric(df, label).alias("label")] if label else []))
+    made_here = {"features", *(["label"] if label else [])}  # these replace columns of the same name
+    ready = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in made_here], *[one(i, c).alias(f"__f{i}") for i, c in enumerate(columns)], *([numeric(df, label).alias("label")] if label else []))
     if label:
         ready = ready.where("label is not null")
     made = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="features").transform(ready)
@@ -109,17 +110,20 @@ def f_values(df: DataFrame, columns: list[str], target: str, task: str) -> dict[
         row = stats(df, n=F.count("*"), **{f"r{i}": corr(numeric(df, c), numeric(df, target)) for i, c in enumerate(columns)})
         return {c: (lambda r: math.inf if abs(r) >= 1 else r * r / (1 - r * r) * (row["n"] - 2))(row[f"r{i}"] or 0.0) for i, c in enumerate(columns)}
     out = {}
+    known = df.where(F.col(target).isNotNull())
+    mean = stats(known, **{f"m{i}": F.avg(numeric(df, c)) for i, c in enumerate(columns)})
     aggs = {f"{a}{i}": f(numeric(df, c)) for i, c in enumerate(columns) for a, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))}
-    rows = df.where(F.col(target).isNotNull()).groupBy(target).agg(*[v.alias(k) for k, v in aggs.items()]).limit(1000).collect()
+    by_class = known.groupBy(target).agg(*[v.alias(k) for k, v in aggs.items()])
+    sums = {}
+    for i in range(len(columns)):
+        n, m, v = (F.col(f"{a}{i}") for a in "nmv")
+        sums |= {f"n{i}": F.sum(n), f"k{i}": F.count_if(n > 0), f"w{i}": F.sum(n * v), f"b{i}": F.sum(n * (m - F.lit(mean[f"m{i}"])) * (m - F.lit(mean[f"m{i}"])))}
+    row = stats(by_class, **sums)
     for i, c in enumerate(columns):
-        g = [(r[f"n{i}"], r[f"m{i}"], r[f"v{i}"]) for r in rows if r[f"n{i}"]]
-        n, k = sum(x for x, _, _ in g), len(g)
+        n, k, within, between = row[f"n{i}"] or 0, row[f"k{i}"], row[f"w{i}"], row[f"b{i}"]
         if k < 2 or n <= k:
             out[c] = 0.0
             continue
-        mean = sum(x * m for x, m, _ in g) / n
-        within = sum(x * v for x, _, v in g)
-        between = sum(x * (m - mean) ** 2 for x, m, _ in g)
         out[c] = 0.0 if between == 0 else math.inf if within == 0 else between / (k - 1) / (within / (n - k))
     return out
 

@@ -108,13 +108,11 @@ def time_profile(df: DataFrame, columns: list[str] | None = None) -> dict[str, d
         # Successive times within ranges of the span, and the step from one range to the next, so that no task has all.
         width = max(1, (s["hi"] - s["lo"]) // 256 + 1)
         times = df.select(t.alias("t")).where("t is not null").distinct().withColumn("b", F.floor((F.col("t") - F.lit(s["lo"])) / F.lit(width)))
-        inner = times.select((F.lead("t").over(Window.partitionBy("b").orderBy("t")) - F.col("t")).alias("gap")).where("gap is not null").groupBy("gap").agg(F.count("*").alias("n"))
-        edges = times.groupBy("b").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("b").collect()  # 256 rows at most
-        gaps = {r.gap: r.n for r in inner.orderBy(F.desc("n"), "gap").limit(50).collect()}
-        for a, b in zip(edges, edges[1:], strict=False):
-            if (g := b.lo - a.hi) in gaps or len(gaps) < 50:
-                gaps[g] = gaps.get(g, 0) + 1
-        gap = min(gaps, key=lambda g: (-gaps[g], g)) if gaps else None
+        inner = times.select((F.lead("t").over(Window.partitionBy("b").orderBy("t")) - F.col("t")).alias("gap")).where("gap is not null")
+        edges = times.groupBy("b").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("b").collect()  # 257 rows at most
+        steps = df.sparkSession.createDataFrame([(b.lo - a.hi,) for a, b in zip(edges, edges[1:], strict=False)], "gap long")
+        first = inner.unionByName(steps).groupBy("gap").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gap").first()
+        gap = first["gap"] if first else None
         out[c] = {"count": s["n"], "min_micros": s["lo"], "max_micros": s["hi"], "span_days": (s["hi"] - s["lo"]) / 86_400e6, "modal_gap_seconds": None if gap is None else gap / 1e6, "frequency": gap_name(gap)}
     return out
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import balance, clean, evaluate, groups, learn, profile, texts
-from tessella.plans import explorer, handlers, preprocessor, search
+from tessella.plans import explorer, handlers, preprocessor, search, validate
 from tessella.plans.catalog import ORACLES, query, read, real, source, source_sql, whole
+from tessella.sources import io
 from tessella.streaming import features
 
 EVENTS_N = source_sql("events")
@@ -687,3 +690,117 @@ def lost_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = df.where("status = 1")
     lost = explorer.lost_classes(df, kept, "status")
     return rows(spark, [("FOP"[int(c)],) for c in lost], "status string")
+
+
+# Readers and writers, columns, sizes
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one for local masters."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    return f"{(given or tempfile.mkdtemp(prefix='tessella-')).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+for _kind in ("csv", "json", "jsonl", "parquet", "orc"):
+
+    def _round_trip(spark: SparkSession, sf_dir: str, kind: str = _kind) -> DataFrame:
+        """Orders written and read again, with missing values."""
+        path = f"{_folder(spark)}/orders.{kind}"
+        io.save(source(spark, sf_dir, "orders").selectExpr("o_orderkey", "priority_n", "if(o_orderkey % 5 = 0, double('NaN'), o_totalprice) as price"), path)
+        return io.load(spark, path).select(whole("o_orderkey").alias("o_orderkey"), "priority_n", real("price").alias("price"))
+
+    query(f"read_{_kind}", f"select o_orderkey, priority_n, case when o_orderkey % 5 = 0 then null else round(o_totalprice, 6) + 0.0 end as price from {ORDERS}")(_round_trip)
+
+
+@query("read_with_schema", "select o_orderkey, o_orderstatus, round(o_totalprice, 6) + 0.0 as price from orders")
+def read_with_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A separator and a schema of one's own."""
+    path = f"{_folder(spark)}/orders.tsv"
+    read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").write.option("header", True).option("sep", "\t").csv(path)
+    return io.load(spark, path, schema="o_orderkey long, o_orderstatus string, o_totalprice double").select("o_orderkey", "o_orderstatus", real("o_totalprice").alias("price"))
+
+
+@query("from_dataframe", "select n_nationkey::bigint as n_nationkey, n_name from nation")
+def from_dataframe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.from_dataframe(spark, read(spark, sf_dir, "nation").select("n_nationkey", "n_name").toPandas()).select(whole("n_nationkey").alias("n_nationkey"), "n_name")
+
+
+@query("aligned_columns", "select round(o_totalprice, 6) + 0.0 as o_totalprice, 0.0::double as unseen, o_orderkey from orders")
+def aligned_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.align(read(spark, sf_dir, "orders"), ["o_totalprice", "unseen", "o_orderkey"]).withColumn("o_totalprice", real("o_totalprice")).withColumn("unseen", real("unseen"))
+
+
+@query("drop_empty_columns", "select o_orderkey, o_orderstatus from orders")
+def drop_empty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").withColumn("nothing", F.lit(None).cast("double")).withColumn("no_text", F.lit(None).cast("string"))
+    return clean.drop_empty_columns(df)
+
+
+@query("category_sizes", "select 'o_orderstatus' as feature, count(distinct o_orderstatus)::bigint as d, count(o_orderstatus)::bigint as n from orders union all select 'o_orderpriority', count(distinct o_orderpriority), count(o_orderpriority) from orders")
+def category_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = profile.category_profile(read(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+    return rows(spark, [(c, v["distinct"], v["count"]) for c, v in p.items()], "feature string, d bigint, n bigint")
+
+
+@query("rollup", "select o_orderstatus, o_orderpriority, count(*) as n, round(avg(o_totalprice), 6) + 0.0 as mean from orders group by rollup (o_orderstatus, o_orderpriority)")
+def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), real(F.avg("o_totalprice")).alias("mean"))
+
+
+_OPS = {"log(l_quantity)": "ln(l_quantity + case when (select min(l_quantity) from lineitem) >= 0 then 1 else abs((select min(l_quantity) from lineitem)) + 1 end)", "square(l_quantity)": "l_quantity * l_quantity", "cube(l_tax)": "l_tax * l_tax * l_tax"}
+_BASE = {"log(l_quantity)": "l_quantity", "square(l_quantity)": "l_quantity", "cube(l_tax)": "l_tax"}
+
+
+@query(
+    "search_scores",
+    " union all ".join(
+        f"select '{n}' as feature, round(abs(corr({e}, l_extendedprice)), 6) + 0.0 as importance, round(abs(corr({e}, l_extendedprice)) - abs(corr({_BASE[n]}, l_extendedprice)), 6) + 0.0 as gain, round(greatest(abs(corr({e}, l_quantity)), abs(corr({e}, l_tax))), 6) + 0.0 as redundancy from lineitem"
+        for n, e in _OPS.items()
+    ),
+)
+def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the search says of each candidate of one level."""
+    tree = search.Tree(1)
+    for n in _OPS:
+        op, column = n.rstrip(")").split("(")
+        tree.root(column)
+        tree.add(column, op)
+    found = search.search(read(spark, sf_dir, "lineitem").select("l_quantity", "l_tax", "l_extendedprice"), "l_extendedprice", search.Tree.from_dict(tree.to_dict()), {"max_depth": 1, "min_gain": -2.0, "max_redundancy": 1.1})
+    return rows(spark, [(f["feature"], f["importance"], f["gain"], f["redundancy"]) for f in found], "feature string, importance double, gain double, redundancy double")
+
+
+@query("table_fingerprint", "select round(count(*), 6) + 0.0 as n, round(count(distinct o_orderstatus), 6) + 0.0 as classes, round(avg((priority_n is null)::int) / 1, 6) + 0.0 as missing from " + ORDERS)
+def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = source(spark, sf_dir, "orders").selectExpr("o_orderstatus", "if(priority_n is null, null, o_totalprice) as price")
+    f = search.fingerprint(df, "o_orderstatus")
+    return rows(spark, [(f["rows"], f["classes"], f["missing"])], "n double, classes double, missing double")
+
+
+@query("handler_properties", "select count(*)::bigint as n, round(avg(o_totalprice), 6) + 0.0 as mean, round(min(o_totalprice), 6) + 0.0 as low, round(quantile_cont(o_totalprice, 0.5), 6) + 0.0 as median from orders")
+def handler_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = handlers.properties(read(spark, sf_dir, "orders").select("o_totalprice", "o_orderstatus"), "o_totalprice", "regression")
+    return rows(spark, [(p["rows"], p["target"]["mean"], p["target"]["min"], p["target"]["median"])], "n bigint, mean double, low double, median double")
+
+
+@query("out_of_bag", "select count(*)::bigint as n from orders")
+def out_of_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the bag and out of it are all rows, each once."""
+    drawn = validate.draws(read(spark, sf_dir, "orders"), ["o_orderkey"], 0)
+    bag, out = drawn.where("drawn > 0"), drawn.where("drawn = 0")
+    return bag.select("o_orderkey").unionByName(out.select("o_orderkey")).distinct().agg(F.count("*").alias("n"))
+
+
+@query("minority_scores", "with p as (select toxic as y, (n_chars < 1000)::int as s from documents join labels using (doc_id)), r as (select avg(s) filter (y = 1) as a, avg(1 - s) filter (y = 0) as b, sum(s) filter (y = 1) / sum(s) as p from p) select round((a + b) / 2, 6) + 0.0 as balanced, round(sqrt(a * b), 6) + 0.0 as g_mean, round(p, 6) + 0.0 as precision, round(a, 6) + 0.0 as recall, round(2 * a * p / (a + p), 6) + 0.0 as f1 from r")
+def minority_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") < 1000).cast("int").alias("s")).join(read(spark, sf_dir, "labels"), "doc_id")
+    m = validate.minority_metrics(evaluate.confusion(df, "toxic", "s"), 1)
+    return rows(spark, [(m["balanced_accuracy"], m["g_mean"], m["precision"], m["recall"], m["f1"])], "balanced double, g_mean double, precision double, recall double, f1 double")
+
+
+@query("null_safe_lookup", "select o_orderkey, round(avg(o_totalprice) over (partition by priority_n), 6) + 0.0 as mean from " + ORDERS + " where priority_n is not null union all select o_orderkey, null from " + ORDERS + " where priority_n is null")
+def null_safe_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates of a row's entity; rows without an entity get nulls."""
+    done = groups.entity_aggregates(source(spark, sf_dir, "orders").select("o_orderkey", "priority_n", "o_totalprice"), "priority_n", ["o_totalprice"])
+    return done.select("o_orderkey", real("o_totalprice_mean").alias("mean"))

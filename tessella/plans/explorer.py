@@ -37,7 +37,7 @@ def table_score(df: DataFrame, target: str, task: str, key: list[str]) -> dict[s
     cv = learn.cross_validate(df, columns, target, task, key, 3)
     row = df.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     full = sum(row[f"c{i}"] for i in range(len(columns))) / max(1, row["n"] * len(columns))
-    corr = [abs(r) for r in clean.correlations(df, columns[:30]).values() if r is not None]
+    corr = [abs(r) for r in clean.correlations(df, columns).values() if r is not None]
     out = {"completeness": full, "independence": 1 - sum(corr) / len(corr) if corr else 1.0}
     if task == "classification":
         out |= {"accuracy": cv["metrics"]["accuracy"]["mean"], "f1": cv["metrics"]["weighted_f1"]["mean"], "balanced": (cv["metrics"]["mcc"]["mean"] + 1) / 2, "entropy": evaluate.class_balance(df, target)["entropy"]}
@@ -109,7 +109,7 @@ def validate(before: DataFrame, after: DataFrame, target: str, task: str, loss:
 
 def lost_classes(before: DataFrame, after: DataFrame, target: str) -> list[Any]:
     t = F.col(f"`{target}`").cast("double")
-    return sorted(r[0] for r in before.select(t).where(t.isNotNull()).distinct().subtract(after.select(t).distinct()).limit(100).collect())
+    return sorted(r[0] for r in before.select(t).where(t.isNotNull()).distinct().subtract(after.select(t).distinct()).collect())
 
 
 def recover_classes(before: DataFrame, after: DataFrame, target: str, rows: int = 50) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import registry
@@ -19,7 +19,7 @@ from tessella.operators import clean, evaluate, learn, profile
 from tessella.registry import OperatorError, corr, numeric, stats
 
 #: Search limits and cuts.
-LIMITS = {"max_depth": 3, "max_per_level": 30, "min_gain": 0.01, "max_redundancy": 0.95, "timeout": 3600.0}
+LIMITS = {"max_depth": 3, "max_per_level": 30, "min_gain": 0.01, "max_redundancy": 0.95, "timeout": 3600.0, "measures": "linear"}
 
 #: How readable an operator's result is, from 0 to 1.
 READABLE = {"log": 0.8, "sqrt": 0.8, "square": 0.8, "cube": 0.7, "standardize": 0.7, "min_max_scale": 0.8, "reciprocal": 0.6, "sum": 0.9, "difference": 0.9, "product": 0.7, "ratio": 0.8, "polynomial": 0.4, "label_encode": 0.7, "frequency_encode": 0.8, "target_encode": 0.6, "hash_encode": 0.2, "word_count": 1.0, "char_count": 1.0, "lag": 0.9, "rolling_mean": 0.8}
@@ -138,13 +138,19 @@ def _as_number(df: DataFrame, column: str):
 def search(df: DataFrame, target: str, tree: Tree | None = None, limits: dict[str, Any] | None = None, heuristic: Callable[[DataFrame, str, str], float] | None = None) -> list[dict[str, Any]]:
     """Explore the tree level by level. A candidate's importance is the absolute correlation with the target, its gain that over
     its root's, its redundancy the largest absolute correlation with a column of the input. Candidates over the gain and under
-    the redundancy cut are selected, the best first, and grow the next level."""
+    the redundancy cut are selected, the best first, and grow the next level. With the limit measures="rank", importance is mutual
+    information in nats, and redundancy is the largest absolute Spearman correlation with a number, or for texts Cramer's V with a
+    category; over half of the values missing is full redundancy. These read the table several times for each candidate, the
+    linear ones once for a level."""
     limits = LIMITS | (limits or {})
     tree = tree or Tree(limits["max_depth"]).build(df, recommend(df, target), target)
     base = [c for c in clean.numeric_columns(df, (target,))]
     y, began, wide = numeric(df, target), time.time(), df
     row = stats(df, **{f"r{i}": corr(numeric(df, c), y) for i, c in enumerate(base)}) if base else {}
     known = {c: abs(row.get(f"r{i}") or 0.0) for i, c in enumerate(base)}
+    ranked = limits["measures"] == "rank"
+    if ranked:
+        known = {c: evaluate.mutual_information(df, c, target) for c in [*base, *clean.category_columns(df, (target,))]}
     picked: list[Node] = []
     for depth in range(1, limits["max_depth"] + 1):
         todo = [n for n in tree.level(depth) if not n.explored]
@@ -170,6 +176,10 @@ def search(df: DataFrame, target: str, tree: Tree | None = None, limits: dict[st
             root = tree.lineage(n.name)[0].parent
             n.gain = n.importance - known.get(root, 0.0)  # type: ignore[arg-type]
             n.redundancy = max((abs(got[f"d{i}_{j}"] or 0.0) for j in range(len(base))), default=0.0)
+            if ranked:
+                n.importance = heuristic(wide, n.name, target) if heuristic else evaluate.mutual_information(wide, n.name, target)
+                n.gain = n.importance - known.get(root, 0.0)  # type: ignore[arg-type]
+                n.redundancy = rank_redundancy(wide, n.name, base, clean.category_columns(df, (target,)))
         good = sorted((n for n in ready if n.gain > limits["min_gain"] and n.redundancy < limits["max_redundancy"]), key=lambda n: (-n.gain * (1 - n.redundancy) * max(n.importance, 1e-9), n.name))[: limits["max_per_level"]]
         for n in good:
             n.selected = True
@@ -179,6 +189,76 @@ def search(df: DataFrame, target: str, tree: Tree | None = None, limits: dict[st
     return [{"feature": n.name, "importance": n.importance, "gain": n.gain, "redundancy": n.redundancy, "chain": [x.op for x in tree.lineage(n.name)]} for n in picked]
 
 
+def rank_redundancy(df: DataFrame, column: str, numbers: list[str], categories: list[str]) -> float:
+    """The largest absolute Spearman correlation of a number with others, or Cramer's V of a category with others."""
+    if stats(df, m=F.avg(F.col(f"`{column}`").isNull().cast("double")))["m"] > 0.5:
+        return 1.0
+    if dict(df.dtypes)[column] in ("string", "boolean"):
+        return max((evaluate.cramers_v(df, column, c) for c in categories if c != column), default=0.0)
+    return max((abs(evaluate.rank_correlation(df, column, c) or 0.0) for c in numbers if c != column), default=0.0)
+
+
+def recommendation_quality(df: DataFrame, recommended: dict[str, list[str]]) -> dict[str, list[tuple[str, float]]]:
+    """Each recommended operator's score from 0 to 1, best first: 0.5, and for numbers 0.7 of the share of skewness that goes less
+    0.3 of the share of values that go missing. Operators that fail, or give nothing but nulls, are left out."""
+    out: dict[str, list[tuple[str, float]]] = {}
+    for c, ops in recommended.items():
+        scores = []
+        for op in ops:
+            try:
+                done = registry.fit(df, op, c, out="__made").transform(df)
+            except OperatorError:
+                continue
+            kind = dict(done.dtypes)["__made"]
+            row = stats(done, n=F.count("*"), there=F.count("__made"), was=F.count(F.col(f"`{c}`")))
+            if not row["there"]:
+                continue
+            score = 0.5
+            if kind not in ("string", "boolean") and not kind.startswith(("array", "date", "timestamp")):
+                shape = profile.numeric_profile(done.select(F.col("__made").cast("double").alias("m"), *([numeric(df, c).alias("o")] if c in clean.numeric_columns(df) else [])))
+                after = abs(shape["m"]["skewness"] or 0.0)
+                before = abs(shape["o"]["skewness"] or 0.0) if "o" in shape else float("inf")
+                gain = max(0.0, min(1.0, 1.0 if before == float("inf") else (before - after) / max(1.0, before)))
+                score = max(0.0, min(1.0, 0.7 * gain - 0.3 * max(0.0, (row["was"] - row["there"]) / row["n"]) + 0.5))
+            scores.append((op, score))
+        if scores:
+            out[c] = sorted(scores, key=lambda s: (-s[1], s[0]))
+    return out
+
+
+class MetaModel:
+    """What an operator is likely to gain on a table, learned from a history: a forest over the table's fingerprint beside one
+    number for each operator, 0 or 1."""
+
+    def __init__(self, spark: SparkSession, history: list[dict[str, Any]], trees: int = 50, seed: int = 42):
+        self.spark, self.seed = spark, seed
+        self.features = sorted({k for h in history for k in h["fingerprint"]})
+        self.ops = sorted({op for h in history for op in h["gains"]})
+        rows = [[*self._row(h["fingerprint"], op), float(g)] for h in history for op, g in h["gains"].items()]
+        self.model = None
+        if len(rows) > 1:
+            df = self._frame(rows, [*self._names(), "gain"])
+            self.model = learn.forest("regression", trees, seed=seed).fit(learn.vectors(df, self._names(), "gain"))
+
+    def _names(self) -> list[str]:
+        return [f"f{i}" for i in range(len(self.features) + len(self.ops))]
+
+    def _row(self, mark: dict[str, float], op: str) -> list[float]:
+        return [*(float(mark.get(k, 0.0)) for k in self.features), *(float(op == o) for o in self.ops)]
+
+    def _frame(self, rows: list[list[float]], names: list[str]) -> DataFrame:
+        return self.spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+
+    def predict(self, df: DataFrame, target: str | None = None, k: int = 5, default: float = 0.01) -> list[tuple[str, float]]:
+        """The k operators of the largest expected gain; each has `default` where there is too little history."""
+        if self.model is None:
+            return [(op, default) for op in self.ops[:k]]
+        mark = fingerprint(df, target)
+        rows = self._frame([[*self._row(mark, op), float(i)] for i, op in enumerate(self.ops)], [*self._names(), "op"])
+        got = self.model.transform(learn.vectors(rows, self._names())).select("op", "prediction").collect()
+        return sorted(((self.ops[int(r["op"])], float(r["prediction"])) for r in got), key=lambda x: (-x[1], x[0]))[:k]
+
+
 def recommend(df: DataFrame, target: str | None = None) -> dict[str, list[str]]:
     """Operators by type and skew, three for a number at most: a long upper tail of positives asks for log and sqrt, a long
     lower tail for square and reciprocal."""
@@ -256,7 +336,7 @@ def similarity(a: dict[str, float], b: dict[str, float]) -> float:
 
 
 class History:
-    """Append-only store of table fingerprints and what operators gained on them, as JSON lines; the last 1000 are read."""
+    """Append-only store of table fingerprints and what operators gained on them, as JSON lines."""
 
     def __init__(self, path: str):
         self.path = path
@@ -268,7 +348,7 @@ class History:
     def read(self) -> list[dict[str, Any]]:
         try:
             with open(self.path, encoding="utf-8") as f:
-                return [json.loads(x) for x in f.readlines()[-1000:]]
+                return [json.loads(x) for x in f]
         except FileNotFoundError:
             return []
 
