@@ -7,6 +7,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import order
 from tessella.operators.evaluate import class_balance
 from tessella.operators.near import nearest
 from tessella.registry import OperatorError, numeric, stats
@@ -23,14 +24,26 @@ def _rank_within(df: DataFrame, target: str, key: list[str], seed: int) -> Colum
 
 def random_under(df: DataFrame, target: str, key: list[str], seed: int = 42) -> DataFrame:
     """Exactly as many rows of each class as the smallest has, chosen by hash. Null classes go."""
-    least = min(class_balance(df, target)["counts"].values())
-    # Only rows that a hash threshold leaves, with room to spare, are numbered; a class is dealt to buckets for that.
     counts = class_balance(df, target)["counts"]
     u = _rank_within(df, target, key, seed)
-    share = F.coalesce(*[F.when(F.col(f"`{target}`") == F.lit(c), F.lit(min(1.0, (least + 6 * (least**0.5) + 10) / n))) for c, n in counts.items()])
-    near = df.where(F.col(f"`{target}`").isNotNull() & (u <= share))
-    numbered = near.withColumn("__i", F.row_number().over(Window.partitionBy(target).orderBy(u, *key)))
-    return numbered.where(F.col("__i") <= least).drop("__i")
+    return _first(df.where(F.col(f"`{target}`").isNotNull()), target, u, key, dict.fromkeys(counts, min(counts.values())))
+
+
+def _first(df: DataFrame, target: str, by: Column, key: list[str], wanted: dict) -> DataFrame:
+    """Of each class the wanted number of rows with the smallest `by` (ties: by key). Cuts are order statistics,
+    so no class is sorted in one task; only rows that tie with a cut are numbered."""
+    classes = [c for c, n in wanted.items() if n]
+    is_class = {c: F.col(f"`{target}`") == F.lit(c) for c in classes}
+    cuts = {c: v[0] for c in classes if (v := order.order_statistics(df, F.when(is_class[c], by), lambda n, w=wanted[c]: [min(n, w) - 1] if n else []))}  # noqa: B023
+    if not cuts:
+        return df.where("false")
+    below = stats(df, **{f"n{i}": F.count_if(is_class[c] & (by < F.lit(v))) for i, (c, v) in enumerate(cuts.items())})
+    out = df.where(F.lit(False))
+    for i, (c, v) in enumerate(cuts.items()):
+        room = wanted[c] - below[f"n{i}"]
+        ties = df.where(is_class[c] & (by == F.lit(v))).orderBy(*key).limit(room)
+        out = out.unionByName(df.where(is_class[c] & (by < F.lit(v)))).unionByName(ties)
+    return out
 
 
 def random_over(df: DataFrame, target: str, key: list[str], seed: int = 42) -> DataFrame:
@@ -43,10 +56,8 @@ def random_over(df: DataFrame, target: str, key: list[str], seed: int = 42) -> D
     whole = df.withColumn("__k", F.explode(F.sequence(F.lit(1), times))).drop("__k")
     out = whole
     u = _rank_within(df, target, key, seed)
-    for c, n in counts.items():
-        if rest := most % n:
-            out = out.unionByName(df.where(F.col(f"`{target}`") == F.lit(c)).orderBy(u, *key).limit(rest))
-    return out
+    rest = {c: most % n for c, n in counts.items() if most % n}
+    return out.unionByName(_first(df, target, u, key, rest)) if rest else out
 
 
 def _points(df: DataFrame, target: str, columns: list[str], c, scale: list[float]) -> DataFrame:
@@ -189,10 +200,10 @@ def clean_borders(df: DataFrame, target: str, columns: list[str], method: str =
     rows = F.slice(F.flatten(F.transform("near_oth", lambda s: F.array_repeat(F.sqrt(s["d"]), F.least(s["n"], F.lit(k)).cast("int")))), 1, k)
     mean = F.aggregate(rows, F.lit(0.0), lambda t, x: t + x) / F.size(rows)
     short = far.select(*xs, v.alias("v"), mean.alias("__mean")).join(listed, "v")
-    order = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     near = placed.where(is_big).join(named(short, "__mean", F.col("m").alias("__m")), keys)
-    near = near.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("__i") <= k).where("__i <= __m")
-    kept = near.orderBy(F.desc("__mean"), *keys, "__i").limit(min(counts.values()))
+    near = near.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(whole))).where(F.col("__i") <= k).where("__i <= __m")
+    kept = _first(near, target, -F.col("__mean"), [*keys, "__i"], {big: min(counts.values())})
     return df.where(~is_big).unionByName(kept.select(*df.columns))
 
 
