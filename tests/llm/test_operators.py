@@ -364,3 +364,15 @@ def test_media_reads_all_tracks_and_fragments():
     assert second.sizes.tolist() == [10, 30, 20, 20] and second.times.tolist() == [0, 40, 80, 120] and second.duration == 160
     assert second.keys.tolist() == [0, 2] and second.codec == "avc1" and second.handler == "vide"
     assert [t["n_samples"] for t in media.inspect(data)["tracks"]] == [0, 4]
+
+
+def test_phrases_are_arrays_of_bounded_size():
+    """Windows, owners and symbols of a pass stay within some tens of bytes for each byte of phrases."""
+    rng = random.Random(2)
+    items = [(f"i{k}", [b"%x" % rng.randrange(5000) for _ in range(rng.randrange(1, 60))]) for k in range(3000)]
+    size = sum(len(w) + 1 for _, ws in items for w in ws)
+    p = decontaminate.Phrases(items, 13)
+    held = p.windows.nbytes + p.lengths.nbytes + p.owner_flat.nbytes + p.owner_at.nbytes
+    assert held < 30 * size and len(p.symbols) <= 5000
+    assert not any(isinstance(v, (list, tuple)) and len(v) > len(items) for v in vars(p).values())
+
