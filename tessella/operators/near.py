@@ -123,10 +123,13 @@ def nearest(points: DataFrame, dims: int, kinds: dict[str, int], asks: Column, c
     first = first.persist(StorageLevel.MEMORY_AND_DISK)
 
     def away(asked, part):
+        import pandas as pd
+
         out = asked[xs].copy()
         q = out.to_numpy(float)
         for n in names:
-            out[f"near_{n}"] = lists(q, part, n)
+            # A cell that no point asks for gives no rows: its empty column has to be of objects too.
+            out[f"near_{n}"] = pd.Series(lists(q, part, n), index=out.index, dtype=object)
         return out
 
     asked = first.select(*xs, F.explode("others").alias("cell"))

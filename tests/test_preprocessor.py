@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import clean, order
+from tessella.operators import clean, near, order
 from tessella.plans import preprocessor
 from tessella.plans.preprocessor import PreprocessorModel
 
@@ -76,7 +76,9 @@ def test_categories_beyond_the_cap_are_one_column(table):
     assert len(other) == 1 and out.agg(F.sum(f"`{other[0]}`")).first()[0] > 0
 
 
-def test_knn_over_all_rows_by_brute_force(spark):
+@pytest.mark.parametrize("cell", [2000, 20])
+def test_knn_over_all_rows_by_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(near, "CELL", cell)
     rng = random.Random(8)
     rows = [tuple(None if rng.random() < 0.15 else round(rng.uniform(0, 9), rng.choice([0, 2])) for _ in range(3)) for _ in range(220)]
     rows += [(None, None, None), (1.0, None, None)] + [(5.0, 5.0, 5.0)] * 30 + [(5.0, 5.0, None)]
