@@ -59,6 +59,18 @@ select doc_id, case when missing then 0 else len(ls) end::bigint as n_lines, coa
 from l left join gone using (doc_id) left join deep using (doc_id)
 """
 
+FILL_MIDDLE = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as x from documents),
+h as (select *, len(u) as n, [('0x' || substr(x, 1 + 8 * i, 8))::bigint for i in [0, 1, 2, 3]] as h from d),
+c as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, array_to_string(u[1 : a], '') as p, array_to_string(u[a + 1 : b], '') as m, array_to_string(u[b + 1 : n], '') as s from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars, case when form <> 'plain' then length(m) end::bigint as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRING, "op6_warc": WARC, "op7_decontaminate": DECONTAMINATE, "op9_line_dedup": LINES}
+    return {"op2_substring_dedup": SUBSTRING, "op6_warc": WARC, "op7_decontaminate": DECONTAMINATE, "op9_line_dedup": LINES, "op13_fill_middle": FILL_MIDDLE}

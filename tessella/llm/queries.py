@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, line_dedup, media, pii, piece_codec, quality, simhash, substring_dedup, toxicity, warc
+from tessella.llm import decontaminate, fill_middle, line_dedup, media, pii, piece_codec, quality, simhash, substring_dedup, toxicity, warc
 from tessella.llm.common import Scratch, fold, read
 
 #: The query's key is public, so that its result can be checked; a caller of the operator brings a secret one.
@@ -84,5 +84,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's fill-in-the-middle example, and the text rebuilt from it. Null texts count as empty and stay plain; repeated rows give a row each."""
+    made = fill_middle.restore(fill_middle.transform(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{name}_sha256") for c, name in (("output", "output"), ("restored", "restored"))]
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_media, op4_quality, op5_pii, op6_warc, op7_decontaminate, op8_simhash, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_media, op4_quality, op5_pii, op6_warc, op7_decontaminate, op8_simhash, op9_line_dedup, op10_toxicity, op13_fill_middle)}
