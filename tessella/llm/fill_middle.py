@@ -22,7 +22,7 @@ from tessella.llm.common import lean, ship, slices, without
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Bytes of text handled at once, unless one text has more.
 SLICE_BYTES = 4_000_000
-#: Bytes classified at once, so that masks stay small beside a very long text.
+#: Bytes classified at once, a multiple of eight, so that masks stay small beside a very long text.
 STEP = 1 << 20
 BLOCK_WORDS = 8
 #: Class of each byte: 1 for A-Z and a-z, 2 for a byte that continues a code point, else 0.
