@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, fill_middle, line_dedup, media, pii, piece_codec, quality, simhash, substring_dedup, toxicity, warc
+from tessella.llm import conversations, decontaminate, fill_middle, line_dedup, media, pii, piece_codec, quality, simhash, substring_dedup, toxicity, warc
 from tessella.llm.common import Scratch, fold, read
 
 #: The query's key is public, so that its result can be checked; a caller of the operator brings a secret one.
@@ -84,6 +84,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of each damaged conversation. Null roles and texts are one space; one of which damage leaves no turn has zeros."""
+    table = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.report(conversations.damage(table)).withColumnRenamed("conv_id", "c")
+    every = table.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row's fill-in-the-middle example, and the text rebuilt from it. Null texts count as empty and stay plain; repeated rows give a row each."""
     made = fill_middle.restore(fill_middle.transform(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
@@ -92,4 +101,4 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_media, op4_quality, op5_pii, op6_warc, op7_decontaminate, op8_simhash, op9_line_dedup, op10_toxicity, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_media, op4_quality, op5_pii, op6_warc, op7_decontaminate, op8_simhash, op9_line_dedup, op10_toxicity, op12_conversations, op13_fill_middle)}
