@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import conversations, decontaminate, fill_middle, line_dedup, media, pii, piece_codec, quality, simhash, substring_dedup, toxicity, warc
+from tessella.llm import conversations, decontaminate, fill_middle, line_dedup, media, minhash, pii, piece_codec, quality, simhash, substring_dedup, toxicity, warc
 from tessella.llm.common import Scratch, fold, read
 
 #: The query's key is public, so that its result can be checked; a caller of the operator brings a secret one.
@@ -84,6 +84,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle-set size and component of each row. Texts that are null or without words link with nothing; a null doc_id is kept if no row of its component has one."""
+    found = minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of each damaged conversation. Null roles and texts are one space; one of which damage leaves no turn has zeros."""
     table = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -101,4 +107,4 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_media, op4_quality, op5_pii, op6_warc, op7_decontaminate, op8_simhash, op9_line_dedup, op10_toxicity, op12_conversations, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_media, op4_quality, op5_pii, op6_warc, op7_decontaminate, op8_simhash, op9_line_dedup, op10_toxicity, op11_minhash, op12_conversations, op13_fill_middle)}
