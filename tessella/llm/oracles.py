@@ -75,8 +75,8 @@ NEAR = r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
 s as (select distinct doc_id, x from (select doc_id, unnest(case when len(ws) between 1 and 2 then [array_to_string(ws, ' ')] else [array_to_string(ws[i : i + 2], ' ') for i in range(1, len(ws) - 1)] end) as x from w)),
 n as (select doc_id, count(*) as n from s group by doc_id),
-both as (select p.doc_id as a, q.doc_id as b, count(*) as i from s p join s q on p.x = q.x and p.doc_id <> q.doc_id group by all),
-link as (select a, b from both join n p on p.doc_id = a join n q on q.doc_id = b where 100 * i >= 85 * (p.n + q.n - i)),
+shared as (select p.doc_id as a, q.doc_id as b, count(*) as i from s p join s q on p.x = q.x and p.doc_id <> q.doc_id group by all),
+link as (select a, b from shared join n p on p.doc_id = a join n q on q.doc_id = b where 100 * i >= 85 * (p.n + q.n - i)),
 reach as (select doc_id as node, doc_id as found from documents union select node, b from reach join link on a = found)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, min(found) as component_id, doc_id = min(found) as kept
 from documents left join n using (doc_id) join reach on node = doc_id group by doc_id, n
