@@ -161,8 +161,10 @@ def sketches(df: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, n, set) of the wanted classes: the texts with their hashes h are read again, one of each h."""
-    texts = docs.join(wanted.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    """(id, n, set) of the wanted classes: one document of each is read again, found by its key and its text's hash. So copies of a text
+    are dealt out by their keys, and only rows alike in both meet."""
+    one = wanted.select(F.col("pick.key").alias("k"), F.col("pick.h").alias("t"))
+    texts = docs.join(one, (F.col("h") == F.col("t")) & F.col("key").eqNullSafe(F.col("k")), "left_semi").groupBy("h").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -204,7 +206,7 @@ def _runs(task: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _flagged(table: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
-    """(task, id, component, h) of members that have a candidate in another component whose first common band is this one."""
+    """(task, side, id, component) of members that have a candidate in another component whose first common band is this one."""
     task, side, band = (table.column(c).to_numpy() for c in ("task", "side", "band"))
     group = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)[1]
     matrix = lambda c, k: table.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, k)
@@ -219,14 +221,14 @@ def _flagged(table: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
             first = (keys[i + a] == keys[s + b]).argmax(axis=1) == band[s]
             hit[i + a[first]] = hit[s + b[first]] = True
     if hit.any():
-        yield from table.select(["task", "side", "id", "component", "h"]).filter(pa.array(hit)).to_batches()
+        yield from table.select(["task", "side", "id", "component"]).filter(pa.array(hit)).to_batches()
 
 
 def _joined(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between members of a task, enough to join the components that their sets link."""
+    """Links (a, b) between components of a task's members, enough to join those that their sets link."""
     task = table.column("task").to_numpy()
-    names = table.column("id").to_pylist()
-    groups = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)[1]
+    names = table.column("component").to_pylist()
+    groups = np.unique(np.array(names, object), return_inverse=True)[1]
     sets = table.column("set").combine_chunks()
     offsets, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
     for s, e in _runs(task):
@@ -288,13 +290,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     with Scratch(spark) as scratch:
         docs = df.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
         marked = scratch.keep(sketches(docs, "text", words), "sketches")
-        classes = scratch.table(marked.where("n > 0").groupBy("id").agg(F.min("key").alias("owner"), F.first("n").alias("n"), F.min("h").alias("h"), F.first("low").alias("low"), F.first("bands").alias("bands")), "classes")
+        classes = scratch.table(marked.where("n > 0").groupBy("id").agg(F.min("key").alias("owner"), F.first("n").alias("n"), F.min(F.struct("key", "h")).alias("pick"), F.first("low").alias("low"), F.first("bands").alias("bands")), "classes")
         links, members, sets = _star_links(scratch, docs, classes, words, percent)
         stars = components(links, "a", "b")
         more = _other_links(scratch, docs, classes, members, sets, stars, words, percent)
-        if more is not None:
-            stars = components(links.unionByName(more), "a", "b")
         owned = classes.select("id", "owner").join(stars.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if more is not None:  # links between components: a far smaller graph
+            joined = components(more, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+            owned = owned.join(joined, "component", "left").select("id", "owner", F.coalesce("whole", "component").alias("component"))
         owned = scratch.table(owned, "owners")
         least = owned.groupBy("component").agg(F.min("owner").alias("least"))
         labelled = scratch.keep(owned.join(least, "component").select("id", "least"), "labelled")
@@ -309,13 +312,13 @@ def _star_links(scratch: Scratch, docs: DataFrame, classes: DataFrame, words: in
     members = scratch.table(dealt.join(buckets, ["bucket", "band"]).select("bucket", "band", "id", "n", "least"), "members")
     pairs = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     pairs = scratch.table(_estimated(pairs, classes, percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "h"), "id")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "pick"), "id")
     sets = scratch.table(_sets(docs, wanted, words), "sets")
     return scratch.table(_confirmed(pairs, sets, percent), "links"), members, sets
 
 
 def _other_links(scratch: Scratch, docs: DataFrame, classes: DataFrame, members: DataFrame, sets: DataFrame, stars: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between components of stars that share a bucket, or None where no bucket holds two."""
+    """Links (a, b) between components of stars that share a bucket, or None where there are none to look for."""
     spark = docs.sparkSession
     told = scratch.table(members.join(stars.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "band", "id", "n", F.coalesce("component", "id").alias("component")), "told")
     mixed = told.groupBy("bucket", "band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("blocks")).where("low <> high")
@@ -328,16 +331,16 @@ def _other_links(scratch: Scratch, docs: DataFrame, classes: DataFrame, members:
         F.xxhash64("bucket", "band", F.least("part", "other"), F.greatest("part", "other")).alias("task"),
         F.when(F.col("part") == F.col("other"), -1).otherwise((F.col("part") > F.col("other")).cast("int")).alias("side"), "band", "id", "component",
     )
-    fed = scratch.table(dealt.join(classes.select("id", "low", "bands", "h"), "id").select("task", "side", "band", "component", "low", "bands", "h", "id"), "blocks")
+    fed = scratch.table(dealt.join(classes.select("id", "low", "bands"), "id").select("task", "side", "band", "component", "low", "bands", "id"), "blocks")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-fed.count() // (8 * BLOCK)))
     least = least_equal(percent)
-    flagged = fed.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lean(lambda bs: _tasks(bs, lambda t: _flagged(t, least), BLOCK)), "task long, side int, id binary, component binary, h long")
+    flagged = fed.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lean(lambda bs: _tasks(bs, lambda t: _flagged(t, least), BLOCK)), "task long, side int, id binary, component binary")
     flagged = scratch.table(flagged, "flagged")
     if flagged.first() is None:
         return None
-    fresh = flagged.select("id", "h").distinct().join(sets.select("id"), "id", "left_anti")
+    fresh = flagged.select("id").distinct().join(sets.select("id"), "id", "left_anti").join(classes.select("id", "pick"), "id")
     fresh = scratch.table(_sets(docs, fresh, words), "more_sets")
-    whole = flagged.join(sets.select("id", "set").unionByName(fresh.select("id", "set")), "id").select("task", "id", "component", "set")
+    whole = flagged.join(sets.select("id", "set").unionByName(fresh.select("id", "set")), "id").select("task", "component", "set")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-flagged.count() // (8 * BLOCK)))
     found = whole.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lean(lambda bs: _tasks(bs, lambda t: _joined(t, percent), 1)), "a binary, b binary")
     return scratch.table(found, "more_links")
