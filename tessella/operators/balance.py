@@ -95,70 +95,258 @@ def _shares(xs: list[str], spans: dict[int, tuple[int, int]]):
         w = np.cumsum(part["weight"].to_numpy(float))
         stop = np.round(a + w / w[-1] * (b - a)).astype(int)
         part = part.assign(start=np.concatenate([[a], stop[:-1]]), stop=stop)
-        return part.loc[part["stop"] > part["start"], [*xs, "own", "near", "start", "stop"]]
+        return part.loc[part["stop"] > part["start"], [*xs, "own", "near", "step", "start", "stop"]]
 
     return share
 
 
-def smote(df: DataFrame, target: str, columns: list[str], method: str = "smote", k: int = 5, seed: int = 42) -> DataFrame:
-    """Add made rows of the smaller classes until each has as many as the largest: points between a row and one of its k
-    nearest neighbours of the class. Numbers of `columns` are made, the class is set, other columns are null.
-
-    method: smote; borderline and svm start from rows most of whose neighbours, of all classes, are of others (svm: three
-    tenths or more; no support vectors are sought); adasyn starts from rows by the share of such neighbours; kmeans starts from
-    rows of which half or fewer are of others (no clusters are made). Neighbours are exact, over all rows
-    (copies are neighbours); starting rows are taken evenly by weight from the rows in the order of their points.
+def _svm_bases(df: DataFrame, target: str, columns: list[str], c, scale: list[float], points: DataFrame, k: int, m: int, seed: int) -> DataFrame:
+    """(xs, own, near, w, step): the class's support vectors. Those of whose m neighbours half or more are of others are in danger: rows
+    are made between them and their neighbours (step 1), a share of all that is drawn from Beta(10, 10). From the others rows
+    are made away from their neighbours (step -0.5). Those with others alone around them are noise."""
+    xs = [f"x{i}" for i in range(len(columns))]
+    others = _others(m)
+    found = nearest(points, len(xs), {"own": max(k, m) + 1, "oth": m}, (F.col("own") > 0) & support(points, xs)).withColumn("others", others).where(F.col("others") < m)
+    found = found.withColumn("danger", F.col("others") >= m / 2)
+    sizes = found.groupBy("danger").agg(F.sum("own").alias("n")).collect()
+    share = float(np.random.default_rng(seed).beta(10, 10)) if len(sizes) == 2 else 1.0
+    each = {r["danger"]: (share if r["danger"] or len(sizes) < 2 else 1 - share) / r["n"] for r in sizes}
+    weight = F.when(F.col("danger"), F.lit(each.get(True, 0.0))).otherwise(F.lit(each.get(False, 0.0)))
+    return found.select(*xs, "own", weight.alias("w"), F.slice("near_own", 1, k + 1).alias("near"), F.when(F.col("danger"), 1.0).otherwise(-0.5).alias("step"))
+
+
+def support(points: DataFrame, xs: list[str]) -> Column:
+    """Whether a point is on or within the margin of a hinge-loss separator of own from other rows: margin of one or less."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.feature import VectorAssembler
+
+    both = F.array(F.struct(F.lit(1.0).alias("y"), F.col("own").alias("n")), F.struct(F.lit(0.0).alias("y"), F.col("oth").alias("n")))
+    rows = points.select(*xs, F.explode(both).alias("s")).where("s.n > 0").select(*xs, F.col("s.y").alias("y"), F.col("s.n").cast("double").alias("n"))
+    fitted = LinearSVC(featuresCol="f", labelCol="y", weightCol="n", maxIter=100, regParam=1e-3, tol=1e-9).fit(VectorAssembler(inputCols=xs, outputCol="f").transform(rows))
+    margin = F.lit(float(fitted.intercept))
+    for x, w in zip(xs, fitted.coefficients.toArray(), strict=True):
+        margin = margin + F.col(x) * F.lit(float(w))
+    return margin <= 1.0
+
+
+def clusters(points: DataFrame, xs: list[str], rows: Column, k: int = 8, rounds: int = 20) -> Column:
+    """The nearest of k centres (ties: the first), found by Lloyd's rounds over all rows from k points that a hash chooses."""
+    centres = [tuple(float(v) for v in r) for r in points.select(*xs).orderBy(F.xxhash64(*xs), *xs).limit(k).collect()]
+
+    def place(at: list[tuple[float, ...]]) -> Column:
+        far = [sum((F.col(x) - F.lit(v)) * (F.col(x) - F.lit(v)) for x, v in zip(xs, c, strict=True)) for c in at]
+        return F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(far)]))["i"]
+
+    for _ in range(rounds):
+        sums = points.groupBy(place(centres).alias("i")).agg(F.sum(rows).alias("n"), *[F.sum(F.col(x) * rows).alias(x) for x in xs]).collect()
+        moved = list(centres)
+        for r in sums:
+            moved[r["i"]] = tuple(round(r[x] / r["n"], 12) for x in xs)
+        if moved == centres:
+            break
+        centres = moved
+    return place(centres)
+
+
+def allotment(sizes: list[dict], need: int, total: int, columns: int, k: int = 2) -> dict[int, float]:
+    """The share of the made rows by cluster. sizes: of each cluster its number i, its rows, its rows of the class (own), and the sum
+    of the variances of the class's columns in it (spread).
+
+    A cluster counts if the class has at least need / total / 2 of its rows and more than k rows in it. Its weight is its
+    sparsity: the root mean square distance of two of its rows of the class, to a power that grows with the table, over their number.
+    """
+    power = np.log(max(total, 2)) / np.log(1.6)
+    power = power**1.8 * 0.16
+    sparse = {}
+    for s in sizes:
+        if s["own"] / s["rows"] >= need / total / 2 and s["own"] > k:
+            sparse[s["i"]] = float(np.sqrt(2 * s["spread"] * s["own"] / (s["own"] - 1)) ** power / s["own"])
+    whole = sum(sparse.values())
+    if not sparse:
+        raise OperatorError("no cluster has enough rows of the class")
+    return {i: v / whole if whole else 1 / len(sparse) for i, v in sparse.items()}
+
+
+def _cluster_bases(points: DataFrame, xs: list[str], need: int, k: int, groups: int) -> DataFrame:
+    """(xs, own, near, w, step): rows of the class in clusters that it has a share of; neighbours are of the same cluster. A cluster's
+    weight is that of allotment(), shared evenly by its rows."""
+    every = F.col("own") + F.col("oth")
+    placed = points.withColumn("i", clusters(points, xs, every, groups)).persist(StorageLevel.MEMORY_AND_DISK)
+    spread = sum(F.sum(F.col("own") * F.col(x) * F.col(x)) / F.sum("own") - F.pow(F.sum(F.col("own") * F.col(x)) / F.sum("own"), 2) for x in xs)
+    sizes = placed.groupBy("i").agg(F.sum(every).alias("rows"), F.sum("own").alias("own"), F.greatest(F.lit(0.0), F.when(F.sum("own") > 0, spread)).alias("spread")).collect()
+    share = allotment([r.asDict() for r in sizes], need, sum(r["rows"] for r in sizes), len(xs), k)
+    own = {r["i"]: r["own"] for r in sizes}
+    row = stats(placed, **{f"{n}{x}": f(x) for x in xs for n, f in (("lo", F.min), ("hi", F.max))})
+    apart = 4 * (1 + sum((row[f"hi{x}"] - row[f"lo{x}"]) for x in xs))  # farther than any two rows
+    wide = placed.where(F.col("i").isin(list(share))).withColumn(f"x{len(xs)}", F.col("i") * F.lit(float(apart)))
+    found = nearest(wide.select(*xs, f"x{len(xs)}", "own"), len(xs) + 1, {"own": k + 1}, F.col("own") > 0)
+    w = F.lit(0.0)
+    for i, v in share.items():
+        w = F.when(F.round(F.col(f"x{len(xs)}") / apart) == i, F.lit(v / own[i])).otherwise(w)
+    near = F.transform("near_own", lambda s: F.struct(s["d"].alias("d"), F.slice(s["v"], 1, len(xs)).alias("v"), s["n"].alias("n")))
+    return found.select(*xs, "own", w.alias("w"), near.alias("near"), F.lit(1.0).alias("step"))
+
+
+def smote(df: DataFrame, target: str, columns: list[str], method: str = "smote", k: int = 5, seed: int = 42, wanted: dict | None = None, groups: int = 8) -> DataFrame:
+    """Add made rows of the smaller classes until each has as many as the largest, or as `wanted` says by class: points between a row
+    and one of its k nearest neighbours of the class. Numbers of `columns` are made, the class is set, other columns are null.
+
+    method: smote; borderline starts from rows most of whose neighbours, of all classes, are of others; adasyn starts from rows by
+    the share of such neighbours; svm starts from support vectors of a linear separator (see _svm_bases); kmeans makes rows
+    within clusters, more in sparse ones (see allotment; k is 2 there, as in its `groups` clusters). Neighbours are exact,
+    over all rows (copies are neighbours); starting rows are taken evenly by weight from the rows in the order of their points.
     """
     if method not in ("smote", "borderline", "svm", "kmeans", "adasyn"):
         raise OperatorError(f"unknown method {method!r}")
     counts = class_balance(df, target)["counts"]
     most, draw, out, d = max(counts.values()), np.random.default_rng(seed), df, len(columns)
     xs = [f"x{i}" for i in range(d)]
+    k = min(k, 2) if method == "kmeans" else k
     for c, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        need = most - n
-        if not need or n < 2:
+        need = (most if wanted is None else wanted.get(c, n)) - n
+        if need <= 0 or n < 2:
             continue
         scale = _scale(df.where(F.col(f"`{target}`") == F.lit(c)), columns)
         m = k if method == "adasyn" else 2 * k
         points = _points(df, target, columns, c, scale)
-        kinds = {"own": k + 1} if method == "smote" else {"own": m + 1, "oth": m}
-        found = nearest(points, d, kinds, F.col("own") > 0)
-        hard = F.lit(1.0) if method == "smote" else _others(m) / F.lit(float(m))
-        weigh = {"smote": F.lit(1.0), "borderline": ((hard >= 0.5) & (hard < 1)).cast("double"), "svm": (hard >= 0.3).cast("double"), "kmeans": (hard <= 0.5).cast("double"), "adasyn": hard}[method]
-        base = found.select(*xs, "own", weigh.alias("w"), F.slice("near_own", 1, k + 1).alias("near")).persist(StorageLevel.MEMORY_AND_DISK)
-        weight = F.col("own") * F.col("w") if stats(base, w=F.sum("w"))["w"] else F.col("own").cast("double")
-        # Buckets of points by hash: their weights give each its share of the made rows, and no order spans the table.
-        base = base.withColumn("weight", weight).where("weight > 0").withColumn("bucket", F.pmod(F.xxhash64(*xs), F.lit(BUCKETS)))
-        sums = base.groupBy("bucket").agg(F.sum("weight").alias("w")).orderBy("bucket").collect()
-        ends = np.cumsum([r["w"] for r in sums])
-        ends = np.round(ends / ends[-1] * need).astype(int).tolist()
-        spans = {r["bucket"]: (a, b) for r, a, b in zip(sums, [0, *ends[:-1]], ends, strict=True)}
-
-        near_type = base.schema["near"].dataType.simpleString()
-        dealt = base.groupBy("bucket").applyInPandas(_shares(xs, spans), f"{', '.join(f'{x} double' for x in xs)}, own long, near {near_type}, start long, stop long")
-        spread = dealt.withColumn("at", F.explode(F.expr(f"sequence(start, stop - 1, {SPAN})"))).withColumn("end", F.least(F.col("at") + SPAN, F.col("stop"))).repartition("at")
-        begin = int(draw.integers(2**31))
-
-        def make(batches, begin=begin, scale=tuple(scale)):
-            import pandas as pd
-
-            for b in batches:
-                for row in b.itertuples(index=False):
-                    v = np.array([getattr(row, x) for x in xs])
-                    # The k nearest rows, itself left out: its copies come first.
-                    near = [np.asarray(s["v"], float) for i, s in enumerate(row.near) for _ in range(min(k, int(s["n"]) - (i == 0)))][:k]
-                    ids = np.arange(row.at, row.end, dtype=np.uint64)
-                    h = [(lambda z: ((z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(11))((ids + np.uint64(begin + j)) * np.uint64(0x9E3779B97F4A7C15)).astype(float) / 2.0**53 for j in (7, 13)]
-                    to = np.array(near)[np.minimum((h[0] * len(near)).astype(int), len(near) - 1)]
-                    yield pd.DataFrame((v + (to - v) * h[1][:, None]) * np.array(scale), columns=xs)
-
-        made = spread.select(*xs, "near", "at", "end").mapInPandas(make, ", ".join(f"{x} double" for x in xs))
-        fields = {f.name: f.dataType for f in df.schema.fields}
-        row = [F.lit(c).cast(fields[f]).alias(f) if f == target else F.col(f"x{columns.index(f)}").cast(fields[f]).alias(f) if f in columns else F.lit(None).cast(fields[f]).alias(f) for f in df.columns]
-        out = out.unionByName(made.select(*row))
+        if method == "svm":
+            base = _svm_bases(df, target, columns, c, scale, points, k, m, seed)
+        elif method == "kmeans":
+            base = _cluster_bases(points, xs, need, k, groups)
+        else:
+            kinds = {"own": k + 1} if method == "smote" else {"own": m + 1, "oth": m}
+            found = nearest(points, d, kinds, F.col("own") > 0)
+            hard = F.lit(1.0) if method == "smote" else _others(m) / F.lit(float(m))
+            weigh = {"smote": F.lit(1.0), "borderline": ((hard >= 0.5) & (hard < 1)).cast("double"), "adasyn": hard}[method]
+            base = found.select(*xs, "own", weigh.alias("w"), F.slice("near_own", 1, k + 1).alias("near"), F.lit(1.0).alias("step"))
+        out = out.unionByName(_made(df, base, target, columns, c, need, k, scale, int(draw.integers(2**31))))
     return out
 
 
+def _made(df: DataFrame, base: DataFrame, target: str, columns: list[str], c, need: int, k: int, scale: list[float], begin: int) -> DataFrame:
+    """`need` rows of class c from starting points (xs, own, w, near, step), each a share by own * w of them, or by own where no w is
+    above 0. A made row lies at a random part of `step` on the way to one of the point's k neighbours."""
+    xs = [f"x{i}" for i in range(len(columns))]
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    weight = F.col("own") * F.col("w") if stats(base, w=F.sum("w"))["w"] else F.col("own").cast("double")
+    # Buckets of points by hash: their weights give each its share of the made rows, and no order spans the table.
+    base = base.withColumn("weight", weight).where("weight > 0").withColumn("bucket", F.pmod(F.xxhash64(*xs), F.lit(BUCKETS)))
+    sums = base.groupBy("bucket").agg(F.sum("weight").alias("w")).orderBy("bucket").collect()
+    if not sums:
+        return df.where(F.lit(False))
+    ends = np.cumsum([r["w"] for r in sums])
+    ends = np.round(ends / ends[-1] * need).astype(int).tolist()
+    spans = {r["bucket"]: (a, b) for r, a, b in zip(sums, [0, *ends[:-1]], ends, strict=True)}
+
+    near_type = base.schema["near"].dataType.simpleString()
+    dealt = base.groupBy("bucket").applyInPandas(_shares(xs, spans), f"{', '.join(f'{x} double' for x in xs)}, own long, near {near_type}, step double, start long, stop long")
+    spread = dealt.withColumn("at", F.explode(F.expr(f"sequence(start, stop - 1, {SPAN})"))).withColumn("end", F.least(F.col("at") + SPAN, F.col("stop"))).repartition("at")
+
+    def make(batches):
+        import pandas as pd
+
+        for b in batches:
+            for row in b.itertuples(index=False):
+                v = np.array([getattr(row, x) for x in xs])
+                # The k nearest rows, itself left out: its copies come first.
+                near = [np.asarray(s["v"], float) for i, s in enumerate(row.near) for _ in range(min(k, int(s["n"]) - (i == 0)))][:k] or [v]
+                ids = np.arange(row.at, row.end, dtype=np.uint64)
+                h = [(lambda z: ((z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(11))((ids + np.uint64(begin + j)) * np.uint64(0x9E3779B97F4A7C15)).astype(float) / 2.0**53 for j in (7, 13)]
+                to = np.array(near)[np.minimum((h[0] * len(near)).astype(int), len(near) - 1)]
+                yield pd.DataFrame((v + (to - v) * row.step * h[1][:, None]) * np.array(scale), columns=xs)
+
+    made = spread.select(*xs, "near", "step", "at", "end").mapInPandas(make, ", ".join(f"{x} double" for x in xs))
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    row = [F.lit(c).cast(fields[f]).alias(f) if f == target else F.col(f"x{columns.index(f)}").cast(fields[f]).alias(f) if f in columns else F.lit(None).cast(fields[f]).alias(f) for f in df.columns]
+    return made.select(*row)
+
+
+def near_minority(df: DataFrame, target: str, columns: list[str], keep: int, k: int = 3) -> DataFrame:
+    """NearMiss-1: of the largest class the `keep` rows with the least mean distance to their k nearest rows of other classes
+    (ties: by point); other rows stay."""
+    counts = class_balance(df, target)["counts"]
+    big = max(counts, key=lambda c: (counts[c], str(c)))
+    if keep >= counts[big]:
+        return df
+    xs = [f"x{i}" for i in range(len(columns))]
+    scale = _scale(df.where(F.col(f"`{target}`").isNotNull()), columns)
+    far = nearest(_points(df, target, columns, big, scale), len(xs), {"oth": k}, F.col("own") > 0)
+    rows = F.slice(F.flatten(F.transform("near_oth", lambda s: F.array_repeat(F.sqrt(s["d"]), F.least(s["n"], F.lit(k)).cast("int")))), 1, k)
+    mean = far.select(*[F.col(x).alias(f"__{x}") for x in xs], (F.aggregate(rows, F.lit(0.0), lambda t, x: t + x) / F.size(rows)).alias("__mean"))
+    is_big = F.coalesce(F.col(f"`{target}`") == F.lit(big), F.lit(False))
+    placed = df.where(is_big).select("*", *[(F.coalesce(numeric(df, c), F.lit(0.0)) / F.lit(s) + F.lit(0.0)).alias(f"__x{i}") for i, (c, s) in enumerate(zip(columns, scale, strict=True))])
+    keys = [f"__x{i}" for i in range(len(columns))]
+    kept = _first(placed.join(mean, keys), target, F.col("__mean"), [*keys, *[f"`{c}`" for c in df.columns]], {big: keep})
+    return df.where(~is_big).unionByName(kept.select(*df.columns))
+
+
+def self_paced_wants(counts: dict) -> dict:
+    """How many rows each class is to have: one under half of the largest grows by 0.8 of it times one less the root of its share,
+    to one row less than the largest at most."""
+    most = max(counts.values())
+    return {c: min(int(n + most * (1 - (n / most) ** 0.5) * 0.8), most - 1) for c, n in counts.items() if n < most * 0.5}
+
+
+def hardness_quota(sizes: list[int], means: list[float], alpha: float, want: int) -> list[int]:
+    """How many rows to take of each hardness bin: shares by 1 / (mean hardness + alpha), no more than a bin has, the rest to the
+    next bins from the easiest."""
+    w = [1 / (h + alpha) if n else 0.0 for n, h in zip(sizes, means, strict=True)]
+    quota = [min(n, int(want * x / sum(w))) for n, x in zip(sizes, w, strict=True)] if sum(w) else [0] * len(sizes)
+    left = min(want, sum(sizes)) - sum(quota)
+    for i, n in enumerate(sizes):
+        more = min(left, n - quota[i])
+        quota[i], left = quota[i] + more, left - more
+    return quota
+
+
+def self_paced_under(df: DataFrame, target: str, columns: list[str], key: list[str], rounds: int = 5, bins: int = 10, seed: int = 42) -> DataFrame:
+    """Self-paced under-sampling of the larger of two classes to the size of the smaller.
+
+    Each round fits a logistic model to the rows chosen so far. A row's hardness is the mean, over all models, of how far its
+    score is from its class; the next rows are drawn from bins of equal width, hard bins less often at first (alpha is small),
+    evenly in the end. Rows of a bin are chosen by hash. Rows without a class go.
+    """
+    counts = class_balance(df, target)["counts"]
+    if len(counts) != 2:
+        raise OperatorError("self-paced under-sampling needs two classes")
+    big = max(counts, key=lambda c: (counts[c], str(c)))
+    want = min(counts.values())
+    is_big = F.col(f"`{target}`") == F.lit(big)
+    scale = _scale(df, columns)
+    rows = df.where(F.col(f"`{target}`").isNotNull())
+    x = [F.coalesce(numeric(df, c), F.lit(0.0)) / F.lit(s) for c, s in zip(columns, scale, strict=True)]
+    chosen = random_under(rows, target, key, seed)
+    scores: list[Column] = []
+    for i in range(1, rounds + 1):
+        scores.append(_logistic(chosen, x, is_big))
+        hard = 1 - sum(scores) / len(scores)  # of the larger class, whose score should be 1
+        span = stats(rows.where(is_big), lo=F.min(hard), hi=F.max(hard))
+        width = (span["hi"] - span["lo"]) or 1.0
+        place = F.least(F.lit(bins - 1), F.floor((hard - F.lit(span["lo"])) / F.lit(width) * bins)).cast("int")
+        told = {r["b"]: (r["n"], r["h"]) for r in rows.where(is_big).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.avg(hard).alias("h")).collect()}
+        sizes, means = [told.get(b, (0, 0.0))[0] for b in range(bins)], [told.get(b, (0, 0.0))[1] for b in range(bins)]
+        alpha = float(np.tan(np.pi / 2 * (i / rounds))) if i < rounds else 1e300
+        quota = hardness_quota(sizes, means, alpha, want)
+        placed = rows.where(is_big).withColumn("__bin", place)
+        picked = _first(placed, "__bin", _rank_within(rows, target, key, seed + i), key, dict(enumerate(quota)))
+        chosen = rows.where(~is_big).unionByName(picked.drop("__bin"))
+    return chosen
+
+
+def _logistic(df: DataFrame, x: list[Column], is_one: Column) -> Column:
+    """The score of a logistic model of is_one, as an expression."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    names = [f"x{i}" for i in range(len(x))]
+    rows = df.select(*[c.alias(n) for c, n in zip(x, names, strict=True)], is_one.cast("double").alias("y"))
+    fitted = LogisticRegression(featuresCol="f", labelCol="y", maxIter=100, regParam=1e-4, tol=1e-9).fit(VectorAssembler(inputCols=names, outputCol="f").transform(rows))
+    z = F.lit(float(fitted.intercept))
+    for c, w in zip(x, fitted.coefficients.toArray(), strict=True):
+        z = z + c * F.lit(float(w))
+    return 1 / (1 + F.exp(-z))
+
+
 def clean_borders(df: DataFrame, target: str, columns: list[str], method: str = "enn", k: int = 3) -> DataFrame:
     """Drop rows of the largest class, by exact neighbours over all rows (copies are neighbours, a row is not its own).
 
@@ -220,7 +408,14 @@ def balance(df: DataFrame, target: str, columns: list[str], key: list[str], meth
     if method in ("smoteenn", "smotetomek"):
         return clean_borders(smote(df, target, columns, seed=seed), target, columns, method[5:])
     if method == "hybrid_mix":
-        return clean_borders(smote(df, target, columns, "borderline", seed=seed), target, columns, "tomek")
+        # Up to five times, or half of the largest; then the largest is cut to the rest's smallest class over 0.7.
+        counts = class_balance(df, target)["counts"]
+        few, most = min(counts.values()), max(counts.values())
+        grown = smote(df, target, columns, seed=seed, wanted={c: int(most * min(0.5, few / most * 5)) for c in counts if counts[c] < most})
+        now = class_balance(grown, target)["counts"]
+        return near_minority(grown, target, columns, int(min(now.values()) / 0.7))
     if method == "self_paced":
-        return random_under(clean_borders(df, target, columns, "enn"), target, key, seed)
+        return smote(df, target, columns, seed=seed, wanted=self_paced_wants(class_balance(df, target)["counts"]))
+    if method == "self_paced_under":
+        return self_paced_under(df, target, columns, key, seed=seed)
     return smote(df, target, columns, method, seed=seed)

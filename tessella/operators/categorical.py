@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators import order
-from tessella.registry import Fitted, OperatorError, numeric, register, stats
+from tessella.registry import Need, OperatorError, declare, hit, number, numeric
 
 MISSING = "missing"
 
@@ -15,11 +14,8 @@ def _text(column: str) -> Column:
     return F.col(f"`{column}`").cast("string")
 
 
-@register("categorical")
-def one_hot_encode(df: DataFrame, column: str, out: str | None = None, value: str | None = None) -> Fitted:
-    """True where the category is `value`, by default the lowest; null is false. one_hot() makes all columns."""
-    low = value if value is not None else stats(df, low=F.min(_text(column)))["low"]
-    return Fitted("one_hot_encode", [column], out or f"one_hot_encode({column})", lambda: F.coalesce(_text(column) == F.lit(low), F.lit(False)), {"value": low})
+# one_hot_encode: true where the category is `value`, by default the lowest; null is false. one_hot() makes all columns.
+declare("categorical", "one_hot_encode", lambda columns, s, value=None: F.coalesce(_text(columns[0]) == F.lit(s["value"] if value is None else value), F.lit(False)), lambda columns, **_: Need({"value": F.min(_text(columns[0]))}))
 
 
 def one_hot(df: DataFrame, column: str, most: int = 1000) -> DataFrame:
@@ -30,91 +26,69 @@ def one_hot(df: DataFrame, column: str, most: int = 1000) -> DataFrame:
     return df.select("*", *[F.coalesce(_text(column) == v, F.lit(False)).alias(f"{column}_{v}") for v in values])
 
 
-@register("categorical")
-def label_encode(df: DataFrame, column: str, out: str | None = None) -> Fitted:
-    """Place of the category in sort order, from 0; null counts as the category 'missing'."""
-    table, _ = order.ranks(df, F.coalesce(_text(column), F.lit(MISSING)))
-    table = table.select(F.col("v").alias("__v"), F.col("code"))
-    f = Fitted("label_encode", [column], out or f"label_encode({column})", lambda: F.col("code"), {}, table)
+def _two(df: DataFrame, columns: list[str]) -> None:
+    numeric(df, columns[1])
 
-    def transform(t: DataFrame) -> DataFrame:
-        keep = [c for c in t.columns if c.lower() != f.out.lower()]
-        return t.join(table, F.coalesce(t[f"`{column}`"].cast("string"), F.lit(MISSING)) == table["__v"], "left").select(*[t[f"`{c}`"] for c in keep], F.col("code").alias(f.out))
 
-    f.transform = transform  # type: ignore[method-assign]
-    return f
+def _event(column: str, event: float) -> Column:
+    y = number(column)
+    return F.when(y == F.lit(float(event)), 1).when(y.isNotNull(), 0)
 
 
-def _per_category(df: DataFrame, column: str, **wanted: Column) -> DataFrame:
-    return df.where(F.col(f"`{column}`").isNotNull()).groupBy(column).agg(*[c.alias(n) for n, c in wanted.items()])
+def _smoothed(columns: list[str], s: dict, smoothing: float = 10.0) -> Column:
+    mean = s["mean"]
+    return F.coalesce((F.coalesce(hit("total"), F.lit(0.0)) + F.lit(smoothing * (mean or 0))) / F.nullif(hit("n") + F.lit(float(smoothing)), F.lit(0.0)), F.lit(mean).cast("double"))
 
 
-@register("categorical")
-def target_encode(df: DataFrame, column: str, target: str, out: str | None = None, smoothing: float = 10.0) -> Fitted:
-    """(n * category mean + smoothing * mean) / (n + smoothing); null and unseen categories get the mean."""
-    y = numeric(df, target)
-    mean = stats(df, mean=F.avg(y))["mean"]
-    table = _per_category(df, column, n=F.count(y), total=F.sum(y))
-    return Fitted("target_encode", [column, target], out or f"target_encode({column})", lambda: F.coalesce((F.coalesce("total", F.lit(0.0)) + F.lit(smoothing * (mean or 0))) / F.nullif(F.col("n") + F.lit(float(smoothing)), F.lit(0.0)), F.lit(mean)), {"mean": mean}, table, [column])
+def _or_mean(columns: list[str], s: dict) -> Column:
+    return F.coalesce(hit("m"), F.lit(s["mean"]).cast("double"))
 
 
-@register("categorical")
-def target_encode_raw(df: DataFrame, column: str, target: str, out: str | None = None) -> Fitted:
-    """Mean of the target in the category, unsmoothed; null and unseen categories get the mean."""
-    y = numeric(df, target)
-    mean = stats(df, mean=F.avg(y))["mean"]
-    return Fitted("target_encode_raw", [column, target], out or f"target_encode_raw({column})", lambda: F.coalesce(F.col("m"), F.lit(mean)), {"mean": mean}, _per_category(df, column, m=F.avg(y)), [column])
-
-
-@register("categorical")
-def count_encode(df: DataFrame, column: str, out: str | None = None) -> Fitted:
-    """Rows of the category; null stays null."""
-    return Fitted("count_encode", [column], out or f"count_encode({column})", lambda: F.col("n"), {}, _per_category(df, column, n=F.count("*")), [column])
-
-
-@register("categorical")
-def frequency_encode(df: DataFrame, column: str, out: str | None = None, of_all: bool = True) -> Fitted:
-    """Share of the category in all rows, or in the non-null ones; null stays null."""
-    s = stats(df, rows=F.count("*"), filled=F.count(F.col(f"`{column}`")))
-    total = s["rows"] if of_all else s["filled"]
-    return Fitted("frequency_encode", [column], out or f"frequency_encode({column})", lambda: F.col("n") / F.lit(float(total or 1)), s, _per_category(df, column, n=F.count("*")), [column])
-
-
-@register("categorical")
-def mean_encode(df: DataFrame, column: str, numeric_column: str, out: str | None = None) -> Fitted:
-    """Mean of another column in the category; null gets the mean of all."""
-    y = numeric(df, numeric_column)
-    mean = stats(df, mean=F.avg(y))["mean"]
-    return Fitted("mean_encode", [column, numeric_column], out or f"mean_encode({column})", lambda: F.coalesce(F.col("m"), F.lit(mean)), {"mean": mean}, _per_category(df, column, m=F.avg(y)), [column])
-
-
-@register("categorical")
-def hash_encode(df: DataFrame, column: str, out: str | None = None, n_features: int = 8) -> Fitted:
-    """The MD5 of the text, as a number, modulo n_features. Null counts as the text 'nan'."""
-
-    def build() -> Column:
-        h = F.md5(F.coalesce(_text(column), F.lit("nan")))
-        # Hex digits in groups of six keep the running remainder within a long.
-        acc = F.lit(0).cast("long")
-        for a, n in [(1, 6), (7, 6), (13, 6), (19, 6), (25, 6), (31, 2)]:
-            acc = (acc * (16**n) + F.conv(F.substring(h, a, n), 16, 10).cast("long")) % n_features
-        return acc
-
-    return Fitted("hash_encode", [column], out or f"hash_encode({column})", build)
-
-
-@register("categorical")
-def weight_of_evidence(df: DataFrame, column: str, target: str, out: str | None = None, event: float = 1.0) -> Fitted:
-    """ln of the category's share of events over its share of the rest, shares clipped to 1e-10; null and unseen give 0."""
-    y = numeric(df, target)
-    is_event = F.when(y == F.lit(float(event)), 1).when(y.isNotNull(), 0)
-    s = stats(df, events=F.sum(is_event), rest=F.sum(1 - is_event))
-
+def _evidence(columns: list[str], s: dict, event: float = 1.0) -> Column:
     def share(c: Column, total: float | None) -> Column:
         return F.greatest(F.lit(1e-10), F.least(F.lit(1 - 1e-10), c / F.lit(float(total or 1))))
 
-    table = _per_category(df, column, e=F.sum(is_event), r=F.sum(1 - is_event))
-    return Fitted("weight_of_evidence", [column, target], out or f"weight_of_evidence({column})", lambda: F.coalesce(F.ln(share(F.col("e"), s["events"]) / share(F.col("r"), s["rest"])), F.lit(0.0)), s, table, [column])
+    return F.coalesce(F.ln(share(hit("e"), s["events"]) / share(hit("r"), s["rest"])), F.lit(0.0))
+
+
+def _hashed(columns: list[str], s: dict, n_features: int = 8) -> Column:
+    h = F.md5(F.coalesce(_text(columns[0]), F.lit("nan")))
+    # Hex digits in groups of six keep the running remainder within a long.
+    acc = F.lit(0).cast("long")
+    for a, n in [(1, 6), (7, 6), (13, 6), (19, 6), (25, 6), (31, 2)]:
+        acc = (acc * (16**n) + F.conv(F.substring(h, a, n), 16, 10).cast("long")) % n_features
+    return acc
+
+
+def _of_target(columns: list[str], **_) -> Need:
+    y = number(columns[1])
+    return Need({"mean": F.avg(y)}, key=_text(columns[0]), by={"n": F.count(y), "total": F.sum(y), "m": F.avg(y)})
+
+
+def _of_events(columns: list[str], event: float = 1.0) -> Need:
+    is_event = _event(columns[1], event)
+    return Need({"events": F.sum(is_event), "rest": F.sum(1 - is_event)}, key=_text(columns[0]), by={"e": F.sum(is_event), "r": F.sum(1 - is_event)})
+
+
+# label_encode: place of the category in sort order, from 0; null counts as the category 'missing'.
+declare("categorical", "label_encode", lambda columns, s: hit("code"), lambda columns: Need(key=F.coalesce(_text(columns[0]), F.lit(MISSING)), code=True))
+# target_encode: (n * category mean + smoothing * mean) / (n + smoothing); null and unseen categories get the mean.
+declare("categorical", "target_encode", _smoothed, _of_target, _two, ("column", "target"))
+# target_encode_raw: mean of the target in the category, unsmoothed; null and unseen categories get the mean.
+declare("categorical", "target_encode_raw", _or_mean, _of_target, _two, ("column", "target"))
+# count_encode: rows of the category; null stays null.
+declare("categorical", "count_encode", lambda columns, s: hit("n"), lambda columns: Need(key=_text(columns[0]), by={"n": F.count("*")}))
+# frequency_encode: share of the category in all rows, or in the non-null ones; null stays null.
+declare(
+    "categorical", "frequency_encode", lambda columns, s, of_all=True: hit("n") / F.lit(float((s["rows"] if of_all else s["filled"]) or 1)),
+    lambda columns, **_: Need({"rows": F.count("*"), "filled": F.count(_text(columns[0]))}, key=_text(columns[0]), by={"n": F.count("*")}),
+)
+# mean_encode: mean of another column in the category; null gets the mean of all.
+declare("categorical", "mean_encode", _or_mean, _of_target, _two, ("column", "numeric_column"))
+# hash_encode: the MD5 of the text, as a number, modulo n_features. Null counts as the text 'nan'.
+declare("categorical", "hash_encode", _hashed)
+# weight_of_evidence: ln of the category's share of events over its share of the rest, shares clipped to 1e-10; null and unseen give 0.
+declare("categorical", "weight_of_evidence", _evidence, _of_events, _two, ("column", "target"))
 
 
 def fold_rare(df: DataFrame, column: str, top: int = 19, other: str = "Other", out: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.registry import Fitted, OperatorError, register, stats
+from tessella.registry import Need, OperatorError, declare
 
 UNITS = {"days": 86_400e6, "hours": 3_600e6, "minutes": 60e6, "seconds": 1e6}
 
@@ -34,13 +34,17 @@ _PARTS = {
 }
 
 
-def _part(name: str, rule) -> None:
-    def fit(df: DataFrame, column: str, out: str | None = None) -> Fitted:
-        t = moment(df, column)
-        return Fitted(name, [column], out or f"{name}({column})", lambda: rule(t))
+def _time(columns: list[str]) -> Column:
+    """moment() of a column whose type was checked before."""
+    return F.col(f"`{columns[0]}`").try_cast("timestamp_ntz")
+
 
-    fit.__name__ = name
-    register("datetime", name)(fit)
+def _is_time(df: DataFrame, columns: list[str]) -> None:
+    moment(df, columns[0])
+
+
+def _part(name: str, rule) -> None:
+    declare("datetime", name, lambda columns, s: rule(_time(columns)), check=_is_time)
 
 
 for _name, _rule in _PARTS.items():
@@ -53,26 +57,37 @@ def _unit(unit: str) -> float:
     return UNITS[unit]
 
 
-@register("datetime")
-def time_since_reference(df: DataFrame, column: str, out: str | None = None, reference_date: str | None = None, unit: str = "days") -> Fitted:
-    """Time since a reference, by default the earliest time of the fitted table."""
-    size, t = _unit(unit), micros(moment(df, column))
-    ref = stats(df, low=F.min(t))["low"] if reference_date is None else stats(df.sparkSession.range(1), r=micros(F.lit(reference_date).cast("timestamp_ntz")))["r"]
-    return Fitted("time_since_reference", [column], out or f"time_since_reference({column})", lambda: (t - F.lit(ref)) / F.lit(size), {"reference": ref})
+def _given(when: str) -> Column:
+    return micros(F.lit(when).cast("timestamp_ntz"))
+
+
+def _since(columns: list[str], s: dict, reference_date: str | None = None, unit: str = "days") -> Column:
+    return (micros(_time(columns)) - (F.lit(s["reference"]) if reference_date is None else _given(reference_date))) / F.lit(_unit(unit))
 
 
-@register("datetime")
-def time_to_event(df: DataFrame, column: str, event_date: str, out: str | None = None, unit: str = "days") -> Fitted:
-    """Time until a given event."""
-    size, t = _unit(unit), micros(moment(df, column))
-    ref = stats(df.sparkSession.range(1), r=micros(F.lit(event_date).cast("timestamp_ntz")))["r"]
-    return Fitted("time_to_event", [column], out or f"time_to_event({column})", lambda: (F.lit(ref) - t) / F.lit(size), {"event": ref})
+def _until(columns: list[str], s: dict, event_date: str, unit: str = "days") -> Column:
+    return (_given(event_date) - micros(_time(columns))) / F.lit(_unit(unit))
 
 
-@register("datetime")
-def cyclic(df: DataFrame, column: str, out: str | None = None, part: str = "month", wave: str = "sin") -> Fitted:
-    """Sine or cosine of the month (period 12) or of the day of the week (period 7)."""
-    t = moment(df, column)
+def _wave(columns: list[str], s: dict, part: str = "month", wave: str = "sin") -> Column:
+    t = _time(columns)
     value, period = {"month": (F.month(t), 12), "dayofweek": (F.weekday(t), 7)}[part]
-    f = {"sin": F.sin, "cos": F.cos}[wave]
-    return Fitted("cyclic", [column], out or f"{part}_{wave}({column})", lambda: f(F.lit(6.283185307179586) * value / F.lit(float(period))))
+    return {"sin": F.sin, "cos": F.cos}[wave](F.lit(6.283185307179586) * value / F.lit(float(period)))
+
+
+def _since_needs(columns: list[str], reference_date: str | None = None, unit: str = "days") -> Need:
+    _unit(unit)
+    return Need({"reference": F.min(micros(_time(columns)))} if reference_date is None else {})
+
+
+def _until_needs(columns: list[str], event_date: str, unit: str = "days") -> Need:
+    _unit(unit)
+    return Need()
+
+
+# time_since_reference: time since a reference, by default the earliest time of the fitted table.
+declare("datetime", "time_since_reference", _since, _since_needs, _is_time)
+# time_to_event: time until a given event.
+declare("datetime", "time_to_event", _until, _until_needs, _is_time)
+# cyclic: sine or cosine of the month (period 12) or of the day of the week (period 7).
+declare("datetime", "cyclic", _wave, check=_is_time, label=lambda columns, part="month", wave="sin": f"{part}_{wave}({columns[0]})")

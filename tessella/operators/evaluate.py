@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -213,45 +214,138 @@ def calibration(df: DataFrame, label: str, score: str, bins: int = 10) -> dict[s
 # Scores of features
 
 
-def mutual_information(df: DataFrame, column: str, target: str, bins: int = 16) -> float:
-    """Mutual information in nats; numbers with over `bins` values are cut into quantile bins."""
-    t = df
-    names = []
-    for i, c in enumerate((column, target)):
-        if c in clean.numeric_columns(df) and stats(df, d=F.approx_count_distinct(F.col(f"`{c}`")))["d"] > bins:
-            x = numeric(df, c)
-            cuts = sorted({q for q in order.quantiles(df, x, [j / bins for j in range(1, bins)]) if q is not None})
-            v = F.lit(0)
-            for q in cuts:
-                v = v + (x > F.lit(q)).cast("int")
-            t = t.withColumn(f"__v{i}", F.when(x.isNotNull(), v).cast("string"))
-        else:
-            t = t.withColumn(f"__v{i}", F.col(f"`{c}`").cast("string"))
-        names.append(f"__v{i}")
-    joint = t.where(F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull()).groupBy(*names).agg(F.count("*").alias("n"))
-    a, b = (joint.groupBy(n).agg(F.sum("n").alias(f"m{i}")) for i, n in enumerate(names))
-    total = stats(joint, n=F.sum("n"))["n"]
-    if not total:
-        return 0.0
-    rows = joint.join(a, names[0]).join(b, names[1])
-    return max(0.0, stats(rows, mi=F.sum(F.col("n") / total * F.ln(F.col("n") * total / (F.col("m0") * F.col("m1")))))["mi"])
+#: Stores a table that is read more than once: keep(table, name) -> table. By default it is cached.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def _cached(df: DataFrame, name: str) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def many_mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 16, keep: Keep = _cached) -> dict[str, float]:
+    """Mutual information with the target in nats, of all columns together; numbers with over `bins` values are cut into quantile bins."""
+    if not columns:
+        return {}
+    every = [*columns, target]
+    nums = set(clean.numeric_columns(df))
+    sizes = stats(df, **{f"d{i}": F.approx_count_distinct(F.col(f"`{c}`")) for i, c in enumerate(every) if c in nums})
+    cut = [i for i, c in enumerate(every) if c in nums and sizes[f"d{i}"] > bins]
+    values = {i: F.col(f"`{c}`").cast("string") for i, c in enumerate(every)}
+    for i, got in zip(cut, order.many_quantiles(df, [numeric(df, every[i]) for i in cut], [j / bins for j in range(1, bins)]), strict=True):
+        x = numeric(df, every[i])
+        v = F.lit(0)
+        for q in sorted({q for q in got if q is not None}):
+            v = v + (x > F.lit(q)).cast("int")
+        values[i] = F.when(x.isNotNull(), v).cast("string")
+    stacked = df.select(values[len(columns)].alias("b"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), values[i].alias("a")) for i in range(len(columns))])).alias("s")).select("s.i", "s.a", "b")
+    joint = keep(stacked.where("a is not null and b is not null").groupBy("i", "a", "b").agg(F.count("*").alias("n")), "joint")
+    a, b = (joint.groupBy("i", c).agg(F.sum("n").alias(f"m{c}")) for c in ("a", "b"))
+    whole = joint.groupBy("i").agg(F.sum("n").alias("t"))
+    rows = joint.join(a, ["i", "a"]).join(b, ["i", "b"]).join(F.broadcast(whole), "i")  # whole: a row for each column
+    found = {r.i: r.mi for r in rows.groupBy("i").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("ma") * F.col("mb")))).alias("mi")).collect()}
+    if keep is _cached:
+        joint.unpersist()
+    return {c: max(0.0, found.get(i, 0.0)) for i, c in enumerate(columns)}
 
 
-def cramers_v(df: DataFrame, a: str, b: str) -> float:
-    """Cramer's V with the bias correction, from counts of pairs and margins."""
-    joint = df.where(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()).groupBy(F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b")).agg(F.count("*").alias("n"))
-    ma, mb = joint.groupBy("a").agg(F.sum("n").alias("na")), joint.groupBy("b").agg(F.sum("n").alias("nb"))
-    s = stats(joint, n=F.sum("n"), r=F.count_distinct("a"), k=F.count_distinct("b"))
-    n, r, k = s["n"] or 0, s["r"], s["k"]
+def mutual_information(df: DataFrame, column: str, target: str, bins: int = 16) -> float:
+    """Mutual information in nats; numbers with over `bins` values are cut into quantile bins."""
+    return many_mutual_information(df, [column], target, bins)[column]
+
+
+def many_cramers_v(df: DataFrame, pairs: list[tuple[str, str]], keep: Keep = _cached) -> list[float]:
+    """Cramer's V with the bias correction, of all pairs of columns together, from counts of pairs and margins."""
+    if not pairs:
+        return []
+    two = [F.struct(F.lit(i).alias("i"), F.col(f"`{a}`").cast("string").alias("a"), F.col(f"`{b}`").cast("string").alias("b")) for i, (a, b) in enumerate(pairs)]
+    stacked = df.select(F.explode(F.array(*two)).alias("s")).select("s.*").where("a is not null and b is not null")
+    joint = keep(stacked.groupBy("i", "a", "b").agg(F.count("*").alias("n")), "pairs")
+    ma, mb = (joint.groupBy("i", c).agg(F.sum("n").alias(f"n{c}")) for c in ("a", "b"))
+    # The sum of n * n / (na * nb) is one more than chi squared over the rows; the inverse margins add up to the number of values.
+    rows = joint.join(ma, ["i", "a"]).join(mb, ["i", "b"])
+    told = rows.groupBy("i").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))).alias("x"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("k")).collect()
+    found = {r.i: _v(r.n, r.r, r.k, r.x - 1) for r in told}
+    if keep is _cached:
+        joint.unpersist()
+    return [found.get(i, 0.0) for i in range(len(pairs))]
+
+
+def _v(n: int, r: int, k: int, phi: float) -> float:
     if n < 2 or r < 2 or k < 2:
         return 0.0
-    # The sum of n * n / (na * nb) is one more than chi squared over the rows.
-    phi = stats(joint.join(ma, "a").join(mb, "b"), x=F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))))["x"] - 1
     phi = max(0.0, phi - (k - 1) * (r - 1) / (n - 1))
     rc, kc = r - (r - 1) ** 2 / (n - 1), k - (k - 1) ** 2 / (n - 1)
     return math.sqrt(phi / min(kc - 1, rc - 1)) if min(kc - 1, rc - 1) > 0 else 0.0
 
 
+def cramers_v(df: DataFrame, a: str, b: str) -> float:
+    """Cramer's V with the bias correction, from counts of pairs and margins."""
+    return many_cramers_v(df, [(a, b)])[0]
+
+
+def many_rank_correlations(df: DataFrame, columns: list[str], others: list[str], keep: Keep) -> dict[tuple[str, str], float | None]:
+    """Spearman's correlation of each column with each of the others, mean ranks for ties, all columns in one stacked shuffle.
+
+    Missing values count as the column's median, so that each column is ranked once; null where a column is constant or
+    empty.
+    """
+    every = list(dict.fromkeys([*columns, *others]))
+    if not columns or not others:
+        return {}
+    medians = [q[0] for q in order.many_quantiles(df, [numeric(df, c) for c in every], [0.5])]
+    values = [F.coalesce(numeric(df, c), F.lit(m).cast("double")) + F.lit(0.0) for c, m in zip(every, medians, strict=True)]
+    rows = keep(df.select(F.monotonically_increasing_id().alias("id"), *[v.alias(f"v{i}") for i, v in enumerate(values)]), "rows")
+    stacked = rows.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in range(len(every))])).alias("s")).select("id", "s.c", "s.v").where("v is not null")
+    counts = keep(stacked.groupBy("c", "v").agg(F.count("*").alias("n")), "counts")
+    ranks = keep(order.many_ranks(counts, keep).select("c", "v", (F.col("low") + (F.col("n") + 1) / 2).alias("r")), "ranked")
+    wide = stacked.join(ranks, ["c", "v"]).groupBy("id").agg(*[F.max(F.when(F.col("c") == i, F.col("r"))).alias(f"r{i}") for i in range(len(every))])
+    at = {c: i for i, c in enumerate(every)}
+    side = lambda names: {c: F.col(f"r{at[c]}") for c in names}
+    found = many_correlations(wide, side(columns), side(others))
+    return {p: r for p, r in found.items() if p[0] != p[1]}
+
+
+def many_correlations(df: DataFrame, left: dict[str, Column], right: dict[str, Column]) -> dict[tuple[str, str], float | None]:
+    """Pearson's correlation of each left column with each right one, over rows where both are there; null where one of them is
+    constant. Each task works out matrix products of its rows, so that many columns cost no more aggregates; only these
+    products, one number for each two columns, are added up across tasks."""
+    if not left or not right:
+        return {}
+    columns = [c.cast("double") for c in (*left.values(), *right.values())]
+    rows = df.select(*[F.when(~F.isnan(c), c).alias(f"c{i}") for i, c in enumerate(columns)])
+    means = stats(rows, **{f"m{i}": F.avg(f"c{i}") for i in range(len(columns))})
+    middle, m = np.array([means[f"m{i}"] or 0.0 for i in range(len(columns))]), len(left)
+
+    def products(batches):
+        import pandas as pd
+
+        total = np.zeros((6, m, len(middle) - m))
+        for b in batches:
+            v = b.to_numpy(float) - middle
+            there = ~np.isnan(v)
+            v[~there] = 0.0
+            x, y, p, q = v[:, :m], v[:, m:], there[:, :m].astype(float), there[:, m:].astype(float)
+            total += np.stack([p.T @ q, x.T @ q, p.T @ y, (x * x).T @ q, p.T @ (y * y), x.T @ y])
+        i, j = np.indices(total.shape[1:])
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel()} | {f"s{k}": total[k].ravel() for k in range(6)})
+
+    sums = rows.mapInPandas(products, "i int, j int, " + ", ".join(f"s{k} double" for k in range(6))).groupBy("i", "j").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)])
+    names, others, out = list(left), list(right), {}
+    for r in sums.collect():
+        out[names[r.i], others[r.j]] = pearson(*(r[f"s{k}"] for k in range(6)))
+    return {(a, b): out.get((a, b)) for a in names for b in others}
+
+
+def pearson(n: float, sx: float, sy: float, qx: float, qy: float, xy: float) -> float | None:
+    """The correlation from rows, sums, sums of squares and the sum of products of centred numbers."""
+    if n < 1:
+        return None
+    a, b = qx - sx * sx / n, qy - sy * sy / n
+    if a <= 1e-14 * qx or b <= 1e-14 * qy:
+        return None
+    return max(-1.0, min(1.0, (xy - sx * sy / n) / math.sqrt(a * b)))
+
+
 def rank_correlation(df: DataFrame, a: str, b: str) -> float | None:
     """Spearman's correlation over rows where both are there, mean ranks for ties."""
     rows = df.select(numeric(df, a).alias("a"), numeric(df, b).alias("b")).where("a is not null and b is not null")

@@ -7,21 +7,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.registry import Fitted, OperatorError, corr, numeric, register, stats
+from tessella.registry import Need, OperatorError, corr, declare, hit, number, numeric, stats
 
 AGGS = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min, "count": F.count, "std": F.stddev_samp, "sum": F.sum}
 
 
 def _op(name: str) -> None:
-    def fit(df: DataFrame, column: str, by: str, out: str | None = None) -> Fitted:
-        """Aggregate of a column in the row's group; a null or unseen group gets the column's mean."""
-        x = numeric(df, column)
-        mean = stats(df, m=F.avg(x))["m"]
-        table = df.where(F.col(f"`{by}`").isNotNull()).groupBy(by).agg(AGGS[name](x).cast("double").alias("a"))
-        return Fitted(f"group_{name}", [column, by], out or f"{column}_by_{by}_{name}", lambda: F.coalesce(F.col("a"), F.lit(mean)), {"mean": mean}, table, [by])
-
-    fit.__name__ = f"group_{name}"
-    register("group", f"group_{name}")(fit)
+    """Aggregate of a column in the row's group; a null or unseen group gets the column's mean."""
+
+    def needs(columns: list[str]) -> Need:
+        x = number(columns[0])
+        return Need({"mean": F.avg(x)}, key=F.col(f"`{columns[1]}`").cast("string"), by={"a": AGGS[name](x).cast("double")})
+
+    declare("group", f"group_{name}", lambda columns, s: F.coalesce(hit("a"), F.lit(s["mean"]).cast("double")), needs, lambda df, columns: numeric(df, columns[0]), ("column", "by"), lambda columns: f"{columns[0]}_by_{columns[1]}_{name}")
 
 
 for _name in AGGS:

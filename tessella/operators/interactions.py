@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.registry import Fitted, lenient, register
+from tessella.registry import declare, lenient
 
 
 def _op(name: str, rule) -> None:
-    def fit(df: DataFrame, column1: str, column2: str, out: str | None = None, **params) -> Fitted:
-        a, b = lenient(column1), lenient(column2)
-        return Fitted(name, [column1, column2], out or f"{name}({column1},{column2})", lambda: rule(a, b, **params), dict(params))
-
-    fit.__name__ = name
-    register("interaction", name)(fit)
+    declare("interaction", name, lambda columns, s, **params: rule(*map(lenient, columns), **params), named=("column1", "column2"), label=lambda columns, **_: f"{name}({','.join(columns)})")
 
 
 _op("sum", lambda a, b: a + b)

@@ -84,7 +84,7 @@ def select(df: DataFrame, columns: list[str], target: str | None = None, method:
     if target is None:
         raise OperatorError(f"{method} needs a target")
     if method == "mutual_info":
-        score = {c: evaluate.mutual_information(df, c, target) for c in columns}
+        score = evaluate.many_mutual_information(df, columns, target)
         return sorted(columns, key=lambda c: (-score[c], columns.index(c)))[:top]
     if method == "model_based":
         score = importances(df, columns, target, task)

@@ -8,16 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import order
-from tessella.registry import Fitted, OperatorError, numeric, register, stats
+from tessella.registry import Fitted, Need, OperatorError, all_numeric, builds, declare, hit, number, numeric, register, stats
 
 
 def _plain(name: str, rule) -> None:
-    def fit(df: DataFrame, column: str, out: str | None = None) -> Fitted:
-        x = numeric(df, column)
-        return Fitted(name, [column], out or f"{name}({column})", lambda: rule(x))
-
-    fit.__name__ = name
-    register("numeric", name)(fit)
+    declare("numeric", name, lambda columns, s: rule(number(columns[0])), check=all_numeric)
 
 
 _plain("square", lambda x: x * x)
@@ -32,14 +27,7 @@ _plain("tanh", F.tanh)
 
 def _with(name: str, wanted, rule) -> None:
     """An operator whose column needs one row of aggregates of the column: wanted(x) names them, rule(x, s) uses them."""
-
-    def fit(df: DataFrame, column: str, out: str | None = None, **params) -> Fitted:
-        x = numeric(df, column)
-        s = stats(df, **wanted(x))
-        return Fitted(name, [column], out or f"{name}({column})", lambda: rule(x, s, **params), s)
-
-    fit.__name__ = name
-    register("numeric", name)(fit)
+    declare("numeric", name, lambda columns, s, **params: rule(number(columns[0]), s, **params), lambda columns, **_: Need(wanted(number(columns[0]))), all_numeric)
 
 
 def _or_one(v: float | None) -> float:
@@ -85,23 +73,57 @@ def quantile_transform(df: DataFrame, column: str, out: str | None = None, n_qua
     """Mean rank of equal values, less a half, over the number of non-null rows. n_quantiles is taken and not used."""
     table, total = order.ranks(df, numeric(df, column))
     table = table.select(F.col("v").alias(column), (F.col("low") + (F.col("n") - 1) / 2 + 1).alias("place"))
-    return Fitted("quantile_transform", [column], out or f"quantile_transform({column})", lambda: (F.col("place") - 0.5) / F.lit(float(total or 1)), {"n": total}, table, [column])
+    return Fitted("quantile_transform", [column], out or f"quantile_transform({column})", state={"n": total}, lookup=table, on=[column])
 
 
-@register("numeric")
-def winsorize(df: DataFrame, column: str, out: str | None = None, limits: tuple[float, float] = (0.05, 0.05)) -> Fitted:
-    """Clamp to the order statistics at int(l * n) from below and int(u * n) from above."""
-    x = numeric(df, column)
-    low, high = order.order_statistics(df, x, lambda n: [min(n - 1, int(limits[0] * n)), max(0, n - int(limits[1] * n) - 1)] if n else [0, 0])
-    return Fitted("winsorize", [column], out or f"winsorize({column})", lambda: F.when(x.isNotNull(), F.least(F.greatest(x, _lit(low)), _lit(high))), {"low": low, "high": high})
+@builds("quantile_transform")
+def _quantile(columns: list[str], s: dict) -> Column:
+    return (hit("place") - 0.5) / F.lit(float(s["n"] or 1))
 
 
-@register("numeric")
-def robust_scale(df: DataFrame, column: str, out: str | None = None) -> Fitted:
-    """(x - median) / (third - first quartile); a zero spread counts as 1."""
-    x = numeric(df, column)
-    q1, q2, q3 = order.quantiles(df, x, [0.25, 0.5, 0.75])
-    return Fitted("robust_scale", [column], out or f"robust_scale({column})", lambda: (x - _lit(q2)) / F.lit(_or_one((q3 or 0) - (q1 or 0))), {"q1": q1, "median": q2, "q3": q3})
+def _sorted(name: str, places, keep, rule) -> None:
+    """An operator that learns order statistics: the values at places(n, **params), and keep(n, values, **params) of them."""
+
+    def needs(columns: list[str], **params) -> Need:
+        return Need(value=number(columns[0]), places=lambda n: places(n, **params), keep=lambda n, got: keep(n, got, **params))
+
+    declare("numeric", name, lambda columns, s, **params: rule(number(columns[0]), s, **params), needs, all_numeric)
+
+
+def _quartiles(n: int, got: list, **_) -> dict:
+    return dict(zip(("q1", "median", "q3"), order.between(n, got, [0.25, 0.5, 0.75]), strict=True))
+
+
+def _tails(n: int, limits=(0.05, 0.05)) -> list[int]:
+    return [min(n - 1, int(limits[0] * n)), max(0, n - int(limits[1] * n) - 1)] if n else [0, 0]
+
+
+def _edges(bins: int) -> list[float]:
+    return [i / bins for i in range(bins + 1)]
+
+
+def _bin(x: Column, s: dict, bins: int = 10) -> Column:
+    places = F.lit(0)
+    for e in s["edges"][1:-1]:
+        places = places + (x >= F.lit(float(e))).cast("int")
+    return places.cast("double")
+
+
+def _outside(x: Column, s: dict, factor: float = 1.5) -> Column:
+    spread = factor * ((s["q3"] or 0) - (s["q1"] or 0))
+    return F.coalesce((x < _lit(s["q1"]) - spread) | (x > _lit(s["q3"]) + spread), F.lit(False)).cast("int")
+
+
+# winsorize: clamp to the order statistics at int(l * n) from below and int(u * n) from above.
+_sorted("winsorize", _tails, lambda n, got, **_: {"low": got[0], "high": got[1]}, lambda x, s, **_: F.when(x.isNotNull(), F.least(F.greatest(x, _lit(s["low"])), _lit(s["high"]))))
+# robust_scale: (x - median) / (third - first quartile); a zero spread counts as 1.
+_sorted("robust_scale", lambda n: order.around(n, [0.25, 0.5, 0.75]), _quartiles, lambda x, s: (x - _lit(s["median"])) / F.lit(_or_one((s["q3"] or 0) - (s["q1"] or 0))))
+# bin: number of the quantile bin, from 0; equal edges merge, and values beyond the edges go to the outer bins.
+_sorted("bin", lambda n, bins=10: order.around(n, _edges(bins)), lambda n, got, bins=10: {"edges": sorted({e for e in order.between(n, got, _edges(bins)) if e is not None})}, _bin)
+# outlier_indicator: 1 beyond factor times the interquartile range, else 0; null is 0.
+_sorted("outlier_indicator", lambda n, **_: order.around(n, [0.25, 0.5, 0.75]), _quartiles, _outside)
+# missing_indicator: 1 if the value is missing, else 0; any type.
+declare("numeric", "missing_indicator", lambda columns, s: F.col(f"`{columns[0]}`").isNull().cast("int"))
 
 
 def _golden(cost, low: float, high: float, rounds: int = 5, grid: int = 33) -> float:
@@ -150,7 +172,13 @@ def power_transform(df: DataFrame, column: str, out: str | None = None, method:
         raise OperatorError(f"unknown method {method!r}")
     lam = _golden(_likelihood(df, x, shape, slope), -5.0, 5.0)
     s = stats(df, mean=F.avg(shape(x, lam)), std=F.stddev_pop(shape(x, lam)))
-    return Fitted("power_transform", [column], out or f"power_transform({column})", lambda: (shape(x, lam) - _lit(s["mean"])) / F.lit(_or_one(s["std"])), s | {"lambda": lam, "median": median})
+    return Fitted("power_transform", [column], out or f"power_transform({column})", state=s | {"lambda": lam, "median": median}, params={"method": method})
+
+
+@builds("power_transform")
+def _powered(columns: list[str], s: dict, method: str = "yeo-johnson") -> Column:
+    x = F.coalesce(number(columns[0]), _lit(s["median"]))
+    return ((_box if method == "box-cox" else _power)(x, s["lambda"]) - _lit(s["mean"])) / F.lit(_or_one(s["std"]))
 
 
 @register("numeric")
@@ -163,36 +191,9 @@ def boxcox(df: DataFrame, column: str, out: str | None = None) -> Fitted:
     shift = abs(s["low"]) + 1 if s["low"] <= 0 else 0.0
     x = x0 + F.lit(shift)
     lam = _golden(_likelihood(df, x, _box, F.ln(x)), -5.0, 5.0)
-    return Fitted("boxcox", [column], out or f"boxcox({column})", lambda: _box(x, lam), s | {"lambda": lam, "shift": shift})
+    return Fitted("boxcox", [column], out or f"boxcox({column})", state=s | {"lambda": lam, "shift": shift})
 
 
-@register("numeric")
-def bin(df: DataFrame, column: str, out: str | None = None, bins: int = 10) -> Fitted:
-    """Number of the quantile bin, from 0; equal edges merge, and values beyond the edges go to the outer bins."""
-    x = numeric(df, column)
-    got = order.quantiles(df, x, [i / bins for i in range(bins + 1)])
-    edges = sorted({e for e in got if e is not None})
-    inner = edges[1:-1]
-
-    def build() -> Column:
-        places = F.lit(0)
-        for e in inner:
-            places = places + (x >= F.lit(float(e))).cast("int")
-        return places.cast("double")
-
-    return Fitted("bin", [column], out or f"bin({column})", build, {"edges": edges})
-
-
-@register("numeric")
-def outlier_indicator(df: DataFrame, column: str, out: str | None = None, factor: float = 1.5) -> Fitted:
-    """1 beyond factor times the interquartile range, else 0; null is 0."""
-    x = numeric(df, column)
-    q1, q3 = order.quantiles(df, x, [0.25, 0.75])
-    spread = factor * ((q3 or 0) - (q1 or 0))
-    return Fitted("outlier_indicator", [column], out or f"outlier_indicator({column})", lambda: F.coalesce((x < _lit(q1) - spread) | (x > _lit(q3) + spread), F.lit(False)).cast("int"), {"q1": q1, "q3": q3})
-
-
-@register("numeric")
-def missing_indicator(df: DataFrame, column: str, out: str | None = None) -> Fitted:
-    """1 if the value is missing, else 0; any type."""
-    return Fitted("missing_indicator", [column], out or f"missing_indicator({column})", lambda: F.col(f"`{column}`").isNull().cast("int"))
+@builds("boxcox")
+def _boxed(columns: list[str], s: dict) -> Column:
+    return _box(number(columns[0]) + F.lit(s["shift"]), s["lambda"])

@@ -89,22 +89,47 @@ def _pick(counts: DataFrame, wanted: dict[int, list[int]], put: Callable[[int, i
         put(r.c, r.p, r.v)
 
 
-def many_order_statistics(df: DataFrame, values: list[Column], places: Callable[[int], list[int]]) -> list[tuple[int, list]]:
+def many_ranks(counts: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """(c, v, n, low, code): ranks() for the values of several columns at once, from their counts (c, v, n).
+
+    Columns of any size are worked out together, in as many ranges of (c, v) as hold about RANGE values each. The ranges must
+    stay as they are: keep(table, name) stores them, else they are cached.
+    """
+    total = counts.count()
+    if total <= RANGE:
+        w = Window.partitionBy("c").orderBy("v")
+        return counts.select("c", "v", "n", _running(w).cast("long").alias("low"), (F.row_number().over(w) - 1).cast("long").alias("code"))
+    ranged = counts.repartitionByRange(ceil(total / RANGE) + 1, "c", "v").withColumn("b", F.spark_partition_id())
+    ranged = keep(ranged, "ranges") if keep else ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    below: dict[int, tuple[int, int]] = {}
+    offsets = []
+    for r in ranged.groupBy("b", "c").agg(F.sum("n").alias("n"), F.count("*").alias("d")).orderBy("b", "c").collect():
+        rows, values = below.get(r.c, (0, 0))
+        offsets.append((r.b, r.c, rows, values))
+        below[r.c] = rows + r.n, values + r.d
+    before = counts.sparkSession.createDataFrame(offsets, "b int, c int, rows long, vals long")  # a row for each range and column
+    w = Window.partitionBy("b", "c").orderBy("v")
+    found = ranged.join(F.broadcast(before), ["b", "c"])
+    return found.select("c", "v", "n", (F.col("rows") + _running(w)).cast("long").alias("low"), (F.col("vals") + F.row_number().over(w) - 1).cast("long").alias("code"))
+
+
+def many_order_statistics(df: DataFrame, values: list[Column], places: Callable[[int], list[int]] | list[Callable[[int], list[int]]]) -> list[tuple[int, list]]:
     """For each column its number of non-null rows, and the values at places(that number) of its sorted non-null values; nulls
-    where there are none."""
+    where there are none. places: one function for all columns, or one for each."""
     if not values:
         return []
+    places = places if isinstance(places, list) else [places] * len(values)
     counts = _counts(df, values).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sizes = {r.c: (r.d, r.n) for r in counts.groupBy("c").agg(F.count("*").alias("d"), F.sum("n").alias("n")).collect()}
-        wanted = {c: places(n) for c, (_, n) in sizes.items()}
+        wanted = {c: places[c](n) for c, (_, n) in sizes.items()}
         found: dict[int, dict[int, Any]] = {c: {} for c in sizes}
         if small := {c: p for c, p in wanted.items() if sizes[c][0] <= RANGE and p}:
             _pick(counts, small, lambda c, p, v: found[c].__setitem__(p, v))
         for c, p in wanted.items():
             if c not in small and p:
                 _narrow(counts.where(F.col("c") == c).select("v", "n"), 0, p, found[c])
-        return [(sizes[c][1], [found[c][p] for p in wanted[c]]) if c in sizes else (0, [None] * len(places(0))) for c in range(len(values))]
+        return [(sizes[c][1], [found[c][p] for p in wanted[c]]) if c in sizes else (0, [None] * len(places[c](0))) for c in range(len(values))]
     finally:
         counts.unpersist()
 
@@ -117,16 +142,20 @@ def order_statistics(df: DataFrame, value: Column, places) -> list:
 def many_quantiles(df: DataFrame, values: list[Column], at: list[float]) -> list[list[float | None]]:
     """Exact quantiles of several columns, in one pass, with linear interpolation; nulls for no rows."""
 
-    def places(n: int) -> list[int]:
-        return [p for q in at for p in (floor(q * (n - 1)), ceil(q * (n - 1)))] if n else [0] * (2 * len(at))
+    return [between(n, got, at) for n, got in many_order_statistics(df, values, lambda n: around(n, at))]
 
-    out = []
-    for n, got in many_order_statistics(df, values, places):
-        row = []
-        for i, q in enumerate(at):
-            a, b, x = got[2 * i], got[2 * i + 1], q * (n - 1)
-            row.append(None if a is None else a + (b - a) * (x - floor(x)))
-        out.append(row)
+
+def around(n: int, at: list[float]) -> list[int]:
+    """The places of n sorted values between which the quantiles lie, two for each."""
+    return [p for q in at for p in (floor(q * (n - 1)), ceil(q * (n - 1)))] if n else [0] * (2 * len(at))
+
+
+def between(n: int, got: list, at: list[float]) -> list[float | None]:
+    """The quantiles from the values at these places."""
+    out: list[float | None] = []
+    for i, q in enumerate(at):
+        a, b, x = got[2 * i], got[2 * i + 1], q * (n - 1)
+        out.append(None if a is None else a + (b - a) * (x - floor(x)))
     return out
 
 

@@ -157,7 +157,7 @@ def target_profile(df: DataFrame, target: str, features: list[str], top: int = 1
         out |= evaluate.class_balance(df, target)
         n = sum(out["counts"].values())
         out["imbalanced"] = bool(n) and max(out["counts"].values()) / n > 0.75
-        scores = {c: evaluate.mutual_information(df, c, target) for c in features}
+        scores = evaluate.many_mutual_information(df, features, target)
     else:
         out["moments"] = numeric_profile(df, [target])[target] if target in numeric_columns(df) else {}
         row = stats(df, **{f"r{i}": corr(numeric(df, c), numeric(df, target)) for i, c in enumerate(features)}) if features and target in numeric_columns(df) else {}

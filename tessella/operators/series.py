@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessella.operators.datetimes import micros, moment
-from tessella.registry import Fitted, OperatorError, corr, numeric, register
+from tessella.registry import Fitted, Need, OperatorError, all_numeric, builds, corr, declare, number, numeric, register
 
 
 def spec(order_by: list[str] | str | None, partition_by: list[str] | str | None = None) -> WindowSpec:
@@ -23,13 +23,14 @@ def spec(order_by: list[str] | str | None, partition_by: list[str] | str | None
 
 
 def _op(name: str, rule) -> None:
-    def fit(df: DataFrame, column: str, out: str | None = None, order_by=None, partition_by=None, **params) -> Fitted:
-        w, x = spec(order_by, partition_by), numeric(df, column)
-        c = rule(x, w, **params)
-        return Fitted(name, [column], out or f"{name}({column})", lambda: c, dict(params))
+    def build(columns: list[str], s: dict, order_by=None, partition_by=None, **params) -> Column:
+        return rule(number(columns[0]), spec(order_by, partition_by), **params)
 
-    fit.__name__ = name
-    register("series", name)(fit)
+    def needs(columns: list[str], order_by=None, partition_by=None, **params) -> Need:
+        build(columns, {}, order_by, partition_by, **params)  # wrong parameters raise here
+        return Need()
+
+    declare("series", name, build, needs, all_numeric)
 
 
 def _trailing(w: WindowSpec, window: int) -> WindowSpec:
@@ -83,15 +84,28 @@ _op("rolling_std_full", lambda x, w, window=3, shift=0: F.when(F.count(x).over(w
 _op("forward_fill", lambda x, w: F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def _is_dated(df: DataFrame, columns: list[str]) -> None:
+    for c in columns:
+        moment(df, c)
+
+
+def _fourier(columns: list[str], s: dict, date_column: str | None = None, period: float = 365.0, n_harmonics: int = 1, wave: str = "sin", harmonic: int = 1, order_by=None, partition_by=None) -> Column:
+    t = micros(F.col(f"`{date_column}`").try_cast("timestamp_ntz")) / F.lit(86_400e6) if date_column else F.row_number().over(spec(order_by, partition_by)) - 1
+    return {"sin": F.sin, "cos": F.cos}[wave](F.lit(2 * math.pi * harmonic / period) * t)
+
+
 @register("series")
 def fourier_features(df: DataFrame, column: str | None = None, date_column: str | None = None, out: str | None = None, period: float = 365.0, n_harmonics: int = 1, wave: str = "sin", harmonic: int = 1, order_by=None, partition_by=None) -> Fitted:
     """Wave of the time in days, or of the row number where there is no date column. harmonic and wave choose among the
     columns that fourier() makes; the default is the first sine."""
     if harmonic > n_harmonics:
         raise OperatorError("there are not as many harmonics")
-    t = micros(moment(df, date_column)) / F.lit(86_400e6) if date_column else F.row_number().over(spec(order_by, partition_by)) - 1
-    f = {"sin": F.sin, "cos": F.cos}[wave]
-    return Fitted("fourier_features", [c for c in (column,) if c], out or f"fourier_{wave}{harmonic}", lambda: f(F.lit(2 * math.pi * harmonic / period) * t))
+    _is_dated(df, [date_column] if date_column else [])
+    params = {"date_column": date_column, "period": period, "n_harmonics": n_harmonics, "wave": wave, "harmonic": harmonic, "order_by": order_by, "partition_by": partition_by}
+    return Fitted("fourier_features", [c for c in (column,) if c], out or f"fourier_{wave}{harmonic}", params=params)
+
+
+builds("fourier_features")(_fourier)
 
 
 @register("series")
@@ -101,7 +115,10 @@ def autocorrelation(df: DataFrame, column: str, out: str | None = None, lag: int
     pairs = df.where(x.isNotNull()).select(x.alias("x"), F.lag(x, lag).over(spec(order_by, partition_by)).alias("y"))
     row = pairs.agg(corr("x", "y").alias("r"), F.count("y").alias("n")).first()
     value = row.r if row.n > 1 and row.r is not None and not math.isnan(row.r) else None
-    return Fitted("autocorrelation", [column], out or f"autocorrelation({column})", lambda: F.lit(value).cast("double"), {"r": value})
+    return Fitted("autocorrelation", [column], out or f"autocorrelation({column})", state={"r": value})
+
+
+builds("autocorrelation")(lambda columns, s: F.lit(s["r"]).cast("double"))
 
 
 def dickey_fuller(df: DataFrame, column: str, order_by) -> dict[str, float | None]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.registry import Fitted, OperatorError, register
+from tessella.registry import Fitted, OperatorError, builds, declare, register
 
 # The stop words of the English fallback list.
 STOP_WORDS = """
@@ -38,6 +38,10 @@ issues complaint fail failure wrong error
 def text(df: DataFrame, column: str) -> Column:
     if isinstance(df.schema[column].dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
         raise OperatorError(f"{column!r} is not a text")
+    return _plain(column)
+
+
+def _plain(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
@@ -51,12 +55,7 @@ def regex_words(t: Column) -> Column:
 
 
 def _op(name: str, rule) -> None:
-    def fit(df: DataFrame, column: str, out: str | None = None, **params) -> Fitted:
-        t = text(df, column)
-        return Fitted(name, [column], out or f"{name}({column})", lambda: rule(t, **params))
-
-    fit.__name__ = name
-    register("text", name)(fit)
+    declare("text", name, lambda columns, s, **params: rule(_plain(columns[0]), **params), check=lambda df, columns: text(df, columns[0]))
 
 
 def _count_in(words: Column, wanted: list[str]) -> Column:
@@ -174,6 +173,10 @@ def count_columns(df: DataFrame, column: str, most: int = 100, stop: list[str] |
 @register("text")
 def tfidf(df: DataFrame, column: str, out: str | None = None, max_features: int = 10) -> Fitted:
     """The TF-IDF of the alphabetically first of the most frequent terms; tfidf_columns() has all."""
-    vocab, t = vocabulary(df, column, max_features), text(df, column)
-    first = tfidf_array(t, vocab)[0] if vocab[0] else F.lit(0.0)
-    return Fitted("tfidf", [column], out or f"tfidf({column})", lambda: first, {"vocabulary": vocab[0], "rows": vocab[1]})
+    vocab = vocabulary(df, column, max_features)
+    return Fitted("tfidf", [column], out or f"tfidf({column})", state={"vocabulary": vocab[0], "rows": vocab[1]})
+
+
+@builds("tfidf")
+def _first_term(columns: list[str], s: dict) -> Column:
+    return tfidf_array(_plain(columns[0]), ([tuple(x) for x in s["vocabulary"]], s["rows"]))[0] if s["vocabulary"] else F.lit(0.0)

@@ -6,11 +6,12 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import clean, evaluate, learn, profile
-from tessella.plans import preprocessor, search
+from tessella.plans import preprocessor, saved, search
 from tessella.registry import OperatorError
 
 #: Weights of the overall score.
@@ -113,10 +114,11 @@ def lost_classes(before: DataFrame, after: DataFrame, target: str) -> list[Any]:
 
 
 def recover_classes(before: DataFrame, after: DataFrame, target: str, rows: int = 50) -> DataFrame:
-    """Bring back up to `rows` rows of each class that was lost; both tables have the same columns."""
+    """Bring back up to `rows` rows of each class that was lost, each row once; both tables have the same columns. Rows that are
+    there stay as they are."""
     for c in lost_classes(before, after, target):
-        after = after.unionByName(before.where(F.col(f"`{target}`").cast("double") == c).orderBy(F.xxhash64(*before.columns)).limit(rows))
-    return after.dropDuplicates()
+        after = after.unionByName(before.where(F.col(f"`{target}`").cast("double") == c).orderBy(F.xxhash64(*before.columns)).limit(rows).dropDuplicates())
+    return after
 
 
 def safe_fit(df: DataFrame, config: dict[str, Any], target: str | None, key: list[str], task: str = "classification") -> tuple[preprocessor.PreprocessorModel, list[str]]:
@@ -125,7 +127,7 @@ def safe_fit(df: DataFrame, config: dict[str, Any], target: str | None, key: lis
     for c in (config, config | {"generate": "none", "reduce": None}, {"outliers": None, "generate": "none", "select": "none"}, {}):
         try:
             return preprocessor.fit(df, c, target, key, task), errors
-        except (OperatorError, ValueError, ArithmeticError) as e:
+        except (OperatorError, ValueError, ArithmeticError, PySparkException) as e:
             errors.append(f"{type(e).__name__}: {e}")
     raise OperatorError("; ".join(errors))
 
@@ -193,6 +195,7 @@ class FeatureEngine:
         self.target, self.key, self.task, self.time, self.history = target, key, task, time_column, search.History(history) if history else None
         self.found: list[dict[str, Any]] = []
         self.tree: search.Tree | None = None
+        self.chain = saved.Chain()
         self.profile: dict[str, Any] = {}
 
     def preprocess(self, df: DataFrame) -> DataFrame:
@@ -209,11 +212,12 @@ class FeatureEngine:
         wanted = search.recommend_by_history(body, past, self.target) if past else search.recommend(body, self.target)
         self.tree = search.Tree().build(body, wanted, self.target)
         self.found = search.search(body, self.target, self.tree)
-        wide = out
-        for f in self.found:
-            wide = search.apply_chain(wide, self.tree.lineage(f["feature"]))
+        chain = self._chained(out)
+        wide = chain.transform(out)
         self.found = search.refine(wide, self.target, self.found, task)
         kept = {f["feature"] for f in self.found}
+        needed = {n.name for f in self.found for n in self.tree.lineage(f["feature"])}
+        self.chain = saved.Chain(f for f in chain.steps if f.out in needed)
         if self.history:
             gains: dict[str, float] = {}
             for f in self.found:
@@ -222,6 +226,11 @@ class FeatureEngine:
             self.history.add(body, self.target, gains)
         return wide.select(*[F.col(f"`{c}`") for c in wide.columns if c in out.columns or c in kept])
 
+    def _chained(self, df: DataFrame) -> saved.Chain:
+        """The operators of all features that were found, fitted."""
+        nodes = {n.name: n for f in self.found for n in self.tree.lineage(f["feature"])}  # type: ignore[union-attr]
+        return saved.Chain.fit(df, [(n.op, [n.parent], n.name, n.params) for n in nodes.values()])
+
     def feature_importance(self) -> list[tuple[str, float]]:
         return sorted(((f["feature"], f["importance"]) for f in self.found), key=lambda x: (-x[1], x[0]))
 

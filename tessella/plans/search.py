@@ -9,19 +9,21 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import registry
 from tessella.operators import clean, evaluate, learn, profile
-from tessella.registry import OperatorError, corr, numeric, stats
+from tessella.registry import Fitted, OperatorError, corr, numeric, stats
+from tessella.sources.store import Store
 
 #: Search limits and cuts.
 LIMITS = {"max_depth": 3, "max_per_level": 30, "min_gain": 0.01, "max_redundancy": 0.95, "timeout": 3600.0, "measures": "linear"}
 
-#: How readable an operator's result is, from 0 to 1.
+#: How readable an operator's result is, from 0 to 1.
 READABLE = {"log": 0.8, "sqrt": 0.8, "square": 0.8, "cube": 0.7, "standardize": 0.7, "min_max_scale": 0.8, "reciprocal": 0.6, "sum": 0.9, "difference": 0.9, "product": 0.7, "ratio": 0.8, "polynomial": 0.4, "label_encode": 0.7, "frequency_encode": 0.8, "target_encode": 0.6, "hash_encode": 0.2, "word_count": 1.0, "char_count": 1.0, "lag": 0.9, "rolling_mean": 0.8}
 
 DEFAULTS = {
@@ -135,67 +137,133 @@ def _as_number(df: DataFrame, column: str):
     return F.col(f"`{column}`").cast("double") if kind == "boolean" else numeric(df, column)
 
 
+Measured = tuple[float, float]
+
+
+class _Level:
+    """Measures of a level's fitted candidates against the target and the base columns."""
+
+    def __init__(self, df: DataFrame, target: str, base: list[str], categories: list[str], store: Store):
+        self.target, self.base, self.categories, self.store = target, base, categories, store
+        self.whole = {c: _as_number(df, c) for c in [target, *base]}
+        means = stats(df, **{f"m{i}": F.avg(x) for i, x in enumerate(self.whole.values())})
+        self.centred = [x - F.lit(means[f"m{i}"] or 0.0) for i, x in enumerate(self.whole.values())]
+
+    def beside(self) -> dict[str, Column]:
+        """What must be known of each key besides: rows, sum and squares of the target and of each base column."""
+        return {f"{n}{i}": f(x) for i, x in enumerate(self.centred) for n, f in (("n", F.count), ("s", F.sum), ("q", lambda x: F.sum(x * x)))}
+
+    def linear(self, wide: DataFrame, fitted: list[Fitted], categories: registry.Categories | None, at: list[int]) -> list[Measured]:
+        """(importance, redundancy) by correlations: columns made from the row in one pass over the rows, those looked up by key in one
+        pass over the aggregates of the keys."""
+        looked = {i for i, f in enumerate(fitted) if f.lookup is not None and categories is not None and at[i] in categories.columns}
+        plain = [i for i in range(len(fitted)) if i not in looked]
+        for i in plain:
+            if fitted[i].lookup is not None:
+                wide = fitted[i].transform(wide)
+        r: dict[tuple[int, int], float] = {}
+        if plain:
+            columns = {i: F.col(f"`{fitted[i].out}`") if fitted[i].lookup is not None else fitted[i].column() for i in plain}
+            kinds = dict(wide.select(*[c.alias(f"c{i}") for i, c in columns.items()]).dtypes)
+            x = {i: F.lit(None).cast("double") if kinds[f"c{i}"] == "string" else F.when(~F.isnan(c.cast("double")), c.cast("double")) for i, c in columns.items()}
+            got = evaluate.many_correlations(wide, {str(i): c for i, c in x.items()}, {str(j): y for j, y in enumerate(self.whole.values())})
+            r |= {(int(i), int(j)): abs(v or 0.0) for (i, j), v in got.items()}
+        if looked:
+            parts = []
+            for i in sorted(looked):
+                names = categories.columns[at[i]]  # type: ignore[union-attr]
+                there = [F.col(a).alias(n) for n, a in names.items()] + ([F.col("code")] if "code" in categories.table.columns else [])  # type: ignore[union-attr]
+                mine = categories.table.where(F.col("c") == categories.numbers[at[i]])  # type: ignore[union-attr]
+                mine = mine.withColumn(registry.HIT, F.when(F.col("key").isNotNull(), F.struct(*there)))
+                parts.append(mine.select(F.lit(i).alias("i"), fitted[i].column().cast("double").alias("x"), *[f"{n}{j}" for j in range(len(self.whole)) for n in "nsq"]))
+            rows = reduce(DataFrame.unionByName, parts).where("x is not null")
+            sums = [g.alias(f"{n}{j}") for j in range(len(self.whole)) for n, g in (("n", F.sum(f"n{j}")), ("x", F.sum(F.col("x") * F.col(f"n{j}"))), ("y", F.sum(f"s{j}")), ("a", F.sum(F.col("x") * F.col("x") * F.col(f"n{j}"))), ("b", F.sum(f"q{j}")), ("p", F.sum(F.col("x") * F.col(f"s{j}"))))]
+            for row in rows.groupBy("i").agg(*sums).collect():
+                r |= {(row["i"], j): abs(evaluate.pearson(*(row[f"{n}{j}"] or 0.0 for n in "nxyabp")) or 0.0) for j in range(len(self.whole))}
+        return [(r.get((i, 0), 0.0), max((r.get((i, j), 0.0) for j in range(1, len(self.whole))), default=0.0)) for i in range(len(fitted))]
+
+    def ranked(self, wide: DataFrame, names: list[str]) -> list[Measured]:
+        """(importance, redundancy) by mutual information and by ranks or Cramer's V, all candidates together."""
+        keep = self.store.table
+        mi = evaluate.many_mutual_information(wide, names, self.target, keep=keep)
+        told = rank_redundancies(wide, names, self.base, self.categories, keep)
+        return [(mi[n], told[n]) for n in names]
+
+
 def search(df: DataFrame, target: str, tree: Tree | None = None, limits: dict[str, Any] | None = None, heuristic: Callable[[DataFrame, str, str], float] | None = None) -> list[dict[str, Any]]:
     """Explore the tree level by level. A candidate's importance is the absolute correlation with the target, its gain that over
     its root's, its redundancy the largest absolute correlation with a column of the input. Candidates over the gain and under
     the redundancy cut are selected, the best first, and grow the next level. With the limit measures="rank", importance is mutual
-    information in nats, and redundancy is the largest absolute Spearman correlation with a number, or for texts Cramer's V with a
-    category; over half of the values missing is full redundancy. These read the table several times for each candidate, the
-    linear ones once for a level."""
+    information in nats, and redundancy is the largest absolute Spearman correlation with a number (missing values count as the
+    median), or for texts Cramer's V with a category; over half of the values missing is full redundancy.
+
+    A level's candidates are fitted together and measured together, so the number of passes does not depend on theirs. Only
+    selected candidates become columns of the table."""
     limits = LIMITS | (limits or {})
     tree = tree or Tree(limits["max_depth"]).build(df, recommend(df, target), target)
-    base = [c for c in clean.numeric_columns(df, (target,))]
-    y, began, wide = numeric(df, target), time.time(), df
-    row = stats(df, **{f"r{i}": corr(numeric(df, c), y) for i, c in enumerate(base)}) if base else {}
-    known = {c: abs(row.get(f"r{i}") or 0.0) for i, c in enumerate(base)}
-    ranked = limits["measures"] == "rank"
-    if ranked:
-        known = {c: evaluate.mutual_information(df, c, target) for c in [*base, *clean.category_columns(df, (target,))]}
+    base, categories = clean.numeric_columns(df, (target,)), clean.category_columns(df, (target,))
+    began, wide, ranked = time.time(), df, limits["measures"] == "rank"
     picked: list[Node] = []
-    for depth in range(1, limits["max_depth"] + 1):
-        todo = [n for n in tree.level(depth) if not n.explored]
-        if not todo or time.time() - began > limits["timeout"]:
-            break
-        ready = []
-        for n in todo:
-            n.explored = True
-            try:
-                wide = apply_chain(wide, [n])
-                ready.append(n)
-            except OperatorError:
-                continue
-        aggs = {}
-        for i, n in enumerate(ready):
-            x = _as_number(wide, n.name) if dict(wide.dtypes)[n.name] != "string" else F.lit(None).cast("double")
-            aggs[f"i{i}"] = corr(x, _as_number(wide, target))
-            for j, c in enumerate(base):
-                aggs[f"d{i}_{j}"] = corr(x, numeric(wide, c))
-        got = stats(wide, **aggs) if aggs else {}
-        for i, n in enumerate(ready):
-            n.importance = heuristic(wide, n.name, target) if heuristic else abs(got[f"i{i}"] or 0.0)
-            root = tree.lineage(n.name)[0].parent
-            n.gain = n.importance - known.get(root, 0.0)  # type: ignore[arg-type]
-            n.redundancy = max((abs(got[f"d{i}_{j}"] or 0.0) for j in range(len(base))), default=0.0)
+    with Store(df.sparkSession) as store:
+        level = _Level(df, target, base, categories, store)
+        if ranked:
+            known = evaluate.many_mutual_information(df, [*base, *categories], target, keep=store.table)
+        else:
+            row = stats(df, **{f"r{i}": corr(numeric(df, c), level.whole[target]) for i, c in enumerate(base)}) if base else {}
+            known = {c: abs(row.get(f"r{i}") or 0.0) for i, c in enumerate(base)}
+        for depth in range(1, limits["max_depth"] + 1):
+            todo = [n for n in tree.level(depth) if not n.explored and n.parent in wide.columns]
+            if not todo or time.time() - began > limits["timeout"]:
+                break
+            for n in todo:
+                n.explored = True
+            fits = registry.fit_many(wide, [(n.op, [n.parent], n.name, n.params) for n in todo], "skip", store.table, level.beside())  # type: ignore[list-item]
+            at = [i for i, f in enumerate(fits) if f is not None]
+            ready, fitted = [todo[i] for i in at], [fits[i] for i in at]
             if ranked:
-                n.importance = heuristic(wide, n.name, target) if heuristic else evaluate.mutual_information(wide, n.name, target)
-                n.gain = n.importance - known.get(root, 0.0)  # type: ignore[arg-type]
-                n.redundancy = rank_redundancy(wide, n.name, base, clean.category_columns(df, (target,)))
-        good = sorted((n for n in ready if n.gain > limits["min_gain"] and n.redundancy < limits["max_redundancy"]), key=lambda n: (-n.gain * (1 - n.redundancy) * max(n.importance, 1e-9), n.name))[: limits["max_per_level"]]
-        for n in good:
-            n.selected = True
-            picked.append(n)
-            for op in DEFAULTS["numeric"][:3]:
-                tree.add(n.name, op)
+                full = wide
+                for f in fitted:
+                    full = f.transform(full)
+                found = level.ranked(full, [n.name for n in ready]) if ready else []
+            else:
+                found = level.linear(wide, fitted, fits.categories, at)  # type: ignore[attr-defined,arg-type]
+            for n, f, (importance, redundancy) in zip(ready, fitted, found, strict=True):
+                n.importance = heuristic(f.transform(wide), n.name, target) if heuristic else importance
+                n.gain = n.importance - known.get(tree.lineage(n.name)[0].parent, 0.0)  # type: ignore[arg-type]
+                n.redundancy = redundancy
+            good = sorted((n for n in ready if n.gain > limits["min_gain"] and n.redundancy < limits["max_redundancy"]), key=lambda n: (-n.gain * (1 - n.redundancy) * max(n.importance, 1e-9), n.name))[: limits["max_per_level"]]
+            by = {n.name: f for n, f in zip(ready, fitted, strict=True)}
+            for n in good:
+                n.selected = True
+                picked.append(n)
+                wide = by[n.name].transform(wide)
+                for op in DEFAULTS["numeric"][:3]:
+                    tree.add(n.name, op)
     return [{"feature": n.name, "importance": n.importance, "gain": n.gain, "redundancy": n.redundancy, "chain": [x.op for x in tree.lineage(n.name)]} for n in picked]
 
 
+def rank_redundancies(df: DataFrame, columns: list[str], numbers: list[str], categories: list[str], keep: evaluate.Keep) -> dict[str, float]:
+    """Of each column, the largest absolute Spearman correlation with one of the numbers, or for texts and booleans Cramer's V with
+    one of the categories; over half of the values missing is 1. All columns together."""
+    if not columns:
+        return {}
+    kinds = dict(df.dtypes)
+    missing = stats(df, **{f"m{i}": F.avg(F.col(f"`{c}`").isNull().cast("double")) for i, c in enumerate(columns)})
+    there = [c for i, c in enumerate(columns) if (missing[f"m{i}"] or 0.0) <= 0.5]
+    texts = [c for c in there if kinds[c] in ("string", "boolean")]
+    pairs = [(c, d) for c in texts for d in categories if c != d]
+    v = dict(zip(pairs, evaluate.many_cramers_v(df, pairs, keep), strict=True))
+    r = evaluate.many_rank_correlations(df, [c for c in there if c not in texts], numbers, keep)
+    found = {c: 1.0 for c in columns} | {c: 0.0 for c in there}
+    for (c, _), x in [*v.items(), *r.items()]:
+        found[c] = max(found[c], abs(x or 0.0))
+    return found
+
+
 def rank_redundancy(df: DataFrame, column: str, numbers: list[str], categories: list[str]) -> float:
-    """The largest absolute Spearman correlation of a number with others, or Cramer's V of a category with others."""
-    if stats(df, m=F.avg(F.col(f"`{column}`").isNull().cast("double")))["m"] > 0.5:
-        return 1.0
-    if dict(df.dtypes)[column] in ("string", "boolean"):
-        return max((evaluate.cramers_v(df, column, c) for c in categories if c != column), default=0.0)
-    return max((abs(evaluate.rank_correlation(df, column, c) or 0.0) for c in numbers if c != column), default=0.0)
+    """rank_redundancies() of one column."""
+    with Store(df.sparkSession) as store:
+        return rank_redundancies(df, [column], numbers, categories, store.table)[column]
 
 
 def recommendation_quality(df: DataFrame, recommended: dict[str, list[str]]) -> dict[str, list[tuple[str, float]]]:
@@ -307,7 +375,7 @@ def refine(df: DataFrame, target: str, found: list[dict[str, Any]], task: str =
         f["score"] = weights[0] * f["gain"] + weights[1] * f["importance"] + weights[2] * plain
     kept.sort(key=lambda f: (-f["score"], f["feature"]))
     if len(kept) > top:
-        mi = {f["feature"]: evaluate.mutual_information(df, f["feature"], target) for f in kept}
+        mi = evaluate.many_mutual_information(df, [f["feature"] for f in kept], target)
         chosen = set(sorted(mi, key=lambda n: (-mi[n], n))[:top])
         kept = [f for f in kept if f["feature"] in chosen]
     return kept
