@@ -263,8 +263,9 @@ def repeats(scratch: Scratch, docs: DataFrame, window: int, rounds: int, cap: in
     scratch.drop(groups, mixed)
     twice = table(wins.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2"), "twice")
     fine = wins.where("weight = 1").join(twice, ["w1", "w2"]).select("k", "h", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
-    # A document's spans are as many as its windows at most.
-    return scratch.keep(whole.unionByName(fine).groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    # Rows alike in key and text have the same spans: sets meet before the shuffle, so a document's spans are as many as its windows
+    # at most, however often it is there.
+    return scratch.keep(whole.unionByName(fine).groupBy("k", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
 def _remove(rows: DataFrame, names: list[str], text: int, out: list[str]) -> DataFrame:

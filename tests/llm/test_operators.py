@@ -286,6 +286,22 @@ def test_substring_dedup_by_brute_force(spark, w, letters):
     assert [(r.n_words, r.n_removed, r.kept_text) for r in out] == slow_windows(texts, w)
 
 
+def test_substring_dedup_of_many_equal_rows(spark):
+    """Time grows with the rows, and each document has the spans of one: some equal in key and text, some in text alone."""
+    import time
+
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(80))
+    rows = [(7, text)] * 5000 + [(None, text)] * 3000 + [(i, text) for i in range(100, 600)] + [(8, other), (9, other[:200] + " end")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    substring_dedup.dedup(df.limit(10)).collect()
+    began = time.perf_counter()
+    got = substring_dedup.dedup(df).select("doc_id", "n_words", "n_removed").collect()
+    assert time.perf_counter() - began < 40 and len(got) == len(rows)
+    assert all(r.n_removed == 60 == r.n_words for r in got if r.doc_id not in (8, 9))
+    whole = [w for w, v in zip(other.split(), (other[:200] + " end").split(), strict=False) if w == v]
+    assert {r.n_removed for r in got if r.doc_id in (8, 9)} == {len(whole)}
+
+
 def test_substring_dedup(odd, none):
     out = substring_dedup.dedup(odd, window=3).collect()
     assert len(out) == len(ROWS) and [r.n_removed for r in out if r.doc_id == 3] == [4, 4]
