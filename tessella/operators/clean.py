@@ -378,17 +378,20 @@ class Isolation:
     cut: float
 
     @staticmethod
-    def fit(df: DataFrame, columns: list[str], contamination: float = 0.05, sample_rows: int = 20_000, seed: int = 42) -> Isolation | None:
-        """Grown on a bounded hash sample, which also gives the cut: the share `contamination` of it scores higher."""
+    def fit(df: DataFrame, columns: list[str], contamination: float = 0.05, sample_rows: int = 20_000, seed: int = 42, key: list[str] | None = None) -> Isolation | None:
+        """Each tree is grown on rows of a bounded sample, by a hash of the key (of the whole row, without one); the cut is the exact
+        quantile of the scores of all rows: the share `contamination` scores higher."""
         row = stats(df, **{f"m{i}": F.avg(numeric(df, c)) for i, c in enumerate(columns)})
         means = [row[f"m{i}"] or 0.0 for i in range(len(columns))]
         x = [F.coalesce(numeric(df, c), F.lit(a)).alias(f"x{i}") for i, (c, a) in enumerate(zip(columns, means, strict=True))]
-        sample = df.select(*x).orderBy(F.xxhash64(*[f"x{i}" for i in range(len(x))])).limit(sample_rows).toPandas().to_numpy(float)
+        by = [F.col(f"`{c}`") for c in key or df.columns]
+        sample = df.select(*x, F.xxhash64(*by).alias("h")).orderBy("h", *[f"x{i}" for i in range(len(x))]).limit(sample_rows).drop("h").toPandas().to_numpy(float)
         if not len(sample):
             return None
         forest = IsolationForest(seed=seed).fit(sample)
-        cut = float(np.quantile(forest.score(sample), 1 - contamination))
-        return Isolation(columns, means, [[a.tolist() for a in t] for t in forest.grown], float(forest.scale), cut)
+        found = Isolation(columns, means, [[a.tolist() for a in t] for t in forest.grown], float(forest.scale), 1.0)
+        found.cut = float(order.quantiles(df, found.scores(df), [1 - contamination])[0])  # type: ignore[arg-type]
+        return found
 
     def scores(self, df: DataFrame) -> Column:
         forest = IsolationForest()
@@ -408,9 +411,9 @@ class Isolation:
         return df.withColumn("__isolated", self.scores(df)).where(F.col("__isolated") <= self.cut).drop("__isolated")
 
 
-def isolation_forest(df: DataFrame, columns: list[str], contamination: float = 0.05, sample_rows: int = 20_000, out: str | None = None, seed: int = 42) -> DataFrame:
-    """Drop the share `contamination` of the most isolated rows, or with out, add their score. Grown on a bounded hash sample."""
-    found = Isolation.fit(df, columns, contamination, sample_rows, seed)
+def isolation_forest(df: DataFrame, columns: list[str], contamination: float = 0.05, sample_rows: int = 20_000, out: str | None = None, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """Drop the share `contamination` of the most isolated rows, or with out, add their score. Trees are grown on a bounded sample."""
+    found = Isolation.fit(df, columns, contamination, sample_rows, seed, key)
     if out:
         return df.withColumn(out, found.scores(df) if found else F.lit(None).cast("double"))
     return found.transform(df) if found else df

@@ -216,7 +216,7 @@ def outliers_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("isolation_forest")
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.isolation_forest(read(spark, sf_dir, "lineitem"), NUMS, sample_rows=5000, out="score").select("l_orderkey", "l_linenumber", real("score").alias("score"))
+    return clean.isolation_forest(read(spark, sf_dir, "lineitem"), NUMS, out="score", key=["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", real("score").alias("score"))
 
 
 @query("low_variance", "select 'one' as feature union all select 'l_tax' where (select var_pop(l_tax) from lineitem) <= 0.01 union all select 'l_discount' where (select var_pop(l_discount) from lineitem) <= 0.01")

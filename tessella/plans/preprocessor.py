@@ -51,6 +51,8 @@ class PreprocessorModel:
     isolation: dict[str, Any] | None = None
     times: list[str] = field(default_factory=list)
     target_means: dict[str, dict[str, float]] = field(default_factory=dict)
+    #: The names of columns that fitting makes (date parts, target means), where they are not those of the rule.
+    renamed: dict[str, str] = field(default_factory=dict)
 
     def _base(self, df: DataFrame, drop_rows: bool) -> DataFrame:
         for c in self.inputs:
@@ -68,14 +70,17 @@ class PreprocessorModel:
         for c in (*self.times, *self.target_means):
             if c not in df.columns:
                 df = df.withColumn(c, F.lit(None).cast("timestamp_ntz" if c in self.times else "string"))
-        parts = [p.alias(n) for c in self.times for n, p in _date_parts(df, c).items()]
+        parts = [p.alias(self.renamed.get(n, n)) for c in self.times for n, p in _date_parts(df, c).items()]
         means = []
         for c, known in self.target_means.items():
             code = F.lit(None).cast("double")
             for v, m in known.items():
                 code = F.when(F.col(f"`{c}`").cast("string") == v, F.lit(m)).otherwise(code)
-            means.append(code.alias(f"{c}_target_mean"))
-        df = df.select("*", *parts, *means)
+            n = f"{c}_target_mean"
+            means.append(code.alias(self.renamed.get(n, n)))
+        # A column of such a name that fitting has not seen is no feature, and goes.
+        made = {self.renamed.get(n, n).lower() for n in _made_names(self)}
+        df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in made], *parts, *means)
         if self.knn:
             df = clean.KnnFill(**self.knn).transform(df)
         if self.regression:
@@ -101,7 +106,10 @@ class PreprocessorModel:
 
     def transform(self, df: DataFrame, drop_rows: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
         """num__x and cat__x_value columns, then the target, and any columns to keep. Rows only go with drop_rows."""
-        df = self._base(df, drop_rows)
+        return self._features(self._base(df, drop_rows), keep)
+
+    def _features(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """The features of a table in which nothing is missing."""
         values = self._values(df)
         cols = []
         for c in self.selected:
@@ -147,6 +155,14 @@ def fit(df: DataFrame, config: dict[str, Any] | str | None = None, target: str |
         model.times = [c for c in clean.time_columns(df, skip)]
     if config["target_means"] and target:
         model.target_means = _target_means(df, target, skip)
+    there = {c.lower() for c in df.columns}
+    for n in _made_names(model):
+        free = n
+        while free.lower() in there:
+            free += "_"
+        there.add(free.lower())
+        if free != n:
+            model.renamed[n] = free
     df = model._filled(df)  # nothing is filled yet
     nums = clean.numeric_columns(df, skip)
     if config["missing"] == "knn" and nums:
@@ -193,6 +209,11 @@ def _date_parts(df: DataFrame, column: str) -> dict[str, Column]:
     return {f"{column}_{n}": p.cast("double") for n, p in parts.items()}
 
 
+def _made_names(model: PreprocessorModel) -> list[str]:
+    """The names of date parts and target means, before any is changed."""
+    return [f"{c}_{n}" for c in model.times for n in ("year", "month", "day", "dayofweek", "is_weekend", "hour")] + [f"{c}_target_mean" for c in model.target_means]
+
+
 def _target_means(df: DataFrame, target: str, skip: tuple[str, ...], classes: int = 10, categories: int = 50) -> dict[str, dict[str, float]]:
     """The target's mean by category, of text columns with fewer than `categories` values, if the target is a number with fewer
     than `classes`. Categories not seen in fitting have none."""
@@ -255,7 +276,7 @@ def _components(model: PreprocessorModel, df: DataFrame) -> None:
     import numpy as np
 
     how, model.config = model.config, model.config | {"reduce": None}
-    plain = model.transform(df)
+    plain = model._features(df)
     model.config = how
     names = [c for c in plain.columns if c.startswith(("num__", "cat__"))]
     x = [F.col(f"`{c}`").cast("double") for c in names]

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tessella.operators import clean, evaluate, learn, profile
 from tessella.plans import explorer
 
+#: Partitions of a table that a model is fitted on, where its result has to be repeatable.
+PARTS = 64
 #: Share of the largest class under which a table counts as imbalanced.
 IMBALANCED = 0.2
 
@@ -36,7 +38,9 @@ def draws(df: DataFrame, key: list[str], number: int, share: float = 1.0, seed:
 
 def bootstrap_evaluate(df: DataFrame, columns: list[str], target: str, task: str, key: list[str], rounds: int = 100, share: float = 0.8, level: float = 0.95, seed: int = 42) -> dict[str, Any]:
     """Models of bootstrap draws, each scored on its out-of-bag rows: the scores, their median and percentile interval."""
-    data = learn.vectors(sanitise(df, columns, target), columns, target).persist()
+    # Partitions and their order follow the key, so that a forest draws the same rows whatever the table's own partitions are.
+    by = [F.col(f"`{k}`") for k in key]
+    data = learn.vectors(sanitise(df, columns, target), columns, target).repartition(PARTS, *by).sortWithinPartitions(*by).persist()
     scores = []
     try:
         for i in range(rounds):

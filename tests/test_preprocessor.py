@@ -105,3 +105,39 @@ def test_order_beyond_one_range(spark, monkeypatch, size):
         assert n == len(v) and rows.v.tolist() == u.tolist() and rows.n.tolist() == k.tolist()
         assert rows.low.tolist() == (np.cumsum(k) - k).tolist() and rows.code.tolist() == list(range(len(u)))
     assert order.many_quantiles(df, [F.col("a"), F.col("b"), F.lit(None).cast("double")], [0.5])[2] == [None]
+
+
+@pytest.mark.parametrize("reduce", [None, "pca"])
+def test_clashing_names_of_made_columns(table, reduce):
+    """A column that has the name of a date part or a target mean stays a feature of its own."""
+    df = table.where("id < 900").withColumn("t_year", F.col("x") * 3).withColumn("G_target_mean", F.lit("u"))
+    model = preprocessor.fit(df, {"dates": True, "target_means": True, "reduce": reduce, "scale": "none", "correlation": None}, "label", ["id"])
+    out = model.transform(df, keep=("id",))
+    assert model.renamed == {"t_year": "t_year_", "g_target_mean": "g_target_mean_"}
+    if reduce:
+        assert [c for c in out.columns if c.startswith("PC")] and out.count() == 300
+        return
+    r = out.where("id = 4").first()
+    x = df.where("id = 4").first().x
+    assert r["num__t_year_"] == 2024 and abs(r["num__t_year"] - 3 * x) < 1e-9 and r["cat__G_target_mean_u"] == 1.0
+    plain = preprocessor.fit(table, {"dates": True, "scale": "none", "correlation": None}, "label", ["id"])
+    assert plain.transform(table.withColumn("t_month", F.lit(-5.0)), keep=("id",)).where("id = 4").first()["num__t_month"] == 5
+
+
+def test_the_forest_cuts_over_all_rows(spark):
+    """Scores equal a walk down each tree, and the cut is the quantile of the scores of all rows, beyond the sample too."""
+    df = spark.range(3000).select("id", F.sin("id").alias("a"), (F.cos(F.col("id") * 3) * F.when(F.col("id") % 97 == 0, 9).otherwise(1)).alias("b"))
+    found = clean.Isolation.fit(df, ["a", "b"], 0.03, 400, key=["id"])
+    rows = df.orderBy("id").toPandas()
+
+    def depth(tree, p):
+        col, cut, left, right, end = tree
+        at = 0
+        while col[at] >= 0:
+            at = int(left[at] if p[int(col[at])] < cut[at] else right[at])
+        return end[at]
+
+    want = [2 ** -(np.mean([depth(t, p) for t in found.trees]) / found.usual) for p in rows[["a", "b"]].to_numpy()]
+    got = df.select("id", found.scores(df).alias("s")).orderBy("id").toPandas().s.to_numpy()
+    assert np.allclose(got, want) and found.cut == pytest.approx(np.quantile(want, 0.97))
+    assert found.transform(df).count() == int((got <= found.cut).sum())

@@ -1,5 +1,6 @@
 """Validation with confidence, recommendations and their quality, and recovery."""
 
+import math
 import random
 
 import pytest
@@ -21,7 +22,14 @@ def test_bootstrap_is_out_of_bag(table):
     n = drawn.agg(F.sum("drawn").alias("n"), F.count_if(F.col("drawn") == 0).alias("out")).first()
     assert 140 < n.n < 240 and 70 < n.out < 150
     got = validate.bootstrap_evaluate(table, ["x", "z"], "label", "classification", ["id"], 2)
-    assert len(got["scores"]) == 2 and got["low"] <= got["median"] <= got["high"] and got["median"] > 0.75
+    assert len(got["scores"]) == 2 and got["low"] <= got["median"] <= got["high"] and got["median"] > 0.65
+    again = validate.bootstrap_evaluate(table.repartition(7, "z"), ["x", "z"], "label", "classification", ["id"], 2)
+    assert again["scores"] == pytest.approx(got["scores"])
+    # The draws are Poisson by the key's hash: counts of rows drawn so often are near their means.
+    many = validate.draws(table.sparkSession.range(40_000), ["id"], 5, 0.8).groupBy("drawn").count().collect()
+    for r in many:
+        p = 2.718281828**-0.8 * 0.8**r.drawn / math.factorial(r.drawn)
+        assert abs(r["count"] - 40_000 * p) < 5 * (40_000 * p) ** 0.5 + 1
 
 
 def test_confidence_by_size(table, monkeypatch):
@@ -93,3 +101,12 @@ def test_modal_gap_over_many_gaps(spark):
         rows.append((t,))
     df = spark.createDataFrame(rows, "s long").select(F.timestamp_seconds("s").alias("t"))
     assert profile.time_profile(df, ["t"])["t"]["modal_gap_seconds"] == 7
+
+
+def test_lost_classes_come_back_and_repeats_stay(spark):
+    from tessella.plans import explorer
+
+    before = spark.createDataFrame([(1.0, 0), (1.0, 0), (1.0, 0), (2.0, 1), (3.0, 1), (3.0, 1)], "x double, y int")
+    assert explorer.recover_classes(before, before, "y").count() == 6
+    got = explorer.recover_classes(before, before.where("y = 0"), "y")
+    assert sorted(map(tuple, got.collect())) == [(1.0, 0)] * 3 + [(2.0, 1), (3.0, 1)]
