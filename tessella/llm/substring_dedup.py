@@ -263,9 +263,10 @@ def repeats(scratch: Scratch, docs: DataFrame, window: int, rounds: int, cap: in
     scratch.drop(groups, mixed)
     twice = table(wins.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2"), "twice")
     fine = wins.where("weight = 1").join(twice, ["w1", "w2"]).select("k", "h", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
-    # Rows alike in key and text have the same spans: sets meet before the shuffle, so a document's spans are as many as its windows
-    # at most, however often it is there.
-    return scratch.keep(whole.unionByName(fine).groupBy("k", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    # Rows alike in key and text have the same spans: these meet before and in the shuffle, so a document's spans are as many as its
+    # windows at most, however often it is there.
+    spans = table(whole.unionByName(fine).distinct(), "ranges")
+    return scratch.keep(spans.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
 def _remove(rows: DataFrame, names: list[str], text: int, out: list[str]) -> DataFrame:
@@ -274,12 +275,10 @@ def _remove(rows: DataFrame, names: list[str], text: int, out: list[str]) -> Dat
     kept = [T.StructField(c, f.dataType, f.nullable) for c, f in zip(names, rows.schema.fields[:n], strict=True)]
     schema = T.StructType([*kept, T.StructField(out[0], T.LongType()), T.StructField(out[1], T.LongType()), T.StructField(out[2], T.StringType())])
 
-    def one(words: list[bytes], found: list[dict] | None) -> tuple[int, int, bytes]:
-        if not found:
+    def one(words: list[bytes], lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, bytes]:
+        if not len(lo):
             return len(words), 0, b" ".join(words)
-        delta = np.zeros(len(words) + 1, np.int64)
-        np.add.at(delta, [x["lo"] for x in found], 1)
-        np.add.at(delta, [x["hi"] for x in found], -1)
+        delta = np.bincount(lo, minlength=len(words) + 1) - np.bincount(hi, minlength=len(words) + 1)
         gone = np.cumsum(delta[:-1]) > 0
         return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
 
@@ -287,7 +286,10 @@ def _remove(rows: DataFrame, names: list[str], text: int, out: list[str]) -> Dat
         for whole in batches:
             for r in range(0, whole.num_rows, ROWS):
                 b = whole.slice(r, ROWS)
-                got = [one(w, s) for w, s in zip(_split(b.column(text)), b.column(n).to_pylist(), strict=True)]
+                spans = b.column(n)
+                flat, ends = spans.flatten(), np.cumsum(spans.value_lengths().fill_null(0).to_numpy())
+                lo, hi = (flat.field(i).to_numpy() for i in range(2))
+                got = [one(w, lo[e - m : e], hi[e - m : e]) for w, e, m in zip(_split(b.column(text)), ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)]
                 made = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=schema.fieldNames())
 
