@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.operators import order
 from tessella.operators.evaluate import class_balance
 from tessella.operators.near import nearest
-from tessella.registry import OperatorError, numeric, stats
+from tessella.registry import OperatorError, numeric, stats, uniform
 
 #: Groups that starting points of made rows are dealt to, and made rows of a point that are made together.
 BUCKETS = 256
@@ -19,7 +19,7 @@ SPAN = 1000
 
 def _rank_within(df: DataFrame, target: str, key: list[str], seed: int) -> Column:
     """A number from 0 to 1 for each row, by hash."""
-    return (F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key], F.lit(seed)), F.lit(2**40)) + 0.5) / 2**40
+    return uniform(*key, seed)
 
 
 def random_under(df: DataFrame, target: str, key: list[str], seed: int = 42) -> DataFrame:
@@ -115,6 +115,12 @@ def _svm_bases(df: DataFrame, target: str, columns: list[str], c, scale: list[fl
     return found.select(*xs, "own", weight.alias("w"), F.slice("near_own", 1, k + 1).alias("near"), F.when(F.col("danger"), 1.0).otherwise(-0.5).alias("step"))
 
 
+def hardness(df: DataFrame, target: str, columns: list[str], c, scale: list[float], m: int) -> DataFrame:
+    """(xs, own, oth, near_own, near_oth, others): the points of class c, and how many of the m nearest rows of each are of others."""
+    found = nearest(_points(df, target, columns, c, scale), len(columns), {"own": m + 1, "oth": m}, F.col("own") > 0)
+    return found.withColumn("others", _others(m))
+
+
 def support(points: DataFrame, xs: list[str]) -> Column:
     """Whether a point is on or within the margin of a hinge-loss separator of own from other rows: margin of one or less."""
     from pyspark.ml.classification import LinearSVC
@@ -214,9 +220,8 @@ def smote(df: DataFrame, target: str, columns: list[str], method: str = "smote",
         elif method == "kmeans":
             base = _cluster_bases(points, xs, need, k, groups)
         else:
-            kinds = {"own": k + 1} if method == "smote" else {"own": m + 1, "oth": m}
-            found = nearest(points, d, kinds, F.col("own") > 0)
-            hard = F.lit(1.0) if method == "smote" else _others(m) / F.lit(float(m))
+            found = nearest(points, d, {"own": k + 1}, F.col("own") > 0) if method == "smote" else hardness(df, target, columns, c, scale, m)
+            hard = F.lit(1.0) if method == "smote" else F.col("others") / F.lit(float(m))
             weigh = {"smote": F.lit(1.0), "borderline": ((hard >= 0.5) & (hard < 1)).cast("double"), "adasyn": hard}[method]
             base = found.select(*xs, "own", weigh.alias("w"), F.slice("near_own", 1, k + 1).alias("near"), F.lit(1.0).alias("step"))
         out = out.unionByName(_made(df, base, target, columns, c, need, k, scale, int(draw.integers(2**31))))

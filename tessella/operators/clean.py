@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tessella.operators import order
 from tessella.operators.near import nearest
-from tessella.registry import OperatorError, corr, numeric, stats
+from tessella.registry import OperatorError, corr, numeric, stats, spread
 
 
 def numeric_columns(df: DataFrame, but: tuple[str, ...] = ()) -> list[str]:
@@ -480,6 +480,6 @@ def drop_identifiers(df: DataFrame, share: float = 0.5) -> DataFrame:
 
 def hash_sample(df: DataFrame, n: int, *key: str) -> DataFrame:
     """Exactly n rows (or all), the same ones each time."""
-    return df.orderBy(F.xxhash64(*key), *key).limit(n)
+    return df.orderBy(spread(*key), *key).limit(n)
 
 

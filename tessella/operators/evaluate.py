@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import clean, order
-from tessella.registry import OperatorError, corr, numeric, stats
+from tessella.registry import OperatorError, corr, numeric, spread, stats, uniform
 
 CLASSIFICATION_METRICS = ("accuracy", "f1", "precision", "recall", "roc_auc")
 REGRESSION_METRICS = ("mse", "mae", "r2")
@@ -22,7 +22,7 @@ REGRESSION_METRICS = ("mse", "mae", "r2")
 
 
 def _hash(key: list[str], seed: int) -> Column:
-    return F.xxhash64(*[F.col(f"`{k}`") for k in key], F.lit(seed))
+    return spread(*key, seed)
 
 
 def kfold(df: DataFrame, key: list[str], k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
@@ -501,7 +501,7 @@ def balanced_weights(df: DataFrame, target: str, out: str = "weight") -> DataFra
 def bootstrap(df: DataFrame, key: list[str], value: Column, rounds: int = 100, seed: int = 42) -> dict[str, float | None]:
     """Percentile interval of a mean: each row's weight in each round is a Poisson draw from a hash of its key, so that one
     pass does all rounds."""
-    u = lambda i: (F.pmod(F.xxhash64(*key, F.lit(seed * 1000 + i)), F.lit(2**40)) + 0.5) / 2**40
+    u = lambda i: uniform(*key, seed * 1000 + i)
     cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
     def weight(i: int) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import clean, evaluate
-from tessella.registry import OperatorError, corr, numeric, stats
+from tessella.registry import OperatorError, corr, numeric, spread, stats, uniform
 
 
 def vectors(df: DataFrame, columns: list[str], label: str | None = None, centre: bool = False, scale: bool = False) -> DataFrame:
@@ -61,7 +61,7 @@ def permutation_importance(model: Model, df: DataFrame, columns: list[str], targ
     for c in columns:
         total = 0.0
         for r in range(rounds):
-            h = F.xxhash64(*key, F.lit(seed * 100 + r))
+            h = spread(*key, seed * 100 + r)
             w = Window.partitionBy(F.pmod(h, F.lit(64))).orderBy(h, *key)
             total += base - score(df.withColumn(c, F.coalesce(F.lead(c).over(w), F.first(c).over(w))))
         lost[c] = max(0.0, total / rounds)
@@ -213,7 +213,7 @@ def nested_cross_validate(df: DataFrame, columns: list[str], target: str, task:
 def learning_curve(df: DataFrame, columns: list[str], target: str, task: str, key: list[str], sizes: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 1.0), seed: int = 42) -> dict[str, Any]:
     """Train and test scores by share of the training rows, with a diagnosis."""
     parts = evaluate.split(df, key, 0.2, seed=seed)
-    u = (F.pmod(F.xxhash64(*key, F.lit(seed + 9)), F.lit(2**30)) + 0.5) / 2**30
+    u = uniform(*key, seed + 9)
     test, points = vectors(parts["test"], columns, target), []
     for s in sizes:
         train = vectors(parts["train"].where(u <= s), columns, target)

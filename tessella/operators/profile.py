@@ -13,7 +13,7 @@ from tessella import registry
 from tessella.operators import categorical, clean, evaluate, order
 from tessella.operators.clean import category_columns, numeric_columns, time_columns
 from tessella.operators.datetimes import micros
-from tessella.registry import corr, numeric, stats
+from tessella.registry import corr, numeric, stats, spread
 
 
 def adjusted_skewness(g1: float | None, n: int) -> float | None:
@@ -280,7 +280,7 @@ def image(df: DataFrame, column: str, target: str | None = None, size: int = 30)
     elif kind == "text":
         x = F.length(F.col(f"`{column}`")).cast("double")
     else:
-        x = F.pmod(F.xxhash64(F.col(f"`{column}`").cast("string")), F.lit(size)).cast("double")
+        x = F.pmod(spread(column), F.lit(size)).cast("double")
     s = stats(df, lo=F.min(x), hi=F.max(x))
     out = [[0.0] * size for _ in range(size)]
     if s["lo"] is None:

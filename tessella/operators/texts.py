@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.registry import Fitted, OperatorError, builds, declare, register
+from tessella.registry import Fitted, OperatorError, builds, declare, register, spread
 
 # The stop words of the English fallback list.
 STOP_WORDS = """
@@ -89,7 +89,7 @@ def _readability(t: Column) -> Column:
 
 def _embedding(t: Column) -> Column:
     words = tokens(F.lower(t))
-    total = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.pmod(F.xxhash64(w), F.lit(1000)))
+    total = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.pmod(spread(w), F.lit(1000)))
     return F.coalesce(F.try_divide(total.cast("double"), F.size(words).cast("double")) / 1000, F.lit(0.0))
 
 

@@ -253,12 +253,6 @@ def identifier_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, [(c,) for c in kept.columns], "feature string")
 
 
-@query("hash_sample")
-def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sampling operator: exactly 100 rows."""
-    return clean.hash_sample(read(spark, sf_dir, "orders"), 100, "o_orderkey").select("o_orderkey")
-
-
 @query("column_types", "select 'text' as feature, case when avg(length(text)) > 10 then 'text' else 'categorical' end as kind from documents union all select 'lang', case when avg(length(lang)) > 10 then 'text' else 'categorical' end from documents union all select 'doc_id', 'numeric'")
 def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = profile.infer_types(read(spark, sf_dir, "documents").select("text", "lang", "doc_id"))
@@ -268,23 +262,6 @@ def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Splits and metrics
 
 
-@query("stratified_folds", "with c as (select o_orderstatus as s, count(*) as n from orders group by 1), f as (select unnest(range(0, 5)) as fold) select s as status, fold::int as fold, (n // 5 + case when fold < n % 5 then 1 else 0 end)::bigint as n from c, f")
-def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = evaluate.stratified(read(spark, sf_dir, "orders"), ["o_orderkey"], "o_orderstatus")
-    return done.groupBy(F.col("o_orderstatus").alias("status"), "fold").agg(F.count("*").alias("n"))
-
-
-@query("hash_folds")
-def hash_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.kfold(read(spark, sf_dir, "orders"), ["o_orderkey"]).select("o_orderkey", "fold")
-
-
-@query("group_folds", "select count(distinct o_custkey)::bigint as groups, count(distinct o_custkey)::bigint as group_folds from orders")
-def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = evaluate.group_kfold(read(spark, sf_dir, "orders"), "o_custkey").select("o_custkey", "fold").distinct()
-    return done.agg(F.count_distinct("o_custkey").alias("groups"), F.count("*").alias("group_folds"))
-
-
 _CUT = "(select quantile_cont(epoch_us(ts)::double, {}) from events)"
 
 
@@ -356,25 +333,9 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, [(c, v["ks"], v["p_value"], v["score"], v["drifted"]) for c, v in d["columns"].items()], "feature string, ks double, p_value double, score double, drifted boolean")
 
 
-@query("bootstrap")
-def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = evaluate.bootstrap(read(spark, sf_dir, "orders"), ["o_orderkey"], F.col("o_totalprice"), 40)
-    return rows(spark, [(b["median"], b["low"], b["high"])], "median double, low double, high double")
-
-
 # Balancing
 
 
-@query("random_under", "select o_orderstatus as status, (select min(n) from (select count(*) as n from orders group by o_orderstatus))::bigint as n from orders group by 1")
-def random_under(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balance.random_under(read(spark, sf_dir, "orders"), "o_orderstatus", ["o_orderkey"]).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
-
-
-@query("random_over", "select o_orderstatus as status, (select max(n) from (select count(*) as n from orders group by o_orderstatus))::bigint as n from orders group by 1")
-def random_over(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balance.random_over(read(spark, sf_dir, "orders"), "o_orderstatus", ["o_orderkey"]).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
-
-
 def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("chars"), F.size(F.split("text", "\\s+")).cast("double").alias("words"))
     return docs.join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
@@ -784,14 +745,6 @@ def handler_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, [(p["rows"], p["target"]["mean"], p["target"]["min"], p["target"]["median"])], "n bigint, mean double, low double, median double")
 
 
-@query("out_of_bag", "select count(*)::bigint as n from orders")
-def out_of_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in the bag and out of it are all rows, each once."""
-    drawn = validate.draws(read(spark, sf_dir, "orders"), ["o_orderkey"], 0)
-    bag, out = drawn.where("drawn > 0"), drawn.where("drawn = 0")
-    return bag.select("o_orderkey").unionByName(out.select("o_orderkey")).distinct().agg(F.count("*").alias("n"))
-
-
 @query("minority_scores", "with p as (select toxic as y, (n_chars < 1000)::int as s from documents join labels using (doc_id)), r as (select avg(s) filter (y = 1) as a, avg(1 - s) filter (y = 0) as b, sum(s) filter (y = 1) / sum(s) as p from p) select round((a + b) / 2, 6) + 0.0 as balanced, round(sqrt(a * b), 6) + 0.0 as g_mean, round(p, 6) + 0.0 as precision, round(a, 6) + 0.0 as recall, round(2 * a * p / (a + p), 6) + 0.0 as f1 from r")
 def minority_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") < 1000).cast("int").alias("s")).join(read(spark, sf_dir, "labels"), "doc_id")

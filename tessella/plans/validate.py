@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import clean, evaluate, learn, profile
 from tessella.plans import explorer
+from tessella.registry import uniform
 
 #: Partitions of a table that a model is fitted on, where its result has to be repeatable.
 PARTS = 64
@@ -27,7 +28,7 @@ def sanitise(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 def draws(df: DataFrame, key: list[str], number: int, share: float = 1.0, seed: int = 42, out: str = "drawn") -> DataFrame:
     """Add how often a bootstrap round draws each row: Poisson with mean `share`, from a hash of the key. Rows drawn 0 times are
     out of the bag."""
-    u = (F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key], F.lit(seed), F.lit(number)), F.lit(2**40)) + 0.5) / 2**40
+    u = uniform(*key, seed, number)
     n, p, total = F.lit(0), float(np.exp(-share)), 0.0
     for k in range(12):
         total += p

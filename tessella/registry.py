@@ -325,6 +325,22 @@ def all_numeric(df: DataFrame, columns: list[str]) -> None:
         numeric(df, c)
 
 
+#: spread() gives numbers below this.
+SPREAD = 2**40
+
+
+def spread(*parts: Column | str | int) -> Column:
+    """A number from 0 to 2 ** 40 for each row: the first ten hex digits of the MD5 of the parts' texts, joined by bars. Any engine
+    gives the same one, so what is chosen by it can be checked elsewhere."""
+    texts = [F.lit(str(p)) if isinstance(p, int) else (F.col(f"`{p}`") if isinstance(p, str) else p).cast("string") for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *texts).cast("binary")), 1, 10), 16, 10).cast("long")
+
+
+def uniform(*parts: Column | str | int) -> Column:
+    """spread() as a number between 0 and 1."""
+    return (spread(*parts) + F.lit(0.5)) / F.lit(float(SPREAD))
+
+
 def lenient(column: str) -> Column:
     """The column as double where it can be read as one, else null."""
     c = F.col(f"`{column}`").try_cast("double")
