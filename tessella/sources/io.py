@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.sources import sheets
+
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN in float and double columns becomes null, in one projection."""
     return df.select(*[F.when(~F.isnan(F.col(f"`{f.name}`")), F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
-def load(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", schema: T.StructType | str | None = None) -> DataFrame:
-    """Read CSV, Parquet, JSON or ORC by the path's ending. Spreadsheets are not supported; save them as CSV."""
+def load(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", schema: T.StructType | str | None = None, sheet: str | int = 0) -> DataFrame:
+    """Read CSV, Parquet, JSON, ORC or a spreadsheet (its sheet by name or number) by the path's ending."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind in ("csv", "tsv", "txt"):
@@ -27,8 +29,10 @@ def load(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8"
         return nan_to_null(getattr(reader, kind)(path))
     if kind in ("json", "jsonl", "ndjson"):
         return nan_to_null((reader.option("multiLine", True) if kind == "json" and schema is None and _is_array(spark, path) else reader).json(path))
-    if kind in ("xls", "xlsx"):
-        raise ValueError("spreadsheets are not supported; save the sheet as CSV")
+    if kind == "xlsx":
+        return nan_to_null(sheets.read(spark, path, sheet))
+    if kind == "xls":
+        raise ValueError("the old binary spreadsheets are not supported; save the sheet as xlsx")
     raise ValueError(f"unknown file kind {kind!r}")
 
 
@@ -51,8 +55,11 @@ def load_jdbc(spark: SparkSession, url: str, table: str, partition_column: str |
 
 
 def save(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write CSV (with header), Parquet, JSON lines or ORC by the path's ending."""
+    """Write CSV (with header), Parquet, JSON lines, ORC or a spreadsheet of one sheet by the path's ending."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
+    if kind == "xlsx":
+        sheets.write({"Sheet1": nan_to_null(df)}, path)
+        return
     writer = nan_to_null(df).write.mode(mode)
     if kind == "csv":
         writer.option("header", True).csv(path)
