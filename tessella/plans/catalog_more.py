@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import registry
-from tessella.operators import balance, charts, clean, evaluate, texts
-from tessella.plans import search, validate
+from tessella.operators import balance, charts, clean, embed, evaluate
+from tessella.plans import preprocessor, search, validate
 from tessella.plans.catalog import ORACLES, QUERIES, query, read, real, source, source_sql, whole
 from tessella.plans.catalog_tables import _OPS, _POINTS, _folder, _toxic, rows
 from tessella.plans.saved import Chain
@@ -242,6 +242,34 @@ def balance_self_paced_under(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.self_paced_under(_toxic(spark, sf_dir), "toxic", ["chars", "words"], ["doc_id"]).groupBy("toxic").agg(F.count("*").alias("n"))
 
 
+# Embeddings
+
+#: The covariance of the centred columns is two by two; its eigenvectors are known in closed form.
+_TWO = """
+with o as (select o_orderkey, o_totalprice / 1000 as price, o_custkey from orders), m as (select avg(price) as a, avg(o_custkey) as b from o), c as (select var_pop(price) as p, var_pop(o_custkey::double) as q, covar_pop(price, o_custkey) as r from o),
+e as (select *, (p + q) / 2 + sqrt((p - q) * (p - q) / 4 + r * r) as top from c), v as (select r / sqrt(r * r + (top - p) * (top - p)) as x, (top - p) / sqrt(r * r + (top - p) * (top - p)) as y from e),
+s as (select case when abs(x) >= abs(y) then x else y end as one, case when abs(y) >= abs(x) then -y else x end as two, x, y from v)
+select o_orderkey, round(((price - a) * x + (o_custkey - b) * y) * sign(one), 4) + 0.0 as u, round(((price - a) * -y + (o_custkey - b) * x) * sign(two), 4) + 0.0 as v from o, m, s
+"""
+
+
+@query("preprocess_projection", _TWO)
+def preprocess_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the preprocessor's tsne and umap settings give tables that come later: two principal components."""
+    df = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("price"), F.col("o_custkey").cast("double").alias("o_custkey"))
+    model = preprocessor.fit(df, {"reduce": "umap", "scale": "none", "correlation": None}, key=["o_orderkey"])
+    done = model.transform(df, keep=("o_orderkey",))
+    return done.select("o_orderkey", (F.round("PC1", 4) + 0.0).alias("u"), (F.round("PC2", 4) + 0.0).alias("v"))
+
+
+@query("embedding")
+def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in a plane by their balance, orders and spending."""
+    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("spent"))
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").join(orders, "c_custkey", "left")
+    return embed.embed(df, ["c_acctbal", "orders", "spent"], rounds=5).select("c_custkey", real("U1").alias("u"), real("U2").alias("v"))
+
+
 # Charts
 
 _GRID = ["l_quantity", "l_discount", "l_extendedprice"]
@@ -306,4 +334,4 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, [(c["a"], c["b"], c["r"], sum(h["n"] for h in page["histograms"] if h["feature"] == "l_tax"))], "a string, b string, r double, n bigint")
 
 
-assert QUERIES and texts
+assert QUERIES

@@ -128,7 +128,7 @@ class PreprocessorModel:
                     cols.append(F.coalesce((~x.isin(cats)).cast("double"), F.lit(0.0)).alias(f"cat__{c}__other"))
         kept = [F.col(f"`{c}`") for c in dict.fromkeys((*keep, *([self.target] if self.target and self.target in df.columns else [])))]
         out = df.select(*cols, *kept)
-        if self.config["reduce"] == "pca":
+        if self.config["reduce"]:
             loads = self.made["__pca"]
             names = loads["columns"]
             comps = [sum((F.col(f"`{n}`") - F.lit(loads["means"][i])) * F.lit(loads["w"][k][i]) for i, n in enumerate(names)).alias(f"PC{k + 1}") for k in range(len(loads["w"]))]
@@ -196,7 +196,9 @@ def fit(df: DataFrame, config: dict[str, Any] | str | None = None, target: str |
     for c in clean.category_columns(df, skip):
         cats = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(config["max_categories"]).collect()
         model.categories[c] = sorted(r.v for r in cats)
-    if config["reduce"] == "pca":
+    if config["reduce"]:
+        if config["reduce"] not in ("pca", "tsne", "umap"):
+            raise OperatorError(f"unknown reduction {config['reduce']!r}")
         _components(model, df)
     return model
 
@@ -285,7 +287,8 @@ def _components(model: PreprocessorModel, df: DataFrame) -> None:
     w, v = np.linalg.eigh(m)
     w, v = w[::-1], v[:, ::-1]
     share = np.cumsum(w) / max(1e-300, w.sum())
-    k = min(max(2, int(np.searchsorted(share, how["variance"]) + 1)), max(1, len(names) - 1))
+    # Pictures of a table (embed.py) place the rows that they are made of; for tables that come later, two components stand for them.
+    k = min(max(2, int(np.searchsorted(share, how["variance"]) + 1)), max(1, len(names) - 1)) if how["reduce"] == "pca" else min(2, len(names))
     v = v[:, :k] * np.sign(v[np.abs(v[:, :k]).argmax(axis=0), np.arange(k)])
     model.made["__pca"] = {"columns": names, "means": [row[f"m{i}"] or 0.0 for i in range(len(x))], "w": v.T.tolist()}
 
