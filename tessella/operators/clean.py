@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.operators import order
 from tessella.operators.near import nearest
-from tessella.registry import OperatorError, corr, numeric, stats, spread
+from tessella.registry import OperatorError, corr, numeric, spread, stats
+from tessella.sources.store import Store
 
 
 def numeric_columns(df: DataFrame, but: tuple[str, ...] = ()) -> list[str]:
@@ -73,108 +74,130 @@ def fit_imputer(df: DataFrame, numeric_strategy: str = "median", categorical_str
     return Imputer(fills)
 
 
-def knn_impute(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
+#: Searches by cells at most; with more patterns of missing columns, rows that miss something meet all rows in blocks.
+SEARCHES = 64
+#: Points that ask, and points that give, of a block.
+ASK_BLOCK, GIVE_BLOCK = 2000, 20_000
+
+
+def knn_points(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(m0, m1, ..., n): the distinct rows of the columns, as numbers, and how often each is there."""
+    return df.select(*[numeric(df, c).alias(f"m{i}") for i, c in enumerate(columns)]).groupBy(*[f"m{i}" for i in range(len(columns))]).agg(F.count("*").alias("n"))
+
+
+def knn_impute(df: DataFrame, columns: list[str], k: int = 5, donors: DataFrame | None = None) -> DataFrame:
     """Fill missing numbers by the mean of the k nearest rows of all that have the value, weighted by inverse distance.
 
     The distance is Euclidean over the columns that both rows have, scaled up for those that they do not share; at equal
     distances smaller values come first. Rows that share no column with any other take the mean. Rows stand as distinct points, so
-    copies cost nothing; a search runs for each two patterns of missing columns that occur.
+    copies cost nothing. donors: the rows to take values from, as knn_points(); by default those of the table itself.
+
+    Where few columns are missing together, a search in cells runs for each two patterns that occur. With more than SEARCHES of
+    them, each point that misses something is compared with every point, in blocks: as many comparisons as the product of both.
     """
-    x = {c: numeric(df, c) for c in columns}
     m, names = len(columns), [f"m{i}" for i in range(len(columns))]
     inner = [f"__{i}" for i in range(len(df.columns))]
     table = df.toDF(*inner)
     kinds = dict(zip(df.columns, inner, strict=True))
     table = table.select("*", *[numeric(table, kinds[c]).alias(n) for c, n in zip(columns, names, strict=True)])
-    shape = F.concat(*[F.col(n).isNull().cast("int").cast("string") for n in names])
-    points = table.select(*names, shape.alias("shape")).groupBy("shape", *names).agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    shapes = sorted(r["shape"] for r in points.select("shape").distinct().collect())
-    means = stats(df, **{f"a{i}": F.avg(v) for i, v in enumerate(x.values())})
-    fills = None
-    for q in shapes:
-        for j in (i for i in range(m) if q[i] == "1"):
-            for p in shapes:
-                both = [i for i in range(m) if q[i] == p[i] == "0"]
-                if p[j] == "1" or not both:
-                    continue
-                asked = points.where(F.col("shape") == q).select(*[F.col(names[i]).alias(f"x{d}") for d, i in enumerate(both)], F.lit(0.0).alias(f"x{len(both)}"), F.lit(0).cast("long").alias("don"), F.lit(True).alias("ask")).distinct()
-                have = points.where(F.col("shape") == p).select(*[F.col(names[i]).alias(f"x{d}") for d, i in enumerate(both)], F.col(names[j]).alias(f"x{len(both)}"), F.col("n").alias("don"), F.lit(False).alias("ask"))
-                xs = [f"x{d}" for d in range(len(both) + 1)]
-                mixed = asked.unionByName(have).groupBy(*xs).agg(F.sum("don").alias("don"), F.max("ask").alias("ask"))
-                got = nearest(mixed, len(xs), {"don": k}, F.col("ask"), carried=1).where(F.element_at(F.array(*xs), len(xs)) == 0)
-                got = got.select(*[F.col(f"x{d}").alias(names[i]) for d, i in enumerate(both)], F.transform("near_don", lambda s: F.struct((F.sqrt(s["d"] * F.lit(m / len(both)))).alias("d"), F.element_at(s["v"], 1).alias("v"), s["n"].alias("n"))).alias("near"))  # noqa: B023
-                rows = points.where(F.col("shape") == q).select(*names).distinct().join(got, [names[i] for i in both])
-                rows = rows.select(F.lit(j).alias("j"), F.to_json(F.array(*names)).alias("point"), "near")
-                fills = rows if fills is None else fills.unionByName(rows)
-    if fills is None:
-        filled = [F.coalesce(F.col(n), F.lit(means[f"a{i}"])) for i, n in enumerate(names)]
-        return table.select(*[filled[columns.index(c)].alias(c) if c in columns else F.col(i).alias(c) for c, i in kinds.items()])
-    near = F.array_sort(F.flatten(F.collect_list("near")))
-    # At most k rows: a point of several copies counts as often as there is room.
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
-
-    def add(s: Column, e: Column) -> Column:
-        take = F.least(e["n"], F.lit(k) - s["seen"])
-        w = take / F.greatest(e["d"], F.lit(1e-12))
-        return F.struct((s["seen"] + take).alias("seen"), (s["up"] + w * e["v"]).alias("up"), (s["down"] + w).alias("down"))
-
-    value = F.aggregate(near, start, add, lambda s: s["up"] / s["down"])
-    found = fills.groupBy("point", "j").agg(value.alias("fill")).groupBy("point").agg(F.map_from_entries(F.collect_list(F.struct("j", "fill"))).alias("fills"))
+    with Store(df.sparkSession) as store:
+        shape = F.concat(*[F.col(n).isNull().cast("int").cast("string") for n in names])
+        given = store.table((knn_points(df, columns) if donors is None else donors).withColumn("shape", shape), "given")
+        asked = given if donors is None else store.table(knn_points(df, columns).withColumn("shape", shape), "asked")
+        means = stats(given, **{f"a{i}": F.sum(F.col(n) * F.col("n")) / F.nullif(F.sum(F.when(F.col(n).isNotNull(), F.col("n"))), F.lit(0)) for i, n in enumerate(names)})
+        asking, giving = (sorted(r["shape"] for r in t.select("shape").distinct().collect()) for t in (asked, given))
+        wanted = [(q, j, p) for q in asking for j in range(m) if q[j] == "1" for p in giving if p[j] == "0" and any(a == b == "0" for a, b in zip(q, p, strict=True))]
+        if not wanted:
+            filled = [F.coalesce(F.col(n), F.lit(means[f"a{i}"])) for i, n in enumerate(names)]
+            return table.select(*[filled[columns.index(c)].alias(c) if c in columns else F.col(i).alias(c) for c, i in kinds.items()])
+        fills = _by_cells(asked, given, wanted, names, k) if len(wanted) <= SEARCHES else _by_blocks(asked, given, names, k)
+        near = F.array_sort(F.flatten(F.collect_list("near")))
+        # At most k rows: a point of several copies counts as often as there is room.
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
+
+        def add(s: Column, e: Column) -> Column:
+            take = F.least(e["n"], F.lit(k) - s["seen"])
+            w = take / F.greatest(e["d"], F.lit(1e-12))
+            return F.struct((s["seen"] + take).alias("seen"), (s["up"] + w * e["v"]).alias("up"), (s["down"] + w).alias("down"))
+
+        value = F.aggregate(near, start, add, lambda s: s["up"] / s["down"])
+        found = fills.groupBy("point", "j").agg(value.alias("fill")).groupBy("point").agg(F.map_from_entries(F.collect_list(F.struct("j", "fill"))).alias("fills"))
+        found = Store.kept(df.sparkSession).table(found, "fills")
     done = table.withColumn("point", F.to_json(F.array(*names))).join(found, "point", "left")
     filled = [F.coalesce(F.col(n), F.element_at("fills", i), F.lit(means[f"a{i}"])) for i, n in enumerate(names)]
     return done.select(*[filled[columns.index(c)].alias(c) if c in columns else F.col(i).alias(c) for c, i in kinds.items()])
 
 
+def _by_cells(asked: DataFrame, given: DataFrame, wanted: list[tuple[str, int, str]], names: list[str], k: int) -> DataFrame:
+    """(j, point, near): the nearest points that have column j, for each point of a pattern and each pattern of givers."""
+    m, parts = len(names), []
+    for q, j, p in wanted:
+        both = [i for i in range(m) if q[i] == p[i] == "0"]
+        ask = asked.where(F.col("shape") == q).select(*[F.col(names[i]).alias(f"x{d}") for d, i in enumerate(both)], F.lit(0.0).alias(f"x{len(both)}"), F.lit(0).cast("long").alias("don"), F.lit(True).alias("ask")).distinct()
+        have = given.where(F.col("shape") == p).select(*[F.col(names[i]).alias(f"x{d}") for d, i in enumerate(both)], F.col(names[j]).alias(f"x{len(both)}"), F.col("n").alias("don"), F.lit(False).alias("ask"))
+        xs = [f"x{d}" for d in range(len(both) + 1)]
+        mixed = ask.unionByName(have).groupBy(*xs).agg(F.sum("don").alias("don"), F.max("ask").alias("ask"))
+        got = nearest(mixed, len(xs), {"don": k}, F.col("ask"), carried=1).where(F.element_at(F.array(*xs), len(xs)) == 0)
+        scale = F.lit(m / len(both))
+        far = F.transform("near_don", lambda s: F.struct((F.sqrt(s["d"] * scale)).alias("d"), F.element_at(s["v"], 1).alias("v"), s["n"].alias("n")))  # noqa: B023
+        got = got.select(*[F.col(f"x{d}").alias(names[i]) for d, i in enumerate(both)], far.alias("near"))
+        told = asked.where(F.col("shape") == q).select(*names).distinct().join(got, [names[i] for i in both])
+        parts.append(told.select(F.lit(j).alias("j"), F.to_json(F.array(*names)).alias("point"), "near"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _by_blocks(asked: DataFrame, given: DataFrame, names: list[str], k: int) -> DataFrame:
+    """The same from all points, a block of askers and a block of givers at a time; no more than k points of each block are passed on."""
+    m = len(names)
+    ask = asked.where(F.col("shape").contains("1")).select(*names, F.to_json(F.array(*names)).alias("point")).distinct()
+    a, g = max(1, -(-ask.count() // ASK_BLOCK)), max(1, -(-given.count() // GIVE_BLOCK))
+    h = F.xxhash64(*names)
+    ask = ask.withColumn("a", F.pmod(h, F.lit(a)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
+    have = given.withColumn("g", F.pmod(h, F.lit(g)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
+
+    def meet(asking, giving):
+        import pandas as pd
+
+        x, y, n = asking[names].to_numpy(float), giving[names].to_numpy(float), giving["n"].to_numpy()
+        there = ~np.isnan(y)
+        out = []
+        for i in range(len(x) if len(y) else 0):
+            both = there & ~np.isnan(x[i])
+            shared = both.sum(axis=1)
+            d = np.sqrt(np.where(both, (y - x[i]) ** 2, 0.0).sum(axis=1) * m / np.maximum(shared, 1))
+            for j in np.flatnonzero(np.isnan(x[i])).tolist():
+                at = np.flatnonzero(there[:, j] & (shared > 0))
+                if len(at) > k:
+                    at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
+                at = at[np.lexsort((y[at, j], d[at]))[:k]]
+                if len(at):
+                    out.append((j, asking["point"].iloc[i], [{"d": float(d[t]), "v": float(y[t, j]), "n": int(n[t])} for t in at]))
+        return pd.DataFrame(out, columns=["j", "point", "near"]).astype({"point": object, "near": object, "j": "int32"})
+
+    return ask.groupBy("a", "g").cogroup(have.groupBy("a", "g")).applyInPandas(meet, "j int, point string, near array<struct<d double, v double, n long>>")
+
+
 @dataclass
 class KnnFill:
-    """Fills from a bounded sample of rows, for tables that come after fitting: as knn_impute, among `donors` alone."""
+    """knn_impute for tables that come after fitting: the fitted table's distinct rows stand in a table at `path`."""
 
     columns: list[str]
-    donors: list[list[float | None]]
+    path: str
     k: int = 5
 
     @staticmethod
-    def fit(df: DataFrame, columns: list[str], k: int = 5, most: int = 2000) -> KnnFill:
-        """Donors are `most` rows at most, chosen by a hash of the numbers and of their order among copies."""
-        x = [numeric(df, c).alias(f"x{i}") for i, c in enumerate(columns)]
-        rows = df.select(*x).withColumn("u", F.xxhash64(F.monotonically_increasing_id(), *[f"x{i}" for i in range(len(columns))])).orderBy("u").limit(most).drop("u").collect()
-        return KnnFill(columns, [list(r) for r in rows], k)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        columns, k = self.columns, self.k
-        d = np.array([[np.nan if v is None else v for v in r] for r in self.donors], float).reshape(-1, len(columns))
-        sent = df.sparkSession.sparkContext.broadcast(d)
+    def fit(df: DataFrame, columns: list[str], k: int = 5) -> KnnFill:
+        """Every row that has a value gives it. The table of rows is kept until store.release(); save() copies it."""
+        store = Store.kept(df.sparkSession)
+        store.table(knn_points(df, columns), "givers")
+        return KnnFill(columns, f"{store.root}/0-givers", k)
 
-        @F.pandas_udf(", ".join(f"x{i} double" for i in range(len(columns))))
-        def fill(*cols):
-            import pandas as pd
+    def save(self, spark: SparkSession, path: str) -> KnnFill:
+        spark.read.parquet(self.path).write.parquet(path)
+        return KnnFill(self.columns, path, self.k)
 
-            x = np.column_stack([np.asarray(c, float) for c in cols])
-            return pd.DataFrame(_near_fill(x, sent.value, k), columns=[f"x{i}" for i in range(len(columns))])
-
-        filled = df.withColumn("__filled", fill(*[numeric(df, c) for c in columns]))
-        return filled.select(*[F.col(f"__filled.x{columns.index(c)}").alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
-
-
-def _near_fill(x: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
-    """x with missing numbers filled from its k nearest rows of d."""
-    out = x.copy()
-    have = ~np.isnan(d)
-    means = np.array([d[have[:, j], j].mean() if have[:, j].any() else 0.0 for j in range(d.shape[1])])
-    for i in np.flatnonzero(np.isnan(x).any(axis=1)):
-        seen = ~np.isnan(x[i])
-        diff = d[:, seen] - x[i, seen]
-        n = (~np.isnan(diff)).sum(axis=1)
-        dist = np.sqrt(np.where(n > 0, np.nansum(diff**2, axis=1) * x.shape[1] / np.maximum(n, 1), np.inf))
-        for j in np.flatnonzero(~seen):
-            at = np.flatnonzero(have[:, j] & np.isfinite(dist))
-            if not len(at):
-                out[i, j] = means[j]
-                continue
-            best = at[np.lexsort((d[at, j], dist[at]))[:k]]
-            w = 1 / np.maximum(dist[best], 1e-12)
-            out[i, j] = (d[best, j] * w).sum() / w.sum()
-    return out
+    def transform(self, df: DataFrame) -> DataFrame:
+        return knn_impute(df, self.columns, self.k, df.sparkSession.read.parquet(self.path))
 
 
 @dataclass

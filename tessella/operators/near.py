@@ -1,19 +1,23 @@
 """Exact nearest neighbours over all rows: distinct points in cells of a k-d tree, with bounds that say which cells to look into.
 
 Copies of a point are one point with counts, so a value that holds many rows costs no more than another. Each point is first
-compared with its own cell; it goes to another cell only if that cell's box is nearer than its k-th neighbour so far.
+compared with its own cell; it goes to another cell only if that cell's box is nearer than its k-th neighbour so far. Which cells
+these are is found from the root of the tree down: a branch whose box is too far is not entered, so a task looks at the cells near
+its own and not at all of them.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct points of a cell, about, and cells at most.
+from tessella.sources.store import Store
+
+#: Distinct points of a cell, about, and cells at most; points of each cell that its cuts are chosen from.
 CELL = 2000
-CELLS = 4096
+CELLS = 65_536
+SAMPLED = 16
 
 
 def _splits(x: np.ndarray, cells: int) -> list:
@@ -63,27 +67,74 @@ def closest(q: np.ndarray, r: np.ndarray, k: int) -> list[tuple[np.ndarray, np.n
     return out
 
 
+class Tree:
+    """The boxes of cells and of all branches above them, with how many points of each kind they hold."""
+
+    def __init__(self, tree, low: np.ndarray, high: np.ndarray, have: dict[str, np.ndarray], ids: np.ndarray):
+        at = {int(c): i for i, c in enumerate(ids)}
+        dims = low.shape[1]
+        self.low, self.high, self.have, self.down, self.up = [], [], {n: [] for n in have}, [], {}
+        self.leaf: dict[int, int] = {}
+
+        def add(node, above: int) -> int:
+            me = len(self.low)
+            self.up[me] = above
+            for part in (self.low, self.high, self.down, *self.have.values()):
+                part.append(None)
+            if isinstance(node, int):
+                i = at.get(node)
+                self.low[me], self.high[me] = (np.full(dims, np.inf), np.full(dims, -np.inf)) if i is None else (low[i], high[i])
+                for n in have:
+                    self.have[n][me] = 0 if i is None else int(have[n][i])
+                self.down[me] = (node,)
+                self.leaf[node] = me
+                return me
+            a, b = add(node[2], me), add(node[3], me)
+            self.down[me] = (a, b)
+            self.low[me], self.high[me] = np.minimum(self.low[a], self.low[b]), np.maximum(self.high[a], self.high[b])
+            for n in have:
+                self.have[n][me] = self.have[n][a] + self.have[n][b]
+            return me
+
+        add(tree, -1)
+
+    def reach(self, cell: int, at: np.ndarray, kind: str, k: int) -> np.ndarray:
+        """A squared distance within which each point of a cell has k of a kind: to the far corner of the least branch with as many."""
+        node = self.leaf[cell]
+        while node >= 0 and self.have[kind][node] < k:
+            node = self.up[node]
+        if node < 0:
+            return np.full(len(at), np.inf)
+        return (np.maximum(np.abs(self.low[node] - at), np.abs(self.high[node] - at)) ** 2).sum(axis=1)
+
+    def within(self, at: np.ndarray, bound: np.ndarray, kind: str) -> list[tuple[int, np.ndarray]]:
+        """(cell, places of the points that have to look into it)."""
+        out, todo = [], [(0, np.arange(len(at)))]
+        while todo:
+            node, who = todo.pop()
+            if not self.have[kind][node]:
+                continue
+            p = at[who]
+            who = who[(np.maximum(np.maximum(self.low[node] - p, p - self.high[node]), 0) ** 2).sum(axis=1) <= bound[who] * (1 + 1e-9)]
+            if len(who):
+                below = self.down[node]
+                if len(below) == 1:
+                    out.append((below[0], who))
+                else:
+                    todo += [(b, who) for b in below]
+        return out
+
+
 def nearest(points: DataFrame, dims: int, kinds: dict[str, int], asks: Column, carried: int = 0) -> DataFrame:
     """For each point that `asks`, its nearest points of each kind: near_<kind>, an array of (d, v, n) by distance and then by v.
 
     points: distinct x0, x1, ... with a count for each kind; kinds: how many points to find of each. A point of a kind (count
-    above 0) is among its own neighbours, at distance 0. The last `carried` numbers of a point have no part in distances; they come first in v, so at equal
-    distances they decide.
+    above 0) is among its own neighbours, at distance 0. The last `carried` numbers of a point have no part in distances; they
+    come first in v, so at equal distances they decide. The result stands in a table (see store.release); what it was made from goes.
     """
     xs, names, near = [f"x{i}" for i in range(dims)], list(kinds), dims - carried
     told = xs[near:] + xs[:near]
-    points = points.select(*xs, *names, asks.alias("asks")).persist(StorageLevel.MEMORY_AND_DISK)
-    cells = min(CELLS, points.count() // CELL)
-    tree = _splits(points.select(*xs).orderBy(F.xxhash64(*xs), *xs).limit(64 * cells).toPandas().to_numpy(float)[:, :near], cells) if cells > 1 else 0
-
-    def place(batches):
-        for b in batches:
-            yield b.assign(cell=_leaf(tree, b[xs[:near]].to_numpy(float)))
-
-    dealt = points.mapInPandas(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields) + ", cell long").persist(StorageLevel.MEMORY_AND_DISK)
-    box = dealt.groupBy("cell").agg(*[f(x).alias(f"{n}{x}") for x in xs for n, f in (("lo", F.min), ("hi", F.max))], *[F.count_if(F.col(n) > 0).alias(n) for n in names]).orderBy("cell").toPandas()
-    low, high, ids = box[[f"lo{x}" for x in xs[:near]]].to_numpy(float), box[[f"hi{x}" for x in xs[:near]]].to_numpy(float), box["cell"].to_numpy()
-    have = {n: box[n].to_numpy() for n in names}
+    spark = points.sparkSession
     found = ", ".join(f"near_{n} array<struct<d double, v array<double>, n long>>" for n in names)
     head = ", ".join(f"{x} double" for x in xs)
 
@@ -92,50 +143,58 @@ def nearest(points: DataFrame, dims: int, kinds: dict[str, int], asks: Column, c
         v, m, at = r[told].to_numpy(float), r[n].to_numpy(), r[xs[:near]].to_numpy(float)
         return [[{"d": float(d), "v": v[j].tolist(), "n": int(m[j])} for d, j in zip(*pair, strict=True)] for pair in closest(q[:, :near], at, kinds[n])]
 
-    def home(part):
-        import pandas as pd
-
-        mine = part[part["asks"]]
-        q = mine[xs].to_numpy(float)
-        out = mine[xs + names].copy()
-        go = np.zeros((len(q), len(ids)), bool)
-        for n in names:
-            out[f"near_{n}"] = pd.Series(lists(q, part, n), index=out.index, dtype=object)
-            if len(ids) < 2:
-                continue
-            for i, got in enumerate(out[f"near_{n}"]):
-                at = q[i, :near]
-                least = (np.maximum(np.maximum(low - at, at - high), 0) ** 2).sum(axis=1)
-                most = (np.maximum(np.abs(low - at), np.abs(high - at)) ** 2).sum(axis=1)
-                o = np.argsort(most, kind="stable")
-                full = np.searchsorted(np.cumsum(have[n][o]), kinds[n])
-                bound = most[o[full]] if full < len(o) else np.inf
-                if len(got) == kinds[n]:
-                    bound = min(bound, got[-1]["d"])
-                go[i] |= (least <= bound * (1 + 1e-9)) & (have[n] > 0)
-        here = ids == part["cell"].iloc[0] if len(part) else ids < 0
-        out["others"] = pd.Series([ids[g & ~here].tolist() for g in go], index=out.index, dtype=object)
-        return out
-
-    first = dealt.groupBy("cell").applyInPandas(home, f"{head}, {', '.join(f'{n} long' for n in names)}, {found}, others array<long>")
-    if cells < 2:
-        return first.drop("others")
-    first = first.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def away(asked, part):
-        import pandas as pd
-
-        out = asked[xs].copy()
-        q = out.to_numpy(float)
-        for n in names:
-            # A cell that no point asks for gives no rows: its empty column has to be of objects too.
-            out[f"near_{n}"] = pd.Series(lists(q, part, n), index=out.index, dtype=object)
-        return out
-
-    asked = first.select(*xs, F.explode("others").alias("cell"))
-    more = asked.groupBy("cell").cogroup(dealt.groupBy("cell")).applyInPandas(away, f"{head}, {found}")
-    both = first.drop("others").unionByName(more.select(*xs, *[F.lit(None).cast("long").alias(n) for n in names], *[f"near_{n}" for n in names]))
-    return both.groupBy(*xs).agg(
-        *[F.max(n).alias(n) for n in names],
-        *[F.slice(F.array_sort(F.flatten(F.collect_list(f"near_{n}"))), 1, kinds[n]).alias(f"near_{n}") for n in names],
-    )
+    with Store(spark) as store:
+        points = store.table(points.select(*xs, *names, asks.alias("asks")), "points")
+        cells = min(CELLS, points.count() // CELL)
+        tree = _splits(points.select(*xs).orderBy(F.xxhash64(*xs), *xs).limit(SAMPLED * 4 * cells if cells < 4096 else SAMPLED * cells).toPandas().to_numpy(float)[:, :near], cells) if cells > 1 else 0
+
+        def place(batches):
+            for b in batches:
+                yield b.assign(cell=_leaf(tree, b[xs[:near]].to_numpy(float)))
+
+        dealt = store.table(points.mapInPandas(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields) + ", cell long"), "dealt")
+        box = dealt.groupBy("cell").agg(*[f(x).alias(f"{n}{x}") for x in xs for n, f in (("lo", F.min), ("hi", F.max))], *[F.count_if(F.col(n) > 0).alias(n) for n in names]).orderBy("cell").toPandas()
+        boxes = Tree(tree, box[[f"lo{x}" for x in xs[:near]]].to_numpy(float), box[[f"hi{x}" for x in xs[:near]]].to_numpy(float), {n: box[n].to_numpy() for n in names}, box["cell"].to_numpy())
+
+        def home(part):
+            import pandas as pd
+
+            mine = part[part["asks"]]
+            q = mine[xs].to_numpy(float)
+            out = mine[xs + names].copy()
+            go: list[set[int]] = [set() for _ in range(len(q))]
+            cell = int(part["cell"].iloc[0]) if len(part) else -1
+            for n in names:
+                out[f"near_{n}"] = pd.Series(lists(q, part, n), index=out.index, dtype=object)
+                if cells < 2 or not len(q):
+                    continue
+                last = np.array([got[-1]["d"] if len(got) == kinds[n] else np.inf for got in out[f"near_{n}"]])
+                for other, who in boxes.within(q[:, :near], np.minimum(last, boxes.reach(cell, q[:, :near], n, kinds[n])), n):
+                    for i in who.tolist() if other != cell else ():
+                        go[i].add(other)
+            out["others"] = pd.Series([sorted(g) for g in go], index=out.index, dtype=object)
+            return out
+
+        first = dealt.groupBy("cell").applyInPandas(home, f"{head}, {', '.join(f'{n} long' for n in names)}, {found}, others array<long>")
+        if cells < 2:
+            return Store.kept(spark).table(first.drop("others"), "nearest")
+        first = store.table(first, "home")
+
+        def away(asked, part):
+            import pandas as pd
+
+            out = asked[xs].copy()
+            q = out.to_numpy(float)
+            for n in names:
+                # A cell that no point asks for gives no rows: its empty column has to be of objects too.
+                out[f"near_{n}"] = pd.Series(lists(q, part, n), index=out.index, dtype=object)
+            return out
+
+        asked = first.select(*xs, F.explode("others").alias("cell"))
+        more = asked.groupBy("cell").cogroup(dealt.groupBy("cell")).applyInPandas(away, f"{head}, {found}")
+        both = first.drop("others").unionByName(more.select(*xs, *[F.lit(None).cast("long").alias(n) for n in names], *[f"near_{n}" for n in names]))
+        merged = both.groupBy(*xs).agg(
+            *[F.max(n).alias(n) for n in names],
+            *[F.slice(F.array_sort(F.flatten(F.collect_list(f"near_{n}"))), 1, kinds[n]).alias(f"near_{n}") for n in names],
+        )
+        return Store.kept(spark).table(merged, "nearest")

@@ -6,7 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import balance, clean, groups, learn
@@ -136,8 +136,13 @@ class PreprocessorModel:
         return out
 
     def save(self, path: str) -> None:
+        """Write JSON on the driver. Rows that knn fills take values from go to a table at path.rows, which executors must be able to
+        read."""
+        state = asdict(self)
+        if self.knn:
+            state["knn"] = asdict(clean.KnnFill(**self.knn).save(SparkSession.active(), f"{path}.rows"))
         with open(path, "w", encoding="utf-8") as f:
-            json.dump(asdict(self), f, default=str)
+            json.dump(state, f, default=str)
 
     @staticmethod
     def load(path: str) -> PreprocessorModel:

@@ -22,6 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().get().rstrip("/")
 
 
+_kept: dict[str, list[Store]] = {}
+
+
 class Store:
     """A folder of Parquet tables. It goes with close(), at the end of a with block, or when the application ends."""
 
@@ -32,6 +35,13 @@ class Store:
         self.files.mkdirs(self.path)
         self.files.deleteOnExit(self.path)
 
+    @staticmethod
+    def kept(spark: SparkSession) -> Store:
+        """A store for tables that a lazy result reads: it stays until release() is called or the application ends."""
+        made = Store(spark)
+        _kept.setdefault(spark.sparkContext.applicationId, []).append(made)
+        return made
+
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and return one that reads it: lineage is cut, and the rows outlive executors."""
         at, schema = f"{self.root}/{self.n}-{name}", df.schema
@@ -47,3 +57,11 @@ class Store:
 
     def __exit__(self, *_) -> None:
         self.close()
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables of all kept stores: to be called when no result of an operator is read any more. How many stores there were."""
+    stores = _kept.pop(spark.sparkContext.applicationId, [])
+    for s in stores:
+        s.close()
+    return len(stores)

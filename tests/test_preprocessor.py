@@ -76,16 +76,41 @@ def test_categories_beyond_the_cap_are_one_column(table):
     assert len(other) == 1 and out.agg(F.sum(f"`{other[0]}`")).first()[0] > 0
 
 
+def near_fill(x: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """x with missing numbers filled from its k nearest rows of d."""
+    out = x.copy()
+    have = ~np.isnan(d)
+    means = np.array([d[have[:, j], j].mean() if have[:, j].any() else 0.0 for j in range(d.shape[1])])
+    for i in np.flatnonzero(np.isnan(x).any(axis=1)):
+        seen = ~np.isnan(x[i])
+        diff = d[:, seen] - x[i, seen]
+        n = (~np.isnan(diff)).sum(axis=1)
+        dist = np.sqrt(np.where(n > 0, np.nansum(diff**2, axis=1) * x.shape[1] / np.maximum(n, 1), np.inf))
+        for j in np.flatnonzero(~seen):
+            at = np.flatnonzero(have[:, j] & np.isfinite(dist))
+            if not len(at):
+                out[i, j] = means[j]
+                continue
+            best = at[np.lexsort((d[at, j], dist[at]))[:k]]
+            w = 1 / np.maximum(dist[best], 1e-12)
+            out[i, j] = (d[best, j] * w).sum() / w.sum()
+    return out
+
+
+@pytest.mark.parametrize("blocks", [False, True])
 @pytest.mark.parametrize("cell", [2000, 20])
-def test_knn_over_all_rows_by_brute_force(spark, monkeypatch, cell):
+def test_knn_over_all_rows_by_brute_force(spark, monkeypatch, cell, blocks):
     monkeypatch.setattr(near, "CELL", cell)
+    if blocks:
+        for n, v in (("SEARCHES", 0), ("ASK_BLOCK", cell), ("GIVE_BLOCK", 5 * cell)):
+            monkeypatch.setattr(clean, n, v)
     rng = random.Random(8)
     rows = [tuple(None if rng.random() < 0.15 else round(rng.uniform(0, 9), rng.choice([0, 2])) for _ in range(3)) for _ in range(220)]
     rows += [(None, None, None), (1.0, None, None)] + [(5.0, 5.0, 5.0)] * 30 + [(5.0, 5.0, None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, a double, b double, c double")
     got = clean.knn_impute(df, ["a", "b", "c"]).toPandas().sort_values("id")[["a", "b", "c"]].to_numpy()
     x = np.array([[np.nan if v is None else v for v in r] for r in rows])
-    assert np.allclose(got, clean._near_fill(x, x, 5))
+    assert np.allclose(got, near_fill(x, x, 5))
 
 
 @pytest.mark.parametrize("size", [40])
@@ -141,3 +166,50 @@ def test_the_forest_cuts_over_all_rows(spark):
     got = df.select("id", found.scores(df).alias("s")).orderBy("id").toPandas().s.to_numpy()
     assert np.allclose(got, want) and found.cut == pytest.approx(np.quantile(want, 0.97))
     assert found.transform(df).count() == int((got <= found.cut).sum())
+
+
+def test_knn_of_ten_columns_with_random_nulls_ends(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.uniform(0, 9, (400, 10)), 1)
+    x[rng.random((400, 10)) < 0.2] = np.nan
+    df = spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)], "id int, " + ", ".join(f"c{i} double" for i in range(10)))
+    names = [f"c{i}" for i in range(10)]
+    got = clean.knn_impute(df, names).toPandas().sort_values("id")[names].to_numpy()
+    assert np.allclose(got, near_fill(x, x, 5))
+
+
+def test_knn_of_later_tables_takes_values_from_all_fitted_rows(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = rng.uniform(0, 9, (3000, 3))
+    y = rng.uniform(0, 9, (40, 3))
+    y[rng.random((40, 3)) < 0.3] = np.nan
+    table = lambda v: spark.createDataFrame([(i, *(None if np.isnan(a) else float(a) for a in r)) for i, r in enumerate(v)], "id int, a double, b double, c double")
+    model = preprocessor.fit(table(x), {"missing": "knn", "scale": "none", "correlation": None}, key=["id"])
+    model.save(str(tmp_path / "m.json"))
+    for m in (model, PreprocessorModel.load(str(tmp_path / "m.json"))):
+        got = m.transform(table(y), keep=("id",)).toPandas().sort_values("id")[["num__a", "num__b", "num__c"]].to_numpy()
+        assert np.allclose(got, near_fill(y, x, 5))
+
+
+def test_kept_tables_go_when_released(spark):
+    from tessella.sources.store import Store, release
+
+    store = Store.kept(spark)
+    store.table(spark.range(5), "t")
+    assert release(spark) >= 1 and release(spark) == 0
+    assert not store.files.exists(store.path)
+
+
+def test_neighbours_far_from_their_cell(spark, monkeypatch):
+    """Kinds of which a cell holds few or none, lines of copies and lone points: as by comparing all."""
+    monkeypatch.setattr(near, "CELL", 8)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (150, 2)), rng.normal(30, 0.1, (60, 2)), [[100.0, 100.0], [-80.0, 3.0]]])
+    kind = np.concatenate([np.zeros(150), np.ones(60), [0, 1]]).astype(int)
+    points = spark.createDataFrame([(float(a), float(b), int(k == 0), int(k == 1)) for (a, b), k in zip(x, kind, strict=True)], "x0 double, x1 double, p long, q long")
+    got = near.nearest(points, 2, {"p": 4, "q": 3}, F.lit(True)).collect()
+    assert len(got) == len(x)
+    for r in got:
+        d = ((x - [r.x0, r.x1]) ** 2).sum(axis=1)
+        for name, k, n in (("near_p", 0, 4), ("near_q", 1, 3)):
+            assert np.allclose([s.d for s in r[name]], np.sort(d[kind == k])[:n])
