@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -121,14 +122,71 @@ def autocorrelation(df: DataFrame, column: str, out: str | None = None, lag: int
 builds("autocorrelation")(lambda columns, s: F.lit(s["r"]).cast("double"))
 
 
-def dickey_fuller(df: DataFrame, column: str, order_by) -> dict[str, float | None]:
-    """The statistic of the plain Dickey-Fuller test with a constant: the t value of y[t-1] in dy = a + b y[t-1], from sums."""
-    w, y = spec(order_by), numeric(df, column)
-    rows = df.select(F.lag(y).over(w).alias("x"), (y - F.lag(y).over(w)).alias("d")).where("x is not null and d is not null")
-    r = rows.agg(F.count("*").alias("n"), F.covar_pop("x", "d").alias("xd"), F.var_pop("x").alias("xx"), F.var_pop("d").alias("dd")).first()
-    if r.n < 4 or not r.xx:
-        return {"statistic": None, "stationary": None}
-    b = r.xd / r.xx
-    left = max(0.0, r.dd - b * r.xd) * r.n / (r.n - 2)
-    t = b / math.sqrt(left / (r.n * r.xx)) if left else -math.inf
-    return {"statistic": t, "stationary": t < -2.86}  # the 5% point with a constant
+# The published regression of the unit-root statistic's distribution (with a constant) on the normal scale.
+TAU_SPLIT, TAU_LOW, TAU_HIGH = -1.61, -18.83, 2.74
+TAU_SMALL = (2.1659, 1.4412, 0.038269)
+TAU_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def unit_root_p(statistic: float) -> float:
+    """The approximate p value of the Dickey-Fuller statistic with a constant."""
+    if statistic > TAU_HIGH:
+        return 1.0
+    if statistic < TAU_LOW:
+        return 0.0
+    z = sum(c * statistic**i for i, c in enumerate(TAU_SMALL if statistic <= TAU_SPLIT else TAU_LARGE))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def _moments(rows: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
+    """Rows, and the matrix of mean products of the columns less their means, from one pass."""
+    wanted = {f"c{i}_{j}": F.covar_pop(a, b) for i, a in enumerate(names) for j, b in enumerate(names) if j >= i}
+    r = rows.agg(F.count("*").alias("n"), *[v.alias(k) for k, v in wanted.items()]).first()
+    return r["n"], np.array([[r[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(names))] for i in range(len(names))])
+
+
+def _regressed(n: int, m: np.ndarray) -> tuple[float, float] | None:
+    """(sum of squared residuals, t value of the second column's coefficient) of the first column on the others and a constant."""
+    k = len(m) - 1
+    x, xy = m[1:, 1:], m[1:, 0]
+    if n <= k + 1 or np.linalg.matrix_rank(x) < k:
+        return None
+    inverse = np.linalg.inv(x)
+    b = inverse @ xy
+    left = max(0.0, m[0, 0] - b @ xy) * n
+    error = math.sqrt(left / (n - k - 1) * inverse[0, 0] / n)
+    return float(left), float(b[0] / error) if error else -math.inf
+
+
+def dickey_fuller(df: DataFrame, column: str, order_by, lags: int | None = 0, most: int | None = None) -> dict[str, float | None]:
+    """The Dickey-Fuller test with a constant: the t value of y[t-1] in dy = a + b y[t-1] + differences before, from one pass of sums.
+
+    lags: how many differences before are taken; None chooses the number up to `most` (by default 12 (n / 100) ** 0.25) that has the
+    least AIC over the rows that all numbers of lags have. Rows without a value are left out; too few rows, or a constant series,
+    give nulls.
+    """
+    y, rows = numeric(df, column), df.where(numeric(df, column).isNotNull())
+    if lags is None:
+        n = rows.count()
+        top = min(math.ceil(12 * (n / 100) ** 0.25) if most is None else most, max(0, n // 2 - 2))
+    else:
+        top = lags
+    w = spec(order_by)
+    whole = rows.select(*[F.col(c) for c in ([order_by] if isinstance(order_by, str) else order_by)], F.lag(y).over(w).alias("x"), (y - F.lag(y).over(w)).alias("d0"))
+    told = whole.select("x", "d0", *[F.lag("d0", i).over(w).alias(f"d{i}") for i in range(1, top + 1)])
+    names = ["d0", "x", *(f"d{i}" for i in range(1, top + 1))]
+    n, m = _moments(told.where(F.col(names[-1] if top else "x").isNotNull()), names)
+    best = top
+    if lags is None and n > 3:
+        scores = {}
+        for k in range(top + 1):
+            got = _regressed(n, m[: k + 2, : k + 2])
+            if got and got[0] > 0:
+                scores[k] = n * math.log(got[0] / n) + 2 * (k + 2)
+        best = min(scores, key=lambda k: (scores[k], k), default=top)
+        if best < top:  # on all rows that it has
+            n, m = _moments(told.where(F.col(f"d{best}" if best else "x").isNotNull()), names[: best + 2])
+    found = _regressed(n, m[: best + 2, : best + 2]) if n >= 4 else None
+    if found is None:
+        return {"statistic": None, "stationary": None, "lags": best, "p_value": None}
+    return {"statistic": found[1], "stationary": found[1] < -2.86, "lags": best, "p_value": unit_root_p(found[1])}  # the 5% point with a constant

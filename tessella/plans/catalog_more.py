@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import registry
-from tessella.operators import balance, charts, clean, embed, evaluate
+from tessella.operators import balance, charts, clean, embed, evaluate, series, texts
 from tessella.plans import preprocessor, search, validate
 from tessella.plans.catalog import ORACLES, QUERIES, query, read, real, source, source_sql, whole
 from tessella.plans.catalog_tables import _OPS, _POINTS, _folder, _toxic, rows
@@ -270,6 +270,59 @@ def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.embed(df, ["c_acctbal", "orders", "spent"], rounds=5).select("c_custkey", real("U1").alias("u"), real("U2").alias("v"))
 
 
+# Entities, series and pictures
+
+
+@query(
+    "preprocess_entity",
+    f"select o_orderkey, {', '.join(f'round({f}(o_totalprice) over (partition by o_custkey)::double, 6) + 0.0 as {n}' for f, n in (('avg', 'mean'), ('min', 'low'), ('max', 'high'), ('count', 'n')))}, round(coalesce(stddev_samp(o_totalprice) over (partition by o_custkey), avg(o_totalprice) over ()), 6) + 0.0 as std, round(o_totalprice - avg(o_totalprice) over (partition by o_custkey), 6) + 0.0 as far from orders",
+)
+def preprocess_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates of a row's entity as features that are learned in fitting."""
+    df = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("who"), "o_totalprice")
+    model = preprocessor.fit(df, {"entity": "who", "scale": "none", "correlation": None, "encode": "ordinal", "max_categories": 1}, key=["o_orderkey"])
+    done = model.transform(df, keep=("o_orderkey",))
+    named = {"mean": "by_who_mean", "low": "by_who_min", "high": "by_who_max", "n": "by_who_count", "std": "by_who_std", "far": "diff_from_mean"}
+    return done.select("o_orderkey", *[real(F.col(f"num__o_totalprice_{c}")).alias(n) for n, c in named.items()])
+
+
+#: dy on y[t-1] and one difference before, by the closed form of two regressors.
+_ROOT = """
+with s as (select value as y, lag(value) over w as x, ts, event_id from events window w as (order by ts, event_id)), d as (select x, y - x as d0, lag(y - x) over (order by ts, event_id) as d1 from s),
+m as (select count(*) as n, var_pop(x) as xx, var_pop(d1) as dd, covar_pop(x, d1) as xd, covar_pop(x, d0) as xy, covar_pop(d1, d0) as dy, var_pop(d0) as yy from d where d1 is not null),
+b as (select *, xx * dd - xd * xd as det, (xy * dd - dy * xd) / (xx * dd - xd * xd) as b, (dy * xx - xy * xd) / (xx * dd - xd * xd) as g from m)
+select round(b / sqrt((yy - b * xy - g * dy) * n / (n - 3) * (dd / det) / n), 6) + 0.0 as statistic, 1::bigint as lags from b
+"""
+
+
+@query("unit_root", _ROOT)
+def unit_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Dickey-Fuller statistic with one lag."""
+    t = series.dickey_fuller(read(spark, sf_dir, "events").select("ts", "event_id", "value"), "value", ["ts", "event_id"], 1)
+    return rows(spark, [(t["statistic"], t["lags"])], "statistic double, lags bigint")
+
+
+def _picture(name: str, x: str) -> str:
+    """Density, mean and deviation of the price by thirtieths of a column, each brought to 0 to 1."""
+    return f"""select '{name}' as feature, line, bin::int as bin, round(coalesce(case line when 0 then n / top when 1 then case when mh > ml then (m - ml) / (mh - ml) else 0.5 + 0 * m end else case when sh > sl then (s - sl) / (sh - sl) else 0.5 + 0 * s end end, 0)::double, 6) + 0.0 as value
+from (select * from (select unnest(range(0, 30)) as bin), (select unnest([0, 1, 2])::int as line)) g left join (
+  select *, max(n) over () as top, min(m) over () as ml, max(m) over () as mh, min(s) over () as sl, max(s) over () as sh from (
+    select least(floor((x - lo) / case when hi > lo then (hi - lo) / 30 else 1 end), 29)::int as b, count(*) as n, avg(l_extendedprice) as m, stddev_samp(l_extendedprice) as s
+    from (select ({x})::double as x, min(({x})::double) over () as lo, max(({x})::double) over () as hi, l_extendedprice from lineitem) group by 1)) p on p.b = g.bin"""
+
+
+ORACLES["feature_image"] = " union all ".join([_picture("l_quantity", "l_quantity"), _picture("l_shipdate", "epoch_us(l_shipdate)"), _picture("l_returnflag", f"{_spread('l_returnflag')} % 30")])
+
+#: The five most frequent words and pairs of neighbouring words, without stop words.
+_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in texts.STOP_WORDS) + "]"
+ORACLES["tfidf_bigrams"] = (
+    r"with a as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_\p{M}]{2,}'), lambda w: not list_contains(" + _STOP + ", w)) as ws from documents),"
+    " t as (select doc_id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])) as w from a), c as (select doc_id, w, count(*) as n from t group by 1, 2),"
+    " v as (select w, d, row_number() over (order by w) - 1 as i from (select w, sum(n) as n, count(*) as d from c group by w order by sum(n) desc, w limit 5)),"
+    " f as (select doc_id, i, c.n * (ln((1 + (select count(*) from documents)) / (1 + d)) + 1) as x from c join v using (w)), s as (select doc_id, sqrt(sum(x * x)) as l from f group by 1)"
+    " select doc_id, " + ", ".join(f"round(coalesce(max(x / l) filter (i = {i}), 0)::double, 6) + 0.0 as term_{i}" for i in range(5)) + " from documents left join f using (doc_id) left join s using (doc_id) group by doc_id"
+)
+
 # Charts
 
 _GRID = ["l_quantity", "l_discount", "l_extendedprice"]

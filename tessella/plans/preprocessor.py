@@ -9,9 +9,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import balance, clean, groups, learn
+from tessella.operators import balance, clean, learn
 from tessella.operators.clean import Bounds, Imputer
+from tessella.plans.saved import Chain
 from tessella.registry import OperatorError, corr, numeric, stats
+from tessella.sources.store import Store
 
 #: Settings and their defaults.
 DEFAULTS: dict[str, Any] = {
@@ -53,6 +55,8 @@ class PreprocessorModel:
     target_means: dict[str, dict[str, float]] = field(default_factory=dict)
     #: The names of columns that fitting makes (date parts, target means), where they are not those of the rule.
     renamed: dict[str, str] = field(default_factory=dict)
+    #: What was learned of each entity: its column, the numbers, and the folder of the fitted operators.
+    entity: dict[str, Any] | None = None
 
     def _base(self, df: DataFrame, drop_rows: bool) -> DataFrame:
         for c in self.inputs:
@@ -85,7 +89,19 @@ class PreprocessorModel:
             df = clean.KnnFill(**self.knn).transform(df)
         if self.regression:
             df = clean.RegressionFill(**self.regression).transform(df)
-        return Imputer(self.fills).transform(df)
+        return self._of_entities(Imputer(self.fills).transform(df))
+
+    def _of_entities(self, df: DataFrame) -> DataFrame:
+        """Aggregates of the row's entity as fitting has seen it, and how far the row is from its mean. An entity that is new, or
+        missing, has those of all rows."""
+        if not self.entity:
+            return df
+        by = self.entity["by"]
+        if by not in df.columns:
+            df = df.withColumn(by, F.lit(None).cast("string"))
+        df = Chain.load(df.sparkSession, self.entity["path"]).transform(df)
+        far = [(numeric(df, c) - F.col(f"`{c}_by_{by}_mean`")).alias(f"{c}_diff_from_mean") for c in self.entity["columns"]]
+        return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in {f"{n}_diff_from_mean" for n in self.entity["columns"]}], *far)
 
     def _values(self, df: DataFrame) -> dict[str, Column]:
         """Each numeric feature as an expression, generated ones with fitted statistics."""
@@ -136,11 +152,14 @@ class PreprocessorModel:
         return out
 
     def save(self, path: str) -> None:
-        """Write JSON on the driver. Rows that knn fills take values from go to a table at path.rows, which executors must be able to
-        read."""
+        """Write JSON on the driver. Rows that knn fills take values from go to a table at path.rows, and aggregates of entities to
+        path.entities, where executors must be able to read them."""
         state = asdict(self)
         if self.knn:
             state["knn"] = asdict(clean.KnnFill(**self.knn).save(SparkSession.active(), f"{path}.rows"))
+        if self.entity:
+            Chain.load(SparkSession.active(), self.entity["path"]).save(SparkSession.active(), f"{path}.entities")
+            state["entity"] = self.entity | {"path": f"{path}.entities"}
         with open(path, "w", encoding="utf-8") as f:
             json.dump(state, f, default=str)
 
@@ -180,6 +199,10 @@ def fit(df: DataFrame, config: dict[str, Any] | str | None = None, target: str |
     imputer = clean.fit_imputer(df, strategy, config["categorical_missing"], [*features, *nums])
     model.fills = imputer.fills
     df = imputer.transform(df)
+    if config["entity"]:
+        _learn_entities(model, df, config["entity"], [c for c in nums if c != config["entity"]][:5])
+        df = model._of_entities(df)
+        nums = clean.numeric_columns(df, skip)
     if config["outliers"] == "isolation_forest":
         forest = clean.Isolation.fit(df, nums)
         if forest:
@@ -208,6 +231,16 @@ def fit(df: DataFrame, config: dict[str, Any] | str | None = None, target: str |
     return model
 
 
+def _learn_entities(model: PreprocessorModel, df: DataFrame, by: str, columns: list[str]) -> None:
+    """Aggregates of up to five numbers by entity, in one pass; they stand in a table."""
+    if by not in df.columns:
+        raise OperatorError(f"no column {by!r}")
+    store = Store.kept(df.sparkSession)
+    steps = [(f"group_{a}", [c, by], f"{c}_by_{by}_{a}", {}) for c in columns for a in ("mean", "std", "min", "max", "count")]
+    Chain.fit(df, steps).save(df.sparkSession, f"{store.root}/entities")
+    model.entity = {"by": by, "columns": columns, "path": f"{store.root}/entities"}
+
+
 def _date_parts(df: DataFrame, column: str) -> dict[str, Column]:
     """Year, month, day, weekday from Monday as 0, weekend and hour (-1 for dates without a time)."""
     t = F.col(f"`{column}`")
@@ -305,6 +338,4 @@ def fit_transform(df: DataFrame, config: dict[str, Any] | str | None = None, tar
     if model.config["balance"] and target:
         columns = [c for c in out.columns if c != target and c not in (key or ())]
         out = balance.balance(out, target, columns, key or columns, model.config["balance"])
-    if model.config["entity"]:
-        out = groups.entity_aggregates(out, model.config["entity"], [c for c in out.columns if c.startswith("num__")][:5])
     return model, out

@@ -338,3 +338,40 @@ def test_kendall_over_all_rows(spark):
     df = spark.createDataFrame(pd.DataFrame({"a": x, "b": y}))
     assert evaluate.kendall(df, "a", "b") == pytest.approx(s / math.sqrt(n_a * n_b), abs=1e-12)
     assert evaluate.kendall(df.where("a = 100"), "a", "a") is None and evaluate.kendall(df.limit(1), "a", "b") is None
+
+
+def test_augmented_dickey_fuller(spark):
+    """Statistic, chosen lags and p value against least squares on whole matrices."""
+    import random
+
+    import numpy as np
+
+    from tessella.operators import series
+
+    rng = random.Random(6)
+    walks = {"walk": [0.0], "mean": [0.0, 0.0]}
+    for _ in range(260):
+        walks["walk"].append(walks["walk"][-1] + rng.gauss(0, 1))
+        walks["mean"].append(0.5 * walks["mean"][-1] - 0.4 * walks["mean"][-2] + rng.gauss(0, 1))
+    for name, y in walks.items():
+        y = np.array(y)
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)] + [(9999, None)], "i int, y double")
+
+        def fit(k, start):
+            d = np.diff(y)
+            rows = np.arange(start, len(d))
+            x = np.column_stack([np.ones(len(rows)), y[rows], *[d[rows - j] for j in range(1, k + 1)]])
+            b, *_ = np.linalg.lstsq(x, d[rows], rcond=None)
+            left = ((d[rows] - x @ b) ** 2).sum()
+            error = np.sqrt(left / (len(rows) - k - 2) * np.linalg.inv(x.T @ x)[1, 1])
+            return b[1] / error, len(rows) * np.log(left / len(rows)) + 2 * (k + 2)
+
+        for k in (0, 1, 3):
+            assert series.dickey_fuller(df, "y", ["i"], k)["statistic"] == pytest.approx(fit(k, k)[0], rel=1e-6)
+        got = series.dickey_fuller(df, "y", ["i"], None, 6)
+        best = min(range(7), key=lambda k: fit(k, 6)[1])
+        assert got["lags"] == best and got["statistic"] == pytest.approx(fit(best, best)[0], rel=1e-6)
+        assert got["stationary"] == (name == "mean") == (got["p_value"] < 0.05)
+    assert series.unit_root_p(-2.86) == pytest.approx(0.05, abs=0.002) and series.unit_root_p(-3.43) == pytest.approx(0.01, abs=0.001)
+    flat = spark.range(20).select("id", F.lit(1.0).alias("y"))
+    assert series.dickey_fuller(flat, "y", "id", None)["statistic"] is None and series.dickey_fuller(flat.limit(0), "y", "id")["p_value"] is None

@@ -213,3 +213,17 @@ def test_neighbours_far_from_their_cell(spark, monkeypatch):
         d = ((x - [r.x0, r.x1]) ** 2).sum(axis=1)
         for name, k, n in (("near_p", 0, 4), ("near_q", 1, 3)):
             assert np.allclose([s.d for s in r[name]], np.sort(d[kind == k])[:n])
+
+
+def test_entities_are_learned_in_fitting(spark, tmp_path):
+    """Later rows get what fitting has seen of their entity; new and missing entities get all rows'."""
+    df = spark.createDataFrame([(i, f"e{i % 4}", float(i), None if i % 7 == 0 else float(i * i)) for i in range(40)], "id int, who string, x double, z double")
+    model = preprocessor.fit(df, {"entity": "who", "scale": "none", "correlation": None, "encode": "ordinal"}, key=["id"])
+    model.save(str(tmp_path / "m.json"))
+    later = spark.createDataFrame([(100, "e1", 7.0, 2.0), (101, "new", 7.0, None), (102, None, 7.0, 3.0)], "id int, who string, x double, z double")
+    e1, every = [float(i) for i in range(40) if i % 4 == 1], [float(i) for i in range(40)]
+    for m in (model, PreprocessorModel.load(str(tmp_path / "m.json"))):
+        got = {r.id: r for r in m.transform(later, keep=("id",)).collect()}
+        assert (got[100]["num__x_by_who_mean"], got[100]["num__x_by_who_max"], got[100]["num__x_by_who_count"]) == (np.mean(e1), 37.0, 10.0)
+        assert got[100]["num__x_by_who_std"] == pytest.approx(np.std(e1, ddof=1)) and got[100]["num__x_diff_from_mean"] == 7.0 - np.mean(e1)
+        assert got[101]["num__x_by_who_mean"] == np.mean(every) and got[101]["num__x_diff_from_mean"] == 7.0 - np.mean(every)
