@@ -82,6 +82,51 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, min(found) as component_id,
 from documents left join n using (doc_id) join reach on node = doc_id group by doc_id, n
 """
 
+def _edit(state: str, letter: str, cost: str, turn: str | None, when: str = "true") -> str:
+    """An edit before what follows in a state; null where it is not allowed."""
+    text = f"list_prepend({turn}, {state}.t)" if turn else f"{state}.t"
+    return f"case when {when} then {{'c': {state}.c + {cost}, 'a': '{letter}' || {state}.a, 't': {text}}} end"
+
+
+def _repair() -> str:
+    """Damage by CRC-32, bit by bit; then the cheapest edits of each conversation from its last turn to its first: e, s, u and a
+    are the best ways to finish where nothing, a system, a user or an assistant turn stands before."""
+    keep, plain = "role || ':' || text", "fault not in (1, 2)"
+    more = "(case fault when 3 then 3 else 0 end)"
+
+    def turn(state: str, kept: dict[str, str], again: str) -> str:
+        role = {"u": "user", "a": "assistant"}[again]
+        found = [_edit(state, "D", "4", None), *(_edit(to, "K", more, keep, f"{plain} and initial = '{i}'") for i, to in kept.items()), _edit(again, "R", f"3 + {more}", f"'{role}:' || text", plain)]
+        return f"list_min([x for x in [{', '.join(found)}] if x is not null]) as w{state}"
+
+    def put(*states: str) -> str:
+        """Inserted turns that lead through the states, the last one's best way after them."""
+        role = {"u": "'user:'", "a": "'assistant:'"}
+        texts = f"list_concat([{', '.join(role[x] for x in states)}], w{states[-1]}.t)"
+        return f"{{'c': w{states[-1]}.c + {3 * len(states)}, 'a': '{'I' * len(states)}' || w{states[-1]}.a, 't': {texts}}}"
+
+    before = {"e": [put("u"), put("u", "a")], "s": [put("u"), put("u", "a")], "u": [put("a")], "a": [put("u")]}
+    closed = ", ".join(f"list_min([w{x}, {', '.join(p)}]) as {x}" for x, p in before.items())
+    turns = ", ".join([turn("e", {"s": "s", "u": "u"}, "u"), turn("s", {"u": "u"}, "u"), turn("u", {"a": "a"}, "a"), turn("a", {"u": "u"}, "u")])
+    return rf"""
+with recursive raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+h as (select *, xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten([[ord(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(k, '')])),
+  lambda c, o: case when o >= 0 then xor(c, o) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) % 20 as d from raw),
+damaged as (select conv_id, turn, case when d = 4 then 'user' else role end as role, case d when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when d = 3 then [1, 2] else [1] end) as copy from h where d <> 0),
+placed as (select *, left(role, 1) as initial, regexp_replace(text, '[ 	
+]+$', '') as told, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from damaged),
+f as (select *, lag(initial) over (partition by conv_id order by i) || initial as pair, case when told = '' then 1 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2 when right(told, 1) not in ('.', '!', '?') then 3 else 0 end as fault from placed),
+walk as (
+  select conv_id, max(i) + 1 as i, {{'c': 0::bigint, 'a': '', 't': []::varchar[]}} as e, {{'c': 6::bigint, 'a': 'II', 't': ['user:', 'assistant:']}} as s, {{'c': 3::bigint, 'a': 'I', 't': ['assistant:']}} as u, {{'c': 0::bigint, 'a': '', 't': []::varchar[]}} as a from f group by conv_id
+  union all
+  select conv_id, i, {closed} from (select f.conv_id, f.i, {turns} from walk join f on f.conv_id is not distinct from walk.conv_id and f.i = walk.i - 1)),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+  count(*) filter (i > 1 and pair not in ('su', 'ua', 'au')) as illegal from f group by conv_id)
+select r.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(e.c, 0)::bigint as cost, coalesce(e.a, '') as audit, sha256(coalesce(array_to_string(e.t, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) r left join counts c on c.conv_id is not distinct from r.conv_id left join walk w on w.conv_id is not distinct from r.conv_id and w.i = 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRING, "op6_warc": WARC, "op7_decontaminate": DECONTAMINATE, "op9_line_dedup": LINES, "op11_minhash": NEAR, "op13_fill_middle": FILL_MIDDLE}
+    return {"op2_substring_dedup": SUBSTRING, "op6_warc": WARC, "op7_decontaminate": DECONTAMINATE, "op9_line_dedup": LINES, "op11_minhash": NEAR, "op12_conversations": _repair(), "op13_fill_middle": FILL_MIDDLE}
