@@ -168,19 +168,19 @@ def allotment(sizes: list[dict], need: int, total: int, columns: int, k: int = 2
         if s["own"] / s["rows"] >= need / total / 2 and s["own"] > k:
             sparse[s["i"]] = float(np.sqrt(2 * s["spread"] * s["own"] / (s["own"] - 1)) ** power / s["own"])
     whole = sum(sparse.values())
-    if not sparse:
-        raise OperatorError("no cluster has enough rows of the class")
     return {i: v / whole if whole else 1 / len(sparse) for i, v in sparse.items()}
 
 
 def _cluster_bases(points: DataFrame, xs: list[str], need: int, k: int, groups: int) -> DataFrame:
     """(xs, own, near, w, step): rows of the class in clusters that it has a share of; neighbours are of the same cluster. A cluster's
-    weight is that of allotment(), shared evenly by its rows."""
+    weight is that of allotment(), shared evenly by its rows. Where no cluster has enough rows of the class, the table is one."""
     every = F.col("own") + F.col("oth")
     placed = points.withColumn("i", clusters(points, xs, every, groups)).persist(StorageLevel.MEMORY_AND_DISK)
     spread = sum(F.sum(F.col("own") * F.col(x) * F.col(x)) / F.sum("own") - F.pow(F.sum(F.col("own") * F.col(x)) / F.sum("own"), 2) for x in xs)
     sizes = placed.groupBy("i").agg(F.sum(every).alias("rows"), F.sum("own").alias("own"), F.greatest(F.lit(0.0), F.when(F.sum("own") > 0, spread)).alias("spread")).collect()
     share = allotment([r.asDict() for r in sizes], need, sum(r["rows"] for r in sizes), len(xs), k)
+    if not share:
+        return nearest(points, len(xs), {"own": k + 1}, F.col("own") > 0).select(*xs, "own", F.lit(1.0).alias("w"), F.col("near_own").alias("near"), F.lit(1.0).alias("step"))
     own = {r["i"]: r["own"] for r in sizes}
     row = stats(placed, **{f"{n}{x}": f(x) for x in xs for n, f in (("lo", F.min), ("hi", F.max))})
     apart = 4 * (1 + sum((row[f"hi{x}"] - row[f"lo{x}"]) for x in xs))  # farther than any two rows

@@ -228,7 +228,7 @@ def many_mutual_information(df: DataFrame, columns: list[str], target: str, bins
         return {}
     every = [*columns, target]
     nums = set(clean.numeric_columns(df))
-    sizes = stats(df, **{f"d{i}": F.approx_count_distinct(F.col(f"`{c}`")) for i, c in enumerate(every) if c in nums})
+    sizes = stats(df, **{f"d{i}": F.approx_count_distinct(F.col(f"`{c}`")) for i, c in enumerate(every) if c in nums}) if nums & set(every) else {}
     cut = [i for i, c in enumerate(every) if c in nums and sizes[f"d{i}"] > bins]
     values = {i: F.col(f"`{c}`").cast("string") for i, c in enumerate(every)}
     for i, got in zip(cut, order.many_quantiles(df, [numeric(df, every[i]) for i in cut], [j / bins for j in range(1, bins)]), strict=True):

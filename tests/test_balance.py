@@ -139,8 +139,10 @@ def test_clusters_and_their_allotment(spark, table, frame):
         assert homes
         made_in[min(homes)] += 1
     assert all(abs(made_in[i] - want[i] * need) <= 3 for i in want)
-    with pytest.raises(OperatorError):
-        balance.allotment([{"i": 0, "rows": 10, "own": 1, "spread": 1.0}], 5, 10, 2)
+    assert balance.allotment([{"i": 0, "rows": 10, "own": 1, "spread": 1.0}], 5, 10, 2) == {}
+    thin = table.where("y = 0 or id % 9 = 0")  # the class has a share of no cluster
+    got = balance.smote(thin, "y", COLUMNS, "kmeans", groups=2)
+    assert got.where("y = 1").count() == 160
 
 
 def test_random_methods_row_by_row(table, frame):
