@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.operators import clean, evaluate, learn, profile
 from tessella.plans import preprocessor, saved, search
 from tessella.registry import OperatorError
+from tessella.sources.store import Store
 
 #: Weights of the overall score.
 WEIGHTS = {"accuracy": 0.25, "f1": 0.25, "balanced": 0.2, "entropy": 0.1, "completeness": 0.1, "independence": 0.1}
@@ -229,7 +230,7 @@ class FeatureEngine:
     def _chained(self, df: DataFrame) -> saved.Chain:
         """The operators of all features that were found, fitted."""
         nodes = {n.name: n for f in self.found for n in self.tree.lineage(f["feature"])}  # type: ignore[union-attr]
-        return saved.Chain.fit(df, [(n.op, [n.parent], n.name, n.params) for n in nodes.values()])
+        return saved.Chain.fit(df, [(n.op, [n.parent], n.name, n.params) for n in nodes.values()], Store.kept(df.sparkSession).table)
 
     def feature_importance(self) -> list[tuple[str, float]]:
         return sorted(((f["feature"], f["importance"]) for f in self.found), key=lambda x: (-x[1], x[0]))

@@ -99,5 +99,5 @@ def test_engine_saves_what_it_found(spark, tmp_path):
     assert cli.main(["--data", data, "--apply", path, "--output", again], spark) == 0
     first, second = spark.read.parquet(out), spark.read.parquet(again)
     made = [c for c in first.columns if c not in ("id", "x", "z", "y")]
-    assert "log(x)" in made and set(made) <= set(second.columns)
-    assert rows(first.select("id", "`log(x)`")) == rows(second.select("id", "`log(x)`"))
+    assert made and set(made) <= set(second.columns)
+    assert rows(first.select("id", *[f"`{c}`" for c in made])) == rows(second.select("id", *[f"`{c}`" for c in made]))
