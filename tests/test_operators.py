@@ -225,7 +225,7 @@ def test_sources(spark, tmp_path):
         io.save(df, str(tmp_path / f"t.{kind}"))
         assert io.load(spark, str(tmp_path / f"t.{kind}")).where("x is null").count() == 1
     with pytest.raises(ValueError):
-        io.load(spark, "t.xlsx")
+        io.load(spark, "t.xls")
 
 
 def test_stream_equals_table(spark, tmp_path):
