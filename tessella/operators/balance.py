@@ -128,7 +128,7 @@ def support(points: DataFrame, xs: list[str]) -> Column:
 
     both = F.array(F.struct(F.lit(1.0).alias("y"), F.col("own").alias("n")), F.struct(F.lit(0.0).alias("y"), F.col("oth").alias("n")))
     rows = points.select(*xs, F.explode(both).alias("s")).where("s.n > 0").select(*xs, F.col("s.y").alias("y"), F.col("s.n").cast("double").alias("n"))
-    fitted = LinearSVC(featuresCol="f", labelCol="y", weightCol="n", maxIter=100, regParam=1e-3, tol=1e-9).fit(VectorAssembler(inputCols=xs, outputCol="f").transform(rows))
+    fitted = LinearSVC(featuresCol="f", labelCol="y", weightCol="n", maxIter=100, regParam=1e-3, tol=1e-6).fit(VectorAssembler(inputCols=xs, outputCol="f").transform(rows))
     margin = F.lit(float(fitted.intercept))
     for x, w in zip(xs, fitted.coefficients.toArray(), strict=True):
         margin = margin + F.col(x) * F.lit(float(w))
