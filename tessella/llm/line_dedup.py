@@ -128,7 +128,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int
         found = scratch.keep(_found(scratch, df, key, text, min_lines, passage_words), "found")
     # The lines are split below the join, once for each row; above it they are a column like any other.
     split = df.select(*[c for c in inner if c != text], F.when(F.col(text).isNotNull(), _lines(F.col(text))).alias("lines"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own"))
-    joined = split.join(found, F.col(key).eqNullSafe(F.col("k")) & (F.col("own") == F.col("h")), "left")
+    # What was found has no size bound, so it is never broadcast: the join is the same at every size.
+    joined = split.join(found.hint("merge"), F.col(key).eqNullSafe(F.col("k")) & (F.col("own") == F.col("h")), "left")
     rest = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.array_join(F.transform(rest, lambda i: F.element_at(F.col("lines"), i + 1)), "\n")
     whole = F.array_join("lines", "\n")
