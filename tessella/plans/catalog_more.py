@@ -56,9 +56,9 @@ def saved_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("read_xlsx", f"select o_orderkey, priority_n, case when o_orderkey % 5 = 0 then null else round(o_totalprice, 6) + 0.0 end as price, o_orderstatus = 'F' as filled, epoch_us(o_orderdate)::bigint as day from {ORDERS}")
 def read_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders written to a sheet and read again: numbers, texts, booleans, times and missing values."""
+    """Orders written to sheets and read again: numbers, texts, booleans, times and missing values."""
     path = f"{_folder(spark)}/orders.xlsx"
-    io.save(source(spark, sf_dir, "orders").selectExpr("o_orderkey", "priority_n", "if(o_orderkey % 5 = 0, double('NaN'), o_totalprice) as price", "o_orderstatus = 'F' as filled", "o_orderdate as day"), path)
+    io.save(source(spark, sf_dir, "orders").selectExpr("o_orderkey", "priority_n", "if(o_orderkey % 5 = 0, double('NaN'), o_totalprice) as price", "o_orderstatus = 'F' as filled", "o_orderdate as day"), path, folder=True)
     done = io.load(spark, path)
     return done.select(whole("o_orderkey").alias("o_orderkey"), "priority_n", real("price").alias("price"), "filled", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', day)").alias("day"))
 

@@ -54,11 +54,15 @@ def load_jdbc(spark: SparkSession, url: str, table: str, partition_column: str |
     return nan_to_null(reader.load())
 
 
-def save(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write CSV (with header), Parquet, JSON lines, ORC or a spreadsheet of one sheet by the path's ending."""
+def save(df: DataFrame, path: str, mode: str = "errorifexists", folder: bool = False) -> None:
+    """Write CSV (with header), Parquet, JSON lines, ORC or a spreadsheet of one sheet by the path's ending. With folder a spreadsheet is
+    a folder of files, so that it can have any number of rows."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
     if kind == "xlsx":
-        sheets.write({"Sheet1": nan_to_null(df)}, path)
+        if folder:
+            sheets.write_folder(nan_to_null(df), path)
+        else:
+            sheets.write({"Sheet1": nan_to_null(df)}, path)
         return
     writer = nan_to_null(df).write.mode(mode)
     if kind == "csv":

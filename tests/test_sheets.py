@@ -64,3 +64,20 @@ def test_what_does_not_fit(spark, tmp_path, monkeypatch):
     assert io.load(spark, str(tmp_path / "x.xlsx")).count() == 9
     with pytest.raises(ValueError, match="old binary"):
         io.load(spark, "x.xls")
+
+
+def test_a_table_of_more_rows_than_a_sheet_is_a_folder_of_books(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sheets, "MOST_ROWS", 10)
+    df = spark.range(95).repartition(3).selectExpr("id", "if(id % 7 = 0, double('NaN'), id / 4) as x", "if(id % 5 = 0, null, concat('é ', id)) as s", "id % 2 = 0 as b", "timestamp_ntz'2024-02-29 13:45:30' as t")
+    path = str(tmp_path / "many.xlsx")
+    io.save(df, path, folder=True)
+    names = sorted(p.name for p in (tmp_path / "many.xlsx").glob("[!.]*"))
+    assert len(names) == 12 and all(n.endswith(".xlsx") for n in names)
+    assert all(sum(1 for _ in sheets.Workbook((tmp_path / "many.xlsx" / n).read_bytes()).rows()) <= 10 for n in names)
+    got = io.load(spark, path)
+    assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "double", "string", "boolean", "timestamp_ntz"]
+    assert sorted(map(tuple, got.collect())) == [(i, None if i % 7 == 0 else i / 4, None if i % 5 == 0 else f"é {i}", i % 2 == 0, DAY) for i in range(95)]
+    with pytest.raises(FileExistsError):
+        io.save(df, path, folder=True)
+    io.save(df.where("id < 0"), str(tmp_path / "none.xlsx"), folder=True)
+    assert io.load(spark, str(tmp_path / "none.xlsx")).columns == df.columns
