@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,14 +147,27 @@ def _box(x: Column, lam: float) -> Column:
     return F.ln(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam)
 
 
-def _likelihood(df: DataFrame, x: Column, shape, slope: Column):
-    """Cost of many exponents in one pass: half n ln(variance) less (exponent - 1) times the sum of log slopes."""
+def _exponent(df: DataFrame, x: Column, shape, slope: Callable[[Column], Column]) -> float:
+    """The exponent of greatest likelihood, from -5 to 5. Values are counted once, and each round asks for many exponents in one pass over
+    the distinct values: half n ln(variance) less (exponent - 1) times the sum of log slopes."""
+    v, n = F.col("v"), F.col("n")
+    counts = df.select(x.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        whole = stats(counts, n=F.sum("n"), mid=F.sum(v * n) / F.sum("n"), s=F.sum(slope(v) * n))
 
-    def cost(points: list[float]) -> list[float]:
-        row = df.agg(F.count(x).alias("n"), F.sum(slope).alias("s"), *[F.var_pop(shape(x, p)).alias(f"v{i}") for i, p in enumerate(points)]).first()
-        return [row["n"] / 2 * math.log(row[f"v{i}"]) - (p - 1) * row["s"] if row[f"v{i}"] and row[f"v{i}"] > 1e-300 else math.inf for i, p in enumerate(points)]
+        def cost(points: list[float]) -> list[float]:
+            # Deviations from a middle value's image, so that the squares do not cancel.
+            far = [shape(v, p) - shape(_lit(whole["mid"]), p) for p in points]
+            row = stats(counts, **{f"s{i}": F.sum(d * n) for i, d in enumerate(far)}, **{f"q{i}": F.sum(d * d * n) for i, d in enumerate(far)})
+            out = []
+            for i, p in enumerate(points):
+                variance = row[f"q{i}"] / whole["n"] - (row[f"s{i}"] / whole["n"]) ** 2 if whole["n"] else 0.0
+                out.append(whole["n"] / 2 * math.log(variance) - (p - 1) * whole["s"] if variance > 1e-300 else math.inf)
+            return out
 
-    return cost
+        return _golden(cost, -5.0, 5.0)
+    finally:
+        counts.unpersist()
 
 
 @register("numeric")
@@ -165,12 +180,12 @@ def power_transform(df: DataFrame, column: str, out: str | None = None, method:
         low = stats(df, low=F.min(x))["low"]
         if low is None or low <= 0:
             raise OperatorError("box-cox needs positive values")
-        shape, slope = _box, F.ln(x)
+        shape, slope = _box, F.ln
     elif method == "yeo-johnson":
-        shape, slope = _power, F.signum(x) * F.log1p(F.abs(x))
+        shape, slope = _power, lambda v: F.signum(v) * F.log1p(F.abs(v))
     else:
         raise OperatorError(f"unknown method {method!r}")
-    lam = _golden(_likelihood(df, x, shape, slope), -5.0, 5.0)
+    lam = _exponent(df, x, shape, slope)
     s = stats(df, mean=F.avg(shape(x, lam)), std=F.stddev_pop(shape(x, lam)))
     return Fitted("power_transform", [column], out or f"power_transform({column})", state=s | {"lambda": lam, "median": median}, params={"method": method})
 
@@ -190,7 +205,7 @@ def boxcox(df: DataFrame, column: str, out: str | None = None) -> Fitted:
         raise OperatorError("boxcox needs two different values")
     shift = abs(s["low"]) + 1 if s["low"] <= 0 else 0.0
     x = x0 + F.lit(shift)
-    lam = _golden(_likelihood(df, x, _box, F.ln(x)), -5.0, 5.0)
+    lam = _exponent(df, x, _box, F.ln)
     return Fitted("boxcox", [column], out or f"boxcox({column})", state=s | {"lambda": lam, "shift": shift})
 
 
