@@ -376,18 +376,27 @@ class IsolationForest:
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
+        """Rows go down a tree a level at a time, in blocks that stay near the processor; a leaf leads to itself."""
+        trees = []
         for col, cut, left, right, depth in self.grown:
-            at = np.zeros(len(x), np.int64)
-            while True:
-                inner = col[at] >= 0
-                if not inner.any():
-                    break
-                i = np.flatnonzero(inner)
-                node = at[i]
-                at[i] = np.where(x[i, col[node]] < cut[node], left[node], right[node])
-            total += depth[at]
-        return 2 ** -(total / len(self.grown) / self.scale)
+            own, leaf = np.arange(len(col)), col < 0
+            below, levels = np.stack([np.where(leaf, own, left), np.where(leaf, own, right)], axis=1), 0
+            at = np.zeros(1, np.int64)
+            while not leaf[at].all():
+                at, levels = np.unique(below[at]), levels + 1
+            trees.append((np.where(leaf, 0, col).astype(np.int64), cut, below.ravel(), depth, levels))
+        out, step = np.empty(len(x)), 2048
+        for i in range(0, len(x), step):
+            part = np.ascontiguousarray(x[i : i + step].T)
+            n = part.shape[1]
+            flat, place, total = part.ravel(), np.arange(n), np.zeros(n)
+            for col, cut, below, depth, levels in trees:
+                at, first = np.zeros(n, np.int64), col * n
+                for _ in range(levels):
+                    at = below.take(2 * at + ~(flat.take(first.take(at) + place) < cut.take(at)))
+                total += depth.take(at)
+            out[i : i + step] = 2 ** -(total / len(trees) / self.scale)
+        return out
 
 
 @dataclass
@@ -401,9 +410,9 @@ class Isolation:
     cut: float
 
     @staticmethod
-    def fit(df: DataFrame, columns: list[str], contamination: float = 0.05, sample_rows: int = 20_000, seed: int = 42, key: list[str] | None = None) -> Isolation | None:
+    def fit(df: DataFrame, columns: list[str], contamination: float | None = 0.05, sample_rows: int = 20_000, seed: int = 42, key: list[str] | None = None) -> Isolation | None:
         """Each tree is grown on rows of a bounded sample, by a hash of the key (of the whole row, without one); the cut is the exact
-        quantile of the scores of all rows: the share `contamination` scores higher."""
+        quantile of the scores of all rows: the share `contamination` scores higher. Without contamination no cut is sought."""
         row = stats(df, **{f"m{i}": F.avg(numeric(df, c)) for i, c in enumerate(columns)})
         means = [row[f"m{i}"] or 0.0 for i in range(len(columns))]
         x = [F.coalesce(numeric(df, c), F.lit(a)).alias(f"x{i}") for i, (c, a) in enumerate(zip(columns, means, strict=True))]
@@ -413,6 +422,8 @@ class Isolation:
             return None
         forest = IsolationForest(seed=seed).fit(sample)
         found = Isolation(columns, means, [[a.tolist() for a in t] for t in forest.grown], float(forest.scale), 1.0)
+        if contamination is None:
+            return found
         found.cut = float(order.quantiles(df, found.scores(df), [1 - contamination])[0])  # type: ignore[arg-type]
         return found
 
@@ -436,7 +447,7 @@ class Isolation:
 
 def isolation_forest(df: DataFrame, columns: list[str], contamination: float = 0.05, sample_rows: int = 20_000, out: str | None = None, seed: int = 42, key: list[str] | None = None) -> DataFrame:
     """Drop the share `contamination` of the most isolated rows, or with out, add their score. Trees are grown on a bounded sample."""
-    found = Isolation.fit(df, columns, contamination, sample_rows, seed, key)
+    found = Isolation.fit(df, columns, None if out else contamination, sample_rows, seed, key)
     if out:
         return df.withColumn(out, found.scores(df) if found else F.lit(None).cast("double"))
     return found.transform(df) if found else df

@@ -407,3 +407,21 @@ def yeo(v, p):
     up = np.log1p(np.maximum(v, 0)) if abs(p) < 1e-12 else ((np.maximum(v, 0) + 1) ** p - 1) / p
     down = -np.log1p(np.maximum(-v, 0)) if abs(p - 2) < 1e-12 else -((np.maximum(-v, 0) + 1) ** (2 - p) - 1) / (2 - p)
     return np.where(v >= 0, up, down)
+
+
+def test_scores_of_a_forest_seek_no_cut_and_are_those_of_a_walk(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id", "sin(id) * (id % 7) as a", "id % 11 as b")
+    model = clean.Isolation.fit(df, ["a", "b"], key=["id"])
+    x = df.toPandas()[["a", "b"]].to_numpy(float)
+
+    def walk(row, tree):
+        col, cut, left, right, depth = tree
+        at = 0
+        while col[at] >= 0:
+            at = int(left[at] if row[int(col[at])] < cut[at] else right[at])
+        return depth[at]
+
+    monkeypatch.setattr(order, "quantiles", lambda *_: pytest.fail("a cut is sought"))
+    got = clean.isolation_forest(df, ["a", "b"], out="s", key=["id"]).toPandas()["s"].to_numpy()
+    want = [2 ** -(sum(walk(r, t) for t in model.trees) / len(model.trees) / model.usual) for r in x[:50]]
+    assert np.allclose(got[:50], want, rtol=1e-12)
