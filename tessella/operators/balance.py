@@ -11,6 +11,7 @@ from tessella.operators import order
 from tessella.operators.evaluate import class_balance
 from tessella.operators.near import nearest
 from tessella.registry import OperatorError, numeric, stats, uniform
+from tessella.sources.store import Store
 
 #: Groups that starting points of made rows are dealt to, and made rows of a point that are made together.
 BUCKETS = 256
@@ -34,15 +35,20 @@ def _first(df: DataFrame, target: str, by: Column, key: list[str], wanted: dict)
     so no class is sorted in one task; only rows that tie with a cut are numbered."""
     classes = [c for c, n in wanted.items() if n]
     is_class = {c: F.col(f"`{target}`") == F.lit(c) for c in classes}
-    cuts = {c: v[0] for c in classes if (v := order.order_statistics(df, F.when(is_class[c], by), lambda n, w=wanted[c]: [min(n, w) - 1] if n else []))}  # noqa: B023
+    told = order.many_order_statistics(df, [F.when(is_class[c], by) for c in classes], [lambda n, w=wanted[c]: [min(n, w) - 1] if n else [] for c in classes])
+    cuts = {c: v[0] for c, (_, v) in zip(classes, told, strict=True) if v}
     if not cuts:
         return df.where("false")
-    below = stats(df, **{f"n{i}": F.count_if(is_class[c] & (by < F.lit(v))) for i, (c, v) in enumerate(cuts.items())})
-    out = df.where(F.lit(False))
-    for i, (c, v) in enumerate(cuts.items()):
-        room = wanted[c] - below[f"n{i}"]
-        ties = df.where(is_class[c] & (by == F.lit(v))).orderBy(*key).limit(room)
-        out = out.unionByName(df.where(is_class[c] & (by < F.lit(v)))).unionByName(ties)
+    n = stats(df, **{f"below{i}": F.count_if(is_class[c] & (by < F.lit(v))) for i, (c, v) in enumerate(cuts.items())}, **{f"at{i}": F.count_if(is_class[c] & (by == F.lit(v))) for i, (c, v) in enumerate(cuts.items())})
+    room = {c: wanted[c] - n[f"below{i}"] for i, c in enumerate(cuts)}
+    # Where all that tie with a cut have room, they stay; else they are numbered.
+    whole = [c for i, c in enumerate(cuts) if n[f"at{i}"] <= room[c]]
+    stays = F.lit(False)
+    for c, v in cuts.items():
+        stays = stays | (is_class[c] & (by <= F.lit(v) if c in whole else by < F.lit(v)))
+    out = df.where(stays)
+    for c in cuts.keys() - set(whole):
+        out = out.unionByName(df.where(is_class[c] & (by == F.lit(cuts[c]))).orderBy(*key).limit(room[c]))
     return out
 
 
@@ -311,6 +317,8 @@ def self_paced_under(df: DataFrame, target: str, columns: list[str], key: list[s
     score is from its class; the next rows are drawn from bins of equal width, hard bins less often at first (alpha is small),
     evenly in the end. Rows of a bin are chosen by hash. Rows without a class go.
     """
+    # The table is worked out once, not in each of the rounds' jobs.
+    df = Store.kept(df.sparkSession).table(df, "rows")
     counts = class_balance(df, target)["counts"]
     if len(counts) != 2:
         raise OperatorError("self-paced under-sampling needs two classes")

@@ -204,3 +204,16 @@ def test_self_paced_under_by_bins(table, frame, monkeypatch):
     assert sorted(out[out.y == 0].id) == sorted(want)
     with pytest.raises(OperatorError):
         balance.self_paced_under(table.withColumn("y", F.col("id") % 3), "y", COLUMNS, ["id"])
+
+
+def test_self_paced_under_works_its_table_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.range(300).selectExpr("id", "sin(id) + if(id % 5 = 0, 1, 0) as a", "cos(id * 3) as b", "cast(id % 5 = 0 as int) as y").mapInPandas(tell, "id long, a double, b double, y int")
+    got = balance.self_paced_under(df, "y", COLUMNS, ["id"]).groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in got} == {0: 60, 1: 60} and seen.value == 300
