@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,10 @@ issues complaint fail failure wrong error
 """.split()
 
 
+#: Words that may tie with the last of the most frequent ones, before groups of all words are counted.
+FEW = 1000
+
+
 def text(df: DataFrame, column: str) -> Column:
     if isinstance(df.schema[column].dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
         raise OperatorError(f"{column!r} is not a text")
@@ -109,12 +114,26 @@ _op("readability_score", _readability)
 def vocabulary(df: DataFrame, column: str, most: int, stop: list[str] | None = None, ngrams: int = 1) -> tuple[list[tuple[str, int]], int]:
     """The `most` most frequent terms of two or more word characters (ties: lowest first), in alphabetical order, with the
     number of rows that have each; and the number of rows."""
-    terms = _terms(text(df, column), stop, ngrams)
-    per_row = df.select(F.monotonically_increasing_id().alias("r"), terms.alias("ts")).select("r", F.explode("ts").alias("t")).groupBy("r", "t").agg(F.count("*").alias("n"))
-    top = per_row.groupBy("t").agg(F.sum("n").alias("n"), F.count("*").alias("d")).orderBy(F.desc("n"), "t").limit(most).collect()
+    t = text(df, column)
+    top = _top(df, _terms(t, stop, 1), most + (FEW if ngrams > 1 else 0))
+    if ngrams > 1:
+        # No group of words is more frequent than its words: those below the last of the most frequent words are in none that counts.
+        least = top[most - 1].n if len(top) >= most > 0 else 0
+        only = [r.t for r in top if r.n >= least]
+        known = least > 0 and len(only) < most + FEW
+        words = _terms(t, stop, 1)
+        top = top + _top(df, _let(words, lambda ws: _ngrams(ws, ngrams, only if known else None, single=False)), most)
+    top = sorted(top, key=lambda r: (-r.n, r.t.encode()))[:most]
     return sorted((r.t, r.d) for r in top), df.count()
 
 
+def _top(df: DataFrame, terms: Column, most: int) -> list:
+    """(t, n, d): the most frequent terms, their number and the rows that have them. They are summed where they stand: a row's are not
+    shuffled by row, only each task's distinct ones by term."""
+    told = _let(terms, lambda ts: F.concat(F.transform(ts, lambda t: F.struct(t.alias("t"), F.lit(1).alias("n"), F.lit(0).alias("d"))), F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("t"), F.lit(0).alias("n"), F.lit(1).alias("d")))))
+    return df.select(F.inline(told)).groupBy("t").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).orderBy(F.desc("n"), "t").limit(most).collect()
+
+
 def _terms(t: Column, stop: list[str] | None, ngrams: int) -> Column:
     words = F.regexp_extract_all(F.lower(t), F.lit("(?U)\\b\\w\\w+\\b"), F.lit(0))
     if stop:
@@ -122,10 +141,13 @@ def _terms(t: Column, stop: list[str] | None, ngrams: int) -> Column:
     return words if ngrams == 1 else _let(words, lambda found: _ngrams(found, ngrams))
 
 
-def _ngrams(words: Column, most: int) -> Column:
-    out = words
+def _ngrams(words: Column, most: int, only: list[str] | None = None, single: bool = True) -> Column:
+    """The words and their neighbours joined, up to `most`; with `only`, groups of these words alone."""
+    out = words if single else F.array().cast("array<string>")
     for n in range(2, most + 1):
         places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        if only is not None:
+            places = F.filter(places, lambda i: reduce(Column.__and__, [F.get(words, i + (j - 1)).isin(only) for j in range(n)]))  # noqa: B023
         out = F.concat(out, _joined(words, places, n))
     return out
 

@@ -425,3 +425,28 @@ def test_scores_of_a_forest_seek_no_cut_and_are_those_of_a_walk(spark, monkeypat
     got = clean.isolation_forest(df, ["a", "b"], out="s", key=["id"]).toPandas()["s"].to_numpy()
     want = [2 ** -(sum(walk(r, t) for t in model.trees) / len(model.trees) / model.usual) for r in x[:50]]
     assert np.allclose(got[:50], want, rtol=1e-12)
+
+
+def test_terms_are_counted_without_a_shuffle_by_row(spark, monkeypatch):
+    monkeypatch.setattr(texts.F, "monotonically_increasing_id", lambda: pytest.fail("rows are numbered"))
+    df = spark.createDataFrame([("ab cd ab",), ("cd ab ef",), (None,), ("the ab cd",)], "t string")
+    assert texts.vocabulary(df, "t", 3, ["the"], 2) == ([("ab", 3), ("ab cd", 2), ("cd", 3)], 4)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_frequent_groups_are_found_among_frequent_words(spark, monkeypatch, few):
+    from collections import Counter
+
+    monkeypatch.setattr(texts, "FEW", few)
+    rng = np.random.default_rng(3)
+    rows = [" ".join(rng.choice(["aa", "bb", "cc", "dd ee", "ff", "gg hh ii"], int(n), p=[0.1, 0.1, 0.1, 0.4, 0.1, 0.2])) for n in rng.integers(0, 12, 60)]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    for most, n in ((1, 2), (4, 2), (9, 3), (500, 2)):
+        total, have = Counter(), Counter()
+        for r in rows:
+            w = r.split()
+            ts = [" ".join(w[i : i + k]) for k in range(1, n + 1) for i in range(len(w) - k + 1)]
+            total.update(ts)
+            have.update(set(ts))
+        top = sorted(total, key=lambda t: (-total[t], t))[:most]
+        assert texts.vocabulary(df, "t", most, None, n) == (sorted((t, have[t]) for t in top), 60)
