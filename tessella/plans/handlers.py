@@ -14,9 +14,17 @@ from tessella.operators.categorical import fold_rare
 from tessella.registry import OperatorError, numeric
 
 
+#: Categories that are sent to every task.
+FEW = 10_000
+
+
 def _encode(df: DataFrame, column: str) -> DataFrame:
     """The column's categories as numbers from 0 in sort order; null stays null."""
-    filled = registry.fit(df.where(F.col(f"`{column}`").isNotNull()), "label_encode", column, out="__code").transform(df)
+    fitted = registry.fit(df.where(F.col(f"`{column}`").isNotNull()), "label_encode", column, out="__code")
+    # A few categories go to the rows: rows that were shuffled by them would stand in as many tasks.
+    if fitted.lookup is not None and fitted.lookup.limit(FEW + 1).count() <= FEW:
+        fitted.lookup = F.broadcast(fitted.lookup)
+    filled = fitted.transform(df)
     return filled.select(*[F.when(F.col(f"`{c}`").isNotNull(), F.col("__code")).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
 
 

@@ -450,3 +450,15 @@ def test_frequent_groups_are_found_among_frequent_words(spark, monkeypatch, few)
             have.update(set(ts))
         top = sorted(total, key=lambda t: (-total[t], t))[:most]
         assert texts.vocabulary(df, "t", most, None, n) == (sorted((t, have[t]) for t in top), 60)
+
+
+def test_rows_are_not_shuffled_by_a_few_categories(spark):
+    df = spark.range(40).selectExpr("id", "concat('text ', id) as t", "if(id = 3, null, concat('l', id % 3)) as lang")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = handlers.prepare_text(df, "t")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {(r.id, r.lang) for r in got.collect()} == {(i, None if i == 3 else i % 3) for i in range(40)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
