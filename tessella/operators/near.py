@@ -39,6 +39,11 @@ def _splits(x: np.ndarray, cells: int) -> list:
     return grow(x, cells)
 
 
+def _some(points: DataFrame, want: int, many: int) -> DataFrame:
+    """About `want` of so many distinct points, chosen by hash. No order is asked for: each task would send the driver as many points."""
+    return points.where(F.pmod(F.xxhash64(*points.columns), F.lit(1 << 32)) < F.lit(int(min(1.0, want / many) * (1 << 32))))
+
+
 def _leaf(tree, x: np.ndarray) -> np.ndarray:
     if isinstance(tree, int):
         return np.full(len(x), tree)
@@ -145,8 +150,9 @@ def nearest(points: DataFrame, dims: int, kinds: dict[str, int], asks: Column, c
 
     with Store(spark) as store:
         points = store.table(points.select(*xs, *names, asks.alias("asks")), "points")
-        cells = min(CELLS, points.count() // CELL)
-        tree = _splits(points.select(*xs).orderBy(F.xxhash64(*xs), *xs).limit(SAMPLED * 4 * cells if cells < 4096 else SAMPLED * cells).toPandas().to_numpy(float)[:, :near], cells) if cells > 1 else 0
+        many = points.count()
+        cells = min(CELLS, many // CELL)
+        tree = _splits(_some(points.select(*xs), SAMPLED * 4 * cells if cells < 4096 else SAMPLED * cells, many).toPandas().to_numpy(float)[:, :near], cells) if cells > 1 else 0
 
         def place(batches):
             for b in batches:

@@ -265,6 +265,15 @@ def crowd(spark, n, width, seed):
     return df, x / x.std(axis=0), y
 
 
+def test_cells_are_cut_by_a_few_points_that_no_task_sorts(spark):
+    points = spark.range(20_000).select((F.col("id") * 1.0).alias("x0"), F.sqrt("id").alias("x1"))
+    some = near._some(points, 640, 20_000)
+    assert 500 < some.count() < 800
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan and "Exchange" not in plan
+    assert near._some(points, 640, 320).count() == 20_000
+
+
 def test_nearest_over_cells_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near, "CELL", 15)
     rng = np.random.default_rng(1)
