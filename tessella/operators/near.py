@@ -44,6 +44,17 @@ def _some(points: DataFrame, want: int, many: int) -> DataFrame:
     return points.where(F.pmod(F.xxhash64(*points.columns), F.lit(1 << 32)) < F.lit(int(min(1.0, want / many) * (1 << 32))))
 
 
+def dealer(points: DataFrame, xs: list[str], cells: int, many: int, near: int | None = None):
+    """A k-d tree of about so many cells of the distinct points, by the first `near` of their numbers, and what adds the column cell."""
+    tree = _splits(_some(points.select(*xs), SAMPLED * 4 * cells if cells < 4096 else SAMPLED * cells, many).toPandas().to_numpy(float)[:, :near], cells) if cells > 1 else 0
+
+    def place(batches):
+        for b in batches:
+            yield b.assign(cell=_leaf(tree, b[xs[:near]].to_numpy(float)))
+
+    return tree, lambda df: df.mapInPandas(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", cell long")
+
+
 def _leaf(tree, x: np.ndarray) -> np.ndarray:
     if isinstance(tree, int):
         return np.full(len(x), tree)
@@ -152,13 +163,8 @@ def nearest(points: DataFrame, dims: int, kinds: dict[str, int], asks: Column, c
         points = store.table(points.select(*xs, *names, asks.alias("asks")), "points")
         many = points.count()
         cells = min(CELLS, many // CELL)
-        tree = _splits(_some(points.select(*xs), SAMPLED * 4 * cells if cells < 4096 else SAMPLED * cells, many).toPandas().to_numpy(float)[:, :near], cells) if cells > 1 else 0
-
-        def place(batches):
-            for b in batches:
-                yield b.assign(cell=_leaf(tree, b[xs[:near]].to_numpy(float)))
-
-        dealt = store.table(points.mapInPandas(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields) + ", cell long"), "dealt")
+        tree, place = dealer(points, xs, cells, many, near)
+        dealt = store.table(place(points), "dealt")
         box = dealt.groupBy("cell").agg(*[f(x).alias(f"{n}{x}") for x in xs for n, f in (("lo", F.min), ("hi", F.max))], *[F.count_if(F.col(n) > 0).alias(n) for n in names]).orderBy("cell").toPandas()
         boxes = Tree(tree, box[[f"lo{x}" for x in xs[:near]]].to_numpy(float), box[[f"hi{x}" for x in xs[:near]]].to_numpy(float), {n: box[n].to_numpy() for n in names}, box["cell"].to_numpy())
 

@@ -70,3 +70,25 @@ def test_edges_of_the_embedding(spark):
     assert len(same) == 40 and len({(r.U1, r.U2) for r in same}) == 8
     with pytest.raises(OperatorError):
         embed.embed(df, [])
+
+
+def test_places_do_not_depend_on_cells_of_edges(spark, monkeypatch):
+    """Cells get the places beyond them that their edges lead to, and no others: a round moves fewer rows than there are edges."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(300, 2)))], "id int, a double, b double")
+    got, sent = [], []
+    table = Store.table
+
+    def seen(self, df, name):
+        done = table(self, df, name)
+        if name in ("beyond", "graph"):
+            sent.append(done.count())
+        return done
+
+    monkeypatch.setattr(Store, "table", seen)
+    for size in (10_000, 50):
+        monkeypatch.setattr(embed, "BLOCK", size)
+        got.append(embed.embed(df, ["a", "b"], rounds=2, k=5).orderBy("id").toPandas()[["U1", "U2"]].to_numpy())
+    assert np.allclose(got[0], got[1], atol=1e-6)
+    (edges, none), (same, beyond) = sent[:2], sent[2:]
+    assert edges == same and none == 0 and 0 < beyond < edges / 4
