@@ -294,26 +294,28 @@ def many_rank_correlations(df: DataFrame, columns: list[str], others: list[str],
         return {}
     medians = [q[0] for q in order.many_quantiles(df, [numeric(df, c) for c in every], [0.5])]
     values = [F.coalesce(numeric(df, c), F.lit(m).cast("double")) + F.lit(0.0) for c, m in zip(every, medians, strict=True)]
-    rows = keep(df.select(F.monotonically_increasing_id().alias("id"), *[v.alias(f"v{i}") for i, v in enumerate(values)]), "rows")
-    stacked = rows.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in range(len(every))])).alias("s")).select("id", "s.c", "s.v").where("v is not null")
-    counts = keep(stacked.groupBy("c", "v").agg(F.count("*").alias("n")), "counts")
+    # Equal rows are one with a count, so columns of few values go on as few rows.
+    names = [f"v{i}" for i in range(len(every))]
+    rows = keep(df.select(*[v.alias(n) for v, n in zip(values, names, strict=True)]).groupBy(*names).agg(F.count("*").alias("times")).withColumn("id", F.monotonically_increasing_id()), "rows")
+    stacked = rows.select("id", "times", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).alias("v")) for i, n in enumerate(names)])).alias("s")).select("id", "times", "s.c", "s.v").where("v is not null")
+    counts = keep(stacked.groupBy("c", "v").agg(F.sum("times").alias("n")), "counts")
     ranks = keep(order.many_ranks(counts, keep).select("c", "v", (F.col("low") + (F.col("n") + 1) / 2).alias("r")), "ranked")
-    wide = stacked.join(ranks, ["c", "v"]).groupBy("id").agg(*[F.max(F.when(F.col("c") == i, F.col("r"))).alias(f"r{i}") for i in range(len(every))])
+    wide = stacked.join(ranks, ["c", "v"]).groupBy("id").agg(F.max("times").alias("times"), *[F.max(F.when(F.col("c") == i, F.col("r"))).alias(f"r{i}") for i in range(len(every))])
     at = {c: i for i, c in enumerate(every)}
     side = lambda names: {c: F.col(f"r{at[c]}") for c in names}
-    found = many_correlations(wide, side(columns), side(others))
+    found = many_correlations(wide, side(columns), side(others), F.col("times"))
     return {p: r for p, r in found.items() if p[0] != p[1]}
 
 
-def many_correlations(df: DataFrame, left: dict[str, Column], right: dict[str, Column]) -> dict[tuple[str, str], float | None]:
+def many_correlations(df: DataFrame, left: dict[str, Column], right: dict[str, Column], times: Column | None = None) -> dict[tuple[str, str], float | None]:
     """Pearson's correlation of each left column with each right one, over rows where both are there; null where one of them is
-    constant. Each task works out matrix products of its rows, so that many columns cost no more aggregates; only these
+    constant. A row counts `times` times, else once. Each task works out matrix products of its rows, so that many columns cost no more aggregates; only these
     products, one number for each two columns, are added up across tasks."""
     if not left or not right:
         return {}
     columns = [c.cast("double") for c in (*left.values(), *right.values())]
-    rows = df.select(*[F.when(~F.isnan(c), c).alias(f"c{i}") for i, c in enumerate(columns)])
-    means = stats(rows, **{f"m{i}": F.avg(f"c{i}") for i in range(len(columns))})
+    rows = df.select(*[F.when(~F.isnan(c), c).alias(f"c{i}") for i, c in enumerate(columns)], (F.lit(1.0) if times is None else times.cast("double")).alias("times"))
+    means = stats(rows, **{f"m{i}": F.sum(F.col(f"c{i}") * F.col("times")) / F.nullif(F.sum(F.when(F.col(f"c{i}").isNotNull(), F.col("times"))), F.lit(0.0)) for i in range(len(columns))})
     middle, m = np.array([means[f"m{i}"] or 0.0 for i in range(len(columns))]), len(left)
 
     def products(batches):
@@ -321,11 +323,13 @@ def many_correlations(df: DataFrame, left: dict[str, Column], right: dict[str, C
 
         total = np.zeros((6, m, len(middle) - m))
         for b in batches:
+            w = b.pop("times").to_numpy(float)[:, None]
             v = b.to_numpy(float) - middle
             there = ~np.isnan(v)
             v[~there] = 0.0
             x, y, p, q = v[:, :m], v[:, m:], there[:, :m].astype(float), there[:, m:].astype(float)
-            total += np.stack([p.T @ q, x.T @ q, p.T @ y, (x * x).T @ q, p.T @ (y * y), x.T @ y])
+            x, xx, p = x * w, x * x * w, p * w
+            total += np.stack([p.T @ q, x.T @ q, p.T @ y, xx.T @ q, p.T @ (y * y), x.T @ y])
         i, j = np.indices(total.shape[1:])
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel()} | {f"s{k}": total[k].ravel() for k in range(6)})
 

@@ -471,3 +471,20 @@ def test_rows_are_not_shuffled_by_a_few_categories(spark):
         assert {(r.id, r.lang) for r in got.collect()} == {(i, None if i == 3 else i % 3) for i in range(40)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rank_correlations_go_by_counted_rows(spark):
+    """Columns of few values go on as few rows, and each counts as often as it is there."""
+    x = np.random.default_rng(4).integers(0, 4, (3000, 3)).astype(float)
+    x[:, 2] += x[:, 0]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    stored = {}
+
+    def keep(table, name):
+        stored[name] = table.persist()
+        return stored[name]
+
+    got = evaluate.many_rank_correlations(df, ["c"], ["a", "b"], keep)
+    want = pd.DataFrame(x, columns=list("abc")).corr("spearman")
+    assert all(math.isclose(got["c", o], want.loc["c", o], abs_tol=1e-9) for o in "ab")
+    assert stored["rows"].count() == len(np.unique(x, axis=0)) < 100
