@@ -221,6 +221,9 @@ def smote(df: DataFrame, target: str, columns: list[str], method: str = "smote",
         scale = _scale(df.where(F.col(f"`{target}`") == F.lit(c)), columns)
         m = k if method == "adasyn" else 2 * k
         points = _points(df, target, columns, c, scale)
+        if method in ("svm", "kmeans"):
+            # Read in each of the separator's or the centres' rounds: the table is worked out once.
+            points = Store.kept(df.sparkSession).table(points, "points")
         if method == "svm":
             base = _svm_bases(df, target, columns, c, scale, points, k, m, seed)
         elif method == "kmeans":

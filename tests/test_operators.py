@@ -488,3 +488,12 @@ def test_rank_correlations_go_by_counted_rows(spark):
     want = pd.DataFrame(x, columns=list("abc")).corr("spearman")
     assert all(math.isclose(got["c", o], want.loc["c", o], abs_tol=1e-9) for o in "ab")
     assert stored["rows"].count() == len(np.unique(x, axis=0)) < 100
+
+
+def test_rounds_over_points_do_not_work_out_the_table_again(spark, monkeypatch):
+    df, _, _ = crowd(spark, 300, 7, 2)
+    df = df.where(F.udf(lambda a: True, "boolean")("a"))
+    plans, plain = [], balance.clusters
+    monkeypatch.setattr(balance, "clusters", lambda points, *a: plans.append(points._jdf.queryExecution().executedPlan().toString()) or plain(points, *a))
+    balance.smote(df, "y", ["a", "b"], "kmeans").count()
+    assert plans and not any("EvalPython" in p for p in plans)
