@@ -313,8 +313,9 @@ def many_correlations(df: DataFrame, left: dict[str, Column], right: dict[str, C
     products, one number for each two columns, are added up across tasks."""
     if not left or not right:
         return {}
-    columns = [c.cast("double") for c in (*left.values(), *right.values())]
-    rows = df.select(*[F.when(~F.isnan(c), c).alias(f"c{i}") for i, c in enumerate(columns)], (F.lit(1.0) if times is None else times.cast("double")).alias("times"))
+    # nanvl() writes each column's expression once; when() and isnan() wrote it twice at each level, into code too long to be compiled.
+    columns = [F.nanvl(c.cast("double"), F.lit(None).cast("double")) for c in (*left.values(), *right.values())]
+    rows = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], (F.lit(1.0) if times is None else times.cast("double")).alias("times"))
     means = stats(rows, **{f"m{i}": F.sum(F.col(f"c{i}") * F.col("times")) / F.nullif(F.sum(F.when(F.col(f"c{i}").isNotNull(), F.col("times"))), F.lit(0.0)) for i in range(len(columns))})
     middle, m = np.array([means[f"m{i}"] or 0.0 for i in range(len(columns))]), len(left)
 

@@ -77,6 +77,24 @@ def test_jobs_do_not_grow_with_candidates(spark, measures):
     assert jobs(spark, few) == jobs(spark, many)
 
 
+def test_level_works_out_a_candidate_once_in_each_pass(table, monkeypatch):
+    """An expression that stands in the code again and again makes it too long to be compiled."""
+    plans, there = [], type(table).mapInPandas
+    monkeypatch.setattr(type(table), "mapInPandas", lambda self, *a, **b: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or there(self, *a, **b))
+    tree = search.Tree(1)
+    tree.root("z")
+    tree.add("z", "log")
+    search.search(table, "y", tree, {"max_depth": 1})
+    assert [p.lower().count("ln(") for p in plans] == [1]
+
+
+def test_correlations_leave_out_nan_and_null(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (float("nan"), 9.0), (2.0, 3.5), (None, 1.0), (5.0, float("nan")), (4.0, 4.0), (7.0, 1.0)], "x double, y double")
+    clean_rows = df.where("not isnan(x) and not isnan(y) and x is not null")
+    got = evaluate.many_correlations(df, {"a": F.col("x")}, {"b": F.col("y")})[("a", "b")]
+    assert got == pytest.approx(stats(clean_rows, r=corr("x", "y"))["r"], abs=1e-12)
+
+
 def test_rank_measures_equal_one_by_one(table):
     tree = search.Tree(1)
     for c in ("x", "z", "few", "g"):
