@@ -1,7 +1,7 @@
 """Ordered operators. Each takes order_by (with enough columns to break ties) and, for many series in a table, partition_by.
 
-Without partition_by the table is one series. Its rows then meet in one task, as any window over a whole table does, so a
-large table should name the columns that tell its series apart.
+Without partition_by the table is one series. The rows of a column operator then meet in one task, as any window over a whole table
+does, so a large table should name the columns that tell its series apart. Tests over one series go by chunks of it.
 """
 
 from __future__ import annotations
@@ -12,15 +12,40 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tessella.operators import order
 from tessella.operators.datetimes import micros, moment
 from tessella.registry import Fitted, Need, OperatorError, all_numeric, builds, corr, declare, number, numeric, register
+from tessella.sources.store import Store
+
+
+def _names(x: list[str] | str | None) -> list[str]:
+    return [x] if isinstance(x, str) else list(x or [])
 
 
 def spec(order_by: list[str] | str | None, partition_by: list[str] | str | None = None) -> WindowSpec:
     if not order_by:
         raise OperatorError("an ordered operator needs order_by")
-    names = lambda x: [x] if isinstance(x, str) else list(x or [])
-    return Window.partitionBy(*names(partition_by)).orderBy(*names(order_by))
+    return Window.partitionBy(*_names(partition_by)).orderBy(*_names(order_by))
+
+
+def _chunks(rows: DataFrame, y: Column, order_by: list[str] | str, reach: int, store: Store, n: int) -> tuple[DataFrame, WindowSpec]:
+    """(y, own) of one series of n rows, and the window of its chunks, of order.RANGE rows each. A chunk has the `reach` rows before it
+    besides, which are not its own, so that what an own row sees so far back is what it sees in the whole series."""
+    spec(order_by)  # a missing order raises here
+    sort, size = _names(order_by), max(order.RANGE, reach, 1)
+    placed = rows.repartitionByRange(math.ceil(n / size) + 1, *sort).sortWithinPartitions(*sort)
+    # Ids have the range in their high bits and the row's place in it in the low ones; stored, so that counts and rows see the same.
+    ids = store.table(placed.select(y.alias("y"), F.monotonically_increasing_id().alias("id")), "sorted")
+    ids = ids.select("y", F.shiftright("id", 33).cast("int").alias("b"), F.col("id").bitwiseAND(2**33 - 1).alias("i"))
+    start, offsets = 0, []
+    for r in ids.groupBy("b").agg(F.count("*").alias("n")).orderBy("b").collect():
+        offsets.append((r.b, start))
+        start += r.n
+    before = rows.sparkSession.createDataFrame(offsets, "b int, start long")  # a row for each range
+    p = ids.join(F.broadcast(before), "b").select("y", (F.col("start") + F.col("i")).alias("p"))
+    c = F.floor(F.col("p") / size)
+    there = F.when(F.col("p") % size >= size - reach, F.array(c, c + 1)).otherwise(F.array(c))
+    return p.select("y", "p", c.alias("c"), F.explode(there).alias("chunk")).select("y", "p", "chunk", (F.col("c") == F.col("chunk")).alias("own")), Window.partitionBy("chunk").orderBy("p")
 
 
 def _op(name: str, rule) -> None:
@@ -113,8 +138,17 @@ builds("fourier_features")(_fourier)
 def autocorrelation(df: DataFrame, column: str, out: str | None = None, lag: int = 1, order_by=None, partition_by=None) -> Fitted:
     """Correlation of the non-null values with those `lag` places before, for every row; null for too few."""
     x = numeric(df, column)
-    pairs = df.where(x.isNotNull()).select(x.alias("x"), F.lag(x, lag).over(spec(order_by, partition_by)).alias("y"))
-    row = pairs.agg(corr("x", "y").alias("r"), F.count("y").alias("n")).first()
+    rows = df.where(x.isNotNull())
+
+    def told(pairs: DataFrame):
+        return pairs.agg(corr("x", "y").alias("r"), F.count("y").alias("n")).first()
+
+    if partition_by:
+        row = told(rows.select(x.alias("x"), F.lag(x, lag).over(spec(order_by, partition_by)).alias("y")))
+    else:  # the pairs are the same backwards
+        with Store(df.sparkSession) as store:
+            series, w = _chunks(rows, x, order_by, abs(lag), store, rows.count())
+            row = told(series.select(F.col("y").alias("x"), F.lag("y", abs(lag)).over(w).alias("y"), "own").where("own"))
     value = row.r if row.n > 1 and row.r is not None and not math.isnan(row.r) else None
     return Fitted("autocorrelation", [column], out or f"autocorrelation({column})", state={"r": value})
 
@@ -166,26 +200,24 @@ def dickey_fuller(df: DataFrame, column: str, order_by, lags: int | None = 0, mo
     give nulls.
     """
     y, rows = numeric(df, column), df.where(numeric(df, column).isNotNull())
-    if lags is None:
-        n = rows.count()
-        top = min(math.ceil(12 * (n / 100) ** 0.25) if most is None else most, max(0, n // 2 - 2))
-    else:
-        top = lags
-    w = spec(order_by)
-    whole = rows.select(*[F.col(c) for c in ([order_by] if isinstance(order_by, str) else order_by)], F.lag(y).over(w).alias("x"), (y - F.lag(y).over(w)).alias("d0"))
-    told = whole.select("x", "d0", *[F.lag("d0", i).over(w).alias(f"d{i}") for i in range(1, top + 1)])
-    names = ["d0", "x", *(f"d{i}" for i in range(1, top + 1))]
-    n, m = _moments(told.where(F.col(names[-1] if top else "x").isNotNull()), names)
-    best = top
-    if lags is None and n > 3:
-        scores = {}
-        for k in range(top + 1):
-            got = _regressed(n, m[: k + 2, : k + 2])
-            if got and got[0] > 0:
-                scores[k] = n * math.log(got[0] / n) + 2 * (k + 2)
-        best = min(scores, key=lambda k: (scores[k], k), default=top)
-        if best < top:  # on all rows that it has
-            n, m = _moments(told.where(F.col(f"d{best}" if best else "x").isNotNull()), names[: best + 2])
+    n = rows.count()
+    top = lags if lags is not None else min(math.ceil(12 * (n / 100) ** 0.25) if most is None else most, max(0, n // 2 - 2))
+    with Store(df.sparkSession) as store:
+        series, w = _chunks(rows, y, order_by, top + 1, store, n)
+        whole = series.select("p", "chunk", "own", F.lag("y").over(w).alias("x"), (F.col("y") - F.lag("y").over(w)).alias("d0"))
+        told = whole.select("own", "x", "d0", *[F.lag("d0", i).over(w).alias(f"d{i}") for i in range(1, top + 1)]).where("own")
+        names = ["d0", "x", *(f"d{i}" for i in range(1, top + 1))]
+        n, m = _moments(told.where(F.col(names[-1] if top else "x").isNotNull()), names)
+        best = top
+        if lags is None and n > 3:
+            scores = {}
+            for k in range(top + 1):
+                got = _regressed(n, m[: k + 2, : k + 2])
+                if got and got[0] > 0:
+                    scores[k] = n * math.log(got[0] / n) + 2 * (k + 2)
+            best = min(scores, key=lambda k: (scores[k], k), default=top)
+            if best < top:  # on all rows that it has
+                n, m = _moments(told.where(F.col(f"d{best}" if best else "x").isNotNull()), names[: best + 2])
     found = _regressed(n, m[: best + 2, : best + 2]) if n >= 4 else None
     if found is None:
         return {"statistic": None, "stationary": None, "lags": best, "p_value": None}

@@ -387,6 +387,34 @@ def test_augmented_dickey_fuller(spark):
     assert series.dickey_fuller(flat, "y", "id", None)["statistic"] is None and series.dickey_fuller(flat.limit(0), "y", "id")["p_value"] is None
 
 
+def test_one_series_goes_by_chunks(spark, monkeypatch):
+    """Statistics of a series in many small chunks are those of one chunk, and no task holds the whole of it."""
+    rng = np.random.default_rng(8)
+    y = [0.0]
+    for e in rng.normal(size=119):
+        y.append(0.9 * y[-1] + float(e))
+    rows = [(int(i), y[i]) for i in rng.permutation(120)]
+    df = spark.createDataFrame([*rows, (-1, None), (9999, float("nan"))], "i int, y double")
+    tests = [lambda: series.dickey_fuller(df, "y", "i", 4)["statistic"], lambda: series.dickey_fuller(df, "y", ["i"], None, 3)["statistic"]]
+    tests += [lambda lag=lag: registry.fit(df, "autocorrelation", "y", lag=lag, order_by=["i"]).state["r"] for lag in (1, -1)]
+    want = [t() for t in tests]
+    assert want[2:] == pytest.approx([np.corrcoef(y[1:], y[:-1])[0, 1]] * 2, abs=1e-9)
+    most, moments = [], series._moments
+
+    def watched(told, names):
+        most.append(max(r["count"] for r in told.groupBy(F.spark_partition_id()).count().collect()))
+        return moments(told, names)
+
+    monkeypatch.setattr(series, "_moments", watched)
+    monkeypatch.setattr(order, "RANGE", 3)  # fewer than the lags
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert [t() for t in tests] == pytest.approx(want, rel=1e-9)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(most) < 100
+
+
 def test_six_places_are_those_of_the_sql(spark, duck):
     from tessella.plans.catalog import real
 
