@@ -365,16 +365,23 @@ def _signed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> int:
     """Concordant less discordant pairs of rows at points (a, b) that stand n times; ties in either do not count.
 
     Pairs are split by the highest bit in which the codes of a differ: within a group of equal higher bits, each point with
-    the bit meets those without it, counted below and above it in b by one sort.
+    the bit meets those without it, counted below and above it in b. Points are sorted by b once; a bit parts each group in two
+    whose points stay in their order.
     """
-    a, b, n = np.unique(a, return_inverse=True)[1].ravel(), np.unique(b, return_inverse=True)[1].ravel(), np.asarray(n, np.int64)
-    total = 0
-    for bit in range(int(a.max()).bit_length() if len(a) else 0):
-        o = np.lexsort((b, a >> (bit + 1)))
-        g, y, w, high = (a >> (bit + 1))[o], b[o], n[o], ((a >> bit) & 1)[o] == 1
-        c = np.concatenate([[0], np.cumsum(np.where(high, 0, w))])
-        new_g = np.concatenate([[True], g[1:] != g[:-1]])
-        new_y = new_g | np.concatenate([[True], y[1:] != y[:-1]])
+    if not len(a):
+        return 0
+    x, y = np.unique(a, return_inverse=True)[1].ravel(), np.unique(b, return_inverse=True)[1].ravel()
+    key = y * (int(x.max()) + 1) + x
+    o = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, key[o][1:] != key[o][:-1]))
+    x, y, w = x[o][first], y[o][first], np.add.reduceat(np.asarray(n, np.int64)[o], first)
+    total, at = 0, np.arange(len(x))
+    for bit in range(int(x.max()).bit_length() - 1, -1, -1):
+        g, high = x >> (bit + 1), ((x >> bit) & 1) == 1
+        c = np.append(0, np.cumsum(np.where(high, 0, w)))
+        lows = np.append(0, np.cumsum(~high))
+        new_g = np.append(True, g[1:] != g[:-1])
+        new_y = new_g | np.append(True, y[1:] != y[:-1])
 
         def ends(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             start = np.flatnonzero(new)
@@ -382,14 +389,18 @@ def _signed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> int:
             return start[i], np.append(start[1:], len(new))[i]
 
         (g0, g1), (y0, y1) = ends(new_g), ends(new_y)
-        # Each product is below the square of the rows; their sum is taken in Python numbers, a part at a time.
+        # Each product is below the square of the rows; their sum is taken in two halves of their bits.
         parts = np.where(high, w * ((c[y0] - c[g0]) - (c[g1] - c[y1])), 0)
-        total += sum(int(x) for x in parts[parts != 0].tolist())
+        total += (int((parts >> 32).sum()) << 32) + int((parts & 0xFFFFFFFF).sum())
+        before = lows[at] - lows[g0]
+        to = np.where(high, at + lows[g1] - lows[g0] - before, g0 + before)
+        for v in (x, y, w):
+            v[to] = v.copy()
     return total
 
 
 def _range(cuts: np.ndarray):
-    @F.pandas_udf("long")
+    @F.pandas_udf("int")
     def place(v):
         import pandas as pd
 
@@ -398,51 +409,48 @@ def _range(cuts: np.ndarray):
     return place
 
 
-def _within(x: str, y: str):
+def _within(x: str, y: str, tied: str):
     def one(part):
         import pandas as pd
 
-        return pd.DataFrame({"s": [str(_signed(part[x].to_numpy(), part[y].to_numpy(), part["n"].to_numpy()))]})
+        n = part["n"].to_numpy()
+        same = part.groupby(tied)["n"].sum().to_numpy()
+        return pd.DataFrame({"s": [str(_signed(part[x].to_numpy(), part[y].to_numpy(), n))], "t": [str(int((same * (same - 1) // 2).sum()))]})
 
     return one
 
 
 def kendall(df: DataFrame, a: str, b: str) -> float | None:
-    """Kendall's tau-b over all complete rows, from counts of distinct pairs.
+    """Kendall's tau-b over all complete rows.
 
-    Both value ranges are cut at quantiles of the distinct pairs; a cut value is a range by itself. Pairs of rows that differ in
-    both ranges are counted from the grid of ranges, those in one range of a within it, and those in one range of b but
-    different ranges of a within that. A range that is one value needs no look inside, so a hot value stands in no one task.
+    Both value ranges are cut at about their quantiles, which are told in one pass; a cut value is a range by itself, and any cuts
+    give the same counts. Pairs of rows that differ in both ranges are counted from the grid of ranges, those in one range of a within
+    it, and those in one range of b but different ranges of a within that, as are ties. A range that is one value needs no look
+    inside, so a hot value stands in no one task. Where most rows are copies, these are counted first.
     """
-    pairs = df.select(numeric(df, a).alias("a"), numeric(df, b).alias("b")).where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df.select(numeric(df, a).alias("a"), numeric(df, b).alias("b")).where("a is not null and b is not null")
+    at = F.array(*[F.lit(i / order.CUTS) for i in range(1, order.CUTS)])
+    told = stats(rows, n=F.count("*"), pairs=F.approx_count_distinct(F.xxhash64("a", "b")), **{c: F.percentile_approx(c, at, 10_000) for c in ("a", "b")})
+    if told["n"] < 2:
+        return None
+    copies = 4 * told["pairs"] < told["n"]
+    points = rows.groupBy("a", "b").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK) if copies else rows.withColumn("n", F.lit(1).cast("long"))
     try:
-        ties = {}
-        for c in ("a", "b"):
-            t = stats(pairs.groupBy(c).agg(F.sum("n").cast("decimal(38,0)").alias("n")), rows=F.sum("n"), tied=F.sum(F.expr("n * (n - 1) / 2").cast("decimal(38,0)")))
-            ties[c] = int(t["tied"] or 0)
-            rows = int(t["rows"] or 0)
-        if rows < 2:
-            return None
-        placed = pairs
-        for c in ("a", "b"):
-            # Even ranges are open, odd ones are the cut value itself.
-            t, m = order.ranks(pairs, F.col(c))
-            step = lambda x, m=m: F.floor(x * order.CUTS / m)
-            cuts = np.array(sorted(r.v for r in t.where(step(F.col("low") + F.col("n") - 1) != step(F.col("low") - 1)).select("v").collect()))
-            placed = placed.withColumn(f"g{c}", _range(cuts)(F.col(c)))
-        placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            grid = placed.groupBy("ga", "gb").agg(F.sum("n").alias("n")).toPandas()
-            total = _signed(*(grid[x].to_numpy() for x in ("ga", "gb", "n")))
-            for g, x, y in (("ga", "a", "b"), ("gb", "ga", "b")):
-                inside = placed.where(F.col(g) % 2 == 0).groupBy(g)
-                total += sum(int(r.s) for r in inside.applyInPandas(_within(x, y), "s string").collect())
-        finally:
-            placed.unpersist()
+        # Even ranges are open, odd ones are the cut value itself.
+        placed = points.select("*", *[_range(np.unique(told[c]))(F.col(c)).alias(f"g{c}") for c in ("a", "b")])
+        grid = placed.groupBy("ga", "gb").agg(F.sum("n").alias("n")).toPandas()
+        total, ties = _signed(*(grid[x].to_numpy() for x in ("ga", "gb", "n"))), {}
+        for g, x, y in (("ga", "a", "b"), ("gb", "ga", "b")):
+            inside = placed.where(F.col(g) % 2 == 0).select(g, "n", *(c for c in (x, y) if c != g)).groupBy(g)
+            found = inside.applyInPandas(_within(x, y, g[1]), "s string, t string").collect()
+            total += sum(int(r.s) for r in found)
+            one_value = grid[grid[g] % 2 == 1].groupby(g)["n"].sum()
+            ties[g] = sum(int(r.t) for r in found) + sum(int(n) * (int(n) - 1) // 2 for n in one_value)
     finally:
-        pairs.unpersist()
-    every = rows * (rows - 1) // 2
-    under = (every - ties["a"]) * (every - ties["b"])
+        if copies:
+            points.unpersist()
+    every = told["n"] * (told["n"] - 1) // 2
+    under = (every - ties["ga"]) * (every - ties["gb"])
     return total / math.sqrt(under) if under else None
 
 

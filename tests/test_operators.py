@@ -350,6 +350,27 @@ def test_kendall_over_all_rows(spark):
     assert evaluate.kendall(df.where("a = 100"), "a", "a") is None and evaluate.kendall(df.limit(1), "a", "b") is None
 
 
+@pytest.mark.parametrize("times", [1, 6])
+def test_kendall_ranks_no_table(spark, monkeypatch, times):
+    """Cuts come from one pass over the rows, not from sorted tables of all values; any cuts give the same, and copies count."""
+
+    def no_ranks(*_):
+        raise AssertionError("a table of ranks is made")
+
+    monkeypatch.setattr(order, "ranks", no_ranks)
+    monkeypatch.setattr(order, "CUTS", 8)
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=600), rng.normal(size=600)
+    y = np.where(rng.random(600) < 0.3, 0.0, y + 0.5 * x)  # a hot value
+    x = np.where(rng.random(600) < 0.5, np.round(x, 1), x)
+    x, y = np.tile(x, times), np.tile(y, times)
+    da, db = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    want = (da * db).sum() / math.sqrt(np.abs(da).sum() * np.abs(db).sum())
+    df = spark.createDataFrame(pd.DataFrame({"a": x, "b": y})).union(spark.createDataFrame([(None, 1.0), (float("nan"), 2.0), (3.0, None)], "a double, b double"))
+    assert evaluate.kendall(df, "a", "b") == pytest.approx(want, abs=1e-12)
+    assert evaluate.kendall(df, "b", "a") == pytest.approx(want, abs=1e-12)
+
+
 def test_augmented_dickey_fuller(spark):
     """Statistic, chosen lags and p value against least squares on whole matrices."""
     import random
