@@ -267,7 +267,7 @@ def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in a plane by their balance, orders and spending."""
     orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("spent"))
     df = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").join(orders, "c_custkey", "left")
-    return embed.embed(df, ["c_acctbal", "orders", "spent"], rounds=5).select("c_custkey", real("U1").alias("u"), real("U2").alias("v"))
+    return embed.embed(df, ["c_acctbal", "orders", "spent"]).select("c_custkey", real("U1").alias("u"), real("U2").alias("v"))
 
 
 # Entities, series and pictures

@@ -1,12 +1,16 @@
 """The embedding keeps neighbours together, and its parts equal plain versions."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import embed, near
+from tessella.plans import catalog, catalog_more
 from tessella.registry import OperatorError
 from tessella.sources.store import Store
+from tests.conftest import SF
 
 
 def recall(x, y, k=10):
@@ -92,3 +96,11 @@ def test_places_do_not_depend_on_cells_of_edges(spark, monkeypatch):
     assert np.allclose(got[0], got[1], atol=1e-6)
     (edges, none), (same, beyond) = sent[:2], sent[2:]
     assert edges == same and none == 0 and 0 < beyond < edges / 4
+
+
+def test_the_query_goes_through_all_rounds(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(embed, "_laid_out", lambda now, edges, rounds, seed, store: (asked.append(rounds), now.select("id", "y0", "y1"))[1])
+    assert catalog.QUERIES["embedding"] is catalog_more.embedding
+    catalog.QUERIES["embedding"](spark, SF)
+    assert asked == [inspect.signature(embed.embed).parameters["rounds"].default] == [50]
